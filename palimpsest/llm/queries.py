@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import gam, mixing, ogg, packing, perplexity, viterbi
+from . import additive, gam, minhash, mixing, ogg, packing, perplexity, suffixes, tagpaths, viterbi
 from .common import table
 
 
@@ -32,13 +32,29 @@ def op4_viterbi_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return viterbi.count_tokens(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), keep=False)
+
+
+def op6_tag_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tagpaths.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_additive_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return additive.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op8_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_bottom_k_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op10_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ogg_payload, op2_nnls_packing, op3_gam_quality, op4_viterbi_counts, op8_pivotal_mixing, op10_cross_entropy_difference)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ogg_payload, op2_nnls_packing, op3_gam_quality, op4_viterbi_counts, op5_suffix_dedup, op6_tag_path_text, op7_additive_nearest, op8_pivotal_mixing, op9_bottom_k_near_dedup, op10_cross_entropy_difference)}
 ORACLE_SQL: dict[str, str] = {}
