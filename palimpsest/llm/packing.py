@@ -19,6 +19,7 @@ without an id keeps null.
 from __future__ import annotations
 
 import itertools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -34,7 +35,7 @@ CLASS = 64
 DEPTH = 3
 BLOCK = 4_000_000
 END = 2
-CACHE = 1_000_000  # entries of a worker's table of chunks
+CACHE = 1_500_000  # entries of a worker's tables of chunks and words
 
 
 def combinations(classes: int, depth: int) -> np.ndarray:
@@ -141,28 +142,69 @@ def pack(lengths: np.ndarray, window: int = WINDOW, unit: int = CLASS, depth: in
 
 class Ids:
     """Token ids of whole texts, as the tokenizer file gives them. White space that every file of this kind drops
-    (space, new line) bounds chunks, so chunks are looked up in a table and only new ones are encoded."""
+    (space, new line) bounds chunks, so chunks are looked up in a table. New ones part into words, which have a table
+    too; new words are encoded many at once, parted by a word that is one token (what holds this word is encoded by itself)."""
 
     def __init__(self, path: str, end: int = END):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.table, self.end = Tokenizer.from_file(path), {"": b""}, np.array([end], "<u4").tobytes()
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.table, self.words, self.end = Tokenizer.from_file(path), {"": b""}, {}, np.array([end], "<u4").tobytes()
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)  # tokens that end a word
+        self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+        self.bare = Tokenizer(self.tokenizer.model)  # the same model for words that are parted and lower-cased already
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        single = (w for w, i in sorted(vocab.items(), key=lambda x: -x[1]) if w.isascii() and w.endswith("</w>") and len(w) == 7 and w[:-4].isalpha())
+        self.mark, self.mark_id = next((w[:-4], self.tokenizer.token_to_id(w)) for w in single if self.tokenizer.encode(w[:-4], add_special_tokens=False).ids == [self.tokenizer.token_to_id(w)])
+
+    def _encode(self, part: list[str]) -> list[bytes]:
+        ids = np.array(self.tokenizer.encode(f" {self.mark} ".join(part), add_special_tokens=False).ids, "<u4")
+        cuts = np.flatnonzero(ids == self.mark_id)
+        if len(cuts) != len(part) - 1:
+            raise ValueError("a chunk made the parting token")
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)])]
+
+    def _learn_words(self, new: list[str]) -> None:
+        for at in range(0, len(new), 1000):
+            part = new[at : at + 1000]
+            ids = np.array(self.bare.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            cuts = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            if len(cuts) != len(part):
+                self._learn(self.words, part)
+                continue
+            raw, at_ = ids.tobytes(), cuts.tolist()
+            self.words.update((w, raw[a:b]) for w, a, b in zip(part, [0, *at_[:-1]], at_))
+
+    def _learn(self, table: dict[str, bytes], new: list[str]) -> None:
+        odd = {c for c in new if self.mark in c.lower() or "<|" in c}
+        for c in odd:
+            table[c] = np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
+        todo = [c for c in new if c not in odd] if odd else new
+        for at in range(0, len(todo), 200):
+            table.update(zip(todo[at : at + 200], self._encode(todo[at : at + 200])))
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         chunks = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        table = self.table
-        new = list({c for words in chunks for c in words if c not in table})
-        if len(table) + len(new) > CACHE:
-            self.table = table = {"": b""}
-            new = list({c for words in chunks for c in words if c})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for c, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                table[c] = np.array(e.ids, "<u4").tobytes()
-        get = table.__getitem__
+        new = set().union(*chunks).difference(self.table)
+        if len(self.table) + len(self.words) + len(new) > CACHE:
+            self.table, self.words = {"": b""}, {}
+            new = set().union(*chunks).difference(self.table)
+        plain = {c: _WORD.findall(c.lower()) for c in new if _PLAIN.fullmatch(c) and "<|" not in c}
+        self._learn_words(list(set().union(*plain.values()).difference(self.words)))
+        word, table = self.words.__getitem__, self.table
+        for c, w in plain.items():
+            table[c] = word(w[0]) if len(w) == 1 else b"".join(map(word, w))
+        self._learn(self.table, [c for c in new if c not in plain])
+        get = self.table.__getitem__
         return [b"".join(map(get, words)) + self.end for words in chunks]
 
 
+# Chunks of printable ASCII and Latin letters (without the dotted capital I, which lower-cases to two characters) part into
+# words here, as the tokenizer's own rule parts them: a contraction, letters, one digit, or other signs.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-\u012f\u0131-\u024f]+")
+_WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-\u024f\u2c65\u2c66]+|[0-9]|[!-&(-/:-`{-~']+")
+
 _IDS: dict[str, Ids] = {}
 _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
@@ -196,8 +238,8 @@ def _pieces(path: str, keep_ids: bool):
 
         for b in batches:
             docs, texts = b.column(0).to_pylist(), b.column(1)
-            for at in range(0, len(docs), 500):
-                for doc_id, raw in zip(docs[at : at + 500], ids_of(texts[at : at + 500].to_pylist())):
+            for at in range(0, len(docs), 2000):
+                for doc_id, raw in zip(docs[at : at + 2000], ids_of(texts[at : at + 2000].to_pylist())):
                     block.append((doc_id, raw))
                     size += len(raw) // 4
                     if size >= BLOCK:
