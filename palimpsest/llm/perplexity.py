@@ -89,53 +89,53 @@ class Model:
 
 
 def _collect_counts(rows: DataFrame, vocab: dict[bytes, int]) -> np.ndarray:
-    """Counts of unigrams (first len(vocab) + 2) and slots, for all rows and for those with `target`."""
-    head, bits = len(vocab) + 2, rows.sparkSession.sparkContext.broadcast(vocab)
+    """Counts of unigrams (first len(vocab) + 2) and slots over all rows."""
+    head, shared = len(vocab) + 2, rows.sparkSession.sparkContext.broadcast(vocab)
     size = head + SLOTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = [np.zeros(size, np.int64), np.zeros(size, np.int64)]
-        words = bits.value
+        total, words = np.zeros(size, np.int64), shared.value
         for b in batches:
-            for t, target in zip(b.column(0), b.column(1)):
+            for t in b.column(0):
                 ids = _ids(t.as_py(), words)
-                at = np.concatenate([ids[1:], _slots(ids) + head])
-                for model in range(1 + bool(target.as_py())):
-                    np.add.at(total[model], at, 1)
-        model, block, raw = [], [], []
-        for m, counts in enumerate(total):
-            for s in range(0, size, BLOCK):
-                part = counts[s : s + BLOCK]
-                if part.any():
-                    model.append(m)
-                    block.append(s // BLOCK)
-                    raw.append(zlib.compress(part.tobytes(), 1))
-        yield pa.RecordBatch.from_arrays([pa.array(model, pa.int32()), pa.array(block, pa.int32()), pa.array(raw, pa.binary())], names=["model", "block", "counts"])
+                np.add.at(total, np.concatenate([ids[1:], _slots(ids) + head]), 1)
+        blocks = [s for s in range(0, size, BLOCK) if total[s : s + BLOCK].any()]
+        yield pa.RecordBatch.from_arrays([pa.array([s // BLOCK for s in blocks], pa.int32()), pa.array([_pack(total[s : s + BLOCK]) for s in blocks], pa.binary())], names=["block", "counts"])
 
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = 0
         for b in batches:
-            for raw in b.column(2):
-                total = total + np.frombuffer(zlib.decompress(raw.as_py()), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["model", "block", "counts"])
-
-    partial = rows.select("text", "target").mapInArrow(run, "model int, block int, counts binary")
-    out = np.zeros((2, size), np.int64)
-    for r in partial.groupBy("model", "block").applyInArrow(add, "model int, block int, counts binary").collect():
-        part = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.int64)
-        out[r["model"], r["block"] * BLOCK : r["block"] * BLOCK + len(part)] = part
+            for raw in b.column(1):
+                total = total + _unpack(raw.as_py())
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([_pack(total)], pa.binary())], names=["block", "counts"])
+
+    out = np.zeros(size, np.int64)
+    for r in rows.select("text").mapInArrow(run, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").collect():
+        part = _unpack(bytes(r["counts"]))
+        out[r["block"] * BLOCK : r["block"] * BLOCK + len(part)] = part
     return out
 
 
+def _pack(counts: np.ndarray) -> bytes:
+    """Counts in the narrowest type that holds them, compressed; the type's size comes first."""
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.int64) if counts.max() <= np.iinfo(k).max)
+    return bytes([np.dtype(kind).itemsize]) + zlib.compress(counts.astype(kind).tobytes(), 1)
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw[1:]), {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[raw[0]]).astype(np.int64)
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[dict[bytes, int], Model, Model]:
-    """Vocabulary, target model, background model."""
-    marked = labels.where((F.col(label) == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("label_id")).distinct()
+    """Vocabulary, target model, background model. The marked documents are found by a join on sorted partitions at every size
+    (labels have no bound, so they are never broadcast); on large inputs Spark filters the texts before it by a Bloom filter."""
+    marked = labels.where((F.col(label) == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("label_id"))
     vocab = vocabulary(docs)
-    rows = docs.select("text", F.col("doc_id").cast("bigint").alias("doc_id")).join(marked, F.col("doc_id") == F.col("label_id"), "left").select("text", F.col("label_id").isNotNull().alias("target"))
-    counts = _collect_counts(rows, vocab)
+    target = docs.select("text", F.col("doc_id").cast("bigint").alias("doc_id")).join(marked.hint("merge"), F.col("doc_id") == F.col("label_id"), "left_semi")
+    background, counts = _collect_counts(docs, vocab), _collect_counts(target, vocab)
     head = len(vocab) + 2
-    size = counts[:, :head].sum(1)
-    return vocab, Model(counts[1, :head], counts[1, head:], 1.0), Model(counts[0, :head], counts[0, head:], float(size[1] / size[0]) if size[0] and size[1] else 1.0)
+    size, total = int(counts[:head].sum()), int(background[:head].sum())
+    return vocab, Model(counts[:head], counts[head:], 1.0), Model(background[:head], background[head:], size / total if size and total else 1.0)
 
 
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
