@@ -35,7 +35,7 @@ CLASS = 64
 DEPTH = 3
 BLOCK = 4_000_000
 END = 2
-CACHE = 1_500_000  # entries of a worker's tables of chunks and words
+CACHE = 1_200_000  # entries of each of a worker's two tables
 
 
 def combinations(classes: int, depth: int) -> np.ndarray:
@@ -186,12 +186,16 @@ class Ids:
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         chunks = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*chunks).difference(self.table)
-        if len(self.table) + len(self.words) + len(new) > CACHE:
-            self.table, self.words = {"": b""}, {}
-            new = set().union(*chunks).difference(self.table)
+        used = set().union(*chunks)
+        new = used.difference(self.table)
+        if len(self.table) + len(new) > CACHE:  # what this batch uses stays
+            self.table = {c: self.table[c] for c in used.difference(new)} | {"": b""}
         plain = {c: _WORD.findall(c.lower()) for c in new if _PLAIN.fullmatch(c) and "<|" not in c}
-        self._learn_words(list(set().union(*plain.values()).difference(self.words)))
+        words = set().union(*plain.values())
+        unknown = words.difference(self.words)
+        if len(self.words) + len(unknown) > CACHE:
+            self.words = {w: self.words[w] for w in words.difference(unknown)}
+        self._learn_words(list(unknown))
         word, table = self.words.__getitem__, self.table
         for c, w in plain.items():
             table[c] = word(w[0]) if len(w) == 1 else b"".join(map(word, w))
