@@ -1,0 +1,91 @@
+"""Operational analytics: reads, writers, health, attribution, ingest queue."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+DAY = 86400
+
+
+def read_summary(reads: DataFrame, now: int, days: int) -> DataFrame:
+    """One row over the last days: reads, reads that returned facts, characters, tokens, saves."""
+    recent = reads.where(F.col("at") >= now - days * DAY)
+    chars = F.coalesce(F.sum("injected_chars"), F.lit(0)).cast("bigint")
+    return recent.agg(F.count("*").alias("n_reads"), F.count_if(F.col("n_facts") > 0).alias("with_facts"), chars.alias("chars"), F.floor(chars / 4).cast("bigint").alias("tokens"), F.count_if(F.col("kind") == "save").alias("saves"))
+
+
+def reads_by(reads: DataFrame, column: str) -> DataFrame:
+    return reads.groupBy(F.coalesce(column, F.lit("unknown")).alias(column)).agg(F.count("*").alias("n_reads"), F.countDistinct("session_id").alias("sessions"), F.sum("injected_chars").cast("bigint").alias("chars"))
+
+
+def unreturned(facts: DataFrame, reads: DataFrame, now: int, days: int) -> DataFrame:
+    seen = reads.where(F.col("at") >= now - days * DAY).select(F.explode("returned").alias("edge_id")).distinct()
+    return facts.join(seen, "edge_id", "left_anti")
+
+
+def delivered(reads: DataFrame, edge_id: int, agent: str) -> DataFrame:
+    """One row: was the fact returned to this agent, was it returned to anyone."""
+    has = F.array_contains("returned", edge_id)
+    return reads.agg(F.coalesce(F.max((has & (F.col("agent_id") == agent)).cast("int")), F.lit(0)).alias("to_agent"), F.coalesce(F.max(has.cast("int")), F.lit(0)).alias("to_any"))
+
+
+def writers(facts: DataFrame) -> DataFrame:
+    return facts.groupBy(F.coalesce("agent_id", F.lit("unknown")).alias("agent_id")).agg(F.count("*").alias("n"))
+
+
+def counts_by(audit: DataFrame) -> DataFrame:
+    return audit.groupBy("mutation_type").agg(F.count("*").alias("n"), F.max("at").alias("last_at"))
+
+
+def attribution(facts: DataFrame) -> DataFrame:
+    """Facts without an author whose session has exactly one known author: edge_id, agent_id."""
+    known = facts.where("agent_id IS NOT NULL AND agent_id != 'unknown'").groupBy("session_id").agg(F.collect_set("agent_id").alias("who")).where(F.size("who") == 1).select("session_id", F.element_at("who", 1).alias("author"))
+    return facts.where("agent_id IS NULL OR agent_id = 'unknown'").join(known, "session_id").select("edge_id", F.col("author").alias("agent_id"))
+
+
+def gate_conversion(fired: DataFrame, audit: DataFrame) -> DataFrame:
+    """One row: sessions stopped, and how many of them wrote a fact later. fired: session_id, at; audit: session_id, at, mutation_type."""
+    wrote = audit.where("mutation_type = 'created'").select(F.col("session_id").alias("sid"), F.col("at").alias("wrote_at"))
+    last = wrote.groupBy("sid").agg(F.max("wrote_at").alias("wrote_at"))
+    first = fired.groupBy("session_id").agg(F.min("at").alias("at"))
+    j = first.join(last, F.col("session_id") == F.col("sid"), "left")
+    return j.agg(F.count("*").alias("fired"), F.count_if(F.col("wrote_at") > F.col("at")).alias("converted"))
+
+
+def health(facts: DataFrame, nodes: DataFrame, edges: DataFrame, now: int) -> DataFrame:
+    """One row of figures and a score of 0 to 100: silence, too few writers, unattributed facts and orphans cost points."""
+    from .graph import orphans
+
+    f = facts.agg(F.count("*").alias("facts"), F.floor((F.lit(now) - F.max("t_valid")) / DAY).alias("quiet_days"), F.countDistinct(F.when(F.col("agent_id") != "unknown", F.col("agent_id"))).alias("writers"), F.count_if(F.coalesce("agent_id", F.lit("unknown")) == "unknown").alias("unattributed"))
+    n = nodes.agg(F.count("*").alias("nodes"))
+    o = orphans(nodes, edges).agg(F.count("*").alias("orphans"))
+    row = f.join(F.broadcast(n)).join(F.broadcast(o))
+    quiet = F.when(F.col("quiet_days").isNull(), 40).when(F.col("quiet_days") > 7, F.least(F.lit(30), 10 + (F.col("quiet_days") - 7) * 2)).otherwise(0)
+    loose = F.floor(F.least(F.lit(15.0), F.col("orphans") / F.greatest("nodes", F.lit(1)) * 50))
+    points = 100 - quiet - F.when(F.col("writers") < 2, 20).otherwise(0) - loose - F.least(F.lit(15), F.col("unattributed"))
+    return row.withColumn("score", F.when(F.col("facts") == 0, 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), points))).cast("bigint"))
+
+
+def queue_upsert(queue: DataFrame, seen: DataFrame) -> DataFrame:
+    """The queue (path, digest, ingested_at, noticed_at) after documents (path, digest, noticed_at) were seen: a new digest opens an entry again."""
+    j = queue.select("path", "digest", "ingested_at", "noticed_at").join(seen.select("path", F.col("digest").alias("new_digest"), F.col("noticed_at").alias("new_at")), "path", "full")
+    changed = F.col("new_digest").isNotNull() & ~F.col("digest").eqNullSafe(F.col("new_digest"))
+    return j.select("path", F.coalesce("new_digest", "digest").alias("digest"), F.when(changed, None).otherwise(F.col("ingested_at")).alias("ingested_at"), F.when(changed, F.col("new_at")).otherwise(F.col("noticed_at")).alias("noticed_at"))
+
+
+def reconcile(disk: DataFrame, queue: DataFrame) -> DataFrame:
+    """Documents on disk against the queue: new, changed, unchanged."""
+    j = disk.select("path", "digest").join(queue.select("path", F.col("digest").alias("known")), "path", "left")
+    state = F.when(F.col("known").isNull(), "new").when(F.col("known") != F.col("digest"), "changed").otherwise("unchanged")
+    return j.groupBy(state.alias("state")).agg(F.count("*").alias("n"))
+
+
+def worked_without_recording(activity: DataFrame, audit: DataFrame, edits: int = 5) -> DataFrame:
+    wrote = audit.where("mutation_type = 'created'").select("session_id").distinct()
+    return activity.where(F.col("n_edits") >= edits).join(wrote, "session_id", "left_anti")
+
+
+def turn_batches(turns: DataFrame, size: int = 40) -> DataFrame:
+    nth = F.row_number().over(Window.partitionBy("session_id").orderBy("position"))
+    return turns.withColumn("batch", F.floor((nth - 1) / size).cast("int"))
