@@ -1,7 +1,8 @@
 """Operator 9: near-duplicate documents by bottom-k sketches of one hash function.
 
-A document's set holds the 64-bit hashes of its distinct word shingles. Documents with equal sets are one class;
-from there on only class representatives count. The steps:
+A document's set holds the 64-bit hashes of its distinct word shingles. Documents with equal sets are one class,
+named by 64 bits of the set's digest; from there on classes count, not documents. Texts are read three times and never
+shuffled; sets travel only for members of clusters. The steps:
 
 1. Sketch: the k smallest values of a set, k = n - ceil(t n) + 1 for the set size n and threshold t. Two sets with a
    similarity of t share one of these values at least (whatever fixed order the values have), so the inverted
@@ -16,7 +17,7 @@ from there on only class representatives count. The steps:
 4. Verification: a cluster's whole sets meet in blocks of up to BLOCK members; a task compares two blocks by
    matrix products and returns a spanning forest of the exact links, never the pairs. No link between
    different sets inside a cluster is left out, and its work is bounded by the block.
-5. The components of the links are the result; class members follow their representative.
+5. The components of the links are the result, named by their smallest doc_id.
 
 Links between documents: t_percent * union <= 100 * intersection, on whole sets. A document with fewer words than the
 shingle has its whole sequence as one shingle; one without words (null, empty, white space) has an empty set and is
@@ -25,6 +26,7 @@ linked with nothing. Rows with an equal doc_id are one node; a null doc_id gets
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -38,10 +40,13 @@ from .components import components
 
 SHINGLE = 5
 LIST = 24
-BLOCK = 256
+BLOCK = 2048  # members of a cluster in a block
+BLOCK_BYTES = 16 << 20  # and bytes of their sets
+FEW = 8
 SKETCH = 64  # values kept for the union-sketch estimate
 SIGMAS = 6.0
-BITMAP_BITS = 22
+BITMAP_BITS = 22  # of frequent values
+MEMBER_BITS = 24  # of classes in clusters
 CHUNK = 1 << 20
 
 _RNG = np.random.default_rng(20240607)
@@ -82,7 +87,10 @@ def shingle_sets(texts: list[str | None], width: int = SHINGLE) -> list[np.ndarr
         starts, ends = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(raw)]])
         w = min(width, len(words))
         s, e = starts[: len(words) - w + 1], ends[w - 1 :]
-        out.append(np.unique(mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))))
+        h = np.sort(mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)))
+        first = np.ones(len(h), bool)
+        np.not_equal(h[1:], h[:-1], out=first[1:])
+        out.append(h[first])
     return out
 
 
@@ -91,17 +99,12 @@ def kept_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
+def _slot(values: np.ndarray, bits: int) -> np.ndarray:
+    return ((values >> np.uint64(7)) & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
-_MASK = np.uint64((1 << BITMAP_BITS) - 1)
-
-
-def _is_frequent(values: np.ndarray, bitmap: np.ndarray | None) -> np.ndarray:
-    if bitmap is None:
-        return np.zeros(len(values), bool)
-    slot = ((values >> np.uint64(7)) & _MASK).astype(np.int64)
+def _marked(values: np.ndarray, bitmap: np.ndarray, bits: int) -> np.ndarray:
+    slot = _slot(values, bits)
     return (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
 
 
@@ -110,41 +113,104 @@ def sketch(values: np.ndarray, percent: int, bitmap: np.ndarray | None = None) -
     k = kept_size(len(values), percent)
     if bitmap is None:
         return values[:k]
-    often = _is_frequent(values, bitmap)
+    often = _marked(values, bitmap, BITMAP_BITS)
     return np.concatenate([values[~often], values[often]])[:k]
 
 
-def _sets_frame(docs: DataFrame) -> DataFrame:
-    """node, n, key (digest of the set), values (the set as bytes), for rows with an id."""
-    import hashlib
+def class_of(values: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(values.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Slices of batches whose last column is the text, with the sets of the texts."""
+    for b in batches:
+        for at in range(0, b.num_rows, 1000):
+            part = b.slice(at, 1000)
+            yield part, shingle_sets(part.column(part.num_columns - 1).to_pylist())
+
 
+def _slim(percent: int):
+    """node, cls, n, keep (retained values), low (smallest values)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                sets = shingle_sets(part.column(1).to_pylist())
-                raw = [s.tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(r, digest_size=16).digest() for r in raw], pa.binary()), pa.array(raw, pa.binary())], names=["node", "n", "key", "values"])
+        for part, sets in _sets_of(batches):
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s, percent).tobytes() for s in sets], pa.binary()), pa.array([s[:SKETCH].tobytes() for s in sets], pa.binary())],
+                names=["node", "cls", "n", "keep", "low"],
+            )
+
+    return run
 
-    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("node"), "text").mapInArrow(run, "node bigint, n bigint, key binary, values binary")
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(value, cls) from (cls, keep)."""
+    for b in batches:
+        sizes = np.array([len(k.as_py()) // 8 for k in b.column(1)], np.int64)
+        values = np.frombuffer(b"".join(k.as_py() for k in b.column(1)), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(np.repeat(b.column(0).to_numpy(), sizes))], names=["value", "cls"])
 
 
 def _retained(percent: int, bitmap):
+    """(value, cls) of the texts' sets in the order with frequent values last; a class comes once from a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = np.frombuffer(bitmap.value, np.uint8) if bitmap is not None else None
-        for b in batches:
-            nodes, sizes, values = [], [], []
-            for node, n, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                v = sketch(np.frombuffer(raw.as_py(), np.uint64), percent, marks)
-                nodes.append(np.full(len(v), node, np.int64))
-                sizes.append(np.full(len(v), n, np.int64))
-                values.append(_signed(v))
-            if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (values, nodes, sizes)], names=["value", "node", "n"])
+        marks, seen = np.frombuffer(bitmap.value, np.uint8), set()
+        for _, sets in _sets_of(batches):
+            classes, values = [], []
+            for s in sets:
+                c = class_of(s)
+                if len(s) and c not in seen:
+                    seen.add(c)
+                    v = sketch(s, percent, marks)
+                    classes.append(np.full(len(v), c, np.int64))
+                    values.append(v.view(np.int64))
+            if values:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values)), pa.array(np.concatenate(classes))], names=["value", "cls"])
 
     return run
 
 
+def _whole(members):
+    """(cls, values) of the texts' sets whose class may be a member; a class comes once from a task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks, seen = np.frombuffer(members.value, np.uint8), set()
+        for _, sets in _sets_of(batches):
+            classes, values = [], []
+            for s in sets:
+                c = class_of(s)
+                if len(s) and c not in seen and _marked(np.array([c], np.int64).view(np.uint64), marks, MEMBER_BITS)[0]:
+                    seen.add(c)
+                    classes.append(c)
+                    values.append(s.tobytes())
+            if values:
+                yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(values, pa.binary())], names=["cls", "values"])
+
+    return run
+
+
+def _member_bitmap(spark, members: DataFrame):
+    """Bitmap of 2^MEMBER_BITS bits of the classes in clusters, put together from parts of 4096 bytes. A false positive only
+    sends a set in vain."""
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << (MEMBER_BITS - 3), np.uint8)
+        for b in batches:
+            slot = _slot(b.column(0).to_numpy().view(np.uint64), MEMBER_BITS)
+            np.bitwise_or.at(bits, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
+        parts = bits.reshape(-1, 4096)
+        used = np.flatnonzero(parts.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([parts[i].tobytes() for i in used], pa.binary())], names=["part", "bits"])
+
+    def join(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(4096, np.uint8)
+        for b in batches:
+            for raw in b.column(1):
+                total |= np.frombuffer(raw.as_py(), np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "bits"])
+
+    bits = np.zeros(1 << (MEMBER_BITS - 3), np.uint8)
+    for r in members.select("node").mapInArrow(mark, "part int, bits binary").groupBy("part").applyInArrow(join, "part int, bits binary").collect():
+        bits[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return spark.sparkContext.broadcast(bits.tobytes())
+
+
 def _frequent_bitmap(spark, entries: DataFrame, longest: int):
     """Bitmap of the values in more than `longest` lists; with more of them than it can tell apart, the most frequent ones."""
     counts = entries.groupBy("value").count()
@@ -154,7 +220,7 @@ def _frequent_bitmap(spark, entries: DataFrame, longest: int):
     if not len(values):
         return None
     bitmap = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
-    slot = ((values >> np.uint64(7)) & _MASK).astype(np.int64)
+    slot = _slot(values, BITMAP_BITS)
     np.bitwise_or.at(bitmap, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
     return spark.sparkContext.broadcast(bitmap.tobytes())
 
@@ -216,29 +282,44 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
 
 
 def exact_links(nodes: np.ndarray, sets: list[np.ndarray], percent: int, split: int = 0) -> list[tuple[int, int]]:
-    """Spanning forest of the links between the sets (with split: only between the first `split` and the others)."""
+    """Spanning forest of the links between the sets (with split: only between the first `split` and the others). Elements that
+    many of the sets share are counted by matrix products, chunk by chunk; the others by adding up their few pairs."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
     ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
     owner = np.repeat(np.arange(n), sizes)
-    often = np.bincount(ids)[ids] > 1
-    ids, owner = np.unique(ids[often], return_inverse=True)[1], owner[often]
+    counts = np.bincount(ids)
     common = np.zeros((n, n), np.float32)
-    top = int(ids.max()) + 1 if len(ids) else 0
-    step = max(1024, CHUNK * 4 // max(n, 1))
-    order = np.argsort(ids, kind="stable")
-    ids, owner = ids[order], owner[order]
-    for at in range(0, top, step):
-        lo, hi = np.searchsorted(ids, [at, at + step])
-        m = np.zeros((n, min(step, top - at)), np.float32)
-        m[owner[lo:hi], ids[lo:hi] - at] = 1
-        common += m @ m.T
-    linked = 100 * common.astype(np.int64) >= percent * (sizes[:, None] + sizes[None, :] - common.astype(np.int64))
-    linked = np.triu(linked, 1)
-    if split:
-        linked[:split, :split] = False
-        linked[split:, split:] = False
-    i, j = np.nonzero(linked)
+    for few in (True, False):
+        use = (counts > 1) & ((counts <= FEW) if few else (counts > FEW))
+        mine = use[ids]
+        order = np.argsort(ids[mine], kind="stable")
+        e, o = np.unique(ids[mine][order], return_inverse=True)[1], owner[mine][order]
+        if few:  # equal elements lie together: meet each with the next, the one after it, ...
+            for gap in range(1, FEW):
+                pair = np.flatnonzero(e[gap:] == e[:-gap])
+                if not len(pair):
+                    break
+                x, y = o[pair], o[pair + gap]
+                np.add.at(common, (np.minimum(x, y), np.maximum(x, y)), 1)
+            common += common.T
+            continue
+        top, step = (int(e[-1]) + 1 if len(e) else 0), max(256, CHUNK * 4 // n)
+        for at in range(0, top, step):
+            lo, hi = np.searchsorted(e, [at, at + step])
+            m = np.zeros((n, min(step, top - at)), np.float32)
+            m[o[lo:hi], e[lo:hi] - at] = 1
+            common += m @ m.T
+    out: list[np.ndarray] = []
+    for at in range(0, split or n, 256):  # a stripe of rows at a time
+        rows = np.arange(at, min(at + 256, split or n))
+        c = common[rows].astype(np.int64)
+        linked = 100 * c >= percent * (sizes[rows][:, None] + sizes[None, :] - c)
+        linked &= np.arange(n)[None, :] >= (split or 0)
+        linked &= np.arange(n)[None, :] > rows[:, None]
+        i, j = np.nonzero(linked)
+        out.append(np.stack([i + at, j]))
+    i, j = np.concatenate(out, axis=1)
     return [(int(nodes[x]), int(nodes[y])) for x, y in _forest(n, i, j)]
 
 
@@ -265,7 +346,8 @@ def _verify(percent: int):
                 if (c, i, j) != key:
                     close()
                     key, group = (c, i, j), []
-                group.append((side, node, raw))
+                if not group or group[-1][1] != node:  # a class may come from several tasks
+                    group.append((side, node, raw))
             if len(links) > 10_000:
                 yield out()
         close()
@@ -275,50 +357,50 @@ def _verify(percent: int):
     return run
 
 
-def links(classes: DataFrame, percent: int, longest: int = LIST, block: int = BLOCK) -> DataFrame:
-    """(a, b): links whose components are those of all exact links between the sets. classes: node, n, values, one row a set."""
-    spark = classes.sparkSession
-    slim = classes.select("node", "n", "values")
-    first = slim.mapInArrow(_retained(percent, None), "value bigint, node bigint, n bigint")
-    bitmap = _frequent_bitmap(spark, first, longest)
-    entries = slim.mapInArrow(_retained(percent, bitmap), "value bigint, node bigint, n bigint")
-    # lists are counted before they are gathered, so that no long one is
-    counted = entries.select("value", "node").groupBy("value").agg(F.count("*").alias("m"), F.min("node").alias("least")).where("m > 1")
-    listed = cut(entries.join(counted, "value").select("value", "node", "m", "least"))
-    short = listed.where(F.col("m") <= longest).groupBy("value").agg(F.array_sort(F.collect_list("node")).alias("members")).select("members").distinct()
+def links(texts: DataFrame, slim: DataFrame, percent: int, longest: int = LIST, block: int = BLOCK) -> DataFrame:
+    """(a, b): links between classes whose components are those of all exact links. texts: one column; slim: as _slim gives it."""
+    spark = texts.sparkSession
+    classes = slim.where("n > 0").dropDuplicates(["cls"])
+    entries = classes.select("cls", "keep").mapInArrow(_entries, "value bigint, cls bigint")
+    bitmap = _frequent_bitmap(spark, entries, longest)
+    if bitmap is not None:
+        entries = texts.mapInArrow(_retained(percent, bitmap), "value bigint, cls bigint").repartition("value").distinct()
+    alike = Window.partitionBy("value")
+    listed = cut(entries.select("value", "cls", F.count("*").over(alike).alias("m"), F.min("cls").over(alike).alias("least")).where("m > 1"))
+    short = listed.where(F.col("m") <= longest).groupBy("value").agg(F.array_sort(F.collect_list("cls")).alias("members")).select("members").distinct()
     pairs = short.mapInArrow(_list_pairs, "a bigint, b bigint").distinct()
-    low = classes.select("node", "n", F.substring("values", 1, 8 * SKETCH).alias("low"))
+    low = classes.select("cls", "n", "low")
     paired = pairs.join(low.toDF("a", "na", "la"), "a").join(low.toDF("b", "nb", "lb"), "b")
     paired = paired.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b", "na", "nb", "la", "lb")
     near = paired.mapInArrow(_filter_pairs(percent), "a bigint, b bigint")
-    stars = listed.where((F.col("m") > longest) & (F.col("node") != F.col("least"))).select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    stars = listed.where((F.col("m") > longest) & (F.col("cls") != F.col("least"))).select(F.col("cls").alias("a"), F.col("least").alias("b")).distinct()
     clusters = cut(components(near.unionAll(stars)))
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("size"))
-    parts = F.ceil(F.col("size") / block).cast("int")
-    member = clusters.join(sizes, "root").select("node", "root", parts.alias("parts")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    cluster = Window.partitionBy("root")
+    parts = F.greatest(F.ceil(F.count("*").over(cluster) / block), F.ceil(F.sum("n").over(cluster) * 8 / BLOCK_BYTES)).cast("int")
+    sized = clusters.join(classes.select("cls", "n"), F.col("node") == F.col("cls"))
+    member = sized.select("node", "root", parts.alias("parts")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     # block p meets every block q: as (p, q) for q >= p and as (q, p) for q < p
     met = member.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("node", "root", F.least("part", "q").alias("i"), F.greatest("part", "q").alias("j"), (F.col("part") > F.col("q")).cast("int").alias("side"))
-    rows = met.join(classes.select("node", "values"), "node").select("root", "i", "j", "side", "node", "values")
-    placed = rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "side", "node")
+    whole = texts.mapInArrow(_whole(_member_bitmap(spark, clusters)), "cls bigint, values binary")
+    rows = met.join(whole, F.col("node") == F.col("cls")).select("root", "i", "j", "side", "node", "values").repartition("root", "i", "j")
+    placed = rows.sortWithinPartitions("root", "i", "j", "side", "node")
     return placed.mapInArrow(_verify(percent), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept. One row for each row of docs."""
-    sets = cut(_sets_frame(docs))
-    by_key = sets.where("n > 0").groupBy("key").agg(F.min("node").alias("least"))
-    known = sets.select("node", "n", "key").join(by_key, "key", "left").select("node", "n", F.coalesce("least", "node").alias("least"))
-    classes = sets.where("n > 0").join(by_key, (sets["key"] == by_key["key"]) & (sets["node"] == by_key["least"]), "left_semi").dropDuplicates(["node", "key"])
-    # an id with several texts is one node with several sets: sets get numbers of their own, joined again by their ids
-    many = known.groupBy("node").agg(F.min("least").alias("first"), F.max("least").alias("last")).where("first != last").select(F.col("node").alias("a"), "first", "last")
-    same = known.join(many, F.col("node") == F.col("a"), "left_semi").where("least != node").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    found = cut(links(classes, percent).unionAll(same))
-    roots = components(found)
-    of_class = known.join(roots.toDF("r_node", "r_root"), F.col("least") == F.col("r_node"), "left").select("node", "n", F.coalesce("r_root", "least").alias("root"))
-    out = of_class.select(F.col("node").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("root").alias("component_id"))
-    done = out.withColumn("component_id", F.least("component_id", "doc_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
-    lost = _null_ids(docs)
-    return done.unionByName(lost)
+    named = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("node"), "text")
+    slim = cut(named.mapInArrow(_slim(percent), "node bigint, cls bigint, n bigint, keep binary, low binary"))
+    known = slim.select("node", "cls", "n")
+    full = known.where("n > 0").select("node", "cls").distinct()
+    several = full.groupBy("node").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a != b")
+    same = full.join(several.select(F.col("node").alias("k"), "a"), F.col("node") == F.col("k")).select("a", F.col("cls").alias("b"))
+    roots = components(cut(links(named.select("text"), slim, percent).unionAll(same)))
+    placed = full.join(roots.toDF("k", "root"), F.col("cls") == F.col("k"), "left").select("node", F.coalesce("root", "cls").alias("root"))
+    least = placed.groupBy("root").agg(F.min("node").alias("component_id"))
+    of_node = placed.join(least, "root").groupBy("node").agg(F.min("component_id").alias("component_id")).withColumnRenamed("node", "k")
+    out = known.join(of_node, F.col("node") == F.col("k"), "left").select(F.col("node").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "node").alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id") == F.col("component_id")).unionByName(_null_ids(docs))
 
 
 def _null_ids(docs: DataFrame) -> DataFrame:
