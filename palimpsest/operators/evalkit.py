@@ -49,7 +49,7 @@ def metrics(ranked: DataFrame, gold: DataFrame, depths: tuple[int, ...] = DEPTHS
 def means(scored: DataFrame, category: str | None = None) -> DataFrame:
     """Null-skipping means over all and by category ('all' for all), in one pass by rollup."""
     values = [c for c in scored.columns if c not in ("query_id", category)]
-    aggs = [F.count("*").alias("n"), *[F.round(F.avg(c), 6).alias(c) for c in values]]
+    aggs = [F.count("*").alias("n"), *[F.round(F.avg(c), 9).alias(c) for c in values]]
     if category is None:
         return scored.agg(*aggs)
     return scored.rollup(category).agg(F.grouping(category).alias("total"), *aggs).withColumn(category, F.when(F.col("total") == 1, "all").otherwise(F.col(category))).drop("total")

@@ -301,7 +301,7 @@ def eval_recall_mrr(s, d):
     return evalkit.metrics(_fused(s, d), _gold(s, d))
 
 
-_MEANS = "count(*) AS n, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in ["n_gold", "rr", *[f"{m}_{k}" for k in evalkit.DEPTHS for m in ("recall", "hit")]])
+_MEANS = "count(*) AS n, " + ", ".join(f"round(avg({c}), 9) AS {c}" for c in ["n_gold", "rr", *[f"{m}_{k}" for k in evalkit.DEPTHS for m in ("recall", "hit")]])
 
 
 @query(with_(*HYBRID, _GOLD, _METRICS, "c AS (SELECT *, 'c' || (query_id % 4) AS category FROM metrics)") + f"SELECT category, {_MEANS} FROM c GROUP BY category UNION ALL SELECT 'all', {_MEANS} FROM c")

@@ -1,7 +1,5 @@
 """Readers of conversation corpora and transcripts. JSON is read by Spark; only Python literals need Python."""
 
-from __future__ import annotations
-
 import ast
 
 import pandas as pd
@@ -33,9 +31,9 @@ def dialogues(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     parts = text.select("sample_id", F.explode("m").alias("key", "value"), "m").where(F.col("key").rlike(r"^session_\d+$"))
     turn = "array<struct<speaker:string,dia_id:string,text:string>>"
     turns = parts.select("sample_id", F.regexp_extract("key", r"(\d+)", 1).cast("int").alias("session"), F.col("m")[F.concat("key", F.lit("_date_time"))].alias("said_at"), F.explode(F.from_json("value", turn)).alias("t"))
-    asked = raw.select("sample_id", F.posexplode("qa").alias("question_no", "q")).select("sample_id", "question_no", F.from_json(F.to_json("q"), "question string, answer string, evidence array<string>, category int, adversarial_answer string").alias("q")).where(F.size("q.evidence") > 0)
+    asked = raw.select("sample_id", F.posexplode("qa").alias("question_no", "q")).select("sample_id", "question_no", F.from_json(F.to_json("q"), "question string, answer string, evidence array<string>, category string, adversarial_answer string").alias("q")).where(F.size("q.evidence") > 0)
     names = F.create_map(*[F.lit(x) for kv in CATEGORIES.items() for x in kv])
-    questions = asked.select("sample_id", "question_no", "q.question", "q.answer", names[F.col("q.category")].alias("category"), "q.evidence", F.array_distinct(F.transform("q.evidence", lambda e: F.split(e, ":")[0])).alias("gold_sessions"))
+    questions = asked.select("sample_id", "question_no", "q.question", "q.answer", names[F.col("q.category").cast("int")].alias("category"), "q.evidence", F.array_distinct(F.transform("q.evidence", lambda e: F.split(e, ":")[0])).alias("gold_sessions"))
     return turns.select("sample_id", "session", "t.dia_id", "t.speaker", "t.text", "said_at"), questions
 
 
@@ -66,8 +64,8 @@ def _numbers(value) -> list[str]:
     return re.findall(r"\d+", str(value)) if value is not None else []
 
 
-@F.pandas_udf("array<struct<ability:string,question:string,answer:string,gold:array<string>>>")
 def _probes(texts: pd.Series) -> pd.Series:
+    """Python literals of questions by ability, as rows; a broken one gives none."""
     def one(t):
         try:
             found = ast.literal_eval(t) if isinstance(t, str) else {}
@@ -78,7 +76,8 @@ def _probes(texts: pd.Series) -> pd.Series:
             for q in questions:
                 ideal = [v for k, v in q.items() if k.startswith("ideal_")]
                 answer = q.get("answer") or (ideal[0] if ideal else None) or q.get("rubric")
-                out.append({"ability": ability, "question": q.get("question"), "answer": None if answer is None else str(answer), "gold": list(dict.fromkeys(_numbers(q.get("source_chat_ids", q.get("conversation_references")))))})
+                gold = list(dict.fromkeys(_numbers(q.get("source_chat_ids", q.get("conversation_references")))))
+                out.append({"ability": ability, "question": q.get("question"), "answer": None if answer is None else str(answer), "gold": gold})
         return out
 
     return texts.map(one)
@@ -93,7 +92,8 @@ def long_chats(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     flat = raw.select("conversation_id", F.posexplode(F.from_json("chat", "array<array<struct<content:string,id:int,role:string>>>")).alias("batch_number", "ms")).select("conversation_id", F.lit(0).alias("plan"), "batch_number", F.explode("ms").alias("m"))
     both = deep.unionByName(flat).where("m.content IS NOT NULL")
     messages = both.select("conversation_id", "plan", "batch_number", "m.id", "m.role", F.trim(F.regexp_replace("m.content", r"->->\s*\d+(,\d+)*\s*$", "")).alias("content"))
-    probes = raw.select("conversation_id", F.explode(_probes("probing_questions")).alias("q")).select("conversation_id", "q.*")
+    probes_of = F.pandas_udf(_probes, "array<struct<ability:string,question:string,answer:string,gold:array<string>>>")
+    probes = raw.select("conversation_id", F.explode(probes_of("probing_questions")).alias("q")).select("conversation_id", "q.*")
     return messages, probes
 
 
