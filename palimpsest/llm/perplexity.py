@@ -1,8 +1,8 @@
 """Operator 10: cross-entropy difference of two n-gram models with one vocabulary.
 
 The target model is counted on the documents that a table of labels marks (quality 1), the
-background model on all documents. Both use the same vocabulary (the VOCABULARY most
-frequent words of the whole corpus, ties by word; all others are one unknown word), the same
+background model on all documents. Both use the same vocabulary (up to VOCABULARY of the most
+frequent words of the whole corpus; all others are one unknown word), the same
 bigram table (hashed to SLOTS counters) and the same smoothing; background counts are scaled to
 the size of the target, so that smoothing weighs alike in both. A document's score is the
 target's mean loss a token less the background's: lower is nearer to the target.
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import cut, text_bytes
 
 VOCABULARY = 50_000
 SLOTS = 1 << 20
@@ -59,9 +59,19 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> dict[bytes, int]:
-    """Ids of the most frequent words of all documents. `size` rows reach the driver."""
-    counts = docs.select("text").mapInArrow(_count_words, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return {bytes(r["word"]): i + 2 for i, r in enumerate(counts.orderBy(F.desc("n"), "word").limit(size).collect())}
+    """Ids of the most frequent words of all documents, `size` at most: those over the first level of frequency (a thousandth
+    of a natural logarithm) that would overrun it. A histogram of levels (some ten thousand rows at any size) finds the
+    level, so only the words that are kept reach the driver."""
+    counts = cut(docs.select("text").mapInArrow(_count_words, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
+    level = F.floor(F.log("n") * 1000).cast("int")
+    room, least = size, -1
+    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
+        room -= r["count"]
+        if room < 0:
+            least = r["level"]
+            break
+    words = sorted((-r["n"], bytes(r["word"])) for r in counts.where(level > least).collect())
+    return {w: i + 2 for i, (_, w) in enumerate(words)}
 
 
 def _ids(text: str | None, vocab: dict[bytes, int]) -> np.ndarray:
