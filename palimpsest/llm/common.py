@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -26,6 +28,52 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+BATCH_ROWS = 2000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, with at most BATCH_ROWS rows of it in a worker's memory at once: texts may be long."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
+def release() -> None:
+    """Give memory that is free back to the system: idle workers keep theirs otherwise, beside those of the next stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def releasing(run):
+    """A worker function that releases memory when it is done: of an iterator (mapInArrow), of a key and an iterator (groups), or of
+    two tables (cogroups). Spark looks at the number of arguments and at the type hints."""
+    if not inspect.isgeneratorfunction(run):
+
+        def tables(left, right):
+            out = run(left, right)
+            release()
+            return out
+
+        return tables
+    if len(inspect.signature(run).parameters) == 1:
+
+        def batches(it):
+            yield from run(it)
+            release()
+
+        return batches
+
+    def group(key: tuple[pa.Scalar, ...], it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(key, it)
+        release()
+
+    return group
+
+
 def text_bytes(value: str | None) -> bytes:
     return b"" if value is None else value.encode("utf-8", "surrogatepass")
 
@@ -49,4 +97,4 @@ def ddl(schema: pa.Schema) -> str:
 
 
 def map_columns(df: DataFrame, fn: Callable[[dict], dict], schema: pa.Schema) -> DataFrame:
-    return df.mapInArrow(per_batch(fn, schema), ddl(schema))
+    return bounded(df).mapInArrow(releasing(per_batch(fn, schema)), ddl(schema))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_columns, text_bytes
+from .common import bounded, map_columns, releasing, text_bytes
 
 MAX_ROWS = 20_000
 BINS = 32
@@ -196,7 +196,7 @@ def score_documents(docs: DataFrame, model: Gam) -> DataFrame:
 
     kept = docs.drop("score") if "score" in docs.columns else docs
     kind = T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType())])
-    return kept.mapInArrow(run, kind)
+    return bounded(kept).mapInArrow(releasing(run), kind)
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:

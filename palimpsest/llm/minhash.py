@@ -35,13 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, text_bytes
+from .common import bounded, cut, releasing, text_bytes
 from .components import components
 
 SHINGLE = 5
 LIST = 24
-BLOCK = 2048  # members of a cluster in a block
-BLOCK_BYTES = 16 << 20  # and bytes of their sets
+BLOCK = 1024  # members of a cluster in a block
+BLOCK_BYTES = 6 << 20  # and bytes of their sets
 FEW = 8
 SKETCH = 64  # values kept for the union-sketch estimate
 SIGMAS = 6.0
@@ -52,17 +52,16 @@ CHUNK = 1 << 20
 _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_POWERS: list[np.ndarray] = []
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64."""
-    size = 1 << max(16, (n - 1).bit_length())
-    if size not in _POWERS:
-        inverse = np.uint64(pow(int(_BASE), -1, 2**64))
+    if not _POWERS or len(_POWERS[0]) < n:
+        size, inverse = 1 << max(16, (n - 1).bit_length()), np.uint64(pow(int(_BASE), -1, 2**64))
         with np.errstate(over="ignore"):
-            _POWERS[size] = tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, b))]) for b in (_BASE, inverse))
-    return _POWERS[size]
+            _POWERS[:] = [np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, b))]) for b in (_BASE, inverse)]
+    return _POWERS[0], _POWERS[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -364,7 +363,7 @@ def links(texts: DataFrame, slim: DataFrame, percent: int, longest: int = LIST,
     entries = classes.select("cls", "keep").mapInArrow(_entries, "value bigint, cls bigint")
     bitmap = _frequent_bitmap(spark, entries, longest)
     if bitmap is not None:
-        entries = texts.mapInArrow(_retained(percent, bitmap), "value bigint, cls bigint").repartition("value").distinct()
+        entries = texts.mapInArrow(releasing(_retained(percent, bitmap)), "value bigint, cls bigint").repartition("value").distinct()
     alike = Window.partitionBy("value")
     listed = cut(entries.select("value", "cls", F.count("*").over(alike).alias("m"), F.min("cls").over(alike).alias("least")).where("m > 1"))
     short = listed.where(F.col("m") <= longest).groupBy("value").agg(F.array_sort(F.collect_list("cls")).alias("members")).select("members").distinct()
@@ -381,16 +380,16 @@ def links(texts: DataFrame, slim: DataFrame, percent: int, longest: int = LIST,
     member = sized.select("node", "root", parts.alias("parts")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     # block p meets every block q: as (p, q) for q >= p and as (q, p) for q < p
     met = member.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("node", "root", F.least("part", "q").alias("i"), F.greatest("part", "q").alias("j"), (F.col("part") > F.col("q")).cast("int").alias("side"))
-    whole = texts.mapInArrow(_whole(_member_bitmap(spark, clusters)), "cls bigint, values binary")
+    whole = texts.mapInArrow(releasing(_whole(_member_bitmap(spark, clusters))), "cls bigint, values binary")
     rows = met.join(whole, F.col("node") == F.col("cls")).select("root", "i", "j", "side", "node", "values").repartition("root", "i", "j")
     placed = rows.sortWithinPartitions("root", "i", "j", "side", "node")
-    return placed.mapInArrow(_verify(percent), "a bigint, b bigint")
+    return placed.mapInArrow(releasing(_verify(percent)), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept. One row for each row of docs."""
-    named = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("node"), "text")
-    slim = cut(named.mapInArrow(_slim(percent), "node bigint, cls bigint, n bigint, keep binary, low binary"))
+    named = bounded(docs).where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("node"), "text")
+    slim = cut(named.mapInArrow(releasing(_slim(percent)), "node bigint, cls bigint, n bigint, keep binary, low binary"))
     known = slim.select("node", "cls", "n")
     full = known.where("n > 0").select("node", "cls").distinct()
     several = full.groupBy("node").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a != b")

@@ -28,14 +28,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import ddl
+from .common import bounded, ddl, releasing
 
 WINDOW = 4096
 CLASS = 64
 DEPTH = 3
 BLOCK = 4_000_000
 END = 2
-CACHE = 1_200_000  # entries of each of a worker's two tables
+CACHE = 500_000  # entries of each of a worker's two tables
 
 
 def combinations(classes: int, depth: int) -> np.ndarray:
@@ -190,23 +190,33 @@ class Ids:
         new = used.difference(self.table)
         if len(self.table) + len(new) > CACHE:  # what this batch uses stays
             self.table = {c: self.table[c] for c in used.difference(new)} | {"": b""}
-        plain = {c: _WORD.findall(c.lower()) for c in new if _PLAIN.fullmatch(c) and "<|" not in c}
-        words = set().union(*plain.values())
+        find, one, one_word, many, rest = _WORD.findall, [], [], [], []
+        for c in new:
+            low = c.lower()
+            w = find(low)
+            if len(w) == 1 and len(w[0]) == len(low):
+                one.append(c)
+                one_word.append(w[0])
+            elif sum(map(len, w)) == len(low) and "<|" not in c:
+                many.append((c, w))
+            else:
+                rest.append(c)
+        words = set(one_word).union(*[w for _, w in many])
         unknown = words.difference(self.words)
         if len(self.words) + len(unknown) > CACHE:
             self.words = {w: self.words[w] for w in words.difference(unknown)}
         self._learn_words(list(unknown))
         word, table = self.words.__getitem__, self.table
-        for c, w in plain.items():
-            table[c] = word(w[0]) if len(w) == 1 else b"".join(map(word, w))
-        self._learn(self.table, [c for c in new if c not in plain])
+        table.update(zip(one, map(word, one_word)))
+        for c, w in many:
+            table[c] = b"".join(map(word, w))
+        self._learn(table, rest)
         get = self.table.__getitem__
         return [b"".join(map(get, words)) + self.end for words in chunks]
 
 
-# Chunks of printable ASCII and Latin letters (without the dotted capital I, which lower-cases to two characters) part into
-# words here, as the tokenizer's own rule parts them: a contraction, letters, one digit, or other signs.
-_PLAIN = re.compile("[!-~À-ÖØ-öø-\u012f\u0131-\u024f]+")
+# Chunks of printable ASCII and Latin letters part into words here, as the tokenizer's own rule parts them: a contraction,
+# letters, one digit, or other signs. What this pattern does not cover whole is left to the tokenizer.
 _WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-\u024f\u2c65\u2c66]+|[0-9]|[!-&(-/:-`{-~']+")
 
 _IDS: dict[str, Ids] = {}
@@ -217,9 +227,11 @@ def _pieces(path: str, keep_ids: bool):
     schema = _PIECES.append(pa.field("ids", pa.binary())) if keep_ids else _PIECES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import gc
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        gc.disable()  # millions of short strings, no cycles
         ids_of = _IDS.get(path) or _IDS.setdefault(path, Ids(path))
         context = TaskContext.get()
         base = (context.partitionId() if context else 0) << 36
@@ -257,4 +269,4 @@ def _pieces(path: str, keep_ids: bool):
 def pack_documents(docs: DataFrame, tokenizer_path: str, keep_ids: bool = True) -> DataFrame:
     """doc_id, text -> pieces. `ids` holds a piece's ids as little-endian unsigned 32-bit numbers."""
     run, schema = _pieces(tokenizer_path, keep_ids)
-    return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"]).mapInArrow(run, ddl(schema))
+    return bounded(docs).select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"]).mapInArrow(releasing(run), ddl(schema))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_bytes
+from .common import bounded, cut, text_bytes
 
 VOCABULARY = 50_000
 SLOTS = 1 << 20
@@ -139,7 +139,7 @@ def _unpack(raw: bytes) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[dict[bytes, int], Model, Model]:
     """Vocabulary, target model, background model. The marked documents are found by a join on sorted partitions at every size
     (labels have no bound, so they are never broadcast); on large inputs Spark filters the texts before it by a Bloom filter."""
-    marked = labels.where((F.col(label) == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("label_id"))
+    marked = bounded(labels).where((F.col(label) == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("label_id"))
     vocab = vocabulary(docs)
     target = docs.select("text", F.col("doc_id").cast("bigint").alias("doc_id")).join(marked.hint("merge"), F.col("doc_id") == F.col("label_id"), "left_semi")
     background, counts = _collect_counts(docs, vocab), _collect_counts(target, vocab)

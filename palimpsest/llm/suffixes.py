@@ -30,21 +30,20 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import bounded, releasing, text_bytes
 from .minhash import _BYTE, _powers, mix
 
 WIDTH = 50
 GRAM = 16
-SCAN = 1 << 20  # bytes of text that are hashed at once
-FLUSH = 1_000_000  # keys of a task that are sorted at once
-PER_BUCKET = 1_000_000  # keys of a bucket
-BLOCK_BYTES = 8 << 20  # text of a block of documents
-CHUNK = 1 << 20  # bytes of text whose suffixes are sorted at once
+SCAN = 1 << 19  # bytes of text that are hashed at once
+FLUSH = 500_000  # keys of a task that are sorted at once
+PER_BUCKET = 500_000  # keys of a bucket
+BLOCK_BYTES = 6 << 20  # text of a block of documents
+CHUNK = 1 << 19  # bytes of text whose suffixes are sorted at once
 PERIOD = 31
 PAD = 64
 
@@ -263,8 +262,8 @@ def _emit(bits: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows: list[tuple] = []
         if left.num_rows and right.num_rows:
-            block = left.column("block")[0].as_py()
-            ids, texts = _ordered(left)
+            block = left.column("dedup_block")[0].as_py()
+            ids, texts, _places = _ordered(left)
             pairs = [_unsqueeze(b.as_py()) for b in right.column("body")]
             doc = np.concatenate([np.frombuffer(p[0], np.int64) for p in pairs])
             short = np.concatenate([np.frombuffer(p[1], np.uint64) for p in pairs])
@@ -313,10 +312,11 @@ def _settle(key: np.ndarray, digest: np.ndarray, length: np.ndarray, doc: np.nda
     return ~spans, spans
 
 
-def _ordered(left: pa.Table) -> tuple[np.ndarray, list[bytes]]:
-    """Rows of a block in an order that every pass finds again: by doc_id, then text."""
-    rows = sorted(zip(left.column("doc_id").to_pylist(), (text_bytes(t) for t in left.column("text").to_pylist())))
-    return np.array([r[0] for r in rows], np.int64), [r[1] for r in rows]
+def _ordered(left: pa.Table) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Ids, texts and places of a block's rows in an order that every pass finds again: by doc_id, then text (rows equal in
+    both have equal spans)."""
+    rows = sorted(zip(left.column("doc_id").to_pylist(), (text_bytes(t) for t in left.column("text").to_pylist()), range(left.num_rows)))
+    return np.array([r[0] for r in rows], np.int64), [r[1] for r in rows], np.array([r[2] for r in rows], np.int64)
 
 
 def sort_suffixes(text: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -492,46 +492,70 @@ def _result(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(_RESULT)], names=[n for n, _ in _RESULT])
 
 
-def _apply(keep: bool):
+def _cut_texts(left: pa.Table, right: pa.Table) -> Iterator[tuple[int, int, bytes, bytes, int, int]]:
+    """Place, doc_id, text, what is left of it, removed bytes and spans of each row of a block."""
+    ids, texts, places = _ordered(left) if left.num_rows else (np.zeros(0, np.int64), [], np.zeros(0, np.int64))
+    by_row: dict[int, list[np.ndarray]] = {}
+    if right.num_rows:
+        got = [[np.frombuffer(x, np.uint32) for x in _unsqueeze(b.as_py())] for b in right.column("body")]
+        row, start, end = (np.concatenate(x).astype(np.int64) for x in zip(*got))
+        by_row = dict(_split(row, start, end))
+    for i, (place, doc_id, raw) in enumerate(zip(places.tolist(), ids.tolist(), texts)):
+        if i not in by_row:
+            yield place, doc_id, raw, raw, 0, 0
+            continue
+        s, e = merge_spans(*by_row[i])
+        kept, at, removed = [], 0, 0
+        for a, b in zip(s.tolist(), e.tolist()):
+            kept.append(raw[at:a])
+            at, removed = b, removed + b - a
+        yield place, doc_id, raw, b"".join([*kept, raw[at:]]), removed, len(s)
+
+
+def _digests(keep: bool):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, texts = _ordered(left) if left.num_rows else (np.zeros(0, np.int64), [])
-        by_row: dict[int, list[np.ndarray]] = {}
-        if right.num_rows:
-            got = [[np.frombuffer(x, np.uint32) for x in _unsqueeze(b.as_py())] for b in right.column("body")]
-            row, start, end = (np.concatenate(x).astype(np.int64) for x in zip(*got))
-            by_row = dict(_split(row, start, end))
-        out = []
-        for i, (doc_id, raw) in enumerate(zip(ids.tolist(), texts)):
-            removed = spans = 0
-            if i in by_row:
-                s, e = merge_spans(*by_row[i])
-                kept, at = [], 0
-                for a, b in zip(s.tolist(), e.tolist()):
-                    kept.append(raw[at:a])
-                    at, removed = b, removed + b - a
-                rest, spans = b"".join([*kept, raw[at:]]), len(s)
-            else:
-                rest = raw
-            out.append((doc_id, len(raw), removed, spans, hashlib.sha256(rest).hexdigest(), rest if keep else None))
-        return _result(out)
+        return _result([(i, len(raw), removed, spans, hashlib.sha256(rest).hexdigest(), rest if keep else None) for _, i, raw, rest, removed, spans in _cut_texts(left, right)])
 
     return run
 
 
+def _rows(names: list[str]):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        place, text, n_chars = [], [], []
+        for at, _, raw, rest, removed, _ in _cut_texts(left, right):
+            t = left.column("text")[at].as_py() if not removed else rest.decode("utf-8", "ignore")
+            if not removed or t.strip():
+                place.append(at)
+                text.append(t)
+                n_chars.append(len(t or ""))
+        out = left.select(names).take(pa.array(place, pa.int64()))
+        for name, values in (("text", text), ("n_chars", n_chars)):
+            if name in names:
+                k = names.index(name)
+                out = out.set_column(k, out.schema.field(k), pa.array(values, out.schema.field(k).type))
+        return out
+
+    return run
+
+
+def _in_blocks(known: DataFrame):
+    """Texts grouped by block, and the spans that go from them by block. known: rows with an id."""
+    plain = bounded(known).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    total = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = _prime(max(7, -(-total // BLOCK_BYTES)))
+    bits = max(5, (int(total * 2 / (WIDTH - GRAM + 2)) // PER_BUCKET).bit_length())
+    shared = plain.mapInArrow(releasing(_scan(blocks, bits)), _MAIL).groupBy("place").applyInArrow(releasing(_share(blocks, bits)), _MAIL)
+    texts = known.withColumn("dedup_block", F.pmod(F.col("doc_id").cast("bigint"), F.lit(blocks)).cast("int")).groupBy("dedup_block")
+    spans = texts.cogroup(shared.groupBy("block")).applyInArrow(releasing(_emit(bits)), _MAIL).groupBy("place").applyInArrow(releasing(_sort_bucket(bits)), _MAIL)
+    return texts, spans.groupBy("block")
+
+
 def remove_repeats(docs: DataFrame, keep: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and (keep) kept, the remaining bytes."""
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    known = plain.where(F.col("doc_id").isNotNull())
-    total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = _prime(max(7, -(-total // BLOCK_BYTES)))
-    bits = max(5, (int(total * 2 / (WIDTH - GRAM + 2)) // PER_BUCKET).bit_length())
     schema = ", ".join(f"{n} {k}" for n, k in (("doc_id", "bigint"), ("n_bytes", "bigint"), ("n_removed", "bigint"), ("n_spans", "bigint"), ("kept_sha256", "string"), ("kept", "binary")))
-    shared = known.mapInArrow(_scan(blocks, bits), _MAIL).groupBy("place").applyInArrow(_share(blocks, bits), _MAIL)
-    in_blocks = known.withColumn("block", F.pmod("doc_id", F.lit(blocks)).cast("int"))
-    texts = in_blocks.groupBy("block")
-    told = shared.groupBy("block")
-    spans = texts.cogroup(told).applyInArrow(_emit(bits), _MAIL).groupBy("place").applyInArrow(_sort_bucket(bits), _MAIL)
-    done = texts.cogroup(spans.groupBy("block")).applyInArrow(_apply(keep), schema)
+    texts, spans = _in_blocks(plain.where(F.col("doc_id").isNotNull()))
+    done = texts.cogroup(spans).applyInArrow(releasing(_digests(keep)), schema)
     lost = plain.where(F.col("doc_id").isNull()).select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("kept"))
     lost = lost.select("doc_id", F.length("kept").cast("bigint").alias("n_bytes"), F.lit(0).cast("bigint").alias("n_removed"), F.lit(0).cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), (F.col("kept") if keep else F.lit(None).cast("binary")).alias("kept"))
     out = done.unionByName(lost)
@@ -539,21 +563,7 @@ def remove_repeats(docs: DataFrame, keep: bool = True) -> DataFrame:
 
 
 def removed_documents(docs: DataFrame) -> DataFrame:
-    """docs with texts without their repeats. Bytes of a character that was cut in two go too; documents of which nothing is left go.
-    doc_id must tell rows apart (null ids stay as they are)."""
-    rest = remove_repeats(docs).where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("cut_id"), F.col("kept").alias("cut_text"), "n_removed")
-    joined = docs.where(F.col("doc_id").isNotNull()).join(rest, F.col("doc_id").cast("bigint") == F.col("cut_id"))
-    clean = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(_decoded(F.col("cut_text")))
-    out = joined.withColumn("text", clean)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    out = out.where((F.col("n_removed") == 0) | (F.length(F.trim("text")) > 0))
-    return out.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
-
-
-def _decoded(column):
-    @F.pandas_udf("string")
-    def decode(raw: pd.Series) -> pd.Series:
-        return raw.map(lambda b: bytes(b).decode("utf-8", "ignore"))
-
-    return decode(column)
+    """docs with texts without their repeats (n_chars follows). Bytes of a character that was cut in two go too; documents of which
+    nothing but white space is left go. Rows without an id stay as they are."""
+    texts, spans = _in_blocks(docs.where(F.col("doc_id").isNotNull()))
+    return texts.cogroup(spans).applyInArrow(releasing(_rows(docs.columns)), docs.schema).unionByName(docs.where(F.col("doc_id").isNull()))
