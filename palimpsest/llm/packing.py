@@ -29,13 +29,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import bounded, ddl, releasing
+from .minhash import _BYTE, _powers, mix
 
 WINDOW = 4096
 CLASS = 64
 DEPTH = 3
 BLOCK = 4_000_000
 END = 2
-CACHE = 500_000  # entries of each of a worker's two tables
+CACHE = 800_000  # chunks in a worker's table
+WORDS = 400_000  # and words
 
 
 def combinations(classes: int, depth: int) -> np.ndarray:
@@ -142,13 +144,15 @@ def pack(lengths: np.ndarray, window: int = WINDOW, unit: int = CLASS, depth: in
 
 class Ids:
     """Token ids of whole texts, as the tokenizer file gives them. White space that every file of this kind drops
-    (space, new line) bounds chunks, so chunks are looked up in a table. New ones part into words, which have a table
-    too; new words are encoded many at once, parted by a word that is one token (what holds this word is encoded by itself)."""
+    (space, new line) bounds chunks; chunks are looked up by a 64-bit hash in sorted arrays, all of a batch at once. New ones
+    part into words, which have a table; new words are encoded many at once. What can't be parted here is encoded by the
+    tokenizer with a parting word that is one token (a chunk that holds this word is encoded by itself)."""
 
     def __init__(self, path: str, end: int = END):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.table, self.words, self.end = Tokenizer.from_file(path), {"": b""}, {}, np.array([end], "<u4").tobytes()
+        self.tokenizer, self.words, self.end = Tokenizer.from_file(path), {}, np.array([end], "<u4").tobytes()
+        self.hashes, self.at, self.sizes, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)  # tokens that end a word
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
@@ -184,35 +188,74 @@ class Ids:
         for at in range(0, len(todo), 200):
             table.update(zip(todo[at : at + 200], self._encode(todo[at : at + 200])))
 
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        chunks = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        used = set().union(*chunks)
-        new = used.difference(self.table)
-        if len(self.table) + len(new) > CACHE:  # what this batch uses stays
-            self.table = {c: self.table[c] for c in used.difference(new)} | {"": b""}
-        find, one, one_word, many, rest = _WORD.findall, [], [], [], []
-        for c in new:
+    def _new_chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks that the table does not have."""
+        find, words, lists, rest = _WORD.findall, set(), [], []
+        for c in chunks:
             low = c.lower()
             w = find(low)
-            if len(w) == 1 and len(w[0]) == len(low):
-                one.append(c)
-                one_word.append(w[0])
-            elif sum(map(len, w)) == len(low) and "<|" not in c:
-                many.append((c, w))
+            if (len(w) == 1 and len(w[0]) == len(low)) or (sum(map(len, w)) == len(low) and "<|" not in c):
+                words.update(w)
             else:
                 rest.append(c)
-        words = set(one_word).union(*[w for _, w in many])
+                w = None
+            lists.append(w)
         unknown = words.difference(self.words)
-        if len(self.words) + len(unknown) > CACHE:
+        if len(self.words) + len(unknown) > WORDS:
             self.words = {w: self.words[w] for w in words.difference(unknown)}
         self._learn_words(list(unknown))
-        word, table = self.words.__getitem__, self.table
-        table.update(zip(one, map(word, one_word)))
-        for c, w in many:
-            table[c] = b"".join(map(word, w))
-        self._learn(table, rest)
-        get = self.table.__getitem__
-        return [b"".join(map(get, words)) + self.end for words in chunks]
+        others: dict[str, bytes] = {}
+        self._learn(others, rest)
+        word = self.words.__getitem__
+        return [others[c] if w is None else word(w[0]) if len(w) == 1 else b"".join(map(word, w)) for c, w in zip(chunks, lists)]
+
+    def _insert(self, slots: np.ndarray, hashes: np.ndarray, ids: list[bytes]) -> None:
+        """New entries at their places among the sorted hashes."""
+        sizes = np.array([len(i) // 4 for i in ids], np.int64)
+        at = len(self.pool) + np.cumsum(sizes) - sizes
+        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), "<u4")])
+        place = slots + np.arange(len(slots))
+        old = np.ones(len(self.hashes) + len(slots), bool)
+        old[place] = False
+        for name, new in (("hashes", hashes), ("at", at), ("sizes", sizes)):
+            both = np.empty(len(old), new.dtype)
+            both[place], both[old] = new, getattr(self, name)
+            setattr(self, name, both)
+
+    def _gather(self, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a row of entries, end to end, and how many each has."""
+        n = self.sizes[entry]
+        return self.pool[np.repeat(self.at[entry] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        raw = [(t or "").encode() for t in texts]
+        joined = b"\n".join(raw) + b"\n"
+        buf = np.frombuffer(joined, np.uint8)
+        end = np.flatnonzero((buf == 32) | (buf == 10))
+        start = np.concatenate([[0], end[:-1] + 1])
+        start, end = start[end > start], end[end > start]
+        up, down = _powers(len(buf) + 1)
+        sums = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum(_BYTE[buf] * up[: len(buf)], out=sums[1:])
+        hashes, first, back = np.unique(mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64)), return_index=True, return_inverse=True)
+        slot = np.searchsorted(self.hashes, hashes)
+        known = np.zeros(len(hashes), bool)
+        inside = slot < len(self.hashes)
+        known[inside] = self.hashes[slot[inside]] == hashes[inside]
+        new = np.flatnonzero(~known)
+        if len(new):
+            if len(self.hashes) + len(new) > CACHE:  # what this batch uses stays
+                stay = slot[known]
+                pool, n = self._gather(stay)
+                self.hashes, self.pool, self.sizes, self.at = self.hashes[stay], pool, n, np.cumsum(n) - n
+                slot = np.searchsorted(self.hashes, hashes)
+            self._insert(slot[new], hashes[new], self._new_chunks([joined[a:b].decode() for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist())]))
+            slot = np.searchsorted(self.hashes, hashes)
+        ids, n = self._gather(slot[back])
+        begin = np.cumsum([0] + [len(r) + 1 for r in raw])
+        per_doc = np.bincount(np.searchsorted(begin, start, side="right") - 1, weights=n, minlength=len(raw)).astype(np.int64)
+        cuts = np.concatenate([[0], np.cumsum(per_doc)]).tolist()
+        return [ids[a:b].tobytes() + self.end for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 # Chunks of printable ASCII and Latin letters part into words here, as the tokenizer's own rule parts them: a contraction,
@@ -254,8 +297,8 @@ def _pieces(path: str, keep_ids: bool):
 
         for b in batches:
             docs, texts = b.column(0).to_pylist(), b.column(1)
-            for at in range(0, len(docs), 2000):
-                for doc_id, raw in zip(docs[at : at + 2000], ids_of(texts[at : at + 2000].to_pylist())):
+            for at in range(0, len(docs), 1000):
+                for doc_id, raw in zip(docs[at : at + 1000], ids_of(texts[at : at + 1000].to_pylist())):
                     block.append((doc_id, raw))
                     size += len(raw) // 4
                     if size >= BLOCK:
