@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 # Which end of an edge with this hint is the cause.
 CAUSE_IS_SOURCE = ["led_to"]
 CAUSE_IS_TARGET = ["caused_by", "enabled_by", "blocked_by"]
@@ -27,7 +29,8 @@ def anchors(ranked_nodes: DataFrame, most: int = 3, margin: float = 0.15) -> Dat
 
 def trace(seeds: DataFrame, edges: DataFrame, upstream: bool = True, max_hops: int = 3) -> DataFrame:
     """query_id, edge_id, hop, hint, path (edges from the anchor). seeds: query_id, node. One join a hop over the whole edge
-    table; nodes that were expanded and edges that were used do not come again. The loop is bounded by max_hops."""
+    table; nodes that were expanded and edges that were used do not come again. The loop is bounded by max_hops, and each hop's
+    rows (those it reached) are cut from their lineage."""
     known, wanted = ("effect", "cause") if upstream else ("cause", "effect")
     step = oriented(edges).select("edge_id", F.col(known).alias("node"), F.col(wanted).alias("next"), "hint")
     frontier = seeds.select("query_id", "node", F.array().cast("array<long>").alias("path"))
@@ -36,7 +39,7 @@ def trace(seeds: DataFrame, edges: DataFrame, upstream: bool = True, max_hops: i
         hit = frontier.join(step, "node")
         if found is not None:
             hit = hit.join(found.select("query_id", "edge_id"), ["query_id", "edge_id"], "left_anti")
-        new = hit.select("query_id", "edge_id", F.lit(hop).alias("hop"), "hint", "next", F.concat("path", F.array("edge_id")).alias("path"))
+        new = cut(hit.select("query_id", "edge_id", F.lit(hop).alias("hop"), "hint", "next", F.concat("path", F.array("edge_id")).alias("path")))
         found = new if found is None else found.unionByName(new)
         # a node is entered by the first edge that reaches it
         reached = new.groupBy("query_id", F.col("next").alias("node")).agg(F.min_by("path", "edge_id").alias("path"))
