@@ -7,8 +7,8 @@ the next book. With a code the squared norm of the sum is stored, so a squared d
 norm - 2 * (sum of BOOKS look-ups in the query's table). Each query's best candidates by
 that estimate (RERANK) are measured on the original vectors in double precision.
 
-The codebooks are fitted on at most SAMPLE rows (those with the smallest hash of vec_id, a documented
-bound); every row is encoded. Search is a join in blocks: queries in blocks of
+The codebooks are fitted on about SAMPLE rows (those whose hash of vec_id falls into that share, twice as many at
+most: a documented bound); every row is encoded. Search is a join in blocks: queries in blocks of
 QUERY_BLOCK, codes in blocks of CODE_BLOCK, both by hash of vec_id, one task group for each
 pair of blocks; only codes (BOOKS bytes and a norm a row) are copied to the query blocks, and
 each pair returns at most RERANK rows a query.
@@ -32,9 +32,9 @@ from .common import cut
 
 BOOKS = 16
 WORDS = 256
-BEAM = 4
+BEAM = 8
 SAMPLE = 16_384
-RERANK = 300
+RERANK = 600
 QUERY_BLOCK = 1024
 CODE_BLOCK = 50_000
 
@@ -83,7 +83,7 @@ def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, refine: int = 1,
         rest = rest - c[a]
     out = np.stack(found)
     for _ in range(refine):  # all books together, for the codes that the beam finds
-        codes, _n = encode(x, out)
+        codes = np.concatenate([encode(x[i : i + 1000], out)[0] for i in range(0, len(x), 1000)])
         size = books * k
         at = codes.astype(np.int64) + np.arange(books) * k
         gram, right = np.zeros((size, size), np.float32), np.zeros((size, x.shape[1]), np.float32)
@@ -109,8 +109,8 @@ def usable(vectors: DataFrame) -> DataFrame:
 def _encoder(books: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 4000):
-                part = b.slice(at, 4000)
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
                 flat = part.column(1).flatten().to_numpy(zero_copy_only=False)
                 codes, norms = encode(flat.reshape(part.num_rows, -1), books)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms)], names=["vec_id", "code", "norm"])
@@ -149,12 +149,13 @@ def nearest(vectors: DataFrame, query_every: int = 100, k: int = 10, rerank: int
     """query_id, rank, vec_id, score: the k nearest of each row whose vec_id is divisible by query_every."""
     rows = usable(vectors)
     spark = vectors.sparkSession
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "vector").limit(SAMPLE).toPandas()
+    share = min(1.0, SAMPLE / max(rows.count(), 1))  # by hash, so that no task sends more than its share to the driver
+    sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * SAMPLE).select("vec_id", F.col("vector").cast("array<float>").alias("vector")).toPandas()
     empty = "query_id bigint, rank int, vec_id bigint, score double"
     if not len(sample):
         return spark.createDataFrame([], empty)
-    sample = sample.sort_values("vec_id", kind="stable")
-    books = fit(np.array(sample["vector"].tolist()))
+    books = fit(np.stack(sample.sort_values("vec_id", kind="stable")["vector"].to_numpy()).astype(np.float32))
+    del sample
     queries = rows.where(F.col("vec_id") % query_every == 0).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     index = cut(rows.mapInArrow(_encoder(books), "vec_id bigint, code binary, norm double"))
     n, nq = index.count(), index.where(F.col("vec_id") % query_every == 0).count()
