@@ -40,8 +40,8 @@ from .components import components
 
 SHINGLE = 5
 LIST = 24
-BLOCK = 1024  # members of a cluster in a block
-BLOCK_BYTES = 6 << 20  # and bytes of their sets
+BLOCK = 1536  # members of a cluster in a block
+BLOCK_BYTES = 8 << 20  # and bytes of their sets
 FEW = 8
 SKETCH = 64  # values kept for the union-sketch estimate
 SIGMAS = 6.0
@@ -375,13 +375,15 @@ def links(texts: DataFrame, slim: DataFrame, percent: int, longest: int = LIST,
     stars = listed.where((F.col("m") > longest) & (F.col("cls") != F.col("least"))).select(F.col("cls").alias("a"), F.col("least").alias("b")).distinct()
     clusters = cut(components(near.unionAll(stars)))
     cluster = Window.partitionBy("root")
-    parts = F.greatest(F.ceil(F.count("*").over(cluster) / block), F.ceil(F.sum("n").over(cluster) * 8 / BLOCK_BYTES)).cast("int")
+    blocks = F.greatest(F.count("*").over(cluster) / block, F.sum("n").over(cluster) * 8 / BLOCK_BYTES)
+    parts = F.when(blocks <= 2, 1).otherwise(F.ceil(blocks)).cast("int")  # two blocks meet in a task anyway
     sized = clusters.join(classes.select("cls", "n"), F.col("node") == F.col("cls"))
     member = sized.select("node", "root", parts.alias("parts")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     # block p meets every block q: as (p, q) for q >= p and as (q, p) for q < p
     met = member.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("node", "root", F.least("part", "q").alias("i"), F.greatest("part", "q").alias("j"), (F.col("part") > F.col("q")).cast("int").alias("side"))
     whole = texts.mapInArrow(releasing(_whole(_member_bitmap(spark, clusters))), "cls bigint, values binary")
-    rows = met.join(whole, F.col("node") == F.col("cls")).select("root", "i", "j", "side", "node", "values").repartition("root", "i", "j")
+    # neither side has a bound: the plan is the same at every size
+    rows = met.join(whole.hint("merge"), F.col("node") == F.col("cls")).select("root", "i", "j", "side", "node", "values").repartition("root", "i", "j")
     placed = rows.sortWithinPartitions("root", "i", "j", "side", "node")
     return placed.mapInArrow(releasing(_verify(percent)), "a bigint, b bigint")
 
