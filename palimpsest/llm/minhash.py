@@ -285,15 +285,17 @@ def exact_links(nodes: np.ndarray, sets: list[np.ndarray], percent: int, split:
     many of the sets share are counted by matrix products, chunk by chunk; the others by adding up their few pairs."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
-    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    owner = np.repeat(np.arange(n), sizes)
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+    owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
     counts = np.bincount(ids)
     common = np.zeros((n, n), np.float32)
     for few in (True, False):
         use = (counts > 1) & ((counts <= FEW) if few else (counts > FEW))
-        mine = use[ids]
-        order = np.argsort(ids[mine], kind="stable")
-        e, o = np.unique(ids[mine][order], return_inverse=True)[1], owner[mine][order]
+        mine = np.flatnonzero(use[ids])
+        mine = mine[np.argsort(ids[mine], kind="stable")]
+        e, o = ids[mine], owner[mine]
+        del mine
+        e = np.cumsum(np.concatenate([[False], e[1:] != e[:-1]]), dtype=np.int32) if len(e) else e  # numbers without gaps
         if few:  # equal elements lie together: meet each with the next, the one after it, ...
             for gap in range(1, FEW):
                 pair = np.flatnonzero(e[gap:] == e[:-gap])
