@@ -279,3 +279,36 @@ def test_cross_entropy_brute_force(spark):
     assert rows[0].score < rows[1].score
     assert perplexity.cross_entropy_difference(docs.limit(0), labels).count() == 0
     assert perplexity.cross_entropy_difference(docs, labels.limit(0)).count() == 6
+
+
+def test_cross_entropy_counts_every_word_and_bigram(spark):
+    """More distinct words than the former vocabulary of 50,000 held and as many bigrams as 2^20 slots can't part: each loss is exact."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 90_000, 3000)) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)], "doc_id bigint, quality int")
+    size = len({w for t in texts for w in t.split()}) + 2
+    assert size > 60_000
+
+    def counts(chosen):
+        uni, bi = Counter(), Counter()
+        for t in chosen:
+            ids = ["$", *t.split(), "$"]
+            uni.update(ids[1:])
+            bi.update(zip(ids, ids[1:]))
+        return uni, bi, sum(uni.values())
+
+    (ut, bt, n), (ub, bb, m) = counts(texts[::3]), counts(texts)
+    block, perplexity.BLOCK = perplexity.BLOCK, 200_000  # several blocks and buckets
+    try:
+        rows = perplexity.cross_entropy_difference(docs, labels).collect()
+    finally:
+        perplexity.BLOCK = block
+    assert sorted(r.doc_id for r in rows) == list(range(120))
+    for r in rows:
+        ids, sums = ["$", *texts[r.doc_id].split(), "$"], [0, 0]
+        for a, b in zip(ids, ids[1:]):
+            for k, (uni, bi, total, scale) in enumerate(((ut, bt, n, 1), (ub, bb, m, n / m))):
+                floor = (uni[b] * scale + 1) / (total * scale + size)
+                sums[k] -= math.log(0.7 * (bi[a, b] / uni[a] if uni[a] else floor) + 0.3 * floor)
+        assert math.isclose(r.target_loss, sums[0] / 3001, rel_tol=1e-9) and math.isclose(r.background_loss, sums[1] / 3001, rel_tol=1e-9)
