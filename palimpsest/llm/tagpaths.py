@@ -4,13 +4,14 @@ A page is read into text nodes with their root-to-leaf tag paths. For each path
 text length and the punctuation of its nodes are added up and divided by the number of nodes: paths
 that carry running text have high ratios, those of menus low ones. The ratios are laid out in page order and
 smoothed, and a path's own ratio is fused (geometric mean) with the mean smoothed ratio of its nodes. Paths over a
-threshold (a share of the deviation) select content nodes. The result is all
-text of the smallest element that holds nearly all selected text, so short paragraphs and
-headings of the article stay.
+threshold (a share of the deviation) select content nodes. The result is the
+text of the smallest element that holds nearly all selected text. In it, blocks without a selected node are rejected
+if they are links only or stand in a mere container (div, section ...): lists of links, share boxes, notices. Headings and
+short paragraphs, list items and cells of the article stay.
 
 Two priors limit the nodes that are rated: elements that never hold an article (nav, footer,
 form, script ...; classes or ids such as `ad`, `sidebar`, `comments`) are left out, and where
-the page marks its article or main part, only that part is rated.
+the page marks its article or main part, only that part is rated; it then stands for the smallest element.
 
 A null or empty html gives an empty text. Broken markup is read as browsers do in the cases
 that occur: open paragraphs and list items end where the next begins, the end of the page ends all.
@@ -41,6 +42,8 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 NEVER = frozenset("aside button datalist dialog embed footer form head input label menu nav noscript object option script select style svg template textarea title iframe canvas audio video".split())
 SIGNS = frozenset("ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer masthead menu nav navbar navigation newsletter notice notices pagination popup promo promoted related replies reply share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
 KEEP = frozenset("html body article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PROSE = HEADINGS | frozenset("address blockquote caption dd dt figcaption li p pre summary td th".split())  # blocks of an article, where others are containers
 CLOSES_P = BLOCK - {"body", "html"}
 
 
@@ -145,6 +148,16 @@ def path_ratios(nodes: list[Node]) -> dict[tuple, float]:
     return {p: math.sqrt(own[p] * total[p] / number[p]) for p in own}
 
 
+def _stays(block: list[Node], high: set[tuple]) -> bool:
+    """Whether a block of the article's element has a selected node, or is a heading or prose that is not links only."""
+    rated = [n for n in block if n.text != " "]
+    if not rated or any(n.path in high for n in rated):
+        return bool(rated)
+    if any(HEADINGS.intersection(n.path) for n in rated):
+        return True
+    return any("a" not in n.path and next((t for t in reversed([p.split(".")[0] for p in n.path]) if t in BLOCK), "") in PROSE for n in rated)
+
+
 def main_text(page: str | None, share: float = 0.9, slack: float = 0.8) -> str:
     """Blocks of the article, parted by an empty line."""
     nodes = [n for n in text_nodes(page or "") if not n.left_out]
@@ -156,7 +169,8 @@ def main_text(page: str | None, share: float = 0.9, slack: float = 0.8) -> str:
     values = np.array([ratios[n.path] for n in nodes if n.text != " "])
     limit = min(float(values.max()), float(values.mean()) + slack * float(values.std())) - 1e-9
     limit = min(limit, float(values.max()) * 0.8)
-    chosen = [n for n in nodes if n.text != " " and ratios[n.path] >= limit]
+    high = {p for p, r in ratios.items() if r >= limit}
+    chosen = [n for n in nodes if n.text != " " and n.path in high]
     weight = sum(len(n.text) for n in chosen)
     held: dict[int, int] = {}
     for n in chosen:
@@ -166,11 +180,11 @@ def main_text(page: str | None, share: float = 0.9, slack: float = 0.8) -> str:
     root = max((e for e, v in held.items() if v >= share * weight and e not in inline), default=0)
     if any(n.marked for n in nodes):
         root = 0
-    blocks: dict[int, list[str]] = {}
+    blocks: dict[int, list[Node]] = {}
     for n in nodes:
         if not root or root in n.elements:
-            blocks.setdefault(n.block, []).append(n.text)
-    parts = (_SPACE.sub(" ", "".join(b)).strip() for b in blocks.values())
+            blocks.setdefault(n.block, []).append(n)
+    parts = (_SPACE.sub(" ", "".join(n.text for n in b)).strip() for b in blocks.values() if _stays(b, high))
     return "\n\n".join(p for p in parts if p)
 
 

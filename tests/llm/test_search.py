@@ -214,6 +214,15 @@ def test_pages():
     assert tagpaths.main_text("<p>a<p>b") == "a\n\nb" and tagpaths.main_text("bare text &lt;") == "bare text <"
 
 
+def test_pages_ratios_decide_in_a_marked_part():
+    """Low paths inside <article> that no list of signs knows: links, a share box, a notice."""
+    prose = "Some running text, with marks, that goes on. And on it goes, for a while."
+    page = "<body><article><h1>Head</h1><div class='tools'><a href='t'>Tweet</a> <a href='m'>Mail</a></div>" + f"<p>{prose}</p>" * 5 + "<div class='hint'>Closing soon</div><p>See <a href='x'>this</a></p><ul><li>one item</li></ul>"
+    page += "<ul><li><a href='1'>More</a></li><li><a href='2'>And more</a></li></ul></article></body>"
+    assert tagpaths.main_text(page) == "\n\n".join(["Head", *[prose] * 5, "See this", "one item"])
+    assert tagpaths.main_text(page.replace("article", "main")) == tagpaths.main_text(page)
+
+
 def test_pages_query(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     rows = queries.op6_tag_path_text(spark, SF).collect()
