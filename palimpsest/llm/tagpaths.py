@@ -5,13 +5,15 @@ text length and the punctuation of its nodes are added up and divided by the num
 that carry running text have high ratios, those of menus low ones. The ratios are laid out in page order and
 smoothed, and a path's own ratio is fused (geometric mean) with the mean smoothed ratio of its nodes. Paths over a
 threshold (a share of the deviation) select content nodes. The result is the
-text of the smallest element that holds nearly all selected text. In it, blocks without a selected node are rejected
+text of the smallest element that holds nearly all selected text, with the selected blocks and the first-level headings outside
+it. In the element, blocks without a selected node are rejected
 if they are links only or stand in a mere container (div, section ...): lists of links, share boxes, notices. Headings and
 short paragraphs, list items and cells of the article stay.
 
 Two priors limit the nodes that are rated: elements that never hold an article (nav, footer,
-form, script ...; classes or ids such as `ad`, `sidebar`, `comments`) are left out, and where
+form, script ...) are left out, and where
 the page marks its article or main part, only that part is rated; it then stands for the smallest element.
+Elements with a whole class or id such as `ad`, `sidebar`, `comments` are rated with the others, and go if no node in them is selected.
 
 A null or empty html gives an empty text. Broken markup is read as browsers do in the cases
 that occur: open paragraphs and list items end where the next begins, the end of the page ends all.
@@ -32,6 +34,7 @@ from .common import map_columns
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_NAMES = re.compile(r"\S+")
 _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 _MARKS = re.compile(r"[.,;:!?。、，]")
@@ -55,26 +58,27 @@ class Node:
     block: int
     left_out: bool
     marked: bool
+    signs: tuple[int, ...]  # those of the open elements whose class or id is in SIGNS
 
 
 def text_nodes(page: str) -> list[Node]:
     """Text nodes in page order, character references decoded."""
-    names, numbers, bad, marked = [], [], [0], [0]
+    names, numbers, bad, marked, signs = [], [], [0], [0], [()]
     found: list[Node] = []
     count = block = at = 0
     path, elements = (), ()
 
     def add(text: str) -> None:
         if text and not text.isspace():
-            found.append(Node(path, elements, html.unescape(text), block, bad[-1] > 0, marked[-1] > 0))
+            found.append(Node(path, elements, html.unescape(text), block, bad[-1] > 0, marked[-1] > 0, signs[-1]))
         elif text and found:
-            found.append(Node(path, elements, " ", block, bad[-1] > 0, marked[-1] > 0))
+            found.append(Node(path, elements, " ", block, bad[-1] > 0, marked[-1] > 0, signs[-1]))
 
     def pop(k: int) -> None:
         nonlocal path, elements, block
         if any(n in BLOCK for n in names[k:]):
             block += 1
-        del names[k:], numbers[k:], bad[k + 1 :], marked[k + 1 :]
+        del names[k:], numbers[k:], bad[k + 1 :], marked[k + 1 :], signs[k + 1 :]
         path, elements = path[:k], elements[:k]
 
     for m in iter(lambda: _TOKEN.search(page, at), None):
@@ -113,13 +117,15 @@ def text_nodes(page: str) -> list[Node]:
         if m[3].rstrip().endswith("/") and tag not in BLOCK:
             continue
         attributes = {a[1].lower(): (a[2] or a[3] or a[4] or "").lower() for a in _ATTRIBUTE.finditer(m[3])} if m[3] else {}
-        words = set(_WORDS.findall(attributes.get("class", "") + " " + attributes.get("id", "")))
+        named = attributes.get("class", "") + " " + attributes.get("id", "")
+        words = set(_WORDS.findall(named))
         inside = marked[-1] > 0
-        out = tag in NEVER or (tag == "header" and not inside) or (tag not in KEEP and (bool(words & SIGNS) or attributes.get("role") in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert")))
+        out = tag in NEVER or (tag == "header" and not inside) or (tag not in KEEP and attributes.get("role") in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert"))
         count += 1
         names.append(tag)
         numbers.append(count)
         bad.append(bad[-1] + out)
+        signs.append(signs[-1] + ((count,) if tag not in KEEP and not SIGNS.isdisjoint(_NAMES.findall(named)) else ()))
         marked.append(marked[-1] + (tag in ("article", "main") or attributes.get("role") == "main"))
         path += (tag + ("." + ".".join(sorted(words)) if words and tag in ("div", "section", "span") else ""),)
         elements += (count,)
@@ -148,11 +154,14 @@ def path_ratios(nodes: list[Node]) -> dict[tuple, float]:
     return {p: math.sqrt(own[p] * total[p] / number[p]) for p in own}
 
 
-def _stays(block: list[Node], high: set[tuple]) -> bool:
-    """Whether a block of the article's element has a selected node, or is a heading or prose that is not links only."""
+def _stays(block: list[Node], high: set[tuple], root: int) -> bool:
+    """Whether a block has a selected node or a first-level heading, or lies in the article's element (all, if 0) and is a heading or
+    prose that is not links only."""
     rated = [n for n in block if n.text != " "]
     if not rated or any(n.path in high for n in rated):
         return bool(rated)
+    if root and not any(root in n.elements for n in rated):
+        return any("h1" in n.path for n in rated)
     if any(HEADINGS.intersection(n.path) for n in rated):
         return True
     return any("a" not in n.path and next((t for t in reversed([p.split(".")[0] for p in n.path]) if t in BLOCK), "") in PROSE for n in rated)
@@ -176,15 +185,15 @@ def main_text(page: str | None, share: float = 0.9, slack: float = 0.8) -> str:
     for n in chosen:
         for e in n.elements:
             held[e] = held.get(e, 0) + len(n.text)
+    nodes = [n for n in nodes if all(e in held for e in n.signs)]
     inline = {e for n in nodes for p, e in zip(n.path, n.elements) if p.split(".")[0] not in KEEP | {"div", "section", "td", "center"}}
     root = max((e for e, v in held.items() if v >= share * weight and e not in inline), default=0)
     if any(n.marked for n in nodes):
         root = 0
     blocks: dict[int, list[Node]] = {}
     for n in nodes:
-        if not root or root in n.elements:
-            blocks.setdefault(n.block, []).append(n)
-    parts = (_SPACE.sub(" ", "".join(n.text for n in b)).strip() for b in blocks.values() if _stays(b, high))
+        blocks.setdefault(n.block, []).append(n)
+    parts = (_SPACE.sub(" ", "".join(n.text for n in b)).strip() for b in blocks.values() if _stays(b, high, root))
     return "\n\n".join(p for p in parts if p)
 
 

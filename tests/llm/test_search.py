@@ -223,6 +223,20 @@ def test_pages_ratios_decide_in_a_marked_part():
     assert tagpaths.main_text(page.replace("article", "main")) == tagpaths.main_text(page)
 
 
+def test_pages_keep_what_the_ratios_select():
+    """An article spread over sibling containers, its heading beside them, and wrappers whose names only contain a sign."""
+    prose = [f"Some running text, number {k}, with marks, that goes on. And on it goes, for a while." for k in range(11)]
+    story, more = ("".join(f"<p>{p}</p>" for p in part) for part in (prose[:10], prose[10:]))
+    menu = "<div class='top'><a href='x'>home</a> <a href='y'>news</a></div>"
+    whole = "\n\n".join(prose)
+    assert tagpaths.main_text(f"<body>{menu}<div id=a>{story}</div><div id=b>{more}</div></body>") == whole
+    assert tagpaths.main_text(f"<body>{menu}<h1>Head</h1><div id=a>{story}{more}</div></body>") == "Head\n\n" + whole
+    for wrapper in ("class='content no-sidebar'", "id='social-history'", "class='widget'"):
+        assert tagpaths.main_text(f"<body>{menu}<div {wrapper}>{story}{more}</div></body>") == whole
+        assert tagpaths.main_text(f"<body><article><div {wrapper}>{story}{more}</div></article></body>") == whole
+    assert tagpaths.main_text(f"<body><article>{story}<div class='share'><p>Tell others</p></div>{more}</article></body>") == whole
+
+
 def test_pages_query(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     rows = queries.op6_tag_path_text(spark, SF).collect()
