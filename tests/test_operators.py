@@ -158,6 +158,31 @@ def test_label_propagation(spark):
     assert len({label[i] for i in range(5)}) == 1 and len({label[i] for i in range(10, 15)}) == 1
 
 
+def test_spread_labels_until_settled(spark):
+    """Labels that need more than three hops, and a hub (node 0) that gives its label only to nodes with nothing else."""
+    edges = [(i, j) for k in range(1, 13) for i in (2 * k - 1, 2 * k) for j in (2 * k + 1, 2 * k + 2)] + [(2 * k - 1, 2 * k) for k in range(1, 14)]
+    edges += [(0, k) for k in (1, 6, 11, 16, 21)] + [(0, k) for k in range(30, 50)]
+    ids = [*range(27), *range(30, 50), 60]
+    near = {n: {b for a, b in edges if a == n} | {a for a, b in edges if b == n} for n in ids}
+    mean = 2 * len(edges) / len(ids)
+    hub = {n for n in ids if len(near[n]) >= max(8, 4 * mean)}
+    assert hub == {0}
+
+    def spread(rounds):
+        label = {n: n for n in ids}
+        for _ in range(rounds):
+            votes = {n: Counter(label[m] for m in near[n] - hub or near[n]) for n in ids}
+            new = {n: min(v, key=lambda x: (-v[x], x)) if (v := votes[n]) else label[n] for n in ids}
+            if new == label:
+                break
+            label = new
+        return label
+
+    nodes = spark.createDataFrame([(n, f"n{n}") for n in ids], "node bigint, name string")
+    got = graph.spread_labels(nodes, spark.createDataFrame(edges, "start_id bigint, end_id bigint")).collect()
+    assert {r.node: r.label for r in got} == spread(40) != spread(3)
+
+
 def test_components_and_merge(spark):
     r = random.Random(4)
     edges = [(i, r.randrange(60), r.randrange(60)) for i in range(40)]
