@@ -7,6 +7,7 @@ import inspect
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,10 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names; only where none is set (tests), a folder of our own."""
+    """Use the shared folder that the cluster names; a folder of our own only where none is set and all runs in one process (tests)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -29,16 +33,46 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 BATCH_ROWS = 2000
+BATCH_BYTES = 32 << 20
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """df, with at most BATCH_ROWS rows of it in a worker's memory at once: texts may be long."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
-        conf.set(name, str(BATCH_ROWS))
+    """df, with at most BATCH_ROWS rows and about BATCH_BYTES bytes of it in a worker's memory at once: texts may be long. Spark has these
+    bounds for a session only; a smaller one that is set already stays, and no result depends on them."""
+    conf = df.sparkSession.conf
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = "".join(c for c in str(conf.get(name)) if c.isdigit())
+        if not 0 < int(now or 0) <= most:
+            conf.set(name, str(most))
     return df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def same_bytes(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the strings of `size` bytes at at_a in a and at at_b in b are equal; both must go on for 8 bytes from the beginning of a
+    string. Eight bytes of all strings are compared at once."""
+    wide = [np.ndarray((max(len(x) - 7, 0),), "<u8", np.ascontiguousarray(x), strides=(1,)) for x in (a, b)]
+    out = np.ones(len(size), bool)
+    short = np.flatnonzero(size < 8)
+    if len(short):
+        mask = (np.uint64(1) << (np.uint64(8) * size[short].astype(np.uint64))) - np.uint64(1)
+        out[short] = ((wide[0][at_a[short]] ^ wide[1][at_b[short]]) & mask) == 0
+    live, step = np.flatnonzero(size >= 8), 0
+    while len(live):
+        at = np.minimum(step, size[live] - 8)
+        out[live] &= wide[0][at_a[live] + at] == wide[1][at_b[live] + at]
+        step += 8
+        live = live[(size[live] > step) & out[live]]
+    return out
+
+
 def release() -> None:
     """Give memory that is free back to the system: idle workers keep theirs otherwise, beside those of the next stage."""
     pa.default_memory_pool().release_unused()

@@ -10,17 +10,23 @@ task needs more than a bounded part of them:
 2. Shared keys. Keys (with the smallest doc_id of a task that has them) are dealt by key; a key that two documents
    have is told to the documents (in blocks by doc_id modulo a prime). Where one task already sees two documents with
    a key, it tells them at once and passes on one of them only: a frequent key costs a task one entry.
-3. Suffix buckets. Documents emit the text of the runs whose keys are shared; runs with equal text in a block of documents
-   are settled there (all but those of the smallest doc_id go) and passed on once. A bucket sorts its suffixes,
-   CHUNK bytes of text at a time: by their first 31 bytes, and where these tie, by the ranks of sample suffixes at the
-   positions of a difference cover modulo 31, computed beforehand: for any two positions there is a shift under
-   31 that takes both to sample positions. Suffixes with WIDTH equal bytes are neighbours in this order;
-   each group keeps its smallest doc_id, and the windows of the others are spans to be removed.
-4. The spans meet the texts again in their blocks.
+3. Suffix buckets. Documents emit the text of the runs whose keys are shared. Runs with equal text (equal digests say which to
+   compare, their bytes decide) take one place in a bucket: that of the smallest doc_id; the others go as a whole, in a
+   block of documents already. A bucket sorts its suffixes, PART bytes of text after another: the ranks of the sample
+   suffixes at the positions of a difference cover modulo 31 are computed first; then one alphabetical range of suffixes
+   at a time is sorted by 31 bytes, and where these tie, by the ranks: for any two positions there is a shift under 31 that takes
+   both to sample positions. Suffixes with WIDTH equal bytes are neighbours in this order; each group keeps its
+   smallest doc_id, and the windows of the others are spans to be removed.
+4. Hot keys. A bucket holds BUCKET_BYTES of text at most, a key KEY_BYTES: runs of keys beyond that (one phrase with very many
+   surroundings) are dealt anew, cut by the hashes of longer strings (GRAMS), at last each window by all its bytes, where
+   a key has one text only. So no task holds a group without a bound; spans found so far travel along.
+5. The spans meet the texts again in their blocks.
 
 The exchanges carry 8 bytes for each key of a task, the texts by block (used twice), and the text of shared runs
 (compressed). Null texts are empty; rows without a doc_id are kept as they are and remove nothing; rows with an
-equal doc_id are one document for the comparison, but each has its own spans; documents under WIDTH bytes lose nothing.
+equal doc_id are one document for the comparison, but each has its own spans; documents under WIDTH bytes lose nothing; an
+empty table gives an empty table. Long texts are cut into runs as others; a block holds its documents whole. Other columns, whatever
+their names, are left out by remove_repeats and come back unchanged from removed_documents.
 """
 
 from __future__ import annotations
@@ -34,16 +40,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, releasing, text_bytes
+from .common import bounded, fresh, releasing, same_bytes, text_bytes
 from .minhash import _BYTE, _powers, mix
 
 WIDTH = 50
 GRAM = 16
+GRAMS = (GRAM, 32, WIDTH)  # of the rounds of buckets
 SCAN = 1 << 19  # bytes of text that are hashed at once
 FLUSH = 500_000  # keys of a task that are sorted at once
-PER_BUCKET = 500_000  # keys of a bucket
+PER_BUCKET = 250_000  # keys of a bucket
 BLOCK_BYTES = 6 << 20  # text of a block of documents
-CHUNK = 1 << 19  # bytes of text whose suffixes are sorted at once
+CHUNK = 1 << 19  # bytes of text that are digested or cut at once
+BUCKET_BYTES = 48 << 20  # text that a bucket holds at once
+KEY_BYTES = 4 << 20  # text of a key
+PART = 1 << 20  # bytes of text with cover ranks of their own (whole keys)
+RANGE = 1 << 16  # suffixes of an alphabetical range
 PERIOD = 31
 PAD = 64
 
@@ -69,6 +80,8 @@ COVER = difference_cover(PERIOD)
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 _SHIFT = np.array([[next(k for k in range(PERIOD) if _IN_COVER[(a + k) % PERIOD] and _IN_COVER[(b + k) % PERIOD]) for b in range(PERIOD)] for a in range(PERIOD)])
 
+_FIRST = np.array([next(k for k in range(PERIOD) if _IN_COVER[(a + k) % PERIOD]) for a in range(PERIOD)])
+
 
 def _load(raw: np.ndarray, big: bool = False) -> np.ndarray:
     """The 8 bytes at each position as a number."""
@@ -81,9 +94,11 @@ def runs(raw: np.ndarray, ends: np.ndarray, width: int = WIDTH, gram: int = GRAM
     if n <= 0:
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
     eight = _load(raw)
-    h = eight[: len(raw) - gram + 1] * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(32)
-    h += eight[gram - 8 : gram - 8 + len(h)]
+    h = eight[: len(raw) - gram + 1].copy()
+    for at in dict.fromkeys([*range(8, gram - 8, 8), gram - 8]):
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+        h += eight[at : at + len(h)]
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0x94D049BB133111EB)
@@ -255,14 +270,30 @@ def _share(blocks: int, bits: int):
     return run
 
 
-def _emit(bits: int):
+def _copied(raw: np.ndarray, place: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The strings at place, laid end to end, and where each begins."""
+    lead = np.cumsum(size) - size
+    return raw[np.repeat(place - lead, size) + np.arange(int(size.sum()))], lead
+
+
+def _texts(level: int, buckets: int, key: np.ndarray, doc: np.ndarray, block: np.ndarray, row: np.ndarray, start: np.ndarray, length: np.ndarray, place: np.ndarray, text: np.ndarray) -> list[tuple]:
+    """Mail with the text of runs, by the bucket of their key."""
+    to = (key >> np.uint64(32)).astype(np.int64) if not level else (mix(key + np.uint64(level)) % np.uint64(buckets)).astype(np.int64)
+    rows = []
+    for p, (k, d, bl, r, st, n, pl) in _split(to, key, doc, block, row, start, length, place):
+        body = _copied(text, pl, n + WIDTH - 1)[0]
+        rows.append((p, TEXT, int(bl[0]), _squeeze(k, d, *(x.astype(np.uint32) for x in (bl, r, st, n)), body)))
+    return rows
+
+
+def _emit(bits: int, block_name: str):
     """A block of documents and the keys that are shared: text of the runs, by bucket, and spans that are settled here."""
     buckets = 1 << bits
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows: list[tuple] = []
         if left.num_rows and right.num_rows:
-            block = left.column("dedup_block")[0].as_py()
+            block = left.column(block_name)[0].as_py()
             ids, texts, _places = _ordered(left)
             pairs = [_unsqueeze(b.as_py()) for b in right.column("body")]
             doc = np.concatenate([np.frombuffer(p[0], np.int64) for p in pairs])
@@ -276,39 +307,71 @@ def _emit(bits: int):
                 hit = told[np.minimum(np.searchsorted(told, want), len(told) - 1)] == want
                 if hit.any():
                     at, start, length, s, place = (x[hit] for x in (at, start, length, s, place))
-                    up, down = _powers(len(raw) + 1)
-                    sums = np.zeros(len(raw) + 1, np.uint64)
-                    np.cumsum(_BYTE[raw] * up[: len(raw)], out=sums[1:])
-                    stop = place + length + WIDTH - 1
-                    digest = mix((sums[stop] - sums[place]) * down[place])
-                    size = length + WIDTH - 1
-                    text = raw[np.repeat(place - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))]
-                    found.append([at, start, length, s, digest, base + np.concatenate([[0], np.cumsum(size)[:-1]])])
+                    text, lead = _copied(raw, place, length + WIDTH - 1)
+                    found.append([at, start, length, s, base + lead])
                     parts.append(text)
                     base += len(text)
             if found:
-                at, start, length, s, digest, place = (np.concatenate(x) for x in zip(*found))
+                at, start, length, s, place = (np.concatenate(x) for x in zip(*found))
                 text, doc = np.concatenate(parts), ids[at]
-                kept, spans = _settle(s, digest, length, doc)
+                parts.clear()
+                kept, spans = _settle(s, length, doc, place, text)
                 rows += [(block % buckets, SPANS, block, _squeeze(at[spans].astype(np.uint32), start[spans].astype(np.uint32), (start + length + WIDTH - 1)[spans].astype(np.uint32)))] if spans.any() else []
-                at, start, length, s, place, doc = (x[kept] for x in (at, start, length, s, place, doc))
-                for p, (k, d, r, st, n, pl) in _split((s >> np.uint64(32)).astype(np.int64), s, doc, at, start, length, place):
-                    size = n + WIDTH - 1
-                    body = text[np.repeat(pl - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))]
-                    rows.append((p, TEXT, block, _squeeze(k, d, r.astype(np.uint32), st.astype(np.uint32), n.astype(np.uint32), body)))
+                rows += _texts(0, buckets, *(x[kept] for x in (s, doc, np.full(len(s), block), at, start, length, place)), text)
         return pa.Table.from_batches([_batch(rows)])
 
     return run
 
 
-def _settle(key: np.ndarray, digest: np.ndarray, length: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Runs with equal text: those of the smallest doc_id stay open, the others are spans as a whole."""
+def _digest(text: np.ndarray, place: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A number for each string of text; place ascends. Equal strings have equal numbers."""
+    out = np.zeros(len(place), np.uint64)
+    if not len(place):
+        return out
+    up, down = _powers(CHUNK + int(size.max()) + 1)
+    cuts = [0, *(np.flatnonzero(np.diff(place // CHUNK)) + 1).tolist(), len(place)]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        lo, p = int(place[a]), place[a:b] - int(place[a])
+        part = text[lo : lo + int((p + size[a:b]).max())]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTE[part] * up[: len(part)], out=sums[1:])
+        out[a:b] = mix((sums[p + size[a:b]] - sums[p]) * down[p])
+    return out
+
+
+def equal_strings(key: np.ndarray, length: np.ndarray, doc: np.ndarray, place: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the runs in which those with equal key and text are neighbours, by doc; and where each group of them begins. Digests
+    only propose: the bytes are compared."""
+    size = length + WIDTH - 1
+    digest = _digest(text, place, size)
     order = np.lexsort((doc, length, digest, key))
-    k, g, n, d = key[order], digest[order], length[order], doc[order]
-    first = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (g[1:] != g[:-1]) | (n[1:] != n[:-1])]))
-    least = np.repeat(d[first], np.diff(np.append(first, len(d))))
-    spans = np.zeros(len(doc), bool)
-    spans[order] = d > least
+    new = np.ones(len(order), bool)
+    new[1:] = False
+    for x in (key, digest, length):
+        v = x[order]
+        new[1:] |= v[1:] != v[:-1]
+    first = np.flatnonzero(new)
+    head = order[np.repeat(first, np.diff(np.append(first, len(order))))]
+    unlike = ~same_bytes(text, place[order], text, place[head], size[order])
+    if unlike.any():  # digests that say too much
+        which = np.searchsorted(first, np.flatnonzero(unlike), side="right") - 1
+        for f, n in zip(first[np.unique(which)].tolist(), np.diff(np.append(first, len(order)))[np.unique(which)].tolist()):
+            groups: dict[bytes, list[int]] = {}
+            for i in order[f : f + n].tolist():
+                groups.setdefault(text[place[i] : place[i] + size[i]].tobytes(), []).append(i)
+            order[f : f + n] = [i for g in groups.values() for i in g]
+            new[f + np.cumsum([0, *map(len, groups.values())])[:-1]] = True
+        first = np.flatnonzero(new)
+    return order, first
+
+
+def _settle(key: np.ndarray, length: np.ndarray, doc: np.ndarray, place: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs with equal text: those of the smallest doc_id stay open, the others are spans as a whole."""
+    spans = np.zeros(len(key), bool)
+    if len(key):
+        order, first = equal_strings(key, length, doc, place, text)
+        d = doc[order]
+        spans[order] = d > np.repeat(d[first], np.diff(np.append(first, len(d))))
     return ~spans, spans
 
 
@@ -319,65 +382,104 @@ def _ordered(left: pa.Table) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     return np.array([r[0] for r in rows], np.int64), [r[1] for r in rows], np.array([r[2] for r in rows], np.int64)
 
 
-def sort_suffixes(text: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of text that start at `at`. text must end with PAD bytes 0 behind all suffixes.
+class Cover:
+    """Ranks of the sample suffixes of a text that ends with PAD bytes 0: those at the positions of the difference cover, told apart
+    over PERIOD bytes, and twice as many with each doubling."""
 
-    Suffixes are told apart over 8 * PERIOD bytes at least; equal ones keep the order of `at`."""
-    eight = _load(text, big=True)
-    heads = (at, at + 8, at + 16, at + 23)  # 31 bytes
-    order = np.lexsort([eight[p] for p in reversed(heads)])
-    ranked = at[order]
-    tie = np.ones(len(at), bool)
-    tie[:1] = False
-    for p in (0, 8, 16, 23):
-        v = eight[ranked + p]
-        tie[1:] &= v[1:] == v[:-1]
-    if not tie.any():
-        return order
-    # ranks of the sample suffixes: first PERIOD bytes, then doubling along the same residue
-    sample = np.flatnonzero(_IN_COVER[np.arange(len(text) - PAD + 1) % PERIOD])
-    rank = np.full(len(text) + 5 * PERIOD, -1, np.int64)
+    def __init__(self, text: np.ndarray, doublings: int = 3):
+        self.eight = _load(text, big=True)
+        sample = np.flatnonzero(_IN_COVER[np.arange(len(text) - PAD + 1) % PERIOD])
+        self.rank = np.full(len(text) + 5 * PERIOD, -1, np.int32)
+        self._name(sample, [self.eight[sample + p] for p in (0, 8, 16, 23)])
+        for k in range(doublings):  # along the same residue
+            self._name(sample, [self.rank[sample], self.rank[sample + (PERIOD << k)]])
 
-    def name(keys: list[np.ndarray]) -> None:
+    def _name(self, sample: np.ndarray, keys: list[np.ndarray]) -> None:
         o = np.lexsort(keys[::-1])
         new = np.zeros(len(o), bool)
         for k in keys:
             s = k[o]
             new[1:] |= s[1:] != s[:-1]
-        rank[sample[o]] = np.cumsum(new)
-
-    name([eight[sample + p] for p in (0, 8, 16, 23)])
-    for step in (PERIOD, 2 * PERIOD, 4 * PERIOD):
-        name([rank[sample].copy(), rank[sample + step].copy()])
+        self.rank[sample[o]] = np.cumsum(new)
 
-    def after(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def after(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         k = _SHIFT[a % PERIOD, b % PERIOD]
-        return rank[a + k] > rank[b + k]
+        return self.rank[a + k] > self.rank[b + k]
+
+
+def sort_suffixes(text: np.ndarray, at: np.ndarray, cover: Cover | None = None) -> np.ndarray:
+    """Order of the suffixes of text that start at `at`. text must end with PAD bytes 0 behind all suffixes.
 
+    Suffixes are told apart over as many bytes as the ranks of the cover are, 8 * PERIOD at least where none is given; the order of equal
+    ones is any."""
+    cover = cover or Cover(text)
+    eight, rank = cover.eight, cover.rank
+    heads = [eight[at + p] for p in (0, 8, 16, 23)]  # 31 bytes
+    order = np.lexsort(heads[::-1])
+    tie = np.ones(len(at), bool)
+    tie[:1] = False
+    for h in heads:
+        v = h[order]
+        tie[1:] &= v[1:] == v[:-1]
+    if not tie.any():
+        return order
+    # suffixes of one residue and one rank are equal: of those that tie, one of each is compared
     first = np.flatnonzero(~tie)
     size = np.diff(np.append(first, len(order)))
+    where = np.flatnonzero(np.repeat(size > 1, size))
+    tied, group = order[where], np.repeat(np.arange(len(first)), size)[where]
+    residue = at[tied] % PERIOD
+    number = rank[at[tied] + _FIRST[residue]]
+    o = np.lexsort((number, residue, group))
+    new = np.ones(len(o), bool)
+    new[1:] = False
+    for v in (group[o], residue[o], number[o]):
+        new[1:] |= v[1:] != v[:-1]
+    begin = np.flatnonzero(new)
+    count = np.diff(np.append(begin, len(o)))
+    some = _by_ranks(at[tied[o[begin]]], group[o[begin]], cover)
+    times = count[some]
+    order[where] = tied[o[np.repeat(begin[some] - (np.cumsum(times) - times), times) + np.arange(len(o))]]
+    return order
+
+
+def _by_ranks(at: np.ndarray, group: np.ndarray, cover: Cover) -> np.ndarray:
+    """Order of suffixes inside their groups (which lie together), by the ranks of the cover."""
+    order, rank, shifts = np.arange(len(at)), cover.rank, _SHIFT.tolist()
+    first = np.flatnonzero(np.diff(group, prepend=-1))
+    size = np.diff(np.append(first, len(order)))
     for f, n in zip(first[size > 32].tolist(), size[size > 32].tolist()):
-        group = order[f : f + n].tolist()
-        where = at.tolist() if len(group) > len(at) // 2 else None
-        pos = (lambda i: where[i]) if where else (lambda i: int(at[i]))
+        where = at[f : f + n].tolist()
 
         def compare(i: int, j: int) -> int:
-            a, b = pos(i), pos(j)
-            k = _SHIFT[a % PERIOD, b % PERIOD]
-            return int(rank[a + k] - rank[b + k])
+            a, b = where[i], where[j]
+            k = shifts[a % PERIOD][b % PERIOD]
+            return int(rank[a + k]) - int(rank[b + k])
 
-        order[f : f + n] = sorted(group, key=functools.cmp_to_key(compare))
+        order[f : f + n] = f + np.array(sorted(range(n), key=functools.cmp_to_key(compare)))
     small = (size > 1) & (size <= 32)
     inside = np.repeat(small, size)
     offset = np.arange(len(order)) - np.repeat(first, size)
     left = np.repeat(size, size) - offset
     for turn in range(int(size[small].max(initial=1))):  # odd-even transposition, all groups at once
         i = np.flatnonzero(inside & (left > 1) & (offset % 2 == turn % 2) & (np.repeat(size, size) > turn))
-        swap = i[after(at[order[i]], at[order[i + 1]])] if len(i) else i
+        swap = i[cover.after(at[order[i]], at[order[i + 1]])] if len(i) else i
         order[swap], order[swap + 1] = order[swap + 1], order[swap].copy()
     return order
 
 
+def _ranges(heads: np.ndarray) -> Iterator[np.ndarray]:
+    """The suffixes in alphabetical ranges of about RANGE, by their first 8 bytes: which belong to each."""
+    if len(heads) <= RANGE:
+        yield np.arange(len(heads))
+        return
+    some = np.sort(heads[:: len(heads) // 4096 + 1])
+    count = -(-len(heads) // RANGE)
+    cuts = np.unique(some[np.arange(1, count) * len(some) // count])
+    for _, (part,) in _split(np.searchsorted(cuts, heads, side="right"), np.arange(len(heads))):
+        yield part
+
+
 def bucket_spans(key: np.ndarray, doc: np.ndarray, length: np.ndarray, place: np.ndarray, text: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Runs of a bucket (place: where its text begins in text): (run, first window, windows) of spans to be removed."""
     order = np.lexsort((doc, key))
@@ -387,35 +489,34 @@ def bucket_spans(key: np.ndarray, doc: np.ndarray, length: np.ndarray, place: np
     several = (np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first))[group] if len(key) else np.zeros(0, bool)
     at = np.flatnonzero(several)
     weight = np.cumsum(length[at] + WIDTH + PAD)
-    edge = np.concatenate([[True], key[at][1:] != key[at][:-1]]) if len(at) else np.zeros(0, bool)
+    edge = np.append(np.flatnonzero(np.diff(group[at], prepend=-1)), len(at)) if len(at) else np.zeros(1, int)  # where keys begin
     begin = 0
     while begin < len(at):
-        stop = int(np.searchsorted(weight, (weight[begin - 1] if begin else 0) + CHUNK))
-        stop = max(stop, begin + 1)
-        while stop < len(at) and not edge[stop]:
-            stop += 1
+        stop = int(np.searchsorted(weight, (weight[begin - 1] if begin else 0) + PART))
+        stop = int(edge[np.searchsorted(edge, max(stop, begin + 1))])
         part = at[begin:stop]
         begin = stop
         n, size = length[part], length[part] + WIDTH - 1
-        lead = np.concatenate([[0], np.cumsum(size + PAD)])
+        lead = np.concatenate([[0], np.cumsum(-(-(size + PAD) // PERIOD) * PERIOD)])  # runs that begin alike have equal residues
         t = np.zeros(int(lead[-1]) + PAD, np.uint8)
-        inner = np.arange(int(size.sum())) - np.repeat(np.concatenate([[0], np.cumsum(size)[:-1]]), size)
-        t[np.repeat(lead[:-1], size) + inner] = text[np.repeat(place[part], size) + inner]
-        step = np.arange(int(n.sum())) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+        flat, inner = _copied(text, place[part], size)
+        t[np.repeat(lead[:-1] - inner, size) + np.arange(len(flat))] = flat
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         windows = np.repeat(lead[:-1], n) + step
         owner = np.repeat(np.arange(len(part)), n)
-        o = sort_suffixes(t, windows)
-        eight, w = _load(t), windows[o]
-        same = np.ones(len(o), bool)
-        same[:1] = False
-        for p in (*range(0, WIDTH - 8, 8), WIDTH - 8):
-            v = eight[w + p]
-            same[1:] &= v[1:] == v[:-1]
-        head = np.flatnonzero(~same)
-        who = doc[part][owner[o]]
-        least = np.repeat(np.minimum.reduceat(who, head), np.diff(np.append(head, len(o))))
-        gone = np.zeros(len(o), bool)
-        gone[o] = who > least
+        cover = Cover(t, 1)  # 62 bytes, of which a result needs 50
+        gone = np.zeros(len(windows), bool)
+        for some in _ranges(cover.eight[windows]):
+            o = some[sort_suffixes(t, windows[some], cover)]
+            w = windows[o]
+            same = np.ones(len(o), bool)
+            same[:1] = False
+            for p in (*range(0, WIDTH - 8, 8), WIDTH - 8):
+                v = cover.eight[w + p]
+                same[1:] &= v[1:] == v[:-1]
+            head = np.flatnonzero(~same)
+            who = doc[part][owner[o]]
+            gone[o] = who > np.repeat(np.minimum.reduceat(who, head), np.diff(np.append(head, len(o))))
         turn = np.ones(len(gone), bool)
         turn[1:] = (gone[1:] != gone[:-1]) | (owner[1:] != owner[:-1])
         f = np.flatnonzero(turn)
@@ -424,53 +525,115 @@ def bucket_spans(key: np.ndarray, doc: np.ndarray, length: np.ndarray, place: np
         yield order[part[owner[f]]], step[f], m
 
 
-def _sort_bucket(bits: int):
+class _Bucket:
+    """The runs of a bucket while they come in: columns, and their text."""
+
+    def __init__(self, level: int, buckets: int):
+        self.level, self.buckets = level, buckets
+        self.cols: list[list[np.ndarray]] = []
+        self.texts: list[np.ndarray] = []
+        self.size = 0
+        self.limit = BUCKET_BYTES
+        self.hot = np.zeros(0, np.uint64)
+        self.spans: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, body: bytes) -> None:
+        k, d, bl, r, s, n, t = _unsqueeze(body)
+        n = np.frombuffer(n, np.uint32).astype(np.int64)
+        size = n + WIDTH - 1
+        self.cols.append([np.frombuffer(k, np.uint64), np.frombuffer(d, np.int64), *(np.frombuffer(x, np.uint32).astype(np.int64) for x in (bl, r, s)), n, self.size + np.cumsum(size) - size])
+        self.texts.append(np.frombuffer(t, np.uint8))
+        self.size += len(t)
+
+    def settle(self) -> tuple[list[np.ndarray], np.ndarray]:
+        """Columns (key, doc, block, row, start, windows, place) and text of the open runs; the other ones are spans from here on."""
+        cols, text = [np.concatenate(x) for x in zip(*self.cols)], np.concatenate(self.texts)
+        k, d, bl, r, s, n, place = cols
+        kept, spans = _settle(k, n, d, place, text)
+        self.spans.append((bl[spans], r[spans], s[spans], (s + n + WIDTH - 1)[spans]))
+        cols = [x[kept] for x in cols]
+        if spans.any():
+            text, cols[6] = _copied(text, cols[6], cols[5] + WIDTH - 1)
+        self.cols, self.texts, self.size = [cols], [text], len(text)
+        return cols, text
+
+    def shed(self, last: bool) -> Iterator[tuple]:
+        """Mail for the next round: the runs of keys that are too large, the largest ones first, until the others fit."""
+        cols, text = self.settle()
+        if self.level + 1 == len(GRAMS):
+            self.limit = max(BUCKET_BYTES, 2 * self.size)
+            return
+        keys, of = np.unique(cols[0], return_inverse=True)
+        size = np.bincount(of, cols[5] + WIDTH - 1, len(keys))
+        largest = np.argsort(size, kind="stable")
+        fits = np.zeros(len(keys), bool)
+        fits[largest] = (np.cumsum(size[largest]) <= (BUCKET_BYTES if last else BUCKET_BYTES // 2)) & (size[largest] <= KEY_BYTES)
+        out = (~fits | np.isin(keys, self.hot))[of]
+        if not out.any():
+            return
+        self.hot = np.union1d(self.hot, keys[~fits])
+        yield from self._again(*(x[out] for x in cols), text)
+        cols = [x[~out] for x in cols]
+        text, cols[6] = _copied(text, cols[6], cols[5] + WIDTH - 1)
+        self.cols, self.texts, self.size = [cols], [text], len(text)
+
+    def _again(self, _key: np.ndarray, doc: np.ndarray, block: np.ndarray, row: np.ndarray, start: np.ndarray, length: np.ndarray, place: np.ndarray, text: np.ndarray) -> Iterator[tuple]:
+        gram = GRAMS[self.level + 1]
+        for i in (np.arange(len(doc))[a:b] for a, b in _pieces_of(length + WIDTH - 1)):
+            raw, lead = _copied(text, place[i], length[i] + WIDTH - 1)
+            at, n, key = runs(raw, lead + length[i] + WIDTH - 1, WIDTH, gram)
+            if gram == WIDTH:  # a window each
+                at, key, n = np.repeat(at, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n), np.repeat(key, n), np.ones(int(n.sum()), np.int64)
+            for a in range(0, len(at), CHUNK // WIDTH):
+                some = slice(a, a + CHUNK // WIDTH)
+                of = np.searchsorted(lead, at[some], side="right") - 1
+                yield from _texts(self.level + 1, self.buckets, key[some], doc[i][of], block[i][of], row[i][of], start[i][of] + at[some] - lead[of], n[some], at[some], raw)
+
+    def close(self) -> Iterator[tuple]:
+        """Spans of all that is left, by block."""
+        if self.cols:
+            yield from self.shed(last=True)
+            k, d, block, row, start, n, place = self.cols[0]
+            text = self.texts[0]
+            # equal texts of one document (at several places) are sorted once
+            o, first = equal_strings(k, n, d, place, text) if len(k) else (np.zeros(0, int), np.zeros(0, int))
+            reps, ends = o[first], np.append(first, len(o))
+            for which, at, m in bucket_spans(k[reps], d[reps], n[reps], place[reps], text):
+                times = ends[which + 1] - ends[which]
+                one = o[np.repeat(ends[which], times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)]
+                at, m = np.repeat(at, times), np.repeat(m, times)
+                self.spans.append((block[one], row[one], start[one] + at, start[one] + at + m + WIDTH - 1))
+        if self.spans:
+            bl, r, s, e = (np.concatenate(x) for x in zip(*self.spans))
+            for b, (r1, s1, e1) in _split(bl, r, s, e):
+                yield b % self.buckets, SPANS, b, _squeeze(*(x.astype(np.uint32) for x in (r1, s1, e1)))
+
+
+def _pieces_of(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of strings of about CHUNK bytes."""
+    cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // CHUNK)) + 1).tolist(), len(sizes)]
+    yield from zip(cuts[:-1], cuts[1:])
+
+
+def _sort_bucket(level: int, bits: int):
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols: list[list[np.ndarray]] = []
-        rows: list[tuple] = []
-        base = 0
-        texts = []
+        bucket, rows = _Bucket(level, 1 << bits), []
         for b in batches:
             for kind, block, body in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
                 if kind == SPANS:
-                    rows.append((block, SPANS, block, body.as_py()))
+                    rows.append((block % bucket.buckets, SPANS, block, body.as_py()))
                     continue
-                k, d, r, s, n, t = _unsqueeze(body.as_py())
-                n = np.frombuffer(n, np.uint32).astype(np.int64)
-                size = n + WIDTH - 1
-                cols.append([np.frombuffer(k, np.uint64), np.frombuffer(d, np.int64), np.full(len(n), block), np.frombuffer(r, np.uint32), np.frombuffer(s, np.uint32).astype(np.int64), n, base + np.cumsum(size) - size])
-                texts.append(np.frombuffer(t, np.uint8))
-                base += len(t)
-        if cols:
-            k, d, block, row, start, n, place = (np.concatenate(x) for x in zip(*cols))
-            text = np.concatenate(texts)
-            size = n + WIDTH - 1
-            digest = np.zeros(len(k), np.uint64)
-            up, down = _powers(CHUNK + int(size.max()) + 1)
-            cuts = [0, *(np.flatnonzero(np.diff(place // CHUNK)) + 1).tolist(), len(k)]
-            for a, b in zip(cuts[:-1], cuts[1:]):  # digests of the texts, chunk by chunk
-                lo, hi = int(place[a]), int(place[b - 1] + size[b - 1])
-                sums = np.zeros(hi - lo + 1, np.uint64)
-                np.cumsum(_BYTE[text[lo:hi]] * up[: hi - lo], out=sums[1:])
-                p = place[a:b] - lo
-                digest[a:b] = mix((sums[p + size[a:b]] - sums[p]) * down[p])
-            open_, spans = _settle(k, digest, n, d)
-            out = [(block[spans], row[spans], start[spans], (start + size)[spans])]
-            # equal texts of one document (at several places) are sorted once
-            o = np.flatnonzero(open_)
-            o = o[np.lexsort((start[o], block[o], row[o], n[o], digest[o], k[o]))]
-            lead = np.ones(len(o), bool)
-            lead[1:] = (k[o][1:] != k[o][:-1]) | (digest[o][1:] != digest[o][:-1]) | (n[o][1:] != n[o][:-1])
-            reps = o[lead]
-            first = np.append(np.flatnonzero(lead), len(o))
-            for which, at, m in bucket_spans(k[reps], d[reps], n[reps], place[reps], text):
-                times = first[which + 1] - first[which]
-                one = o[np.repeat(first[which], times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)]
-                at, m = np.repeat(at, times), np.repeat(m, times)
-                out.append((block[one], row[one], start[one] + at, start[one] + at + m + WIDTH - 1))
-            bl, r, s, e = (np.concatenate(x) for x in zip(*out))
-            rows += [(b, SPANS, b, _squeeze(r1.astype(np.uint32), s1.astype(np.uint32), e1.astype(np.uint32))) for b, (r1, s1, e1) in _split(bl, r, s, e)]
-        yield _batch(rows)
+                bucket.add(body.as_py())
+                if bucket.size > bucket.limit:
+                    for mail in bucket.shed(last=False):
+                        rows.append(mail)
+                        if len(rows) > 1000:
+                            yield _batch(rows)
+                            rows = []
+            if rows:
+                yield _batch(rows)
+                rows = []
+        yield _batch(list(bucket.close()))
 
     return run
 
@@ -545,9 +708,12 @@ def _in_blocks(known: DataFrame):
     blocks = _prime(max(7, -(-total // BLOCK_BYTES)))
     bits = max(5, (int(total * 2 / (WIDTH - GRAM + 2)) // PER_BUCKET).bit_length())
     shared = plain.mapInArrow(releasing(_scan(blocks, bits)), _MAIL).groupBy("place").applyInArrow(releasing(_share(blocks, bits)), _MAIL)
-    texts = known.withColumn("dedup_block", F.pmod(F.col("doc_id").cast("bigint"), F.lit(blocks)).cast("int")).groupBy("dedup_block")
-    spans = texts.cogroup(shared.groupBy("block")).applyInArrow(releasing(_emit(bits)), _MAIL).groupBy("place").applyInArrow(releasing(_sort_bucket(bits)), _MAIL)
-    return texts, spans.groupBy("block")
+    name = fresh(known, "block")
+    texts = known.withColumn(name, F.pmod(F.col("doc_id").cast("bigint"), F.lit(blocks)).cast("int")).groupBy(name)
+    mail = texts.cogroup(shared.groupBy("block")).applyInArrow(releasing(_emit(bits, name)), _MAIL)
+    for level in range(len(GRAMS)):
+        mail = mail.groupBy("place").applyInArrow(releasing(_sort_bucket(level, bits)), _MAIL)
+    return texts, mail.groupBy("block")
 
 
 def remove_repeats(docs: DataFrame, keep: bool = True) -> DataFrame:
