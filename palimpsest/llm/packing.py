@@ -12,8 +12,9 @@ sequence is padded at all.
 
 One narrow stage without a shuffle: a block lies inside one task and holds at
 most BLOCK tokens besides its last document. A null text is empty (it still has
-its end token); repeated rows are packed as often as they occur; a document
-without an id keeps null.
+its end token); repeated rows and rows with an equal id are packed as often as they occur; a document
+without an id keeps null; a long text is cut at the windows' ends as often as needed, and held whole while it is
+tokenised. An empty table gives no pieces. Other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import bounded, ddl, releasing
+from .common import bounded, ddl, releasing, same_bytes
 from .minhash import _BYTE, _powers, mix
 
 WINDOW = 4096
@@ -144,7 +145,8 @@ def pack(lengths: np.ndarray, window: int = WINDOW, unit: int = CLASS, depth: in
 
 class Ids:
     """Token ids of whole texts, as the tokenizer file gives them. White space that every file of this kind drops
-    (space, new line) bounds chunks; chunks are looked up by a 64-bit hash in sorted arrays, all of a batch at once. New ones
+    (space, new line) bounds chunks; chunks are looked up by a 64-bit hash in sorted arrays, all of a batch at once, and their bytes are
+    compared with those that the entry was made of (a batch in which a hash says too much is looked up by its strings). New ones
     part into words, which have a table; new words are encoded many at once. What can't be parted here is encoded by the
     tokenizer with a parting word that is one token (a chunk that holds this word is encoded by itself)."""
 
@@ -153,6 +155,7 @@ class Ids:
 
         self.tokenizer, self.words, self.end = Tokenizer.from_file(path), {}, np.array([end], "<u4").tobytes()
         self.hashes, self.at, self.sizes, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+        self.text_at, self.text_sizes, self.text = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(8, np.uint8)  # the chunks themselves, and 8 bytes more
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)  # tokens that end a word
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
@@ -209,55 +212,80 @@ class Ids:
         word = self.words.__getitem__
         return [others[c] if w is None else word(w[0]) if len(w) == 1 else b"".join(map(word, w)) for c, w in zip(chunks, lists)]
 
-    def _insert(self, slots: np.ndarray, hashes: np.ndarray, ids: list[bytes]) -> None:
+    def _insert(self, slots: np.ndarray, hashes: np.ndarray, ids: list[bytes], chunks: list[bytes]) -> None:
         """New entries at their places among the sorted hashes."""
-        sizes = np.array([len(i) // 4 for i in ids], np.int64)
-        at = len(self.pool) + np.cumsum(sizes) - sizes
+        sizes, text_sizes = np.array([len(i) // 4 for i in ids], np.int64), np.array([len(c) for c in chunks], np.int64)
+        at, text_at = len(self.pool) + np.cumsum(sizes) - sizes, len(self.text) - 8 + np.cumsum(text_sizes) - text_sizes
         self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), "<u4")])
+        self.text = np.concatenate([self.text[:-8], np.frombuffer(b"".join(chunks) + bytes(8), np.uint8)])
         place = slots + np.arange(len(slots))
         old = np.ones(len(self.hashes) + len(slots), bool)
         old[place] = False
-        for name, new in (("hashes", hashes), ("at", at), ("sizes", sizes)):
+        for name, new in (("hashes", hashes), ("at", at), ("sizes", sizes), ("text_at", text_at), ("text_sizes", text_sizes)):
             both = np.empty(len(old), new.dtype)
             both[place], both[old] = new, getattr(self, name)
             setattr(self, name, both)
 
+    def _keep(self, entry: np.ndarray) -> None:
+        """Only these entries stay."""
+        pool, n = self._gather(entry)
+        m = self.text_sizes[entry]
+        self.text = np.concatenate([self.text[np.repeat(self.text_at[entry] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))], np.zeros(8, np.uint8)])
+        self.hashes, self.pool, self.sizes, self.at, self.text_sizes, self.text_at = self.hashes[entry], pool, n, np.cumsum(n) - n, m, np.cumsum(m) - m
+
     def _gather(self, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a row of entries, end to end, and how many each has."""
         n = self.sizes[entry]
         return self.pool[np.repeat(self.at[entry] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n
 
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        raw = [(t or "").encode() for t in texts]
-        joined = b"\n".join(raw) + b"\n"
-        buf = np.frombuffer(joined, np.uint8)
-        end = np.flatnonzero((buf == 32) | (buf == 10))
-        start = np.concatenate([[0], end[:-1] + 1])
-        start, end = start[end > start], end[end > start]
-        up, down = _powers(len(buf) + 1)
-        sums = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(_BYTE[buf] * up[: len(buf)], out=sums[1:])
-        hashes, first, back = np.unique(mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64)), return_index=True, return_inverse=True)
+    def _ids_of(self, joined: bytes, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the chunks, end to end, and how many each has."""
+        size = end - start
+        hashes, first, back = np.unique(_chunk_hash(buf, start, end), return_index=True, return_inverse=True)
+        lead = first[back]
+        exact = bool((size == size[lead]).all()) and bool(same_bytes(buf, start, buf, start[lead], size).all())
         slot = np.searchsorted(self.hashes, hashes)
         known = np.zeros(len(hashes), bool)
         inside = slot < len(self.hashes)
         known[inside] = self.hashes[slot[inside]] == hashes[inside]
+        old, of = slot[known], first[known]
+        exact = exact and bool((self.text_sizes[old] == size[of]).all()) and bool(same_bytes(self.text, self.text_at[old], buf, start[of], size[of]).all())
+        if not exact:
+            every = [joined[a:b] for a, b in zip(start.tolist(), end.tolist())]
+            few = list(dict.fromkeys(every))
+            ids = dict(zip(few, self._new_chunks([c.decode() for c in few])))
+            return np.frombuffer(b"".join(ids[c] for c in every), "<u4"), np.array([len(ids[c]) // 4 for c in every], np.int64)
         new = np.flatnonzero(~known)
         if len(new):
             if len(self.hashes) + len(new) > CACHE:  # what this batch uses stays
-                stay = slot[known]
-                pool, n = self._gather(stay)
-                self.hashes, self.pool, self.sizes, self.at = self.hashes[stay], pool, n, np.cumsum(n) - n
+                self._keep(old)
                 slot = np.searchsorted(self.hashes, hashes)
-            self._insert(slot[new], hashes[new], self._new_chunks([joined[a:b].decode() for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist())]))
+            chunks = [joined[a:b] for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist())]
+            self._insert(slot[new], hashes[new], self._new_chunks([c.decode() for c in chunks]), chunks)
             slot = np.searchsorted(self.hashes, hashes)
-        ids, n = self._gather(slot[back])
+        return self._gather(slot[back])
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        raw = [(t or "").encode() for t in texts]
+        joined = b"\n".join(raw) + b"\n" + bytes(8)
+        buf = np.frombuffer(joined, np.uint8)
+        end = np.flatnonzero((buf == 32) | (buf == 10))
+        start = np.concatenate([[0], end[:-1] + 1])
+        start, end = start[end > start], end[end > start]
+        ids, n = self._ids_of(joined, buf, start, end)
         begin = np.cumsum([0] + [len(r) + 1 for r in raw])
         per_doc = np.bincount(np.searchsorted(begin, start, side="right") - 1, weights=n, minlength=len(raw)).astype(np.int64)
         cuts = np.concatenate([[0], np.cumsum(per_doc)]).tolist()
         return [ids[a:b].tobytes() + self.end for a, b in zip(cuts[:-1], cuts[1:])]
 
 
+def _chunk_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    up, down = _powers(len(buf) + 1)
+    sums = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(_BYTE[buf] * up[: len(buf)], out=sums[1:])
+    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+
+
 # Chunks of printable ASCII and Latin letters part into words here, as the tokenizer's own rule parts them: a contraction,
 # letters, one digit, or other signs. What this pattern does not cover whole is left to the tokenizer.
 _WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-\u024f\u2c65\u2c66]+|[0-9]|[!-&(-/:-`{-~']+")
@@ -274,7 +302,6 @@ def _pieces(path: str, keep_ids: bool):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        gc.disable()  # millions of short strings, no cycles
         ids_of = _IDS.get(path) or _IDS.setdefault(path, Ids(path))
         context = TaskContext.get()
         base = (context.partitionId() if context else 0) << 36
@@ -295,16 +322,20 @@ def _pieces(path: str, keep_ids: bool):
             block, size = [], 0
             return pa.RecordBatch.from_arrays([pa.array(cols[f.name], type=f.type) for f in schema], schema=schema)
 
-        for b in batches:
-            docs, texts = b.column(0).to_pylist(), b.column(1)
-            for at in range(0, len(docs), 1000):
-                for doc_id, raw in zip(docs[at : at + 1000], ids_of(texts[at : at + 1000].to_pylist())):
-                    block.append((doc_id, raw))
-                    size += len(raw) // 4
-                    if size >= BLOCK:
-                        yield flush()
-        if block:
-            yield flush()
+        gc.disable()  # millions of short strings, no cycles
+        try:
+            for b in batches:
+                docs, texts = b.column(0).to_pylist(), b.column(1)
+                for at in range(0, len(docs), 1000):
+                    for doc_id, raw in zip(docs[at : at + 1000], ids_of(texts[at : at + 1000].to_pylist())):
+                        block.append((doc_id, raw))
+                        size += len(raw) // 4
+                        if size >= BLOCK:
+                            yield flush()
+            if block:
+                yield flush()
+        finally:
+            gc.enable()
 
     return run, schema
 
