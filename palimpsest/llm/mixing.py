@@ -9,13 +9,16 @@ of a group is one document with a fraction; these residuals meet in the next lev
 a reduction tree (FAN_IN groups a node) until one is left for each source, which is
 rounded to the nearer side. So a source misses its target by less than one document.
 
-Groups are dealt by (source, hash of doc_id), about GROUP documents each, so a source that
-holds a third of the rows is many groups. Random numbers come from doc_id and the
-seed: reruns agree, however the input is cut into files. Only doc_id, source and size
-are shuffled. The table of sources (one row a source) is ordered in one task.
+Rows that agree in doc_id, source, text hash and size are one entry with a count (so a row that repeats a million
+times, or lacks an id, makes no hot key); an entry counts GROUP rows at most, and entries are dealt by hash into groups of
+a source, about GROUP rows each, so a source that holds a third of the rows is many groups. Random numbers
+come from doc_id, text hash, the number among equal rows and the seed: reruns agree, however the input is cut into files. Texts
+are not shuffled. The table of sources (one row a source) is ordered in one task.
 
 A null text has size 0; a null source is a source of its own, ordered last; documents
-without words are never taken; rows with an equal doc_id are rounded on their own.
+without words are never taken; rows with an equal doc_id, or without one, are rounded on their own. An empty table gives an
+empty table; long texts count whole. Other columns, whatever their names, are left out by mix and come back unchanged from
+mixed_documents.
 """
 
 from __future__ import annotations
@@ -34,20 +37,25 @@ MAX_COPIES = 3
 GROUP = 1000
 FAN_IN = 64
 
-_SIZED = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("size", pa.int64())])
+_SIZED = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("size", pa.int64()), ("mark", pa.int64())])
+
+
+def _key(docs: DataFrame) -> list:
+    """doc_id, source and the text's hash."""
+    return [docs["doc_id"].cast("bigint").alias("doc_id"), docs["source"].cast("string").alias("source"), F.xxhash64(docs["text"]).alias("mark")]
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size: bytes.split() parts at exactly space and 09-0D."""
-    cols = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["source"].cast("string").alias("source"), docs["text"])
-    return map_columns(cols, lambda c: {"doc_id": c["doc_id"], "source": c["source"], "size": [len(text_bytes(t).split()) for t in c["text"]]}, _SIZED)
+    """doc_id, source, size, mark (the text's hash): bytes.split() parts at exactly space and 09-0D."""
+    return map_columns(docs.select(*_key(docs), docs["text"]), lambda c: {"doc_id": c["doc_id"], "source": c["source"], "size": [len(text_bytes(t).split()) for t in c["text"]], "mark": c["mark"]}, _SIZED)
 
 
 def targets(rows: DataFrame, cycle: int = 3, max_copies: int = MAX_COPIES) -> DataFrame:
-    """source, source_size, n_docs, target. Sources by code point (null last) weigh 1 .. cycle, repeating. A target over
+    """source, source_size, n_docs, target, of rows (source, size and, where given, n: how many such documents). Sources by code point (null last) weigh 1 .. cycle, repeating. A target over
     max_copies times its source stops there and its excess is shared out anew by weight. With the sources ordered by
     cap / weight, those that stop are a prefix; the others get one level times their weight."""
-    by_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
+    rows = rows if "n" in rows.columns else rows.withColumn("n", F.lit(1))
+    by_source = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n_docs"))
     weighed = by_source.withColumn("weight", (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % cycle + 1)
     ratio = (max_copies * F.col("source_size") / F.col("weight")).alias("ratio")
     upto = Window.orderBy("ratio", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
@@ -97,14 +105,19 @@ def pivot(p: list[float], size: list[int], u: list[float]) -> tuple[list[int], i
     return out, left, f
 
 
-_LEVEL = "doc_id bigint, source string, size bigint, source_size bigint, target double, whole bigint, part double, bucket bigint, level int, done boolean"
+_LEVEL = "doc_id bigint, source string, size bigint, mark bigint, nth bigint, n bigint, source_size bigint, target double, whole bigint, part double, bucket bigint, level int, done boolean"
 
 
 def _round(seed: int, last: bool):
     def run(g: pd.DataFrame) -> pd.DataFrame:
+        n = g["n"].to_numpy()
+        g = g.iloc[np.repeat(np.arange(len(g)), n)].reset_index(drop=True)  # a row each
+        g["nth"] = g["nth"].to_numpy() + np.arange(len(g)) - np.repeat(np.cumsum(n) - n, n)
+        g["n"] = 1
         ids = g["doc_id"].fillna(-1).to_numpy().astype(np.int64).astype(np.uint64)
         with np.errstate(over="ignore"):
             h = _mix64(ids * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed + 7919 * int(g["level"].iloc[0])))
+            h = _mix64(h + _mix64(g["mark"].to_numpy().astype(np.uint64) + g["nth"].to_numpy().astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
         order = np.lexsort((g["part"].to_numpy(), h, -g["size"].to_numpy()))  # long documents first: what is left is short, as a rule
         g = g.iloc[order].reset_index(drop=True)
         u = ((h[order] >> np.uint64(11)).astype(np.float64) / 2.0**53).tolist()
@@ -124,14 +137,15 @@ def _round(seed: int, last: bool):
 
 
 def copies(docs: DataFrame, seed: int = 1, max_copies: int = MAX_COPIES) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies."""
-    rows = cut(sized(docs))
+    """doc_id, source, size, mark, source_size, target, copies: a row for each row of docs."""
+    rows = cut(sized(docs).groupBy("doc_id", "source", "size", "mark").agg(F.count("*").alias("n")))
     goal = cut(targets(rows, max_copies=max_copies))
     most = goal.agg(F.max("n_docs")).first()[0] or 0
     each = rows.join(goal.withColumnRenamed("source", "goal_source"), F.col("source").eqNullSafe(F.col("goal_source"))).drop("goal_source")
     fraction = F.least(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0), F.lit(float(max_copies)))
+    each = each.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(GROUP).cast("bigint")))).withColumn("n", F.least(F.col("n") - F.col("nth"), F.lit(GROUP)).cast("bigint"))
     groups = F.greatest(F.ceil(F.col("n_docs") / GROUP), F.lit(1))
-    todo = each.withColumn("f", fraction).select("doc_id", "source", "size", "source_size", "target", F.floor("f").alias("whole"), (F.col("f") - F.floor("f")).alias("part"), F.pmod(F.xxhash64("doc_id"), groups).cast("bigint").alias("bucket"), F.lit(0).alias("level"), F.lit(False).alias("done"))
+    todo = each.withColumn("f", fraction).select("doc_id", "source", "size", "mark", "nth", "n", "source_size", "target", F.floor("f").alias("whole"), (F.col("f") - F.floor("f")).alias("part"), F.pmod(F.xxhash64("doc_id", "mark", "nth"), groups).cast("bigint").alias("bucket"), F.lit(0).alias("level"), F.lit(False).alias("done"))
     finished, groups_left = [], max(1, math.ceil(most / GROUP))
     while True:
         last = groups_left == 1
@@ -145,7 +159,7 @@ def copies(docs: DataFrame, seed: int = 1, max_copies: int = MAX_COPIES) -> Data
     out = finished[0]
     for more in finished[1:]:
         out = out.unionByName(more)
-    return out.select("doc_id", "source", "size", "source_size", "target", F.col("whole").alias("copies"))
+    return out.select("doc_id", "source", "size", "mark", "source_size", "target", F.col("whole").alias("copies"))
 
 
 def mix(docs: DataFrame, seed: int = 1) -> DataFrame:
@@ -154,14 +168,13 @@ def mix(docs: DataFrame, seed: int = 1) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, seed: int = 1) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it. Rows with an equal doc_id, source and size share their copies."""
-    taken = copies(docs, seed).where("copies > 0")
-    counted = taken.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("mix_total"), F.count("*").alias("mix_rows"))
-    keyed = docs.withColumn("mix_key", F.xxhash64("doc_id"))
-    counted = counted.select(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), "mix_total")
-    per = counted.groupBy("mix_id", "mix_source").agg(F.sum("mix_total").alias("mix_total"))
-    nth = F.row_number().over(Window.partitionBy("doc_id", "source").orderBy("mix_key"))
-    rows_of = F.count("*").over(Window.partitionBy("doc_id", "source"))
-    joined = keyed.join(per, keyed["doc_id"].cast("bigint").eqNullSafe(per["mix_id"]) & keyed["source"].eqNullSafe(per["mix_source"])).withColumn("mix_nth", nth).withColumn("mix_rows", rows_of)
-    share = F.floor(F.col("mix_total") / F.col("mix_rows")) + F.when(F.col("mix_nth") <= F.col("mix_total") % F.col("mix_rows"), 1).otherwise(0)
-    return joined.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), share.cast("int")))).where(share >= 1).select(*docs.columns)
+    """The rows of docs, each as often as the mix takes it. Rows that agree in doc_id, source and text share their copies."""
+    taken = copies(docs, seed).groupBy("doc_id", "source", "mark").agg(F.sum("copies").alias("total"), F.count("*").alias("n")).where("total > 0")
+    taken = taken.select(F.col("doc_id").alias("id"), F.col("source").alias("of"), F.col("mark").alias("like"), "total", "n")
+    rows = docs.select(F.struct("*").alias("row"), *_key(docs))
+    met = rows.join(taken, rows["doc_id"].eqNullSafe(taken["id"]) & rows["source"].eqNullSafe(taken["of"]) & (rows["mark"] == taken["like"]))
+    once = met.where("n = 1").select("row", F.col("total").alias("times"))
+    nth = F.row_number().over(Window.partitionBy("id", "of", "like").orderBy(F.xxhash64("row")))
+    several = met.where("n > 1").select("row", (F.floor(F.col("total") / F.col("n")) + F.when(nth <= F.col("total") % F.col("n"), 1).otherwise(0)).alias("times"))
+    every = once.unionByName(several).where("times >= 1")
+    return every.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")
