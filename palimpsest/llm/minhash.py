@@ -1,8 +1,9 @@
 """Operator 9: near-duplicate documents by bottom-k sketches of one hash function.
 
-A document's set holds the 64-bit hashes of its distinct word shingles. Documents with equal sets are one class,
-named by 64 bits of the set's digest; from there on classes count, not documents. Texts are read three times and never
-shuffled; sets travel only for members of clusters. The steps:
+A document's set holds the 64-bit hashes of its distinct word shingles. Documents with equal sets are one class, named by
+64 bits of the set's digest; 64 more bits tell whether one name stands for two sets, and such names (NAMES at most, of n sets
+n^2 / 2^65 by expectation) are replaced by second ones before anything is linked. From there on classes count, not documents. Texts
+are read three times; sets travel only for members of clusters. The steps:
 
 1. Sketch: the k smallest values of a set, k = n - ceil(t n) + 1 for the set size n and threshold t. Two sets with a
    similarity of t share one of these values at least (whatever fixed order the values have), so the inverted
@@ -13,7 +14,8 @@ shuffled; sets travel only for members of clusters. The steps:
 3. Inverted lists. A list with up to LIST members gives its pairs; equal member lists count once; pairs are filtered by
    size and by the union-sketch estimate of similarity, which leaves out what is more than SIGMAS standard
    deviations below t. A longer list only ties its members together (links to its smallest member): near-copies of one
-   text by the thousand. The components of both kinds of links are clusters.
+   text by the thousand. A task that sees more than LIST members of a list ties them itself and passes on LIST + 1 of
+   them, so no list lands in one task as a whole. The components of both kinds of links are clusters.
 4. Verification: a cluster's whole sets meet in blocks of up to BLOCK members; a task compares two blocks by
    matrix products and returns a spanning forest of the exact links, never the pairs. No link between
    different sets inside a cluster is left out, and its work is bounded by the block.
@@ -21,7 +23,9 @@ shuffled; sets travel only for members of clusters. The steps:
 
 Links between documents: t_percent * union <= 100 * intersection, on whole sets. A document with fewer words than the
 shingle has its whole sequence as one shingle; one without words (null, empty, white space) has an empty set and is
-linked with nothing. Rows with an equal doc_id are one node; a null doc_id gets no component (null, kept true).
+linked with nothing. Rows with an equal doc_id are one node; a null doc_id gets no component (null, kept true). An empty table gives
+an empty table; long texts count whole. Other columns, whatever their names, are left out by near_duplicates and come back unchanged
+from deduplicated, which shuffles the texts once, to the ids that stay.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, releasing, text_bytes
+from .common import bounded, cut, fresh, releasing, text_bytes
 from .components import components
 
 SHINGLE = 5
@@ -46,7 +50,9 @@ FEW = 8
 SKETCH = 64  # values kept for the union-sketch estimate
 SIGMAS = 6.0
 BITMAP_BITS = 22  # of frequent values
-MEMBER_BITS = 24  # of classes in clusters
+MEMBER_BITS = (20, 28)  # of classes in clusters: at least and at most, eight a class between
+NAMES = 100_000  # names that stand for two sets
+ENTRIES = 1_000_000  # entries of inverted lists that a task sorts at once
 CHUNK = 1 << 20
 
 _RNG = np.random.default_rng(20240607)
@@ -116,8 +122,12 @@ def sketch(values: np.ndarray, percent: int, bitmap: np.ndarray | None = None) -
     return np.concatenate([values[~often], values[often]])[:k]
 
 
-def class_of(values: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(values.tobytes(), digest_size=8).digest(), "little", signed=True)
+def class_of(values: np.ndarray, again: frozenset[int] = frozenset(), bits: int = 64) -> tuple[int, int]:
+    """Name of a set (bits of its digest; a second one where the first is in `again`) and 64 other bits of the digest."""
+    digest = hashlib.blake2b(values.tobytes(), digest_size=24).digest()
+    name, check, second = (int.from_bytes(digest[k : k + 8], "little", signed=True) for k in (0, 8, 16))
+    name >>= 64 - bits
+    return (second if name in again else name), check
 
 
 def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -128,13 +138,15 @@ def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
             yield part, shingle_sets(part.column(part.num_columns - 1).to_pylist())
 
 
-def _slim(percent: int):
-    """node, cls, n, keep (retained values), low (smallest values)."""
+def _slim(percent: int, names):
+    """node, cls, check, n, keep (retained values), low (smallest values)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        again, bits = names.value
         for part, sets in _sets_of(batches):
+            cls, check = zip(*(class_of(s, again, bits) for s in sets)) if sets else ((), ())
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s, percent).tobytes() for s in sets], pa.binary()), pa.array([s[:SKETCH].tobytes() for s in sets], pa.binary())],
-                names=["node", "cls", "n", "keep", "low"],
+                [part.column(0), pa.array(cls, pa.int64()), pa.array(check, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s, percent).tobytes() for s in sets], pa.binary()), pa.array([s[:SKETCH].tobytes() for s in sets], pa.binary())],
+                names=["node", "cls", "check", "n", "keep", "low"],
             )
 
     return run
@@ -148,34 +160,58 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(np.repeat(b.column(0).to_numpy(), sizes))], names=["value", "cls"])
 
 
-def _retained(percent: int, bitmap):
-    """(value, cls) of the texts' sets in the order with frequent values last; a class comes once from a task."""
+def tied(values: np.ndarray, classes: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries of inverted lists as value, class and class that it is tied to (-1: it's an entry). A list of more than `longest`
+    members becomes ties to its smallest member (under the member's own name as value) and longest + 1 entries."""
+    order = np.lexsort((classes, values))
+    v, c = values[order], classes[order]
+    first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, int)
+    size = np.diff(np.append(first, len(v)))
+    nth, long = np.arange(len(v)) - np.repeat(first, size), np.repeat(size > longest, size)
+    stay = ~long | (nth <= longest)
+    ties = np.unique(np.stack([c, c[np.repeat(first, size)]], 1)[long & (nth > 0)], axis=0)
+    return np.concatenate([v[stay], ties[:, 0]]), np.concatenate([c[stay], ties[:, 0]]), np.concatenate([np.full(int(stay.sum()), -1), ties[:, 1]])
+
+
+def _retained(percent: int, bitmap, names, longest: int):
+    """(value, cls, tie) of the texts' sets in the order with frequent values last; a class comes once from a task. tie: null, or the class
+    that cls is tied to."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks, seen = np.frombuffer(bitmap.value, np.uint8), set()
+        marks, seen, (again, bits) = np.frombuffer(bitmap.value, np.uint8), set(), names.value
+        classes, values, held = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            v, c, t = tied(np.concatenate(values), np.concatenate(classes), longest)
+            n = int((t == -1).sum())  # ties come last
+            return pa.RecordBatch.from_arrays([pa.array(v), pa.array(c), pa.array(t, mask=np.arange(len(t)) < n)], names=["value", "cls", "tie"])
+
         for _, sets in _sets_of(batches):
-            classes, values = [], []
             for s in sets:
-                c = class_of(s)
+                c = class_of(s, again, bits)[0]
                 if len(s) and c not in seen:
                     seen.add(c)
                     v = sketch(s, percent, marks)
                     classes.append(np.full(len(v), c, np.int64))
                     values.append(v.view(np.int64))
-            if values:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values)), pa.array(np.concatenate(classes))], names=["value", "cls"])
+                    held += len(v)
+            if held > ENTRIES:
+                yield flush()
+                classes, values, held = [], [], 0
+        if held:
+            yield flush()
 
     return run
 
 
-def _whole(members):
+def _whole(members, member_bits: int, names):
     """(cls, values) of the texts' sets whose class may be a member; a class comes once from a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks, seen = np.frombuffer(members.value, np.uint8), set()
+        marks, seen, (again, bits) = np.frombuffer(members.value, np.uint8), set(), names.value
         for _, sets in _sets_of(batches):
             classes, values = [], []
             for s in sets:
-                c = class_of(s)
-                if len(s) and c not in seen and _marked(np.array([c], np.int64).view(np.uint64), marks, MEMBER_BITS)[0]:
+                c = class_of(s, again, bits)[0]
+                if len(s) and c not in seen and _marked(np.array([c], np.int64).view(np.uint64), marks, member_bits)[0]:
                     seen.add(c)
                     classes.append(c)
                     values.append(s.tobytes())
@@ -186,12 +222,15 @@ def _whole(members):
 
 
 def _member_bitmap(spark, members: DataFrame):
-    """Bitmap of 2^MEMBER_BITS bits of the classes in clusters, put together from parts of 4096 bytes. A false positive only
+    """Bitmap of the classes in clusters and the logarithm of its size, put together from parts of 4096 bytes. A false positive only
     sends a set in vain."""
+    least, most = MEMBER_BITS
+    member_bits = min(max((8 * members.count()).bit_length(), least), most)
+
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << (MEMBER_BITS - 3), np.uint8)
+        bits = np.zeros(1 << (member_bits - 3), np.uint8)
         for b in batches:
-            slot = _slot(b.column(0).to_numpy().view(np.uint64), MEMBER_BITS)
+            slot = _slot(b.column(0).to_numpy().view(np.uint64), member_bits)
             np.bitwise_or.at(bits, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
         parts = bits.reshape(-1, 4096)
         used = np.flatnonzero(parts.any(1))
@@ -204,10 +243,10 @@ def _member_bitmap(spark, members: DataFrame):
                 total |= np.frombuffer(raw.as_py(), np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "bits"])
 
-    bits = np.zeros(1 << (MEMBER_BITS - 3), np.uint8)
+    bits = np.zeros(1 << (member_bits - 3), np.uint8)
     for r in members.select("node").mapInArrow(mark, "part int, bits binary").groupBy("part").applyInArrow(join, "part int, bits binary").collect():
         bits[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return spark.sparkContext.broadcast(bits.tobytes())
+    return spark.sparkContext.broadcast(bits.tobytes()), member_bits
 
 
 def _frequent_bitmap(spark, entries: DataFrame, longest: int):
@@ -358,50 +397,70 @@ def _verify(percent: int):
     return run
 
 
-def links(texts: DataFrame, slim: DataFrame, percent: int, longest: int = LIST, block: int = BLOCK) -> DataFrame:
-    """(a, b): links between classes whose components are those of all exact links. texts: one column; slim: as _slim gives it."""
+def links(texts: DataFrame, slim: DataFrame, percent: int, names, longest: int = LIST, block: int = BLOCK) -> DataFrame:
+    """(a, b): links between classes whose components are those of all exact links. texts: one column; slim: as _slim gives it; names: how sets are named, as _named gives it."""
     spark = texts.sparkSession
     classes = slim.where("n > 0").dropDuplicates(["cls"])
     entries = classes.select("cls", "keep").mapInArrow(_entries, "value bigint, cls bigint")
     bitmap = _frequent_bitmap(spark, entries, longest)
     if bitmap is not None:
-        entries = texts.mapInArrow(releasing(_retained(percent, bitmap)), "value bigint, cls bigint").repartition("value").distinct()
-    alike = Window.partitionBy("value")
-    listed = cut(entries.select("value", "cls", F.count("*").over(alike).alias("m"), F.min("cls").over(alike).alias("least")).where("m > 1"))
-    short = listed.where(F.col("m") <= longest).groupBy("value").agg(F.array_sort(F.collect_list("cls")).alias("members")).select("members").distinct()
+        entries = texts.mapInArrow(releasing(_retained(percent, bitmap, names, longest)), "value bigint, cls bigint, tie bigint").repartition("value").distinct()
+    else:
+        entries = entries.withColumn("tie", F.lit(None).cast("bigint"))
+    alike = Window.partitionBy("value", "tie")
+    listed = cut(entries.select("value", "cls", "tie", F.count("*").over(alike).alias("m"), F.min("cls").over(alike).alias("least")).where("m > 1 OR tie IS NOT NULL"))
+    lists, ties = listed.where("tie IS NULL"), listed.where("tie IS NOT NULL").select(F.col("cls").alias("a"), F.col("tie").alias("b"))
+    short = lists.where(F.col("m") <= longest).groupBy("value").agg(F.array_sort(F.collect_list("cls")).alias("members")).select("members").distinct()
     pairs = short.mapInArrow(_list_pairs, "a bigint, b bigint").distinct()
     low = classes.select("cls", "n", "low")
     paired = pairs.join(low.toDF("a", "na", "la"), "a").join(low.toDF("b", "nb", "lb"), "b")
     paired = paired.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b", "na", "nb", "la", "lb")
     near = paired.mapInArrow(_filter_pairs(percent), "a bigint, b bigint")
-    stars = listed.where((F.col("m") > longest) & (F.col("cls") != F.col("least"))).select(F.col("cls").alias("a"), F.col("least").alias("b")).distinct()
+    stars = lists.where((F.col("m") > longest) & (F.col("cls") != F.col("least"))).select(F.col("cls").alias("a"), F.col("least").alias("b")).unionAll(ties).distinct()
     clusters = cut(components(near.unionAll(stars)))
-    cluster = Window.partitionBy("root")
-    blocks = F.greatest(F.count("*").over(cluster) / block, F.sum("n").over(cluster) * 8 / BLOCK_BYTES)
-    parts = F.when(blocks <= 2, 1).otherwise(F.ceil(blocks)).cast("int")  # two blocks meet in a task anyway
-    sized = clusters.join(classes.select("cls", "n"), F.col("node") == F.col("cls"))
-    member = sized.select("node", "root", parts.alias("parts")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    sized = cut(clusters.join(classes.select("cls", "n"), F.col("node") == F.col("cls")).select("node", "root", "n"))
+    blocks = F.greatest(F.count("*") / block, F.sum("n") * 8 / BLOCK_BYTES)
+    # a cluster of several blocks (two blocks meet in a task anyway); its members may be many, so its size comes by a join that can be split
+    large = cut(sized.groupBy("root").agg(F.ceil(blocks).cast("int").alias("parts")).where("parts > 2"))
+    member = sized.join(large, "root", "left").select("node", "root", F.coalesce("parts", F.lit(1)).alias("parts")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     # block p meets every block q: as (p, q) for q >= p and as (q, p) for q < p
     met = member.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("node", "root", F.least("part", "q").alias("i"), F.greatest("part", "q").alias("j"), (F.col("part") > F.col("q")).cast("int").alias("side"))
-    whole = texts.mapInArrow(releasing(_whole(_member_bitmap(spark, clusters))), "cls bigint, values binary")
+    whole = texts.mapInArrow(releasing(_whole(*_member_bitmap(spark, clusters), names)), "cls bigint, values binary")
     # neither side has a bound: the plan is the same at every size
     rows = met.join(whole.hint("merge"), F.col("node") == F.col("cls")).select("root", "i", "j", "side", "node", "values").repartition("root", "i", "j")
     placed = rows.sortWithinPartitions("root", "i", "j", "side", "node")
     return placed.mapInArrow(releasing(_verify(percent)), "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept. One row for each row of docs."""
+def _named(docs: DataFrame, percent: int, bits: int):
+    """The documents as _slim gives them, written, and the broadcast rule of names by which no name stands for two sets."""
+    sc, again = docs.sparkSession.sparkContext, frozenset()
+    while True:
+        names = sc.broadcast((again, bits))
+        slim = cut(docs.mapInArrow(releasing(_slim(percent, names)), "node bigint, cls bigint, check bigint, n bigint, keep binary, low binary"))
+        twice = slim.groupBy("cls").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a != b").select("cls").limit(NAMES + 1).collect()
+        if not twice:
+            return slim, names
+        again = again | {r["cls"] for r in twice}
+        if len(again) > NAMES:
+            raise RuntimeError(f"more than {NAMES} names stand for two sets")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, bits: int = 64) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept. One row for each row of docs. bits: of the names of sets."""
     named = bounded(docs).where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("node"), "text")
-    slim = cut(named.mapInArrow(releasing(_slim(percent)), "node bigint, cls bigint, n bigint, keep binary, low binary"))
+    slim, names = _named(named, percent, bits)
     known = slim.select("node", "cls", "n")
     full = known.where("n > 0").select("node", "cls").distinct()
     several = full.groupBy("node").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a != b")
     same = full.join(several.select(F.col("node").alias("k"), "a"), F.col("node") == F.col("k")).select("a", F.col("cls").alias("b"))
-    roots = components(cut(links(named.select("text"), slim, percent).unionAll(same)))
-    placed = full.join(roots.toDF("k", "root"), F.col("cls") == F.col("k"), "left").select("node", F.coalesce("root", "cls").alias("root"))
-    least = placed.groupBy("root").agg(F.min("node").alias("component_id"))
-    of_node = placed.join(least, "root").groupBy("node").agg(F.min("component_id").alias("component_id")).withColumnRenamed("node", "k")
+    roots = components(cut(links(named.select("text"), slim, percent, names).unionAll(same)))
+    # the smallest document of a class, then of a component; written tables, so that the joins on large groups can be split
+    first = cut(full.groupBy("cls").agg(F.min("node").alias("first")))
+    linked = cut(first.join(roots.toDF("k", "root"), F.col("cls") == F.col("k")).select("cls", "root", "first"))
+    least = cut(linked.groupBy("root").agg(F.min("first").alias("component_id")))
+    of_class = linked.join(least, "root").select("cls", "component_id").unionAll(first.join(linked.select("cls"), "cls", "left_anti").select("cls", "first"))
+    of_node = full.join(of_class.toDF("c", "component_id"), F.col("cls") == F.col("c")).groupBy("node").agg(F.min("component_id").alias("component_id")).withColumnRenamed("node", "k")
     out = known.join(of_node, F.col("node") == F.col("k"), "left").select(F.col("node").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "node").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id")).unionByName(_null_ids(docs))
 
@@ -417,7 +476,9 @@ def _null_ids(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The rows of docs, one document of each component."""
+    """The rows of docs, one document of each component (of rows with its id, that with the first text)."""
     keep = near_duplicates(docs, percent).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.where(F.col("doc_id").isNotNull()).withColumn("dedup_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("dedup_nth = 1").drop("dedup_nth")
-    return kept.join(keep, kept["doc_id"].cast("bigint") == keep["kept_id"], "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    kept = docs.join(keep, docs["doc_id"].cast("bigint") == keep["kept_id"], "left_semi")
+    nth = fresh(docs, "nth")
+    one = kept.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(F.col(nth) == 1).drop(nth)
+    return one.unionByName(docs.where(F.col("doc_id").isNull()))
