@@ -4,19 +4,21 @@ A page is read into text nodes with their root-to-leaf tag paths. For each path
 text length and the punctuation of its nodes are added up and divided by the number of nodes: paths
 that carry running text have high ratios, those of menus low ones. The ratios are laid out in page order and
 smoothed, and a path's own ratio is fused (geometric mean) with the mean smoothed ratio of its nodes. Paths over a
-threshold (a share of the deviation) select content nodes. The result is the
+threshold (a share of the deviation) select content nodes, wherever they are. The result is the
 text of the smallest element that holds nearly all selected text, with the selected blocks and the first-level headings outside
 it. In the element, blocks without a selected node are rejected
 if they are links only or stand in a mere container (div, section ...): lists of links, share boxes, notices. Headings and
 short paragraphs, list items and cells of the article stay.
 
-Two priors limit the nodes that are rated: elements that never hold an article (nav, footer,
-form, script ...) are left out, and where
-the page marks its article or main part, only that part is rated; it then stands for the smallest element.
-Elements with a whole class or id such as `ad`, `sidebar`, `comments` are rated with the others, and go if no node in them is selected.
+Priors: elements that never hold an article (nav, footer, form, script ...) are left out; where the page marks its article or main part,
+the ratios of paths in it are multiplied by MARKED and the threshold comes from them. Elements with a whole class or id such
+as `ad`, `sidebar`, `comments` are rated like others, and go if no node in them is selected.
 
-A null or empty html gives an empty text. Broken markup is read as browsers do in the cases
-that occur: open paragraphs and list items end where the next begins, the end of the page ends all.
+A null or empty html gives an empty text, and so does a marked article without text. Broken markup is read as browsers do in the cases
+that occur: open paragraphs and list items end where the next begins, the end of the page ends all, elements nested deeper than
+DEPTH aren't nested further; where a quote is never closed, tags end at the next `>` from there on. The work is linear in the length
+of a page, however long and broken it is. Rows repeat as they come; a null page_id or url stays null; an empty table
+gives an empty table; other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +35,9 @@ from pyspark.sql import DataFrame
 
 from .common import map_columns
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+_OPEN = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"""[>"']""")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAMES = re.compile(r"\S+")
 _WORDS = re.compile(r"[a-z]+")
@@ -48,52 +53,111 @@ KEEP = frozenset("html body article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PROSE = HEADINGS | frozenset("address blockquote caption dd dt figcaption li p pre summary td th".split())  # blocks of an article, where others are containers
 CLOSES_P = BLOCK - {"body", "html"}
+MARKED = 16.0  # weight of a marked article's paths
+DEPTH = 256
 
 
-@dataclass
+class Path:
+    """A root-to-leaf tag path; there is one object for each, made by its parent."""
+
+    __slots__ = ("tag", "parent", "below", "link", "heading", "first", "block", "marked")
+
+    def __init__(self, tag: str, parent: Path | None, marked: bool):
+        self.tag, self.parent, self.below = tag, parent, {}
+        self.link = tag == "a" or bool(parent and parent.link)
+        self.heading = tag in HEADINGS or bool(parent and parent.heading)
+        self.first = tag == "h1" or bool(parent and parent.first)
+        self.block = tag if tag in BLOCK else parent.block if parent else ""  # the innermost block
+        self.marked = marked or bool(parent and parent.marked)
+
+    def step(self, tag: str, names: str, marked: bool) -> Path:
+        key = tag, names, marked
+        if key not in self.below:
+            self.below[key] = Path(tag, self, marked)
+        return self.below[key]
+
+
+@dataclass(slots=True)
 class Node:
-    path: tuple[str, ...]
-    elements: tuple[int, ...]  # numbers of the open elements, outermost first
+    path: Path
+    element: int
     text: str
     block: int
     left_out: bool
-    marked: bool
-    signs: tuple[int, ...]  # those of the open elements whose class or id is in SIGNS
 
 
-def text_nodes(page: str) -> list[Node]:
-    """Text nodes in page order, character references decoded."""
-    names, numbers, bad, marked, signs = [], [], [0], [0], [()]
+@dataclass(slots=True)
+class Element:
+    """Elements are numbered in page order, so those in one are the numbers up to its `last`."""
+
+    parent: int
+    tag: str
+    sign: bool  # its class or id is in SIGNS
+    last: int
+
+
+def _tag_end(page: str, at: int) -> int:
+    """Where a tag ends, `>` in quotes aside; -1 if nowhere."""
+    while m := _STOP.search(page, at):
+        if m[0] == ">":
+            return m.start()
+        at = page.find(m[0], m.end()) + 1
+        if not at:
+            break
+    return -1
+
+
+def text_nodes(page: str) -> tuple[list[Node], list[Element]]:
+    """Text nodes in page order, character references decoded; and the elements (number 0 holds all)."""
     found: list[Node] = []
-    count = block = at = 0
-    path, elements = (), ()
+    elements = [Element(0, "", False, 0)]
+    names: list[str] = []
+    numbers, paths, bad = [0], [Path("", None, False)], [0]
+    opened: Counter[str] = Counter()
+    flat: Counter[str] = Counter()  # open elements that are too deep
+    block = at = 0
+    quotes = True
 
     def add(text: str) -> None:
         if text and not text.isspace():
-            found.append(Node(path, elements, html.unescape(text), block, bad[-1] > 0, marked[-1] > 0, signs[-1]))
+            found.append(Node(paths[-1], numbers[-1], html.unescape(text), block, bad[-1] > 0))
         elif text and found:
-            found.append(Node(path, elements, " ", block, bad[-1] > 0, marked[-1] > 0, signs[-1]))
+            found.append(Node(paths[-1], numbers[-1], " ", block, bad[-1] > 0))
 
     def pop(k: int) -> None:
-        nonlocal path, elements, block
+        nonlocal block
         if any(n in BLOCK for n in names[k:]):
             block += 1
-        del names[k:], numbers[k:], bad[k + 1 :], marked[k + 1 :], signs[k + 1 :]
-        path, elements = path[:k], elements[:k]
+        opened.subtract(names[k:])
+        for e in numbers[k + 1 :]:
+            elements[e].last = len(elements) - 1
+        del names[k:], numbers[k + 1 :], paths[k + 1 :], bad[k + 1 :]
 
-    for m in iter(lambda: _TOKEN.search(page, at), None):
+    while m := _OPEN.search(page, at):
+        if m[0] == "<!--":
+            add(page[at : m.start()])
+            end = page.find("-->", m.end())
+            at = end + 3 if end >= 0 else len(page)
+            continue
+        end = _tag_end(page, m.end()) if quotes and m[0][1] not in "!?" else -1
+        if end < 0:
+            quotes = quotes and m[0][1] in "!?"
+            end = page.find(">", m.end())
+            if end < 0:
+                break
         add(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        at = end + 1
+        if m[0][1] in "!?":
             continue
-        tag = m[2].lower()
-        if m[1]:
-            for k in range(len(names) - 1, -1, -1):
-                if names[k] == tag:
-                    pop(k)
-                    break
+        name = _NAME.match(page, m.end() - 1)
+        tag, rest = name[0].lower(), page[name.end() : end]
+        if m[0][1] == "/":
+            if flat[tag]:
+                flat[tag] -= 1
+            elif opened[tag]:
+                pop(len(names) - 1 - names[::-1].index(tag))
             continue
-        if tag in CLOSES_P and "p" in names:
+        if tag in CLOSES_P and opened["p"]:
             k = len(names) - 1 - names[::-1].index("p")
             if not any(n in BLOCK for n in names[k + 1 :]):
                 pop(k)
@@ -111,33 +175,37 @@ def text_nodes(page: str) -> list[Node]:
                 add(" ") if found else None
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            closed = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            at = closed.end() if closed else len(page)
             continue
-        if m[3].rstrip().endswith("/") and tag not in BLOCK:
+        if rest.rstrip().endswith("/") and tag not in BLOCK:
             continue
-        attributes = {a[1].lower(): (a[2] or a[3] or a[4] or "").lower() for a in _ATTRIBUTE.finditer(m[3])} if m[3] else {}
+        if len(names) >= DEPTH:
+            flat[tag] += 1
+            continue
+        attributes = {a[1].lower(): (a[2] or a[3] or a[4] or "").lower() for a in _ATTRIBUTE.finditer(rest)} if rest else {}
         named = attributes.get("class", "") + " " + attributes.get("id", "")
-        words = set(_WORDS.findall(named))
-        inside = marked[-1] > 0
-        out = tag in NEVER or (tag == "header" and not inside) or (tag not in KEEP and attributes.get("role") in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert"))
-        count += 1
-        names.append(tag)
-        numbers.append(count)
+        role = attributes.get("role")
+        out = tag in NEVER or (tag == "header" and not paths[-1].marked) or (tag not in KEEP and role in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert"))
+        sign = tag not in KEEP and not SIGNS.isdisjoint(_NAMES.findall(named))
+        words = ".".join(sorted(set(_WORDS.findall(named)))) if tag in ("div", "section", "span") else ""
+        elements.append(Element(numbers[-1], tag, sign, 0))
+        numbers.append(len(elements) - 1)
+        paths.append(paths[-1].step(tag, words, tag in ("article", "main") or role == "main"))
         bad.append(bad[-1] + out)
-        signs.append(signs[-1] + ((count,) if tag not in KEEP and not SIGNS.isdisjoint(_NAMES.findall(named)) else ()))
-        marked.append(marked[-1] + (tag in ("article", "main") or attributes.get("role") == "main"))
-        path += (tag + ("." + ".".join(sorted(words)) if words and tag in ("div", "section", "span") else ""),)
-        elements += (count,)
+        names.append(tag)
+        opened[tag] += 1
     add(page[at:])
-    return found
+    pop(0)
+    elements[0].last = len(elements) - 1
+    return found, elements
 
 
-def path_ratios(nodes: list[Node]) -> dict[tuple, float]:
-    """Smoothed and fused ratio of text and punctuation for each tag path."""
-    length: dict[tuple, int] = {}
-    marks: dict[tuple, int] = {}
-    number: dict[tuple, int] = {}
+def path_ratios(nodes: list[Node]) -> dict[Path, float]:
+    """Smoothed and fused ratio of text and punctuation for each tag path, weighed by the prior."""
+    length: dict[Path, int] = {}
+    marks: dict[Path, int] = {}
+    number: dict[Path, int] = {}
     for n in nodes:
         if n.text != " ":
             length[n.path] = length.get(n.path, 0) + len(n.text)
@@ -148,52 +216,55 @@ def path_ratios(nodes: list[Node]) -> dict[tuple, float]:
     kernel = np.array([1.0, 4.0, 6.0, 4.0, 1.0])
     weight = np.convolve(np.ones(len(series)), kernel, "same")[: len(series)] if len(series) >= 5 else None
     smooth = np.convolve(series, kernel, "same") / weight if weight is not None else series
-    total: dict[tuple, float] = {}
+    total: dict[Path, float] = {}
     for n, v in zip((n for n in nodes if n.text != " "), smooth):
         total[n.path] = total.get(n.path, 0.0) + float(v)
-    return {p: math.sqrt(own[p] * total[p] / number[p]) for p in own}
+    return {p: math.sqrt(own[p] * total[p] / number[p]) * (MARKED if p.marked else 1.0) for p in own}
 
 
-def _stays(block: list[Node], high: set[tuple], root: int) -> bool:
-    """Whether a block has a selected node or a first-level heading, or lies in the article's element (all, if 0) and is a heading or
-    prose that is not links only."""
+def _stays(block: list[Node], high: set[Path], inside: range, marked: bool) -> bool:
+    """Whether a block has a selected node; or is a heading or prose, not links only, in the article's element; or a first-level
+    heading beside it (in the marked part, where there is one)."""
     rated = [n for n in block if n.text != " "]
     if not rated or any(n.path in high for n in rated):
         return bool(rated)
-    if root and not any(root in n.elements for n in rated):
-        return any("h1" in n.path for n in rated)
-    if any(HEADINGS.intersection(n.path) for n in rated):
-        return True
-    return any("a" not in n.path and next((t for t in reversed([p.split(".")[0] for p in n.path]) if t in BLOCK), "") in PROSE for n in rated)
+    if marked and not any(n.path.marked for n in rated):
+        return False
+    if not any(n.element in inside for n in rated):
+        return any(n.path.first for n in rated)
+    return any(n.path.heading or (not n.path.link and n.path.block in PROSE) for n in rated)
 
 
 def main_text(page: str | None, share: float = 0.9, slack: float = 0.8) -> str:
     """Blocks of the article, parted by an empty line."""
-    nodes = [n for n in text_nodes(page or "") if not n.left_out]
-    if any(n.marked for n in nodes):
-        nodes = [n for n in nodes if n.marked]
-    if not any(n.text != " " for n in nodes):
+    nodes, elements = text_nodes(page or "")
+    marked = any(e.tag in ("article", "main") for e in elements) or any(n.path.marked for n in nodes)
+    nodes = [n for n in nodes if not n.left_out]
+    if not any(n.text != " " and (n.path.marked or not marked) for n in nodes):
         return ""
     ratios = path_ratios(nodes)
-    values = np.array([ratios[n.path] for n in nodes if n.text != " "])
+    values = np.array([ratios[n.path] for n in nodes if n.text != " " and (n.path.marked or not marked)])
     limit = min(float(values.max()), float(values.mean()) + slack * float(values.std())) - 1e-9
     limit = min(limit, float(values.max()) * 0.8)
     high = {p for p, r in ratios.items() if r >= limit}
-    chosen = [n for n in nodes if n.text != " " and n.path in high]
-    weight = sum(len(n.text) for n in chosen)
-    held: dict[int, int] = {}
-    for n in chosen:
-        for e in n.elements:
-            held[e] = held.get(e, 0) + len(n.text)
-    nodes = [n for n in nodes if all(e in held for e in n.signs)]
-    inline = {e for n in nodes for p, e in zip(n.path, n.elements) if p.split(".")[0] not in KEEP | {"div", "section", "td", "center"}}
-    root = max((e for e, v in held.items() if v >= share * weight and e not in inline), default=0)
-    if any(n.marked for n in nodes):
-        root = 0
+    held = [0] * len(elements)
+    for n in nodes:
+        if n.text != " " and n.path in high:
+            held[n.element] += len(n.text)
+    for k in range(len(elements) - 1, 0, -1):
+        held[elements[k].parent] += held[k]
+    stays = [True] * len(elements)
+    for k, e in enumerate(elements):
+        stays[k] = stays[e.parent] and (not e.sign or held[k] > 0)
+    nodes = [n for n in nodes if stays[n.element]]
+    root = max((k for k, e in enumerate(elements) if k and held[k] >= share * held[0] and e.tag in KEEP | {"div", "section", "td", "center"}), default=0)
+    if marked:
+        root = 0  # its blocks are told by their paths
+    inside = range(root, elements[root].last + 1)
     blocks: dict[int, list[Node]] = {}
     for n in nodes:
         blocks.setdefault(n.block, []).append(n)
-    parts = (_SPACE.sub(" ", "".join(n.text for n in b)).strip() for b in blocks.values() if _stays(b, high, root))
+    parts = (_SPACE.sub(" ", "".join(n.text for n in b)).strip() for b in blocks.values() if _stays(b, high, inside, marked))
     return "\n\n".join(p for p in parts if p)
 
 
