@@ -1,42 +1,51 @@
 """Operator 7: nearest neighbours by additive quantisation.
 
-A vector is approximated by the sum of one codeword from each of BOOKS full-dimensional
-codebooks. Codebooks start as residual k-means and are refined together by least squares. Encoding is
-a beam search: each step extends the BEAM best partial sums by every codeword of
+A vector belongs to the nearest of LISTS coarse centroids and is approximated by that centroid and the sum of one codeword
+from each of BOOKS full-dimensional codebooks. Codebooks start as residual k-means and are refined in turn by least squares.
+Encoding is a beam search: each step extends the BEAM best partial sums by every codeword of
 the next book. With a code the squared norm of the sum is stored, so a squared distance is
-norm - 2 * (sum of BOOKS look-ups in the query's table). Each query's best candidates by
-that estimate (RERANK) are measured on the original vectors in double precision.
+norm - 2 * (the query's product with the centroid + BOOKS look-ups in its table). Each query's RERANK best
+candidates by that estimate are measured on the original vectors in double precision.
 
-The codebooks are fitted on about SAMPLE rows (those whose hash of vec_id falls into that share, twice as many at
-most: a documented bound); every row is encoded. Search is a join in blocks: queries in blocks of
-QUERY_BLOCK, codes in blocks of CODE_BLOCK, both by hash of vec_id, one task group for each
-pair of blocks; only codes (BOOKS bytes and a norm a row) are copied to the query blocks, and
-each pair returns at most RERANK rows a query.
+Centroids and codebooks are fitted on about SAMPLE rows (those whose hash of vec_id falls into that share, twice as many at
+most: a documented bound); every row is encoded. A query reads the lists nearest to it, as many as hold PROBED of the true neighbours of
+sample rows among the sample (so few lists in data with clusters, most of them in data without; with more rows neighbours are nearer,
+and the share held is larger).
+
+Search is a join in blocks. Neighbouring lists fill a block of about CODE_BLOCK codes (a longer list is several blocks, by hash);
+queries with neighbouring nearest lists fill a block of about QUERY_BLOCK; a block of codes travels to the blocks of queries that read a list
+in it, and returns at most RERANK rows a query. Copies of one vector (equal codes and hashes of the whole vector) tie, so the
+k + 1 smallest vec_ids of them are all that a result can hold; the others are left out of the lists before anything is copied.
 
 Vectors that are null, zero, or hold null or non-finite components, and those of another length than most,
-take no part. Rows with an equal vec_id count once, with the smaller distance; a
-query's own vec_id is no candidate. Ties go to the smaller vec_id throughout.
+take no part. Rows with an equal vec_id count once, with the smaller distance (and once among the RERANK); a
+query's own vec_id is no candidate. Ties go to the smaller vec_id throughout. An empty table gives an empty table. Other columns,
+whatever their names, are left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bounded, cut, releasing
+from .minhash import mix
 
-BOOKS = 16
+LISTS = 512
+PROBED = 0.99
+BOOKS = 32
 WORDS = 256
-BEAM = 8
+BEAM = 4
 SAMPLE = 16_384
-RERANK = 600
-QUERY_BLOCK = 1024
-CODE_BLOCK = 50_000
+RERANK = 100
+QUERY_BLOCK = 4096
+CODE_BLOCK = 100_000
+SCORES = 16_000_000  # estimates in memory at once
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -72,7 +81,7 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarr
     return codes, (sums.astype(np.float64) ** 2).sum(1)
 
 
-def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, refine: int = 1, seed: int = 7) -> np.ndarray:
+def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, refine: int = 3, seed: int = 7) -> np.ndarray:
     """Codebooks (books, words, dimension)."""
     rng, x = np.random.default_rng(seed), x.astype(np.float32)
     k, rest, found = max(1, min(words, len(x))), x.copy(), []
@@ -82,21 +91,59 @@ def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, refine: int = 1,
         found.append(c)
         rest = rest - c[a]
     out = np.stack(found)
-    for _ in range(refine):  # all books together, for the codes that the beam finds
-        codes = np.concatenate([encode(x[i : i + 1000], out)[0] for i in range(0, len(x), 1000)])
-        size = books * k
-        at = codes.astype(np.int64) + np.arange(books) * k
-        gram, right = np.zeros((size, size), np.float32), np.zeros((size, x.shape[1]), np.float32)
-        for i in range(books):
-            np.add.at(right, at[:, i], x)
-            for j in range(books):
-                np.add.at(gram, (at[:, i], at[:, j]), 1)
-        gram[np.arange(size), np.arange(size)] += 0.05
-        start = out.reshape(size, -1)
-        out = (start + np.linalg.solve(gram, right - (gram @ start - 0.05 * start))).reshape(out.shape).astype(np.float32)
+    codes = np.concatenate([encode(x[i : i + 1000], out)[0] for i in range(0, len(x), 1000)])
+    rest = x - sum(out[b][codes[:, b]] for b in range(books))
+    for _ in range(refine):  # least squares for the codes that the beam finds, one book after another
+        for b in range(books):
+            n = np.bincount(codes[:, b], minlength=k)
+            step = np.zeros_like(out[b])
+            np.add.at(step, codes[:, b], rest)
+            step /= (n + 0.05)[:, None]
+            out[b] += step
+            rest -= step[codes[:, b]]
     return out
 
 
+@dataclass
+class Index:
+    """Centroids (neighbours in order), codebooks of what they leave, and how many lists a query reads."""
+
+    centroids: np.ndarray
+    books: np.ndarray
+    probes: int
+
+    def lists(self, x: np.ndarray, n: int) -> np.ndarray:
+        """The n nearest lists of each vector."""
+        cost = (self.centroids**2).sum(1) - 2 * x.astype(np.float32) @ self.centroids.T
+        return np.argsort(cost, axis=1, kind="stable")[:, :n] if n > 1 else np.argmin(cost, 1)[:, None]
+
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """List, code and squared norm of the approximation."""
+        at = self.lists(x, 1)[:, 0]
+        base = self.centroids[at]
+        codes, _ = encode(x.astype(np.float32) - base, self.books)
+        sums = base + sum(b[codes[:, k]] for k, b in enumerate(self.books))
+        return at, codes, (sums.astype(np.float64) ** 2).sum(1)
+
+
+def build(x: np.ndarray, seed: int = 7) -> Index:
+    """An index fitted on sample vectors."""
+    rng, x = np.random.default_rng(seed), x.astype(np.float32)
+    centroids = _kmeans(x, max(1, min(LISTS, len(x) // 32)), rng).astype(np.float32)
+    above = _kmeans(centroids, max(1, int(len(centroids) ** 0.5)), rng)
+    centroids = centroids[np.lexsort((centroids @ centroids[0], np.argmin((above * above).sum(1) - 2 * centroids @ above.T, 1)))]
+    index = Index(centroids, np.zeros((0, 1, x.shape[1]), np.float32), len(centroids))
+    index.books = fit(x - centroids[index.lists(x, 1)[:, 0]])
+    asked, own = x[:: max(1, len(x) // 256)], index.lists(x, 1)[:, 0]
+    order = index.lists(asked, len(centroids)) if len(centroids) > 1 else np.zeros((len(asked), 1), int)
+    place = np.empty_like(order)
+    place[np.arange(len(order))[:, None], order] = np.arange(order.shape[1])
+    near = np.argsort((x * x).sum(1) - 2 * asked @ x.T, axis=1, kind="stable")[:, 1:11]  # the first one is the vector itself
+    if near.size:
+        index.probes = int(np.quantile(np.take_along_axis(place, own[near], 1), PROBED, method="higher")) + 1
+    return index
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id, vector (doubles) of the rows that take part."""
     v = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector")).where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull())
@@ -106,64 +153,130 @@ def usable(vectors: DataFrame) -> DataFrame:
     return v.where(F.size("vector") == (size["n"] if size else 0))
 
 
-def _encoder(books: np.ndarray):
+def _encoder(index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
-                flat = part.column(1).flatten().to_numpy(zero_copy_only=False)
-                codes, norms = encode(flat.reshape(part.num_rows, -1), books)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms)], names=["vec_id", "code", "norm"])
+                flat = part.column(2).flatten().to_numpy(zero_copy_only=False)
+                lists, codes, norms = index.value.encode(flat.reshape(part.num_rows, -1))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lists.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms)], names=["vec_id", "mark", "list", "code", "norm"])
 
     return run
 
 
-def _searcher(books: np.ndarray, rerank: int):
-    def search(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(c):
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "estimate": np.zeros(0)})
-        order = np.argsort(c["vec_id"].to_numpy(), kind="stable")
-        ids, norms = c["vec_id"].to_numpy()[order], c["norm"].to_numpy()[order].astype(np.float32)
-        codes = np.frombuffer(b"".join(c["code"]), np.uint8).reshape(len(c), -1)[order]
-        out_q, out_v, out_s = [], [], []
-        for qid, vec in zip(q["query_id"].to_numpy(), q["vector"]):
-            table = (books.reshape(-1, books.shape[2]) @ np.asarray(vec, np.float32)).reshape(books.shape[:2])
-            s = norms.copy()
-            for b in range(len(books)):
-                s -= 2 * table[b][codes[:, b]]
-            s[ids == qid] = np.inf
-            k = min(rerank, len(s))
-            edge = np.partition(s, k - 1)[k - 1]
-            pick = np.flatnonzero(s < edge)
-            pick = np.concatenate([pick, np.flatnonzero(s == edge)[: k - len(pick)]])
-            pick = pick[np.isfinite(s[pick])]
-            out_q.append(np.full(len(pick), qid))
-            out_v.append(ids[pick])
-            out_s.append(s[pick].astype(np.float64))
-        return pd.DataFrame({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v), "estimate": np.concatenate(out_s)})
+def _blocks(counts: dict[int, int], lists: int, size: int) -> tuple[list[int], list[int]]:
+    """First block of each list and how many it has: neighbouring lists share a block of about `size`."""
+    first, many, block, filled = [], [], 0, 0
+    for k in range(lists):
+        n = counts.get(k, 0)
+        if filled and filled + n > size:
+            block, filled = block + 1, 0
+        need = max(1, -(-n // size))
+        first.append(block)
+        many.append(need)
+        block, filled = (block + need, 0) if need > 1 else (block, filled + n)
+    return first, many
+
+
+def _prober(index, code_first: list[int], code_many: list[int], query_first: list[int], query_many: list[int]):
+    """A query for each block of codes that holds a list that it reads."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple] = []
+            for qid, vector in zip(b.column(0).to_pylist(), b.column(1)):
+                vec = vector.values.to_numpy(zero_copy_only=False)
+                read = index.value.lists(vec[None, :], max(2, index.value.probes))[0, : index.value.probes]
+                near = int(read[0])
+                block = query_first[near] + int(mix(np.array([qid], np.int64).view(np.uint64))[0]) % query_many[near]
+                wanted: dict[int, list[int]] = {}
+                for k in read.tolist():
+                    for c in range(code_first[k], code_first[k] + code_many[k]):
+                        wanted.setdefault(c, []).append(k)
+                rows += [(block, c, qid, vector, np.array(ks, np.int32).tobytes()) for c, ks in wanted.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3].as_py() for r in rows], b.column(1).type), pa.array([r[4] for r in rows], pa.binary())], names=["qb", "cb", "query_id", "vector", "lists"])
+
+    return run
+
+
+_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("estimate", pa.float64())])
+
+
+def best_of(ids: np.ndarray, scores: np.ndarray, most: int) -> np.ndarray:
+    """Places of the `most` best finite scores, one for each id; ties go to the smaller id. ids ascend."""
+    n = len(scores)
+    k = min(n, 2 * most)
+    while True:
+        edge = np.partition(scores, k - 1)[k - 1] if k < n else np.inf
+        pick = np.flatnonzero((scores <= edge) & np.isfinite(scores))
+        pick = pick[np.argsort(scores[pick], kind="stable")]
+        _, first = np.unique(ids[pick], return_index=True)
+        if len(first) >= most or k >= n:
+            return pick[np.sort(first)][:most]
+        k = min(n, 4 * k)
+
+
+def _searcher(index, rerank: int):
+    def search(q: pa.Table, c: pa.Table) -> pa.Table:
+        if not q.num_rows or not c.num_rows:
+            return _FOUND.empty_table()
+        ids, lists = c.column("vec_id").to_numpy(), c.column("list").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        ids, lists, norms = ids[order], lists[order], c.column("norm").to_numpy()[order].astype(np.float32)
+        codes = np.frombuffer(b"".join(x.as_py() for x in c.column("code")), np.uint8).reshape(len(ids), -1)[order]
+        members = {int(k): np.flatnonzero(lists == k) for k in np.unique(lists)}
+        books, centroids = index.value.books, index.value.centroids
+        vectors, qids = np.stack(q.column("vector").to_pylist()).astype(np.float32), q.column("query_id").to_numpy()
+        read = [np.frombuffer(x.as_py(), np.int32) for x in q.column("lists")]
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        step = max(1, min(256, SCORES // len(ids)))
+        for at in range(0, len(qids), step):
+            some = vectors[at : at + step]
+            tables = (some @ books.reshape(-1, books.shape[2]).T).reshape(len(some), *books.shape[:2])
+            scores = np.full((len(some), len(ids)), np.inf, np.float32)
+            for k, here in members.items():
+                who = np.array([i for i in range(len(some)) if k in read[at + i]], int)
+                if len(who):
+                    s = norms[here][None, :] - 2 * (some[who] @ centroids[k])[:, None]
+                    for b in range(len(books)):
+                        s -= 2 * tables[who, b][:, codes[here, b]]
+                    scores[who[:, None], here[None, :]] = s
+            for i, qid in enumerate(qids[at : at + step].tolist()):
+                row = scores[i]
+                row[ids == qid] = np.inf
+                pick = best_of(ids, row, rerank)
+                out.append((np.full(len(pick), qid), ids[pick], row[pick].astype(np.float64)))
+        return pa.Table.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], schema=_FOUND)
 
     return search
 
 
 def nearest(vectors: DataFrame, query_every: int = 100, k: int = 10, rerank: int = RERANK) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of each row whose vec_id is divisible by query_every."""
-    rows = usable(vectors)
+    rows = usable(bounded(vectors))
     spark = vectors.sparkSession
     share = min(1.0, SAMPLE / max(rows.count(), 1))  # by hash, so that no task sends more than its share to the driver
     sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * SAMPLE).select("vec_id", F.col("vector").cast("array<float>").alias("vector")).toPandas()
-    empty = "query_id bigint, rank int, vec_id bigint, score double"
     if not len(sample):
-        return spark.createDataFrame([], empty)
-    books = fit(np.stack(sample.sort_values("vec_id", kind="stable")["vector"].to_numpy()).astype(np.float32))
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    x = np.stack(sample.sort_values("vec_id", kind="stable")["vector"].to_numpy()).astype(np.float32)
     del sample
+    built = build(x)
+    lists, index = len(built.centroids), spark.sparkContext.broadcast(built)
+    del x
     queries = rows.where(F.col("vec_id") % query_every == 0).groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    index = cut(rows.mapInArrow(_encoder(books), "vec_id bigint, code binary, norm double"))
-    n, nq = index.count(), index.where(F.col("vec_id") % query_every == 0).count()
-    code_blocks, query_blocks = max(1, -(-n // CODE_BLOCK)), max(1, -(-nq // QUERY_BLOCK))
-    block = lambda name, m, salt: F.pmod(F.xxhash64(F.col(name), F.lit(salt)), F.lit(m)).cast("int")
-    left = queries.select(F.col("vec_id").alias("query_id"), "vector", block("vec_id", query_blocks, 1).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(code_blocks - 1))).alias("cb"))
-    right = index.select("vec_id", "code", "norm", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"), block("vec_id", code_blocks, 2).alias("cb"))
-    found = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(_searcher(books, rerank), "query_id bigint, vec_id bigint, estimate double")
+    copies = Window.partitionBy("list", "code", "mark").orderBy("vec_id")
+    encoded = rows.select("vec_id", F.xxhash64("vector").alias("mark"), "vector").mapInArrow(_encoder(index), "vec_id bigint, mark bigint, list int, code binary, norm double").distinct()
+    kept = cut(encoded.withColumn("nth", F.row_number().over(copies)).where(F.col("nth") <= k + 1).drop("nth"))
+    counts = kept.groupBy("list").agg(F.count("*").alias("n"), F.sum((F.col("vec_id") % query_every == 0).cast("int")).alias("q")).collect()
+    code_first, code_many = _blocks({r["list"]: r["n"] for r in counts}, lists, CODE_BLOCK)
+    query_first, query_many = _blocks({r["list"]: r["q"] for r in counts}, lists, QUERY_BLOCK)
+    of = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("list"))
+    codes = kept.withColumn("cb", (of(code_first) + F.pmod(F.xxhash64("vec_id"), of(code_many))).cast("int"))
+    left = queries.mapInArrow(_prober(index, code_first, code_many, query_first, query_many), "qb int, cb int, query_id bigint, vector array<double>, lists binary")
+    right = codes.join(left.select(F.col("qb").alias("block"), "cb").distinct(), "cb")
+    found = left.groupBy("qb", "cb").cogroup(right.groupBy("block", "cb")).applyInArrow(releasing(_searcher(index, rerank)), "query_id bigint, vec_id bigint, estimate double")
+    found = found.groupBy("query_id", "vec_id").agg(F.min("estimate").alias("estimate"))
     best = found.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy("estimate", "vec_id"))).where(F.col("nth") <= rerank).select("query_id", "vec_id")
     with_query = best.join(queries.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query_vector")), "query_id")
     square = F.aggregate(F.zip_with("vector", "query_vector", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
