@@ -3,7 +3,8 @@
 The target model is counted on the documents that a table of labels marks (quality 1), the
 background model on all documents. Both use the same vocabulary (every word of the corpus),
 counts of their own for every word and every bigram, and the same smoothing; background counts are scaled to
-the size of the target, so that smoothing weighs alike in both. A document's score is the
+the size of the target, so that smoothing weighs alike in both. Each document is held out of the models that score it: its
+own words and bigrams are taken off the background, and off the target too if it is a marked one. A document's score is the
 target's mean loss a token less the background's: lower is nearer to the target.
 
 The counts are nowhere in one place and grow with the corpus. Documents are dealt into blocks of about BLOCK
@@ -16,8 +17,9 @@ keys n^2 / 2^65 pairs are expected to share one (10^9 bigrams: 0.03 pairs).
 
 Words are lower-cased and parted at ASCII white space; each document starts behind a
 boundary and ends with one. A null or empty text has one token, the end. Without target
-documents the target model is uniform over the vocabulary. Rows repeat as they come, and in their order; rows with the
-same id are in one block.
+documents the target model is uniform over the vocabulary. Rows repeat as they come, and in their order (a row is held out, its
+repetition is not); rows with the same id are in one block. A long text is a part of its block as others are. An empty table gives
+an empty table. Other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -122,12 +124,16 @@ def _answer(kind: int):
     return answer
 
 
-def _losses(words: np.ndarray, ends: int, pairs: np.ndarray, at: np.ndarray, pair_at: np.ndarray, scale: float, total: float, size: int) -> np.ndarray:
-    """Interpolated bigram model: MIX * c(ab) / c(a) + (1 - MIX) * (c(b) + 1) / (n + V). `at`: places of the tokens' words,
-    `ends`: that of the end, `pair_at`: places of the tokens' bigrams."""
-    floor = ((words * scale + 1) / (total * scale + size))[at]
-    before = words[np.concatenate([[ends], at[:-1]])]
-    return -np.log(MIX * np.where(before > 0, pairs[pair_at] / np.maximum(before, 1), floor) + (1 - MIX) * floor)
+def _losses(word: np.ndarray, before: np.ndarray, pair: np.ndarray, scale: np.ndarray, total: np.ndarray, size: int) -> np.ndarray:
+    """Interpolated bigram model: MIX * c(ab) / c(a) + (1 - MIX) * (c(b) + 1) / (n + V), for each token its c(b), c(a) and c(ab)."""
+    floor = (word * scale + 1) / (total * scale + size)
+    return -np.log(MIX * np.where(before > 0, pair / np.maximum(before, 1), floor) + (1 - MIX) * floor)
+
+
+def _own(owner: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """How often each token's key stands in its own document."""
+    _, back, counts = np.unique(owner * n + at, return_inverse=True, return_counts=True)
+    return counts[back]
 
 
 def _score(size: int, total: int, marked: int):
@@ -146,8 +152,21 @@ def _score(size: int, total: int, marked: int):
             if any(len(c) != len(asked) for c in counts[kind]):
                 raise ValueError(f"{len(asked)} keys asked for, {len(counts[kind][0])} answered")
         ends, starts = int(np.searchsorted(words, keys[0])), np.cumsum(sizes) - sizes
-        scales = (marked / total if marked else 1.0, total), (1.0, marked)
-        background, target = (np.add.reduceat(_losses(counts[WORD][k], ends, counts[PAIR][k], at, pair_at, *scales[k], size), starts) / sizes for k in (0, 1))
+        labels = mail.filter(pc.equal(mail.column("kind"), LABEL)).column("label_id").combine_chunks()
+        mine = pc.is_in(docs.column("doc_id"), labels.drop_null()).to_numpy().astype(np.int64)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        own_word, own_pair = _own(owner, at, len(words)), _own(owner, pair_at, len(pairs))
+        own_before = np.concatenate([[1], own_word[:-1]])
+        own_before[starts] = 1  # the end, once a document
+        before = np.concatenate([[ends], at[:-1]])
+        tokens = np.array([total, marked])[:, None] - np.stack([sizes, sizes * mine])  # without the document
+        losses = []
+        for k, out in enumerate((np.ones_like(mine), mine)):
+            off = np.repeat(out, sizes)
+            scale = tokens[1] / np.maximum(tokens[0], 1) if marked and not k else np.ones(len(sizes))
+            token = _losses(counts[WORD][k][at] - off * own_word, counts[WORD][k][before] - off * own_before, counts[PAIR][k][pair_at] - off * own_pair, np.repeat(scale, sizes), np.repeat(tokens[k], sizes), size)
+            losses.append(np.add.reduceat(token, starts) / sizes)
+        background, target = losses
         return pa.Table.from_arrays([docs.column("pos"), docs.column("doc_id"), pa.array(sizes), pa.array(target), pa.array(background), pa.array(target - background)], schema=_SCORES)
 
     return score
@@ -171,7 +190,7 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, label: str = "q
     words = cut(round_of(WORD, -(-blocks // WORDS_OF), marked))
     sums = [[int(_numbers(bytes(v))[0]) for v in r] for r in words.where("block < 0").select("keys", "background", "target").collect()]
     size, total, of_target = (sum(s) for s in zip(*sums)) if sums else (0, 0, 0)
-    answers = words.where("block >= 0").unionByName(round_of(PAIR, blocks, marked))
+    answers = words.where("block >= 0").unionByName(round_of(PAIR, blocks, marked)).unionByName(marked)
     scored = texts.cogroup(answers.groupBy("block")).applyInArrow(releasing(_score(size + 1, total, of_target)), _SCORES_SQL)  # and a place for a word never seen
     back = scored.repartitionById((known["last"] or 0) + 1, F.shiftright("pos", 33).cast("int"))
     return back.sortWithinPartitions("pos").drop("pos")
