@@ -13,7 +13,9 @@ nothing from more); scoring covers all rows in one narrow stage.
 
 A null text is an empty text and gets a score. Labels that are null are not learnt
 from. Without any label of both kinds the score is the constant share of label 1
-(0.5 without labels).
+(0.5 without labels). Repeated rows get equal scores (and count as often as they are labelled); a document that is labelled twice is learnt
+twice; a null id is no label's and is not held out. Long texts are read whole. An empty table gives an empty table. Other columns,
+whatever their names, are left out by quality and stay as they are in score_documents, but for one named as the score.
 """
 
 from __future__ import annotations
@@ -185,17 +187,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
     return fit(x, np.array([got["label"].iloc[i] for i in order], dtype=float))
 
 
-def score_documents(docs: DataFrame, model: Gam) -> DataFrame:
-    """Adds `score` in 0 .. 1 to all columns of docs."""
+def score_documents(docs: DataFrame, model: Gam, name: str = "score") -> DataFrame:
+    """Adds a column of scores in 0 .. 1 to all columns of docs; a column that has its name already is replaced."""
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
                 s = model.score(features(part.column(part.schema.get_field_index("text")).to_pylist()))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64())], names=[*part.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64())], names=[*part.schema.names, name])
 
-    kept = docs.drop("score") if "score" in docs.columns else docs
-    kind = T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType())])
+    kept = docs.drop(name)
+    kind = T.StructType([*kept.schema.fields, T.StructField(name, T.DoubleType())])
     return bounded(kept).mapInArrow(releasing(run), kind)
 
 

@@ -8,8 +8,10 @@ their lacing values across pages, and derives a timestamp for each packet from
 the granule positions. ``probe`` applies the reader to a binary column,
 ``store_texts`` stores texts and describes what is read back.
 
-Nulls: a null text is an empty text; a null media value gives status 'null'.
-Damaged media give the status 'damaged' with what could be read before it.
+Nulls: a null text is an empty text; a null id stays null; a null media value gives status 'null'.
+Damaged media give the status 'damaged' with what could be read before it. Repeated rows are stored as they come, equal texts as equal media;
+a long text is as many pages as it needs, held whole while it is stored. An empty table gives an empty table; other columns, whatever
+their names, are left out.
 """
 
 from __future__ import annotations

@@ -17,7 +17,9 @@ White space becomes U+2581 and no piece of the vocabulary holds that sign behind
 character (checked when it is loaded), so best paths part at words, and a word's count and score
 come from a worker's table after the first time.
 
-A null or empty text has no tokens. One narrow stage without a shuffle.
+A null or empty text has no tokens; a null id stays null; repeated rows are counted as they come. A long text costs time in proportion and a
+long word no memory beside it (scores are kept for as many characters as the longest piece has). An empty table gives an
+empty table; other columns, whatever their names, are left out. One narrow stage without a shuffle.
 """
 
 from __future__ import annotations
@@ -97,28 +99,31 @@ class Counter:
             self.automaton.add_word(p, (len(p), s))
         self.automaton.make_automaton()
         self.single = {p for p in vocabulary if len(p) == 1}
+        self.reach = max(map(len, vocabulary), default=1) + 1
         self.unknown = min(vocabulary.values(), default=0) - penalty
         self.table: dict[str, tuple[int, int]] = {}
 
     def best(self, chunk: str) -> tuple[int, int]:
         """Viterbi over a chunk: pieces of the best path and its score."""
-        n = len(chunk)
-        matches: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, (size, s) in self.automaton.iter(chunk):
-            matches[end].append((size, s))
-        score, count = [0] * (n + 1), [0] * (n + 1)
-        for end in range(n):
-            best, pieces = None, 0
-            for size, s in sorted(matches[end], reverse=True):  # longest first: the leftmost start first
-                v = score[end + 1 - size] + s
+        reach = self.reach  # position p has its score at p % reach
+        score, count = [0] * reach, [0] * reach
+        found = self.automaton.iter(chunk)
+        coming = next(found, None)
+        for end, sign in enumerate(chunk):
+            best, pieces, here = None, 0, []
+            while coming and coming[0] == end:
+                here.append(coming[1])
+                coming = next(found, None)
+            for size, s in sorted(here, reverse=True):  # longest first: the leftmost start first
+                v = score[(end + 1 - size) % reach] + s
                 if best is None or v > best:
-                    best, pieces = v, count[end + 1 - size] + 1
-            if chunk[end] not in self.single:
-                v = score[end] + self.unknown
+                    best, pieces = v, count[(end + 1 - size) % reach] + 1
+            if sign not in self.single:
+                v = score[end % reach] + self.unknown
                 if best is None or v > best:
-                    best, pieces = v, count[end] + len(chunk[end].encode("utf-8", "surrogatepass"))
-            score[end + 1], count[end + 1] = best, pieces
-        return count[n], score[n]
+                    best, pieces = v, count[end % reach] + len(sign.encode("utf-8", "surrogatepass"))
+            score[(end + 1) % reach], count[(end + 1) % reach] = best, pieces
+        return count[len(chunk) % reach], score[len(chunk) % reach]
 
     def __call__(self, text: str) -> tuple[int, int]:
         if not text:
