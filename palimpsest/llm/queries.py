@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import additive, gam, minhash, mixing, ogg, packing, perplexity, suffixes, tagpaths, viterbi
+from . import additive, gam, minhash, mixing, ogg, oracles, packing, perplexity, suffixes, tagpaths, viterbi
 from .common import table
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_path(name: str) -> str:
+    """Where a public vocabulary file is."""
     import public_tokenizers
 
     return str(public_tokenizers.path(name))
@@ -21,7 +22,7 @@ def op1_ogg_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), keep_ids=False)
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), keep_ids=False)
 
 
 def op3_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +30,7 @@ def op3_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_viterbi_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return viterbi.count_tokens(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+    return viterbi.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,4 +58,4 @@ def op10_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ogg_payload, op2_nnls_packing, op3_gam_quality, op4_viterbi_counts, op5_suffix_dedup, op6_tag_path_text, op7_additive_nearest, op8_pivotal_mixing, op9_bottom_k_near_dedup, op10_cross_entropy_difference)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = oracles.SQL

@@ -95,7 +95,7 @@ def test_pack_keeps_each_token_once(n):
 def test_packing_query_matches_tokenizer(spark):
     from tokenizers import Tokenizer
 
-    path = queries._tokenizer("word_bpe_49k.json")
+    path = queries.tokenizer_path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
     texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()] + ["İstanbul  ΣΑΣ x\x85y\x1cz", "é ́a", "don't I'LL 'S ''s", "a\tb\r\nc  d"]
     got = packing.Ids(path)(texts)
@@ -115,6 +115,31 @@ def test_packing_query_matches_tokenizer(spark):
     assert tokens[2] == tokens[3] == 1 and tokens[4] == 2 * 5001
 
 
+def test_packing_compares_chunks(spark, monkeypatch):
+    """Hashes of 6 bits, which nearly all chunks share, change no id; nor does a table that holds next to nothing."""
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    want, plain = packing.Ids(path)(texts), packing._chunk_hash
+    monkeypatch.setattr(packing, "CACHE", 50)
+    ids = packing.Ids(path)
+    assert [i for at in range(0, len(texts), 20) for i in ids(texts[at : at + 20])] == want
+    monkeypatch.setattr(packing, "_chunk_hash", lambda *a: plain(*a) & np.uint64(63))
+    ids = packing.Ids(path)
+    assert [i for at in range(0, len(texts), 20) for i in ids(texts[at : at + 20])] == want
+    one = packing.Ids(path)
+    assert [one([w])[0] for w in ("alpha", "beta", "gamma", "alpha", "delta" * 9, "beta")] == [packing.Ids(path)([w])[0] for w in ("alpha", "beta", "gamma", "alpha", "delta" * 9, "beta")]
+
+
+def test_packing_edges(spark):
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    long = "some words, again and again " * 40_000
+    docs = spark.createDataFrame([(1, long), (1, long), (None, "x"), (2, None)], "doc_id bigint, text string").withColumn("ids", F.lit("clash")).withColumn("length", F.lit("clash"))
+    rows = packing.pack_documents(docs, path).collect()
+    n = {r.doc_id: r.doc_tokens for r in rows}
+    assert sum(r.length for r in rows if r.doc_id == 1) == 2 * n[1] and n[2] == 1 and n[None] == 2
+    assert packing.pack_documents(docs.limit(0), path).collect() == []
+
+
 def test_gam_learns_an_interaction():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(4000, 4))
@@ -191,7 +216,7 @@ def test_viterbi_brute_force():
 def test_viterbi_equals_the_library(spark):
     import sentencepiece
 
-    path = queries._tokenizer("piece_bpe_32k.model")
+    path = queries.tokenizer_path("piece_bpe_32k.model")
     vocab = viterbi.unigram_vocabulary(path)
     sp = sentencepiece.SentencePieceProcessor(model_proto=unigram_proto(path, vocab))
     texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()] + ["", "a  b   c ", " lead", "tab\there", "日本語 € \U0001f600x", "a" * 300]
@@ -201,6 +226,42 @@ def test_viterbi_equals_the_library(spark):
     assert [r.n_tokens for r in viterbi.count_tokens(frame(spark), path).where("doc_id in (2, 3)").collect()] == [0, 0]
 
 
+def test_edges_of_narrow_operators(spark):
+    """Nulls, repeated rows, long texts without a space, empty tables and names that clash for operators 1, 3 and 4."""
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    long = "y" * 400_000
+    docs = spark.createDataFrame([(1, long), (1, long), (None, "x"), (2, None)], "doc_id bigint, text string")
+    for name in ("n_bytes", "score", "media", "predicted", "label_id", "x", "n_tokens"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    stored = ogg.store_texts(docs).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.payload_bytes) for r in stored) == [("1", 400_000, 400_000), ("1", 400_000, 400_000), ("2", 0, 64), ("None", 1, 64)]
+    counted = viterbi.count_tokens(docs, path).collect()
+    assert sorted((str(r.doc_id), r.n_chars) for r in counted) == [("1", 400_000), ("1", 400_000), ("2", 0), ("None", 1)]
+    assert len({r.n_tokens for r in counted if r.doc_id == 1}) == 1
+    labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1)], "doc_id bigint, quality int").withColumn("text", F.lit("clash"))
+    scored = gam.quality(docs, labels).collect()
+    assert len(scored) == 4 and all(0 <= r.score <= 1 for r in scored) and not any(r.held_out for r in scored if r.doc_id is None)
+    model = gam.train(docs, labels)
+    kept = gam.score_documents(docs, model, "score_")
+    assert kept.columns == [*docs.columns, "score_"] and {r.score for r in kept.collect()} == {"clash"}
+    for out in (ogg.store_texts(docs.limit(0)), viterbi.count_tokens(docs.limit(0), path), gam.quality(docs.limit(0), labels), gam.quality(docs.limit(0), labels.limit(0))):
+        assert out.collect() == []
+
+
+def test_viterbi_long_words():
+    """Words longer than any piece, at every length: the window of scores changes nothing."""
+    counter = viterbi.Counter({"a": -3, "ab": -4, "bab": -9, "b": -5, "abba": -6})
+    rng = np.random.default_rng(0)
+    for n in range(1, 60):
+        word = "".join(rng.choice(list("abc"), n))
+        score, count = [0] + [None] * n, [0] * (n + 1)
+        for end in range(1, n + 1):
+            options = [(score[end - len(p)] + s, count[end - len(p)] + 1, end - len(p)) for p, s in (("a", -3), ("ab", -4), ("bab", -9), ("b", -5), ("abba", -6)) if word[:end].endswith(p)]
+            options += [(score[end - 1] + counter.unknown, count[end - 1] + 1, end - 1)] if word[end - 1] == "c" else []
+            score[end], count[end], _ = max(options, key=lambda o: (o[0], -o[2]))
+        assert counter.best(word) == (count[n], score[n])
+
+
 def test_mix_targets_brute_force(spark):
     rng = np.random.default_rng(3)
     sizes = {f"s{i}": int(v) for i, v in enumerate(rng.integers(0, 400, 11))} | {None: 50, "": 3000}
@@ -247,6 +308,35 @@ def test_mix_query(spark, monkeypatch):
     assert set(mixing.mixed_documents(frame(spark)).columns) == set(frame(spark).columns)
 
 
+def test_mix_repeated_rows_and_rows_without_an_id(spark, monkeypatch):
+    """Two thirds of the rows are one row or have no id: no group of the first level holds more than a few times GROUP."""
+    monkeypatch.setattr(mixing, "GROUP", 10)
+    rows = [(7, "a b c", "s")] * 400 + [(None, f"w {i} " * (i % 7 + 1), "s") for i in range(400)] + [(100 + i, "x y " * (i % 5 + 1), "t" if i % 3 else None) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumn("mark", F.lit("clash")).withColumn("n", F.lit(5)).withColumn("total", F.lit(1)).withColumn("row", F.lit(2))
+    plain = mixing._round
+
+    def counted(seed, last):
+        run = plain(seed, last)
+
+        def group(g):
+            assert int(g["n"].sum()) <= 80, "a hot group"
+            return run(g)
+
+        return group
+
+    monkeypatch.setattr(mixing, "_round", counted)
+    key = lambda d: d.toPandas().sort_values(["doc_id", "size", "taken"]).reset_index(drop=True)
+    one, two = key(mixing.mix(docs)), key(mixing.mix(docs.repartition(7)))
+    assert one.equals(two) and len(one) == len(rows)
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns and out.count() == int((one.taken / one["size"]).sum())
+    sizes = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in ("s", "t", None)}
+    goal = {r.source_size: r.target for r in mixing.mix(docs).select("source_size", "target").distinct().collect()}
+    for r in out.groupBy("source").agg(F.collect_list("text").alias("texts")).collect():
+        assert abs(sum(len(t.split()) for t in r.texts) - goal[sizes[r.source]]) <= 14
+    assert mixing.mixed_documents(docs.limit(0)).collect() == []
+
+
 def test_cross_entropy_brute_force(spark):
     docs = spark.createDataFrame([(1, "a b a b"), (2, "c d c d"), (3, None), (4, "a b zz"), (4, "a b zz"), (None, "q")], "doc_id bigint, text string")
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1)], "doc_id bigint, quality int")
@@ -255,32 +345,49 @@ def test_cross_entropy_brute_force(spark):
     vocab = {w for r in docs.collect() for w in (r.text or "").lower().split()}
     V = len(vocab) + 2
 
-    def model(texts, scale):
-        uni, bi = Counter(), Counter()
-        for t in texts:
-            ids = ["$", *t.split(), "$"]
-            uni.update(ids[1:])
-            bi.update(zip(ids, ids[1:]))
-        total = sum(uni.values()) * scale
-        def loss(t):
-            ids, out = ["$", *t.split(), "$"], 0
+    def losses(t, texts, others):
+        """Mean losses of t by the model of `texts` and by that of `others` scaled to the size of the first one."""
+        out, n = [], sum(len(x.split()) + 1 for x in texts)
+        m = sum(len(x.split()) + 1 for x in others)
+        for part, scale in ((texts, 1), (others, n / max(m, 1))):
+            uni, bi = Counter(), Counter()
+            for x in part:
+                ids = ["$", *x.split(), "$"]
+                uni.update(ids[1:])
+                bi.update(zip(ids, ids[1:]))
+            ids, loss = ["$", *t.split(), "$"], 0
             for a, b in zip(ids, ids[1:]):
-                floor = (uni[b] * scale + 1) / (total + V)
-                pair = min(bi[a, b], uni[a]) / uni[a] if uni[a] else floor
-                out -= math.log(0.7 * pair + 0.3 * floor)
-            return out / (len(ids) - 1)
-        return loss, sum(uni.values())
+                floor = (uni[b] * scale + 1) / (sum(uni.values()) * scale + V)
+                loss -= math.log(0.7 * (bi[a, b] / uni[a] if uni[a] else floor) + 0.3 * floor)
+            out.append(loss / (len(ids) - 1))
+        return out
     texts = [r.text or "" for r in docs.collect()]
-    target, n = model(["a b a b"], 1)
-    _, m = model(texts, 1)
-    background, _ = model(texts, n / m)
-    for r, t in zip(rows, texts):
-        assert math.isclose(r.target_loss, target(t), rel_tol=1e-9) and math.isclose(r.background_loss, background(t), rel_tol=1e-9)
-    assert rows[0].score < rows[1].score
+    for k, (r, t) in enumerate(zip(rows, texts)):  # each row is held out
+        target, background = losses(t, [x for i, x in enumerate(texts) if i == 0 and i != k], [x for i, x in enumerate(texts) if i != k])
+        assert math.isclose(r.target_loss, target, rel_tol=1e-9) and math.isclose(r.background_loss, background, rel_tol=1e-9)
     assert perplexity.cross_entropy_difference(docs.limit(0), labels).count() == 0
     assert perplexity.cross_entropy_difference(docs, labels.limit(0)).count() == 6
 
 
+def test_cross_entropy_ranks_what_is_near_the_target(spark):
+    """Documents of the target's kind score lower than others, whether they are marked (and held out) or not."""
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(f"{'ab'[i % 2]}{k}" for k in rng.zipf(1.6, 60) % 50)) for i in range(120)]
+    docs, labels = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([(i, 1) for i in range(0, 60, 2)], "doc_id bigint, quality int")
+    score = {r.doc_id: r.score for r in perplexity.cross_entropy_difference(docs, labels).collect()}
+    assert max(score[i] for i in range(0, 120, 2)) < min(score[i] for i in range(1, 120, 2))
+
+
+def test_cross_entropy_edges(spark):
+    """Names that clash, a text without a space, repeated rows, and a document that occurs twice: its repetition is not held out."""
+    docs = spark.createDataFrame([(1, "a b c"), (2, "a b c"), (3, "d e f"), (3, "d e f"), (4, "q" * 300_000), (5, "x y z"), (6, None)], "doc_id bigint, text string")
+    docs = docs.withColumn("block", F.lit("clash")).withColumn("pos", F.lit("clash")).withColumn("kind", F.lit(2)).withColumn("score", F.lit("clash"))
+    labels = spark.createDataFrame([(5, 1, "x")], "doc_id bigint, quality int, block string")
+    rows = {r.doc_id: r for r in perplexity.cross_entropy_difference(docs, labels).collect()}
+    assert len(rows) == 6 and rows[4].n_tokens == 2 and rows[6].n_tokens == 1
+    assert rows[1].background_loss == rows[2].background_loss < rows[5].background_loss and rows[3].background_loss < rows[5].background_loss
+
+
 def test_cross_entropy_counts_every_word_and_bigram(spark):
     """More distinct words than the former vocabulary of 50,000 held and as many bigrams as 2^20 slots can't part: each loss is exact."""
     rng = np.random.default_rng(5)
@@ -306,9 +413,11 @@ def test_cross_entropy_counts_every_word_and_bigram(spark):
         perplexity.BLOCK = block
     assert sorted(r.doc_id for r in rows) == list(range(120))
     for r in rows:
-        ids, sums = ["$", *texts[r.doc_id].split(), "$"], [0, 0]
+        ids, sums, mine = ["$", *texts[r.doc_id].split(), "$"], [0, 0], r.doc_id % 3 == 0
+        own, pairs, rest = Counter(ids[1:]), Counter(zip(ids, ids[1:])), n - 3001 * mine
         for a, b in zip(ids, ids[1:]):
-            for k, (uni, bi, total, scale) in enumerate(((ut, bt, n, 1), (ub, bb, m, n / m))):
-                floor = (uni[b] * scale + 1) / (total * scale + size)
-                sums[k] -= math.log(0.7 * (bi[a, b] / uni[a] if uni[a] else floor) + 0.3 * floor)
+            for k, (uni, bi, total, scale, off) in enumerate(((ut, bt, rest, 1, mine), (ub, bb, m - 3001, rest / (m - 3001), 1))):
+                floor = ((uni[b] - off * own[b]) * scale + 1) / (total * scale + size)
+                before = uni[a] - off * own[a]
+                sums[k] -= math.log(0.7 * ((bi[a, b] - off * pairs[a, b]) / before if before else floor) + 0.3 * floor)
         assert math.isclose(r.target_loss, sums[0] / 3001, rel_tol=1e-9) and math.isclose(r.background_loss, sums[1] / 3001, rel_tol=1e-9)

@@ -3,12 +3,17 @@
 import hashlib
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.llm import additive, components, minhash, queries, suffixes, tagpaths
+from palimpsest.llm.common import same_bytes
 
 from .test_basic import EDGE, frame
 
@@ -92,6 +97,40 @@ def test_near_duplicates_brute_force(spark, monkeypatch, seed, longest, block):
     assert got == twice
 
 
+@pytest.mark.parametrize("bits", [1, 6])
+def test_near_duplicates_names_of_sets(spark, bits):
+    """Names of 1 or 6 bits stand for many sets: second ones replace them, and strangers stay strangers."""
+    rows = list(dict.fromkeys(near_rows(5)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs, 85, bits=bits).collect())
+    assert got == brute_near(rows, 85)
+
+
+def test_tied_lists():
+    """Long lists of a task become ties and a few entries: the same components, and short lists stay as they are."""
+    r = np.random.default_rng(4)
+    values, classes = r.integers(0, 40, 900) ** 2 // 40, r.integers(0, 500, 900)
+    both = np.unique(np.stack([values, classes], 1), axis=0)
+    v, c, t = minhash.tied(both[:, 0], both[:, 1], 6)
+    entries, lists = defaultdict(set), defaultdict(set)
+    for x, y in both.tolist():
+        lists[x].add(y)
+    for x, y, z in zip(v.tolist(), c.tolist(), t.tolist()):
+        if z < 0:
+            entries[x].add(y)
+    assert all(entries[x] == m if len(m) <= 6 else entries[x] == set(sorted(m)[:7]) for x, m in lists.items())
+    ties = {(y, z) for x, y, z in zip(v.tolist(), c.tolist(), t.tolist()) if z >= 0}
+    assert ties == {(y, min(m)) for m in lists.values() if len(m) > 6 for y in m if y != min(m)} and all(x == y for x, y, z in zip(v, c, t) if z >= 0)
+
+
+def test_near_duplicates_clashing_names(spark):
+    long = " ".join(f"w{i}" for i in range(30_000))
+    docs = spark.createDataFrame([(1, long, 5, 6), (2, long + " more", 7, 8), (None, long, 9, 9), (3, None, 1, 1), (3, "b", 1, 1), (3, "a", 1, 1)], "doc_id bigint, text string, nth int, kept_id int").withColumn("node", F.lit(1)).withColumn("cls", F.lit("x"))
+    out = minhash.deduplicated(docs)
+    assert out.columns == docs.columns and sorted((str(r.doc_id), r.nth, r.kept_id) for r in out.collect()) == [("1", 5, 6), ("3", 1, 1), ("None", 9, 9)]
+    assert minhash.deduplicated(docs.limit(0)).collect() == []
+
+
 def test_near_duplicates_real_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
@@ -189,6 +228,74 @@ def test_repeats_real_rows(spark):
     assert got == brute_repeats(rows)
 
 
+def repeats_without_spark(rows, blocks=3, bits=2):
+    """The worker functions one after another, so that a test can change their parameters."""
+    def dealt(batches, column):
+        out = defaultdict(list)
+        for b in batches:
+            for r in b.to_pylist():
+                out[r[column]].append(r)
+        return {k: pa.Table.from_pylist(v, mail) for k, v in sorted(out.items())}
+
+    mail = pa.schema(list(zip(suffixes._NAMES, suffixes._TYPES)))
+    docs = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("block", pa.int32())])
+    table = pa.Table.from_pylist([{"doc_id": i, "text": t, "block": i % blocks} for i, t in rows], docs)
+    sent = [b for part in (table[:20], table[20:]) for b in suffixes._scan(blocks, bits)(iter(part.combine_chunks().to_batches()))]
+    told = [b for p, t in dealt(sent, "place").items() for b in suffixes._share(blocks, bits)((pa.scalar(p),), iter(t.to_batches()))]
+    told, found = dealt(told, "block"), []
+    parts = {b: table.filter(pa.compute.equal(table.column("block"), b)) for b in range(blocks)}
+    for b in range(blocks):
+        found += suffixes._emit(bits, "block")(parts[b], told.get(b, mail.empty_table())).to_batches()
+    texts = []
+    for level in range(len(suffixes.GRAMS)):
+        texts.append(sum(r["kind"] == suffixes.TEXT for b in found for r in b.to_pylist()))
+        found = [b for p, t in dealt(found, "place").items() for b in suffixes._sort_bucket(level, bits)((pa.scalar(p),), iter(t.to_batches(max_chunksize=1)))]
+    spans = dealt(found, "block")
+    done = [suffixes._digests(False)(parts[b], spans.get(b, mail.empty_table())) for b in range(blocks)]
+    return sorted(tuple(r.values())[:5] for t in done for r in t.to_pylist()), texts
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_repeats_compare_bytes(monkeypatch, seed):
+    """Digests of 8 bits (nearly all strings agree) change nothing."""
+    rows = repeat_rows(seed)
+    plain = suffixes._digest
+    monkeypatch.setattr(suffixes, "_digest", lambda *a: plain(*a) & np.uint64(0xFF))
+    assert repeats_without_spark(rows)[0] == brute_repeats(rows)
+    monkeypatch.setattr(suffixes, "_digest", lambda *a: plain(*a) * np.uint64(0))
+    assert repeats_without_spark(rows)[0] == brute_repeats(rows)
+
+
+@pytest.mark.parametrize("bucket,key,part,some", [(20_000, 400, 1 << 20, 1 << 16), (1500, 200, 500, 64), (60, 50, 100, 16)])
+def test_repeats_hot_keys_are_dealt_anew(monkeypatch, bucket, key, part, some):
+    """One phrase of 46 bytes with very many surroundings, and buckets, keys, parts and ranges that hold next to nothing."""
+    for name, value in (("BUCKET_BYTES", bucket), ("KEY_BYTES", key), ("PART", part), ("RANGE", some)):
+        monkeypatch.setattr(suffixes, name, value)
+    r = random.Random(bucket)
+    phrase = "Licensed under the Apache License, Version 2.0"
+    rows = repeat_rows(3) + [(1000 + i, f"{r.random()} {phrase} {r.choice('abc')} {r.random()}") for i in range(60)]
+    got, texts = repeats_without_spark(rows)
+    assert got == brute_repeats(rows) and texts[1] > 0 and (key > 200 or texts[2] > 0)
+
+
+def test_same_bytes():
+    r = np.random.default_rng(1)
+    a, b = (np.concatenate([r.integers(0, 2, 4000).astype(np.uint8), np.zeros(8, np.uint8)]) for _ in range(2))
+    x, y, n = r.integers(0, 3900, 3000), r.integers(0, 3900, 3000), r.integers(1, 30, 3000)
+    assert same_bytes(a, x, b, y, n).tolist() == [bytes(a[i : i + m]) == bytes(b[j : j + m]) for i, j, m in zip(x, y, n)]
+    assert same_bytes(a, x, a, x, n).all()
+
+
+def test_repeats_clashing_names_and_long_texts(spark):
+    text = "And so on, line by line. " * 8000
+    rows = [(1, text, 7), (2, "x" + text + "y", 8), (3, None, 9), (3, None, 9), (None, text, 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, block int").withColumn("BLOCK_", F.lit("mine")).withColumn("place", F.lit(3))
+    got = {r.doc_id: r for r in suffixes.removed_documents(docs).collect() if r.doc_id != 3}
+    assert got[2].text == "xy" and got[1].text == got[None].text == text and got[2].block == 8 and got[2]["BLOCK_"] == "mine" and got[1].place == 3
+    assert sorted(tuple(r) for r in suffixes.remove_repeats(docs.where("doc_id < 3"), keep=False).collect()) == brute_repeats([r[:2] for r in rows[:2]])
+    assert suffixes.removed_documents(docs.limit(0)).collect() == []
+
+
 def test_repeats_edges(spark):
     got = suffixes.remove_repeats(frame(spark)).collect()
     assert len(got) == len(EDGE) and all(r.n_removed == 0 for r in got)  # equal ids are one document
@@ -237,6 +344,45 @@ def test_pages_keep_what_the_ratios_select():
     assert tagpaths.main_text(f"<body><article>{story}<div class='share'><p>Tell others</p></div>{more}</article></body>") == whole
 
 
+def test_pages_ratios_decide_on_real_pages(spark, monkeypatch):
+    """With one constant ratio for all paths nearly every page comes out otherwise; without its <article> most pages stay as they are."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    texts = [tagpaths.main_text(p) for p in pages]
+    bare = [tagpaths.main_text(re.sub(r"(</?)(article|main)\b", r"\1div", p)) for p in pages]
+    assert sum(a == b for a, b in zip(texts, bare)) >= 0.88 * len(pages)
+    monkeypatch.setattr(tagpaths, "path_ratios", lambda nodes: {n.path: 1.0 for n in nodes if n.text != " "})
+    assert sum(tagpaths.main_text(p) != t for p, t in zip(pages, texts)) > 0.9 * len(pages)
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<a '", '<a ">" ', "<b>x", "<div>x ", "</x>", "<div></p>", "<!--", "<p", "<ul><li>", '<i class="ad">', "<!x ", "<td>1<tr>", "&lt;", "<script>"])
+def test_pages_broken_markup_takes_linear_time(unit):
+    page = f"<body><article><p>Some text, with marks.</p>{unit * 2000}"
+    start = time.perf_counter()
+    assert tagpaths.main_text(page).startswith("Some text, with marks.")
+    small = time.perf_counter() - start
+    start = time.perf_counter()
+    tagpaths.main_text(page + unit * 38_000)
+    assert time.perf_counter() - start < 60 * small + 1  # 20 times the length
+
+
+def test_pages_odd_tags():
+    """A `>` in quotes, a quote that is never closed, an end that is never opened, nesting without end."""
+    prose = "Some running text, with marks, that goes on. And on it goes, for a while."
+    assert tagpaths.main_text(f"<article><p title='a > b'>{prose}</p></i></article>") == prose
+    assert tagpaths.main_text(f'<article><p title="x>{prose}</p><p>Next, and more of it, here.</p></article>') == prose + "\n\nNext, and more of it, here."
+    deep = "<div>" * 3000 + f"<p>{prose}</p>" + "</div>" * 3000
+    assert tagpaths.main_text(f"<body><article>{deep}<p>After, and more of it, here.</p></article></body>") == prose + "\n\nAfter, and more of it, here."
+    assert tagpaths.main_text("<body><article></article><div><p>Not the article, but prose, with marks.</p></div></body>") == ""
+
+
+def test_pages_edges(spark):
+    rows = [(1, "u", "<p>One, two.</p>"), (1, "u", "<p>One, two.</p>"), (None, None, None), (2, "v", "<p>" + "word, " * 100_000)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("text", F.lit("clash")).withColumn("n_chars", F.lit("clash"))
+    got = sorted((str(r.page_id), r.text, r.n_chars) for r in tagpaths.extract(df).collect())
+    assert [g[2] for g in got] == [9, 9, 599_999, 0] and got[0] == got[1] and tagpaths.extract(df).columns == ["page_id", "url", "text", "n_chars"]
+    assert tagpaths.extract(df.limit(0)).collect() == []
+
+
 def test_pages_query(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     rows = queries.op6_tag_path_text(spark, SF).collect()
@@ -282,6 +428,43 @@ def test_nearest_recall(spark):
     assert hits / sum(map(len, want.values())) >= 0.97
 
 
+def test_nearest_recall_at_each_size():
+    """Lists, codes and estimates alone, without Spark: the quantiser decides at 500 rows as it does at 10,000."""
+    import pyarrow.parquet
+
+    for folder, rerank, least in (("sf0.01", 40, 0.9), ("check_s", additive.RERANK, 0.97)):
+        t = pa.parquet.read_table(f"/root/testdata/{folder}/embeddings.parquet")
+        ids, x = t.column("vec_id").to_numpy(), np.stack(t.column("embedding").to_pylist()).astype(float)
+        index = additive.build(x[:: max(1, len(x) // additive.SAMPLE)])
+        lists, codes, norms = (np.concatenate(p) for p in zip(*(index.encode(x[i : i + 1000]) for i in range(0, len(x), 1000))))
+        sums = index.centroids[lists] + sum(b[codes[:, k]] for k, b in enumerate(index.books))
+        asked = np.flatnonzero(ids % 100 == 0)
+        read = index.lists(x[asked], max(2, index.probes))[:, : index.probes]
+        hits = 0
+        for q, few in zip(asked, read):
+            exact = ((x - x[q]) ** 2).sum(1)
+            exact[q] = np.inf
+            estimate = np.where(np.isin(lists, few) & (ids != ids[q]), norms - 2 * sums @ x[q], np.inf)
+            hits += len(set(np.argsort(exact)[:10]) & set(additive.best_of(np.arange(len(x)), estimate, rerank)))
+        assert hits / (10 * len(asked)) >= least and rerank < len(x) / 10
+
+
+def test_nearest_copies_and_hot_ids(spark):
+    """Many copies of one vector just beyond the true neighbours, and one vec_id with very many vectors, take no place from them."""
+    r = np.random.default_rng(3)
+    rows = [(i, (r.normal(size=8) * 3).tolist()) for i in range(1, 400)]
+    hub = [5.0] * 8
+    rows += [(1000, hub)] + [(2000 + i, (np.array(hub) + r.normal(size=8) * 0.3).tolist()) for i in range(12)]
+    rows += [(5000 + i, [5.9] * 8) for i in range(1500)] + [(7001, (np.array(hub) + 1.1 + r.normal(size=8) * 0.01).tolist()) for _ in range(500)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumn("list", F.lit("clash")).withColumn("code", F.lit("clash")).withColumn("query_id", F.lit("clash"))
+    got, want = defaultdict(list), brute_nearest([(i, np.float32(v).tolist()) for i, v in rows])
+    for x in additive.nearest(df, rerank=40).collect():
+        got[x.query_id].append((x.rank, x.vec_id))
+    assert [v for _, v in sorted(got[1000])] == [v for v, _ in want[1000]]
+    assert [v for _, v in sorted(got[5000])] == list(range(5001, 5011))
+    assert {q: len(set(v)) for q, v in got.items()} == {q: 10 for q in want}
+
+
 def test_nearest_edges(spark, monkeypatch):
     monkeypatch.setattr(additive, "CODE_BLOCK", 7)
     monkeypatch.setattr(additive, "QUERY_BLOCK", 2)
