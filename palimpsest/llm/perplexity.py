@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import bounded, cut, releasing, text_bytes
 
 MIX = 0.7  # weight of the bigram against the unigram
-BLOCK = 8_000_000  # bytes of text
+BLOCK = 10_000_000  # bytes of text
 WORDS_OF = 8  # blocks to a bucket of words; bigrams have as many buckets as there are blocks
 LABEL, WORD, PAIR = 0, 1, 2  # kinds of mail
 _MAIL = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("kind", pa.int32()), ("label_id", pa.int64()), ("keys", pa.binary()), ("background", pa.binary()), ("target", pa.binary())])

@@ -78,3 +78,18 @@ def by_lesson(ranked: DataFrame, behind: DataFrame) -> DataFrame:
     weight = F.coalesce(F.col("support") + F.when(F.col("basis") == "verified_causal", 0.5).otherwise(0.0), F.lit(0.0))
     joined = ranked.join(behind, "edge_id", "left").withColumn("lesson_weight", weight)
     return joined.withColumn("lesson_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("lesson_weight"), "rank")))
+
+
+def lesson_bars(observations: DataFrame, min_support: int = 2, agreement: float = 1.0) -> DataFrame:
+    """decision, bar: why a decision with outcomes has no lesson yet ('trust', 'support', 'agreement'), or 'met'."""
+    signed = F.col("sign").isin([s for s, v in SIGN_VALUE.items() if v])
+    good = signed & F.coalesce(F.col("state").isin(SUPPORTING), F.lit(False))
+    counts = observations.where(signed).groupBy("decision", "sign").agg(F.count_if(good).alias("support"))
+    best = counts.groupBy("decision").agg(F.max("support").alias("best"), F.sum("support").alias("total"))
+    share = F.round(F.col("best") / F.greatest("total", F.lit(1)), 4)
+    return best.select("decision", F.when(F.col("total") == 0, "trust").when(F.col("best") < min_support, "support").when(share < agreement, "agreement").otherwise("met").alias("bar"))
+
+
+def history(verifications: DataFrame) -> DataFrame:
+    """edge_id, nth, id, state of every verification of a fact, oldest first."""
+    return verifications.select("edge_id", F.row_number().over(Window.partitionBy("edge_id").orderBy("id")).alias("nth"), "id", "state")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEPTHS = (1, 5, 10, 20, 30)
@@ -55,7 +55,7 @@ def means(scored: DataFrame, category: str | None = None) -> DataFrame:
     return scored.rollup(category).agg(F.grouping(category).alias("total"), *aggs).withColumn(category, F.when(F.col("total") == 1, "all").otherwise(F.col(category))).drop("total")
 
 
-def bootstrap(paired: DataFrame, resamples: int = 1000, seed: int = 7) -> DataFrame:
+def bootstrap(paired: DataFrame, resamples: int = 5000, seed: int = 7) -> DataFrame:
     """One row: mean difference, its 2.5 and 97.5 percentiles over resamples, and whether 0 lies outside. paired: case_no (0 ..
     n-1), diff. Draw j of resample r is case md5(seed:r:j) mod n, so any engine finds the same numbers. What is drawn is a set of
     cases, so paired is one row a case and small; the draws are made by range and equi-join."""
@@ -128,19 +128,19 @@ def context_saving(answers: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def split_text(text: str, size: int = CHUNK) -> list[str]:
-    """Windows of at most `size` characters, cut at the last paragraph or sentence end in their second half, else at the last space
-    there, else where they end."""
-    out, at = [], 0
-    while at < len(text):
-        part = text[at : at + size]
-        if at + size < len(text):
-            ends = [part.rfind("\n\n"), part.rfind(". ")]
-            best = max(e + 2 for e in ends) if max(ends) >= size // 2 else part.rfind(" ") if part.rfind(" ") > size // 2 else size
-            part = part[:best]
-        at += len(part)
-        if part.strip():
-            out.append(part.strip())
-    return out
+    """Pieces of at most `size` characters. What is left is cut behind the last paragraph or sentence end of its first `size`
+    characters if that lies in their second half, else behind the last space there, else where they end; white space at a cut goes. A
+    text that fits is one piece as it is, an empty one too."""
+    out, rest = [], text
+    while len(rest) > size:
+        ends = [rest.rfind(mark, 0, size) + len(mark) for mark in ("\n\n", ". ") if rest.rfind(mark, 0, size) >= 0]
+        at = max(ends, default=0)
+        if at < size // 2:
+            space = rest.rfind(" ", 0, size)
+            at = space + 1 if space > size // 2 else size
+        out.append(rest[:at].strip())
+        rest = rest[at:].strip()
+    return [*out, rest] if rest or not out else out
 
 
 def chunks(texts: DataFrame, size: int = CHUNK) -> DataFrame:
@@ -150,3 +150,65 @@ def chunks(texts: DataFrame, size: int = CHUNK) -> DataFrame:
         return s.map(lambda t: split_text(t or "", size))
 
     return texts.select("id", F.posexplode(cut("text")).alias("chunk_no", "chunk"))
+
+
+ANSWER_MIN_WORDS = 2
+# Words that are no content of an answer.
+ANSWER_STOPWORDS = (
+    "a an the and or but if of in on at to for from by with about as is are was were be been being do does did have has had will would can could "
+    "should it its this that these those he she they them his her their there here what when where who whom which how why"
+).split()
+
+
+def content_words(text: Column) -> Column:
+    """Distinct runs of a-z and digits of a text, stop words aside."""
+    return F.array_except(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]+)"), 1)), F.array(*[F.lit(w) for w in ANSWER_STOPWORDS]))
+
+
+def external_scores(questions: DataFrame, returned: DataFrame, sessions: DataFrame, depths: tuple[int, ...] = DEPTHS, least: int = ANSWER_MIN_WORDS) -> DataFrame:
+    """For each question (query_id, answer, gold: array of turns): rr, and at each depth recall, hit, session (share of the gold
+    sessions met) and answer_words (share of the answer's content words in the facts), with the share of facts that have a source.
+    returned: query_id, rank, fact, turns (array of source turns); sessions: turn, session. Figures that need gold are null where
+    there is none; answer_words is null for answers of fewer than `least` content words."""
+    asked = questions.select("query_id", F.coalesce("gold", F.array().cast("array<string>")).alias("gold"), content_words(F.col("answer")).alias("wanted"))
+    gold = asked.select("query_id", F.explode("gold").alias("turn")).distinct()
+    gold_sessions = gold.join(sessions, "turn").select("query_id", "session").distinct()
+    need = gold.groupBy("query_id").agg(F.count("*").alias("n_gold"))
+    need_sessions = gold_sessions.groupBy("query_id").agg(F.count("*").alias("n_sessions"))
+    turns = returned.select("query_id", "rank", F.explode("turns").alias("turn"))
+    met = turns.join(gold, ["query_id", "turn"]).groupBy("query_id", "turn").agg(F.min("rank").alias("first"))
+    seen = turns.join(sessions, "turn").join(gold_sessions, ["query_id", "session"]).groupBy("query_id", "session").agg(F.min("rank").alias("first"))
+    within = lambda k: F.sum((F.col("first") <= k).cast("int"))
+    hits = met.groupBy("query_id").agg(F.min("first").alias("first"), *[within(k).alias(f"t{k}") for k in depths])
+    places = seen.groupBy("query_id").agg(*[within(k).alias(f"s{k}") for k in depths])
+    words = returned.select("query_id", "rank", F.explode(content_words(F.col("fact"))).alias("word")).groupBy("query_id", "word").agg(F.min("rank").alias("first"))
+    told = asked.select("query_id", F.explode("wanted").alias("word")).join(words, ["query_id", "word"]).groupBy("query_id").agg(*[within(k).alias(f"w{k}") for k in depths])
+    rate = returned.groupBy("query_id").agg(F.count("*").alias("returned"), F.sum(F.length(F.coalesce("fact", F.lit("")))).alias("sum_chars"), F.avg((F.size("turns") > 0).cast("double")).alias("rate"))
+    row = asked
+    for part in (need, need_sessions, hits, places, told, rate):
+        row = row.join(part, "query_id", "left")
+    known, n = F.size("gold") > 0, F.size("wanted")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    out = [F.when(known, F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6)).alias("rr")]
+    for k in depths:
+        out += [F.when(known, F.round(zero(f"t{k}") / F.col("n_gold"), 6)).alias(f"recall_{k}"), F.when(known, (zero(f"t{k}") > 0).cast("double")).alias(f"hit_{k}")]
+        out += [F.when(known, F.coalesce(F.round(zero(f"s{k}") / F.col("n_sessions"), 6), F.lit(0.0))).alias(f"session_{k}"), F.when(n >= least, F.round(zero(f"w{k}") / n, 6)).alias(f"answer_words_{k}")]
+    return row.select("query_id", *out, zero("returned").cast("bigint").alias("returned"), F.round("rate", 6).alias("attribution_rate"))
+
+
+def coverage(facts: DataFrame, questions: DataFrame, judgements: DataFrame, judged_by: str) -> DataFrame:
+    """By scope: live facts, opened questions, what this judge judged, and whether that is all. facts: group_id, t_invalid; questions:
+    query_id, group_id, opened_at; judgements: query_id, edge_id, judged_by."""
+    active = facts.where("t_invalid IS NULL").groupBy("group_id").agg(F.count("*").alias("active_facts"))
+    opened = questions.where("opened_at IS NOT NULL").groupBy("group_id").agg(F.count("*").alias("questions"))
+    judged = judgements.where(F.col("judged_by") == judged_by).select("query_id", "edge_id").distinct().join(questions.select("query_id", "group_id"), "query_id").groupBy("group_id").agg(F.count("*").alias("judged"))
+    row = active.join(opened, "group_id", "full").join(judged, "group_id", "full").na.fill(0, ["active_facts", "questions", "judged"])
+    row = row.withColumn("possible", F.col("active_facts") * F.col("questions"))
+    return row.withColumn("complete", (F.col("possible") > 0) & (F.col("judged") >= F.col("possible")))
+
+
+def todo_scopes(expected: DataFrame, stored: DataFrame) -> DataFrame:
+    """group_id, action of a run that goes on where it stopped: 'skip' where a scope holds as many facts as expected (group_id, n),
+    'ingest' where it holds none, else 'clear' first."""
+    j = expected.join(stored.select("group_id", F.col("n").alias("have")), "group_id", "left").na.fill(0, ["have"])
+    return j.select("group_id", F.when(F.col("have") == F.col("n"), "skip").when(F.col("have") == 0, "ingest").otherwise("clear").alias("action"))

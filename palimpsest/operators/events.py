@@ -55,6 +55,32 @@ def drain_order(inbox: DataFrame, most: int = 100) -> DataFrame:
     return inbox.where("state = 'pending'").withColumn("position", nth).where(F.col("position") <= most)
 
 
+def drain(inbox: DataFrame, limit: int = 100) -> dict[str, DataFrame]:
+    """The oldest `limit` waiting events, applied one by one in effect: 'facts' of those that can be applied, 'inbox' with the new states.
+    An event that breaks a rule when it is its turn (judged at the time it occurred, so waiting makes none late) is rejected with the
+    reason and stops none of the others; each one taken counts an attempt. Waiting ones beyond the limit stay as they are."""
+    order = [F.col("received_at"), F.col("event_id"), F.col("group_id")]
+    turn = inbox.where("state = 'pending'").orderBy(*order).limit(limit).select("group_id", "event_id").withColumn("taken", F.lit(True))
+    j = inbox.join(F.broadcast(turn), ["group_id", "event_id"], "left")  # `limit` rows
+    wrong = F.coalesce(reason(F.col("occurred_at")), F.when(F.coalesce(F.trim("subject"), F.lit("")) == "", "subject"))
+    taken = F.coalesce("taken", F.lit(False)) & (F.col("state") == "pending")
+    judged = j.withColumn("error", F.when(taken, wrong)).withColumn("attempts", F.col("attempts") + taken.cast("int")).withColumn("was", taken)
+    after = judged.withColumn("state", F.when(~F.col("was"), F.col("state")).when(F.col("error").isNull(), "applied").otherwise("rejected"))
+    return {"facts": apply(after.where("was AND state = 'applied'")), "inbox": after.drop("taken", "was")}
+
+
+def graph_rows(events: DataFrame) -> dict[str, DataFrame]:
+    """What valid events write besides facts: 'nodes' (name, type), 'evidence' (fact of the subject, body) and 'verifications'."""
+    kind = F.col("event_type")
+    outcome = kind.isin("outcome.observed", "deployment.completed", "test.completed")
+    named = F.when(kind == "decision.recorded", F.struct(F.col("subject").alias("name"), F.lit("decision").alias("type"))).when(kind == "action.executed", F.struct(F.col("subject").alias("name"), F.lit("action").alias("type")))
+    named = named.when(outcome, F.struct(F.concat("subject", F.lit(" :: "), F.coalesce("sign", F.lit("unknown"))).alias("name"), F.lit("outcome").alias("type")))
+    nodes = events.select("group_id", named.alias("n")).where("n IS NOT NULL").select("group_id", "n.name", "n.type").distinct()
+    evidence = events.where(kind == "evidence.attached").select("group_id", "event_id", "subject", F.col("payload").alias("body"), "received_at")
+    verified = events.where(kind == "claim.verified").select("group_id", "event_id", "subject", F.lit("verified").alias("state"), F.col("occurred_at").alias("at"))
+    return {"nodes": nodes, "evidence": evidence, "verifications": verified}
+
+
 def apply(events: DataFrame) -> DataFrame:
     """Valid events as facts: subject, relation, object. An outcome's object carries its sign behind ' :: '."""
     kind, at = F.col("event_type"), F.col("occurred_at")

@@ -36,13 +36,28 @@ def authored_hop(seeds: DataFrame, edges: DataFrame, k: int = DEPTH) -> DataFram
     return topk(best.join(seeds.select("query_id", "edge_id"), ["query_id", "edge_id"], "left_anti"), ["query_id"], [F.col("tier"), F.col("seed_rank"), F.col("edge_id")], k)
 
 
+def names_holding(names: DataFrame, terms: DataFrame) -> DataFrame:
+    """name, token: which of the distinct names (column name, lower case) holds which of the distinct terms (token). Containment as an
+    equi-join: the parts of a name that are as long as some term meet the terms."""
+    tokens = terms.select("token").where("token != ''").distinct()
+    sizes = tokens.agg(F.collect_set(F.length("token")).alias("sizes"))  # one row: the lengths that occur
+    sized = names.select("name").distinct().join(F.broadcast(sizes)).select("name", F.explode("sizes").alias("size")).where(F.length("name") >= F.col("size"))
+    part = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name") - F.col("size") + 1), lambda i: F.substr("name", i, F.col("size")))))
+    return sized.select("name", part.alias("token")).join(tokens, "token").select("name", "token")
+
+
 def needs_expansion(terms: DataFrame, nodes: DataFrame, edges: DataFrame, most: int = 8) -> DataFrame:
-    """query_id, n_named, n_linked, expand: two or more nodes are named by a query's terms and no live edge joins any two of them.
-    terms: query_id, token; a node answers when a word of its name is the token."""
-    words = nodes.select("node", F.explode(F.array_distinct(F.split(F.lower("name"), r"[^\p{L}\p{N}]+"))).alias("token"))
-    named = topk(terms.join(words, "token").select("query_id", "node").distinct(), ["query_id"], [F.col("node")], most).select("query_id", "node")
+    """query_id, n_named, n_linked, expand: two or more nodes are named by a query of two terms at least, and no live edge joins any two
+    of the first `most` of them. terms: query_id, token (and group_id, where a query asks one scope: nodes and edges need it then); a term
+    names a node when the node's name holds it."""
+    scoped = ["group_id"] if "group_id" in terms.columns else []
+    known = nodes.withColumn("name", F.lower("name"))
+    asked = terms.select("query_id", *scoped, "token").distinct()
+    enough = asked.groupBy("query_id").agg(F.count_distinct("token").alias("n_terms")).where("n_terms >= 2").select("query_id")
+    hits = asked.join(enough, "query_id", "left_semi").join(names_holding(known, asked), "token").join(known.select("node", "name", *scoped), ["name", *scoped])
+    named = topk(hits.select("query_id", *scoped, "node").distinct(), ["query_id"], [F.col("node")], most).select("query_id", *scoped, "node")
     count = named.groupBy("query_id").agg(F.count("*").alias("n_named"))
-    start = named.join(edges.select(F.col("start_id").alias("node"), "end_id", "edge_id"), "node").select("query_id", "edge_id", F.col("end_id").alias("other"))
-    linked = start.join(named.withColumnRenamed("node", "other"), ["query_id", "other"]).groupBy("query_id").agg(F.countDistinct("edge_id").alias("n_linked"))
+    start = named.join(edges.select(F.col("start_id").alias("node"), "end_id", "edge_id", *scoped), ["node", *scoped]).select("query_id", "edge_id", F.col("end_id").alias("other"))
+    linked = start.join(named.select("query_id", F.col("node").alias("other")), ["query_id", "other"]).groupBy("query_id").agg(F.countDistinct("edge_id").alias("n_linked"))
     out = count.join(linked, "query_id", "left").na.fill(0, ["n_linked"])
     return out.withColumn("expand", (F.col("n_named") >= 2) & (F.col("n_linked") == 0))

@@ -35,11 +35,30 @@ def redact(facts: DataFrame, policy: str = "minimal", drop_relations: list[str]
 
 
 def redaction_audit(redacted: DataFrame, preview: int = 10) -> DataFrame:
-    """Facts by rule (kept ones as 'kept'), with the first ids of each."""
-    ids = F.slice(F.array_sort(F.collect_list(F.when(F.col("nth") <= preview, F.col("edge_id")))), 1, preview)
-    rule = F.coalesce("rule", F.lit("kept"))
-    ranked = redacted.withColumn("rule", rule).withColumn("nth", F.row_number().over(Window.partitionBy("rule").orderBy("edge_id")))
-    return ranked.groupBy("rule").agg(F.count("*").alias("n"), F.array_join(ids.cast("array<string>"), ",").alias("preview"))
+    """Facts by rule (kept ones as 'kept'), with the first ids of each. Ids are ranked in parts of a rule first, so that no rule's facts
+    meet in one task."""
+    ruled = redacted.select(F.coalesce("rule", F.lit("kept")).alias("rule"), "edge_id").withColumn("part", F.pmod(F.xxhash64("edge_id"), F.lit(64)))
+    counts = ruled.groupBy("rule").agg(F.count("*").alias("n"))
+    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("edge_id"))
+    few = ruled.withColumn("nth", first("rule", "part")).where(F.col("nth") <= preview)
+    few = few.withColumn("nth", first("rule")).where(F.col("nth") <= preview).groupBy("rule").agg(F.array_sort(F.collect_list("edge_id")).alias("ids"))
+    return counts.join(few, "rule").select("rule", "n", F.array_join(F.col("ids").cast("array<string>"), ",").alias("preview"))
+
+
+def substring_candidates(facts: DataFrame, group_id: str, term: str) -> DataFrame:
+    """edge_id, fact of a scope's facts that hold a term, whatever the case: what a person may then choose to erase."""
+    return facts.where((F.col("group_id") == group_id) & F.contains(F.lower("fact"), F.lower(F.lit(term)))).select("edge_id", "fact")
+
+
+def enforce_retention(facts: DataFrame, policies: DataFrame, now: int, audit: DataFrame, side: dict[str, DataFrame], dry_run: bool = True) -> dict[str, DataFrame]:
+    """What the policies end: 'due' only, or (not dry_run) all tables without it."""
+    due = retention_due(facts, policies, now).select("edge_id")
+    return {"due": due} if dry_run else {"due": due, **erase(facts, due, audit, side)}
+
+
+def segment_fault(name: Column) -> Column:
+    """Why a name is no segment of a scope's address, or null: the separator in it would name other scopes."""
+    return F.when(F.contains(name, F.lit(":")), "separator").when(F.trim(F.coalesce(name, F.lit(""))) == "", "empty")
 
 
 def erasure_plan(facts: DataFrame, verb: str, subject: int | str) -> DataFrame:
@@ -113,10 +132,12 @@ def verify_chain(chain: DataFrame) -> DataFrame:
 
 def bundle_digest(facts: DataFrame) -> DataFrame:
     """One row: number of facts and sha256 over their digests in order of id. Lines are hashed where they are; a bundle holds at most
-    10,000 facts, so the ordered list of digests is small."""
+    MAX_BUNDLE_FACTS facts, so the ordered list of digests is small: of more, only the number is given and the digest is null."""
     lines = facts.select("edge_id", F.sha2(F.col("line").cast("binary"), 256).alias("h"))
-    rows = lines.agg(F.count("*").alias("n_facts"), F.array_sort(F.collect_list(F.struct("edge_id", "h"))).alias("all"))
-    return rows.select("n_facts", F.sha2(F.array_join(F.transform("all", lambda x: x["h"]), "\n").cast("binary"), 256).alias("content_digest"))
+    count = facts.agg(F.count("*").alias("n_facts"))
+    rows = lines.orderBy("edge_id", "h").limit(MAX_BUNDLE_FACTS + 1).agg(F.array_sort(F.collect_list(F.struct("edge_id", "h"))).alias("all"))
+    digest = F.sha2(F.array_join(F.transform("all", lambda x: x["h"]), "\n").cast("binary"), 256)
+    return count.join(F.broadcast(rows)).select("n_facts", F.when(F.col("n_facts") <= MAX_BUNDLE_FACTS, digest).alias("content_digest"))  # one row each
 
 
 def importable(facts: DataFrame) -> DataFrame:

@@ -66,6 +66,61 @@ def resolve(mentions: DataFrame, nodes: DataFrame) -> DataFrame:
     return exact.select(cols).unionByName(by_alias.select(cols)).unionByName(fuzzy.select(cols))
 
 
+MAX_ENTITIES = 50
+MAX_FACTS = 200
+
+
+def episode_refusal(entities: DataFrame, facts: DataFrame) -> DataFrame:
+    """episode_id, reason of episodes that are refused as a whole: too many entities or facts, a name that is too long or empty, a fact whose
+    ends are not listed. entities: episode_id, name; facts: episode_id, source, target."""
+    e = entities.groupBy("episode_id").agg(F.count("*").alias("n_entities"), F.max(F.length("name")).alias("longest"), F.max((F.trim("name") == "").cast("int")).alias("blank"))
+    f = facts.groupBy("episode_id").agg(F.count("*").alias("n_facts"))
+    listed = entities.select("episode_id", F.col("name").alias("end")).distinct()
+    ends = facts.select("episode_id", F.explode(F.array("source", "target")).alias("end"))
+    loose = ends.join(listed, ["episode_id", "end"], "left_anti").select("episode_id").distinct().withColumn("loose", F.lit(True))
+    row = e.join(f, "episode_id", "full").join(loose, "episode_id", "left")
+    rules = [("too_many_entities", F.col("n_entities") > MAX_ENTITIES), ("too_many_facts", F.col("n_facts") > MAX_FACTS), ("too_long", F.col("longest") > MAX_STRING), ("empty_name", F.col("blank") == 1), ("unlisted_endpoint", F.col("loose"))]
+    return row.select("episode_id", F.coalesce(*[F.when(broken, name) for name, broken in rules]).alias("reason")).where("reason IS NOT NULL")
+
+
+def resolve_explicit(mentions: DataFrame, claims: DataFrame, nodes: DataFrame) -> DataFrame:
+    """resolve, with claims (mention_id, node) that a caller makes: a claim holds if the node is of the mention's scope and its name or an
+    alias, or near enough (SAME); else the mention is 'refused'. Mentions without a claim are resolved as usual."""
+    claimed = mentions.join(claims, "mention_id").join(nodes.select("node", "group_id", F.col("name").alias("known"), "aliases", F.col("vector").alias("v")), ["node", "group_id"], "left")
+    key = F.lower("name")
+    named = (F.lower("known") == key) | F.array_contains(F.transform("aliases", lambda x: F.lower(x)), key)
+    near = F.aggregate(F.zip_with("vector", "v", lambda x, y: x * y), F.lit(0.0), lambda a, b: a + b) >= SAME
+    holds = F.coalesce(named, F.lit(False)) | F.coalesce(near, F.lit(False))
+    said = claimed.select("mention_id", F.when(holds, "explicit").otherwise("refused").alias("decision"), F.when(holds, F.col("node")).alias("node"))
+    return said.unionByName(resolve(mentions.join(claims.select("mention_id"), "mention_id", "left_anti"), nodes))
+
+
+def write_episodes(current: DataFrame, entities: DataFrame, facts: DataFrame, nodes: DataFrame, claims: DataFrame | None = None) -> dict[str, DataFrame]:
+    """One write of whole episodes: refusal, resolution (claims first), deferral, versions, audit. entities: episode_id, mention_id, group_id,
+    name, vector; facts: episode_id, edge_id, group_id, source, target (names), relation_type, fact, confidence, t_valid. A fact with an end that
+    is ambiguous (or whose claim is refused) is deferred. 'outcomes' has stored, unchanged, deferred or refused for each fact;
+    'episodes' what became of each episode: refused, no_facts, retryable (all deferred), partial, stored or unchanged. New names get
+    ids by hash, so that a rerun writes the same rows."""
+    bad = episode_refusal(entities, facts)
+    good = entities.join(bad.select("episode_id"), "episode_id", "left_anti")
+    mentions = good.select("mention_id", "group_id", "name", "vector").dropDuplicates(["mention_id"])
+    found = resolve(mentions, nodes) if claims is None else resolve_explicit(mentions, claims, nodes)
+    fresh = F.when(F.col("decision") == "new", F.xxhash64("group_id", F.lower("name"))).otherwise(F.col("node"))
+    known = good.select("episode_id", "mention_id", "group_id", "name").join(found, "mention_id").select("episode_id", "name", "decision", fresh.alias("node"))
+    end = lambda side, node: known.select("episode_id", F.col("name").alias(side), F.col("node").alias(node), F.col("decision").isin("ambiguous", "refused").alias(f"{node}_open"))
+    todo = facts.join(bad.select("episode_id"), "episode_id", "left_anti").join(end("source", "start_id"), ["episode_id", "source"]).join(end("target", "end_id"), ["episode_id", "target"])
+    waits = todo.where("start_id_open OR end_id_open")
+    batch = todo.where("NOT (start_id_open OR end_id_open)")
+    wrote = write_batch(current, batch)
+    parts = [wrote["outcomes"], waits.select("edge_id", F.lit("deferred").alias("outcome")), facts.join(bad.select("episode_id"), "episode_id", "left_semi").select("edge_id", F.lit("refused").alias("outcome"))]
+    outcomes = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    each = entities.select("episode_id").distinct().join(facts.select("episode_id", "edge_id").join(outcomes, "edge_id"), "episode_id", "left")
+    n = lambda name: F.count_if(F.col("outcome") == name)
+    counts = each.join(bad, "episode_id", "left").groupBy("episode_id").agg(F.count("edge_id").alias("n"), n("stored").alias("stored"), n("deferred").alias("deferred"), n("refused").alias("refused"), F.max("reason").alias("reason"))
+    state = F.when(F.col("reason").isNotNull(), "refused").when(F.col("n") == 0, "no_facts").when(F.col("deferred") == F.col("n"), "retryable").when(F.col("deferred") + F.col("refused") > 0, "partial").when(F.col("stored") > 0, "stored").otherwise("unchanged")
+    return wrote | {"outcomes": outcomes, "episodes": counts.select("episode_id", state.alias("state"), "reason"), "resolutions": found}
+
+
 def write_batch(current: DataFrame, batch: DataFrame) -> dict[str, DataFrame]:
     """Facts after a batch, and what became of each statement. Both have edge_id, group_id, start_id, end_id, relation_type, fact,
     confidence, t_valid (current: live ones). In a scope the statements of one (start, end, relation) follow each other by time and id;

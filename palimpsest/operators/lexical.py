@@ -46,7 +46,7 @@ def bm25_scores(queries: DataFrame, facts: DataFrame, by_scope: bool = False) ->
     stats = scope_stats(facts)
     wanted = table.join(terms.select("token").distinct(), "token", "left_semi")  # postings of asked tokens only go on
     df = wanted.groupBy("group_id", "token").agg(F.count("*").alias("df"))
-    postings = wanted.join(df, ["group_id", "token"]).join(F.broadcast(stats), "group_id")
+    postings = wanted.join(df, ["group_id", "token"]).join(stats, "group_id")
     tf, dl, avg = F.col("tf"), F.col("dl"), F.greatest(F.col("avg_len"), F.lit(1.0))
     part = idf(F.col("n_docs"), F.col("df")) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avg))
     weighed = postings.select("group_id", "edge_id", "token", part.alias("part"))
@@ -55,15 +55,20 @@ def bm25_scores(queries: DataFrame, facts: DataFrame, by_scope: bool = False) ->
     return weighed.join(terms, on).groupBy(*keys).agg(F.sum("part").alias("score"))
 
 
-def bm25(queries: DataFrame, facts: DataFrame, k: int = DEPTH, by_scope: bool = False) -> DataFrame:
+def bm25(queries: DataFrame, facts: DataFrame, k: int = DEPTH, by_scope: bool = False, only: DataFrame | None = None) -> DataFrame:
+    """The k best of each query (of each query and scope, if by_scope). only: edge_id of the facts that may be ranked; statistics
+    describe all of them."""
     scores = bm25_scores(queries, facts, by_scope)
+    scores = scores if only is None else scores.join(only, "edge_id", "left_semi")
     by = ["query_id", "group_id"] if by_scope else ["query_id"]
     return topk(scores.withColumn("score", F.round("score", 6)), by, [F.desc("score"), F.col("edge_id")], k)
 
 
-def match_count(queries: DataFrame, facts: DataFrame, k: int = DEPTH) -> DataFrame:
+def match_count(queries: DataFrame, facts: DataFrame, k: int = DEPTH, by_scope: bool = False, only: DataFrame | None = None) -> DataFrame:
     """Ranking without statistics (as-of reads): distinct matched terms, then their frequency, then id."""
-    hits = token_table(facts).join(query_terms(queries), "token").groupBy("query_id", "edge_id").agg(F.count("*").alias("matched_terms"), F.sum("tf").alias("tf"))
+    table = token_table(facts if only is None else facts.join(only, "edge_id", "left_semi"))
+    on = ["group_id", "token"] if by_scope else ["token"]
+    hits = table.join(query_terms(queries), on).groupBy("query_id", "edge_id").agg(F.count("*").alias("matched_terms"), F.sum("tf").alias("tf"))
     return topk(hits, ["query_id"], [F.desc("matched_terms"), F.desc("tf"), F.col("edge_id")], k)
 
 

@@ -89,3 +89,74 @@ def worked_without_recording(activity: DataFrame, audit: DataFrame, edits: int =
 def turn_batches(turns: DataFrame, size: int = 40) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("session_id").orderBy("position"))
     return turns.withColumn("batch", F.floor((nth - 1) / size).cast("int"))
+
+
+# Documents of these sources are read first.
+SOURCE_ORDER = ["claude-memory", "project-instructions", "gstack-learnings"]
+
+
+def pending_documents(queue: DataFrame, project: str | None = None) -> DataFrame:
+    """Open entries (path, project, digest, noticed_at, source, ingested_at) with their position: by source, project, time noticed."""
+    rank = F.lit(len(SOURCE_ORDER))
+    for k, name in reversed(list(enumerate(SOURCE_ORDER))):
+        rank = F.when(F.col("source") == name, k).otherwise(rank)
+    todo = queue.where("ingested_at IS NULL")
+    todo = todo if project is None else todo.where(F.col("project") == project)
+    # one window a project and source; what comes before them is a count over few groups
+    todo = todo.withColumn("source_rank", rank)
+    groups = todo.groupBy("source_rank", "project").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("source_rank", "project").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    nth = F.row_number().over(Window.partitionBy("source_rank", "project").orderBy("noticed_at", "path"))
+    placed = todo.withColumn("nth", nth).join(groups.withColumn("before", before).drop("n"), ["source_rank", "project"])
+    return placed.select("path", "project", "digest", "noticed_at", "source", (F.col("before") + F.col("nth")).alias("position"))
+
+
+def mark_ingested(queue: DataFrame, done: DataFrame, at: int, session_id: str | None = None) -> DataFrame:
+    """The queue after the open ones of `done` (path) were read; `closed` says which rows that changed."""
+    j = queue.join(done.select("path").distinct().withColumn("done", F.lit(True)), "path", "left")
+    closed = F.coalesce("done", F.lit(False)) & F.col("ingested_at").isNull()
+    return j.withColumn("closed", closed).withColumn("ingested_at", F.when(F.col("closed"), F.lit(at)).otherwise(F.col("ingested_at"))).withColumn("ingested_by_session", F.when(F.col("closed"), F.lit(session_id))).drop("done")
+
+
+def session_activity(activity: DataFrame, audit: DataFrame) -> DataFrame:
+    """session_id, n_edits, n_written: edits of a session and the facts that it created."""
+    edits = activity.groupBy("session_id").agg(F.sum("n_edits").cast("bigint").alias("n_edits"))
+    wrote = audit.where("mutation_type = 'created'").groupBy("session_id").agg(F.count("*").alias("n_written"))
+    return edits.join(wrote, "session_id", "full").na.fill(0, ["n_edits", "n_written"])
+
+
+def author_of(facts: DataFrame, asked: DataFrame) -> DataFrame:
+    """edge_id, author of each fact asked for: its writer, 'unattributed' where it has none, 'unknown' where there is no such fact."""
+    j = asked.select("edge_id").distinct().join(facts.select("edge_id", F.coalesce("agent_id", F.lit("unattributed")).alias("author")), "edge_id", "left")
+    return j.select("edge_id", F.coalesce("author", F.lit("unknown")).alias("author"))
+
+
+def record_reads(log: DataFrame, reads: DataFrame) -> DataFrame:
+    """The read log with new reads: a read that returned nothing has a null instead of an empty list."""
+    returned = F.when(F.size("returned") > 0, F.col("returned"))
+    return log.unionByName(reads.withColumn("returned", returned), allowMissingColumns=True)
+
+
+def unwritten_work(queue: DataFrame, audit: DataFrame, now: int) -> DataFrame:
+    """One row: documents that wait, days since a fact was written, projects that wait."""
+    waiting = queue.where("ingested_at IS NULL").agg(F.count("*").alias("pending"), F.count_distinct("project").alias("projects"))
+    last = audit.where("mutation_type = 'created'").agg(F.floor((F.lit(now) - F.max("at")) / DAY).alias("days_since_write"))
+    return waiting.join(F.broadcast(last))  # one row each
+
+
+def recall_saves(saves: DataFrame, reads: DataFrame) -> DataFrame:
+    """Saves (edge_id, written_by, recalled_by) that count: both named, different, once each; `delivered` where the read log shows
+    that the reader was given the fact."""
+    good = saves.where("trim(coalesce(written_by, '')) != '' AND trim(coalesce(recalled_by, '')) != '' AND written_by != recalled_by").select("edge_id", "written_by", "recalled_by").distinct()
+    given = reads.select(F.explode("returned").alias("edge_id"), F.col("agent_id").alias("recalled_by")).distinct().withColumn("delivered", F.lit(True))
+    return good.join(given, ["edge_id", "recalled_by"], "left").na.fill(False, ["delivered"])
+
+
+def metrics(events: DataFrame, most: int = 1000) -> DataFrame:
+    """name, label, n, total of counters (name, label, value): the first `most` labels of a name by time, the others under 'overflow'.
+    Keys that would carry content are refused."""
+    clean = events.where(~F.lower("name").rlike("(^|[._])(fact|text|query|prompt|content|payload)($|[._])"))
+    first = clean.groupBy("name", "label").agg(F.min("at").alias("first_at"))
+    nth = F.row_number().over(Window.partitionBy("name").orderBy("first_at", "label"))
+    series = first.withColumn("series", F.when(nth <= most, F.col("label")).otherwise("overflow")).drop("first_at")
+    return clean.join(series, ["name", "label"]).groupBy("name", F.col("series").alias("label")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))

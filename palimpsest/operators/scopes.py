@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .expand import names_holding
 from .fusion import RRF_K, fit_to_budget
+from .retrieve import Options, query_memory
 
 MATCHED_NODES = 32
 HALF = 10
@@ -16,15 +20,9 @@ def score_scopes(terms: DataFrame, nodes: DataFrame, edges: DataFrame, cap: int
     """query_id, group_id, matched_terms, candidate_facts, score = coverage * (0.75 + 0.25 * facts / (facts + 10)).
 
     terms: query_id, token; nodes: group_id, node, name; edges: group_id, edge_id, start_id, end_id (live). A term names a node when
-    the node's name holds it; the few distinct terms meet the distinct name words first, so no name is compared twice."""
-    tokens = terms.select("token").distinct()
-    words = nodes.select(F.explode(F.array_distinct(F.split(F.lower("name"), r"\s+"))).alias("word")).distinct().where("word != ''")
-    # containment on an equi-join: every substring of a word as long as some term
-    held = words.withColumn("size", F.explode(F.array_distinct(F.sequence(F.lit(3), F.greatest(F.length("word"), F.lit(3))))))
-    part = held.withColumn("token", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("word") - F.col("size") + 1, F.lit(1))), lambda i: F.substr("word", i, F.col("size"))))))
-    pairs = part.join(tokens, "token", "left_semi").select("word", "token").distinct()
-    of_node = nodes.select("group_id", "node", F.explode(F.array_distinct(F.split(F.lower("name"), r"\s+"))).alias("word"))
-    named = of_node.join(pairs, "word").select("group_id", "node", "token").distinct()
+    the node's name holds it; the few distinct terms meet the distinct names first, so no name is compared twice."""
+    known = nodes.select("group_id", "node", F.lower("name").alias("name"))
+    named = known.join(names_holding(known, terms), "name").select("group_id", "node", "token").distinct()
     hits = named.join(terms, "token")
     covered = hits.groupBy("query_id", "group_id").agg(F.countDistinct("token").alias("matched_terms"))
     first = Window.partitionBy("query_id", "group_id").orderBy("node")
@@ -66,8 +64,40 @@ def over_fetch(top_k: int) -> int:
     return min(100, max(3 * top_k, 30))
 
 
-def assemble(per_scope: DataFrame, scores: DataFrame, facts: DataFrame, default: str, top_k: int = 10, budget: int = 0, most: int = 3) -> DataFrame:
-    """Route, fuse, cut, fit: per_scope lists of all scopes, scores of scopes, facts (edge_id, fact)."""
-    read = choose(scores, default, most).where("read")
-    fused = fuse_scopes(per_scope, weights(read), RRF_K).where(F.col("rank") <= top_k)
-    return fit_to_budget(fused.join(facts.select("edge_id", "fact"), "edge_id"), budget)
+def route(queries: DataFrame, scopes: DataFrame, scores: DataFrame, default: str | None = None, most: int = 3, least: float = 0.0) -> DataFrame:
+    """query_id, group_id, position, score, reason, read, weight: each query against each scope it may read. scopes: group_id,
+    position (MAX_SCOPES at most). Where no scope scores above `least` (and there is no default), the first `most` scopes are read as
+    a fallback: the vector channel may answer what names no entity."""
+    if scopes.limit(MAX_SCOPES + 1).count() > MAX_SCOPES:
+        raise ValueError(f"at most {MAX_SCOPES} scopes")
+    every = queries.select("query_id").join(F.broadcast(scopes.select("group_id", "position")))  # MAX_SCOPES rows
+    scored = every.join(scores.select("query_id", "group_id", "score"), ["query_id", "group_id"], "left").na.fill(0.0, ["score"])
+    mine = F.col("group_id").eqNullSafe(F.lit(default))
+    each = Window.partitionBy("query_id")
+    nth = F.row_number().over(each.orderBy(mine.desc(), (F.col("score") > least).desc(), F.desc("score"), "group_id"))
+    reason = F.when(mine, "default").when(F.col("score") <= least, "below_threshold").when(nth > most, "over_limit").otherwise("chosen")
+    ranked = scored.withColumn("reason", reason)
+    lost = F.max(F.col("reason").isin("default", "chosen").cast("int")).over(each) == 0
+    ranked = ranked.withColumn("reason", F.when(lost & (F.col("position") <= most), "fallback").otherwise(F.col("reason"))).withColumn("read", F.col("reason").isin("default", "chosen", "fallback"))
+    best = F.max(F.when(F.col("read"), F.col("score"))).over(each)
+    return ranked.withColumn("weight", F.when(F.col("read"), F.when(best > 0, F.round(F.greatest(F.lit(0.1), F.col("score") / best), 6)).otherwise(1.0)))
+
+
+def query_across(queries: DataFrame, facts: DataFrame, read: DataFrame, options: Options | None = None, **tables: DataFrame) -> DataFrame:
+    """query_id, rank, edge_id, group_id, fused: one list out of one retrieval for each query and scope. read: query_id, group_id,
+    position, weight (as route gives them, read ones only); options and tables as in query_memory. A scope is read over_fetch deep; every
+    fact is of a scope that its query reads, since each retrieval ranks facts of its own scope only."""
+    o = options or Options()
+    each = queries.drop("group_id").join(read.select("query_id", "group_id", "position", "weight"), "query_id").withColumn("sub", F.col("query_id") * MAX_SCOPES + F.col("position") - 1)
+    per = query_memory(each.select(F.col("sub").alias("query_id"), "text", "vector", "group_id"), facts, replace(o, top_k=over_fetch(o.top_k)), **tables)
+    lists = per.select(F.col("query_id").alias("sub"), "edge_id", "rank").join(each.select("sub", "query_id", "group_id", "weight"), "sub").drop("sub")
+    fused = fuse_scopes(lists.drop("weight"), each.select("query_id", "group_id", "weight"), o.rrf_k)
+    return fused.where(F.col("rank") <= o.top_k).select("query_id", "rank", "edge_id", "group_id", "fused")
+
+
+def assemble(queries: DataFrame, facts: DataFrame, scopes: DataFrame, scores: DataFrame, default: str | None = None, budget: int = 0, most: int = 3, least: float = 0.0, options: Options | None = None, **tables: DataFrame) -> dict[str, DataFrame]:
+    """Route, ask each scope, fuse, cut, fit: 'facts' is the answer within the token budget, 'routing' says for each query and scope why
+    it was read or not."""
+    routing = route(queries, scopes, scores, default, most, least)
+    fused = query_across(queries, facts, routing.where("read"), options, **tables)
+    return {"facts": fit_to_budget(fused.join(facts.select("edge_id", "fact"), "edge_id"), budget), "routing": routing}

@@ -53,9 +53,9 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = DEPTH, other_only:
     return topk(found, ["query_id"], [F.desc("score"), ties if ties is not None else F.col("edge_id")], k)
 
 
-def vector_channel(queries: DataFrame, vectors: DataFrame, floor: float | None = FLOOR, k: int = DEPTH) -> DataFrame:
-    """The 50 nearest first, the floor after: the order matters. Ties by the id as text."""
-    best = nearest(queries, vectors, k, ties=F.col("edge_id").cast("string"))
+def vector_channel(queries: DataFrame, vectors: DataFrame, floor: float | None = FLOOR, k: int = DEPTH, scope: bool = False) -> DataFrame:
+    """The 50 nearest first, the floor after: the order matters. Ties by the id as text. scope: as in nearest."""
+    best = nearest(queries, vectors, k, scope=scope, ties=F.col("edge_id").cast("string"))
     return best if floor is None else best.where(F.col("score") >= floor)
 
 

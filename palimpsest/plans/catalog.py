@@ -327,22 +327,31 @@ def scratchpad(s, d):
     return graph.scratchpad(live.select("edge_id", "start_id", "end_id", "t_valid"), live).select("edge_id", "centrality")
 
 
-@query(with_(fx.NODES, "e AS (SELECT c_custkey * 10 + 3 AS a, CAST(c_nationkey * 10 + 1 AS BIGINT) AS b FROM customer UNION ALL SELECT CAST(n_nationkey * 10 + 1 AS BIGINT), CAST(n_regionkey * 10 AS BIGINT) FROM nation)", "both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e)", "walk(node, root) AS (SELECT node, node FROM nodes WHERE group_id IN ('geo', 'sales') UNION SELECT b, root FROM walk JOIN both_ways ON a = node WHERE root % 10 = 0)", "region_of AS (SELECT node, min(CASE WHEN root % 10 = 0 THEN root END) AS root FROM walk GROUP BY node)", recursive=True) + "SELECT node, min(node) OVER (PARTITION BY root) AS component FROM region_of")
+@query()  # tested by union-find; all nodes and edges
 def components(s, d):
-    nodes = fx.nodes(s, d).where("group_id IN ('geo', 'sales')")
-    edges = fx.kg_edges(s, d).where("start_id % 10 = 3 OR start_id % 10 = 1")
-    return graph.components(nodes, edges)
+    return graph.components(fx.nodes(s, d), fx.kg_edges(s, d))
 
 
-@query()
+@query()  # tested by a sequential form; one scope for each kind of the start's scope
 def communities(s, d):
     names = fx.nodes(s, d)
-    e = fx.kg_edges(s, d).where("relation_type != 'supplied_by'")
-    named = e.join(names.select(F.col("node").alias("start_id"), F.col("name").alias("start_name")), "start_id").join(names.select(F.col("node").alias("end_id"), F.col("name").alias("end_name")), "end_id")
-    return graph.communities(named.withColumn("group_id", F.lit("geo")))
+    start = names.select(F.col("node").alias("start_id"), F.col("name").alias("start_name"), "group_id")
+    end = names.select(F.col("node").alias("end_id"), F.col("name").alias("end_name"))
+    return graph.communities(fx.kg_edges(s, d).join(start, "start_id").join(end, "end_id"))
 
 
 @query()
+def community_summary(s, d):
+    return graph.summary(communities(s, d))
+
+
+_ROUND = "r{n} AS (SELECT l.node, coalesce(b.best, l.label) AS label FROM r{p} l LEFT JOIN (SELECT node, arg_max(label, votes * 1000000000000 - label) AS best FROM (SELECT g.node, x.label, count(*) AS votes FROM givers g JOIN r{p} x ON x.node = g.other GROUP BY g.node, x.label) GROUP BY node) b USING (node))"
+_GIVERS = "near AS (SELECT start_id AS node, end_id AS other FROM kg_edges WHERE start_id <> end_id UNION SELECT end_id, start_id FROM kg_edges WHERE start_id <> end_id), every_degree AS (SELECT node, coalesce(degree, 0) AS degree FROM nodes LEFT JOIN degree USING (node)), hub AS (SELECT node FROM every_degree WHERE degree >= greatest(8, 4 * (SELECT avg(degree) FROM every_degree))), plain AS (SELECT * FROM near WHERE other NOT IN (FROM hub)), givers AS MATERIALIZED (SELECT * FROM plain UNION ALL SELECT * FROM near WHERE node NOT IN (SELECT node FROM plain))"
+# 40 rounds at most, as the operator has; a round that changes nothing goes on changing nothing
+_SPREAD = with_(fx.NODES, fx.KG_EDGES, _DEGREE, _GIVERS, "r0 AS (SELECT node, node AS label FROM nodes)", *[_ROUND.format(n=k + 1, p=k).replace(" AS (", " AS MATERIALIZED (", 1) for k in range(graph.PASSES)]) + f"SELECT node, label FROM r{graph.PASSES}"
+
+
+@query(_SPREAD)
 def spread_labels(s, d):
     return graph.spread_labels(fx.nodes(s, d), fx.kg_edges(s, d))
 
@@ -361,9 +370,9 @@ def _aliased(s, d):
     return fx.nodes(s, d).withColumn("aliases", F.when(F.col("node") % 10 == 4, F.array(F.lower("name"), name)).otherwise(F.array().cast("array<string>")))
 
 
-@query(with_(fx.NODES, _ALIASED, "a AS (SELECT group_id, node, unnest(aliases) AS alias FROM aliased)") + "SELECT a.group_id, a.node, alias, n.node AS other FROM a JOIN nodes n ON n.group_id = a.group_id AND lower(n.name) = lower(alias) AND n.node <> a.node WHERE n.node % 10 <> 4")
+@query(with_(fx.NODES, _ALIASED, "a AS (SELECT group_id, node, unnest(aliases) AS alias FROM aliased)") + "SELECT a.group_id, a.node, alias, n.node AS other FROM a JOIN nodes n ON n.group_id = a.group_id AND lower(n.name) = lower(alias) AND n.node <> a.node")
 def foreign_aliases(s, d):
-    return graph.foreign_aliases(_aliased(s, d)).where("other % 10 != 4")
+    return graph.foreign_aliases(_aliased(s, d))
 
 
 # ---- expansion
@@ -401,10 +410,14 @@ def _colours(s, d):
     return fx.table(s, d, "customer").select(F.col("c_custkey").alias("query_id"), F.explode(F.array(F.lit("red"), F.lower("c_mktsegment"), F.lit("widget"), F.concat(F.lit("n"), F.col("c_nationkey")))).alias("token"))
 
 
-@query(with_(fx.NODES, fx.KG_EDGES, "asked AS (SELECT n_nationkey AS query_id, unnest(['asia', 'europe', CAST(n_nationkey AS VARCHAR)]) AS token FROM nation)", rf"w AS (SELECT DISTINCT node, unnest(regexp_split_to_array(lower(name), '{SPLIT}')) AS token FROM nodes WHERE group_id = 'geo')", "named AS (SELECT query_id, node FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY node) AS nth FROM (SELECT DISTINCT query_id, node FROM asked JOIN w USING (token))) WHERE nth <= 8)", "linked AS (SELECT a.query_id, count(DISTINCT edge_id) AS n_linked FROM kg_edges JOIN named a ON a.node = start_id JOIN named b ON b.node = end_id AND b.query_id = a.query_id GROUP BY a.query_id)") + "SELECT query_id, count(*) AS n_named, coalesce(any_value(n_linked), 0) AS n_linked, count(*) >= 2 AND coalesce(any_value(n_linked), 0) = 0 AS expand FROM named LEFT JOIN linked USING (query_id) GROUP BY query_id")
+_NEEDS = "named AS (SELECT query_id, node FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY node) AS nth FROM (SELECT DISTINCT query_id, node FROM asked JOIN nodes ON contains(lower(name), token))) WHERE nth <= 8), linked AS (SELECT a.query_id, count(DISTINCT edge_id) AS n_linked FROM kg_edges JOIN named a ON a.node = start_id JOIN named b ON b.node = end_id AND b.query_id = a.query_id GROUP BY a.query_id)"
+
+
+@query(with_(fx.NODES, fx.KG_EDGES, "asked AS (SELECT n_nationkey AS query_id, unnest(['asia', lower(n_name), 'urop', 'tomer#00000000' || (n_nationkey % 7)]) AS token FROM nation)", _NEEDS) + "SELECT query_id, count(*) AS n_named, coalesce(any_value(n_linked), 0) AS n_linked, count(*) >= 2 AND coalesce(any_value(n_linked), 0) = 0 AS expand FROM named LEFT JOIN linked USING (query_id) GROUP BY query_id")
 def needs_expansion(s, d):
-    asked = fx.table(s, d, "nation").select(F.col("n_nationkey").alias("query_id"), F.explode(F.array(F.lit("asia"), F.lit("europe"), F.col("n_nationkey").cast("string"))).alias("token"))
-    return expand.needs_expansion(asked, fx.nodes(s, d).where("group_id = 'geo'"), fx.kg_edges(s, d))
+    k = F.col("n_nationkey")
+    asked = fx.table(s, d, "nation").select(k.alias("query_id"), F.explode(F.array(F.lit("asia"), F.lower("n_name"), F.lit("urop"), F.concat(F.lit("tomer#00000000"), (k % 7).cast("string")))).alias("token"))
+    return expand.needs_expansion(asked, fx.nodes(s, d), fx.kg_edges(s, d))
 
 
 # ---- scopes
@@ -438,28 +451,56 @@ def scope_weights(s, d):
     return scopes.weights(_scores(s, d)).select("query_id", "group_id", "weight")
 
 
-_PER_SCOPE = "per_scope AS (SELECT * FROM (SELECT query_id, group_id, edge_id, row_number() OVER (PARTITION BY query_id, group_id ORDER BY score DESC, edge_id) AS rank FROM bm25_all) WHERE rank <= 30)"
-_SHARE = "share AS (SELECT query_id, group_id, round(greatest(0.1, count(*) / max(count(*)) OVER (PARTITION BY query_id)), 6) AS weight FROM per_scope GROUP BY query_id, group_id)"
-_ACROSS = "across_all AS (SELECT query_id, edge_id, any_value(p.group_id) AS group_id, round(sum(weight / (60 + rank)), 9) AS fused FROM per_scope p JOIN share USING (query_id, group_id) GROUP BY query_id, edge_id), across_ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, CAST(edge_id AS VARCHAR)) AS rank FROM across_all)"
+_LANGS = "langs AS (SELECT lang AS group_id, row_number() OVER (ORDER BY lang) AS position FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL))"
+_DOC_GRAPH = "doc_nodes AS (SELECT item_id AS node, text AS name, group_id FROM benchmark JOIN langs ON position = item_id % 4 + 1), doc_links AS (SELECT edge_id, group_id, CAST(label AS BIGINT) AS start_id, edge_id % 97 AS end_id, CASE WHEN edge_id % 9 = 0 THEN 'led_to' END AS causal_hint FROM facts_doc)"
+_DOC_SCORES = _SCORES.replace("scoped_edges", "doc_links")
+_DOC_ROUTE = (_LANGS, _DOC_GRAPH, "asked AS (SELECT query_id, unnest(terms) AS token FROM term_lists)", "hits AS (SELECT query_id, token, group_id, node FROM asked JOIN doc_nodes ON contains(lower(name), token))", "few AS (SELECT query_id, group_id, node FROM (SELECT *, row_number() OVER (PARTITION BY query_id, group_id ORDER BY node) AS nth FROM (SELECT DISTINCT query_id, group_id, node FROM hits)) WHERE nth <= 32)", _DOC_SCORES,
+"every AS (SELECT q.query_id, l.group_id, l.position, coalesce(s.score, 0) AS score FROM questions q CROSS JOIN langs l LEFT JOIN scores s ON s.query_id = q.query_id AND s.group_id = l.group_id)",
+"nths AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY (score > 0.5) DESC, score DESC, group_id) AS nth FROM every)",
+"reasons AS (SELECT *, CASE WHEN score <= 0.5 THEN 'below_threshold' WHEN nth > 2 THEN 'over_limit' ELSE 'chosen' END AS why FROM nths)",
+"lost AS (SELECT query_id FROM reasons GROUP BY query_id HAVING count(*) FILTER (WHERE why = 'chosen') = 0)",
+"routing AS (SELECT query_id, group_id, position, score, CASE WHEN query_id IN (FROM lost) AND position <= 2 THEN 'fallback' ELSE why END AS reason FROM reasons)",
+"reading AS (SELECT query_id, group_id, position, round(CASE WHEN max(score) OVER (PARTITION BY query_id) > 0 THEN greatest(0.1, score / max(score) OVER (PARTITION BY query_id)) ELSE 1 END, 6) AS weight FROM routing WHERE reason IN ('chosen', 'fallback'))")
+_PER_SCOPE = (
+"near_of AS (SELECT * FROM (SELECT s.query_id, s.group_id, edge_id, score, row_number() OVER (PARTITION BY s.query_id, s.group_id ORDER BY score DESC, CAST(edge_id AS VARCHAR)) AS rank FROM sims s JOIN reading USING (query_id, group_id)) WHERE rank <= 50 AND score >= 0.15)",
+"bm25_of AS (SELECT * FROM (SELECT b.query_id, b.group_id, edge_id, row_number() OVER (PARTITION BY b.query_id, b.group_id ORDER BY score DESC, edge_id) AS rank FROM bm25_all b JOIN reading USING (query_id, group_id)) WHERE rank <= 50)",
+"lists_of AS (SELECT query_id, group_id, 0 AS list_no, edge_id, rank FROM near_of UNION ALL SELECT query_id, group_id, 1, edge_id, rank FROM bm25_of)",
+"per_scope AS (SELECT *, row_number() OVER (PARTITION BY query_id, group_id ORDER BY fused DESC, list_no, first_rank, edge_id) AS rank FROM (SELECT query_id, group_id, edge_id, round(sum(1.0 / (60 + rank)), 9) AS fused, arg_min(list_no, list_no * 1000 + rank) AS list_no, arg_min(rank, list_no * 1000 + rank) AS first_rank FROM lists_of GROUP BY query_id, group_id, edge_id))",
+"across_ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, CAST(edge_id AS VARCHAR)) AS rank FROM (SELECT query_id, edge_id, any_value(p.group_id) AS group_id, round(sum(weight / (60 + rank)), 9) AS fused FROM per_scope p JOIN reading USING (query_id, group_id) WHERE rank <= 30 GROUP BY query_id, edge_id))")
+_ACROSS = (*BASE, *_DOC_ROUTE, *_PER_SCOPE)
+
 
+def _langs(s, d):
+    return fx.table(s, d, "documents").where("lang IS NOT NULL").select(F.col("lang").alias("group_id")).distinct().withColumn("position", F.row_number().over(Window.orderBy("group_id")))  # four rows
 
-def _across(s, d):
-    per = lexical.bm25(fx.questions(s, d).select("query_id", "text"), fx.facts_doc(s, d).select("edge_id", "group_id", "fact"), 10_000)
-    scored = lexical.bm25_scores(fx.questions(s, d).select("query_id", "text"), fx.facts_doc(s, d)).withColumn("score", F.round("score", 6))
-    per = fusion.topk(scored, ["query_id", "group_id"], [F.desc("score"), F.col("edge_id")], scopes.over_fetch(10)).select("query_id", "group_id", "edge_id", "rank")
-    n = per.groupBy("query_id", "group_id").agg(F.count("*").alias("score"))
-    return scopes.fuse_scopes(per, scopes.weights(n))
 
+def _doc_graph(s, d):
+    nodes = fx.table(s, d, "benchmark").withColumn("position", F.col("item_id") % 4 + 1).join(_langs(s, d), "position").select(F.col("item_id").alias("node"), F.col("text").alias("name"), "group_id")
+    links = fx.facts_doc(s, d).select("edge_id", "group_id", F.col("label").cast("bigint").alias("start_id"), (F.col("edge_id") % 97).alias("end_id"), F.when(F.col("edge_id") % 9 == 0, "led_to").alias("causal_hint"))
+    return nodes, links
 
-@query(with_(*BASE, _PER_SCOPE, _SHARE, _ACROSS) + "SELECT query_id, edge_id, group_id, fused, rank FROM across_ranked WHERE rank <= 10")
+
+def _doc_scores(s, d):
+    asked = fx.questions(s, d).select("query_id", F.explode(tx.prompt_terms(F.col("text"))).alias("token"))
+    return scopes.score_scopes(asked, *_doc_graph(s, d))
+
+
+@query(with_(*BASE[:3], *_DOC_ROUTE) + "SELECT r.query_id, r.group_id, round(r.score, 6) AS score, reason, weight FROM routing r LEFT JOIN reading USING (query_id, group_id)")
+def scope_routing(s, d):
+    routed = scopes.route(fx.questions(s, d), _langs(s, d), _doc_scores(s, d), most=2, least=0.5)
+    return routed.select("query_id", "group_id", "score", "reason", "weight")
+
+
+@query(with_(*_ACROSS) + "SELECT query_id, edge_id, group_id, fused, rank FROM across_ranked WHERE rank <= 10")
 def query_across(s, d):
-    return _across(s, d).where("rank <= 10")
+    read = scopes.route(fx.questions(s, d), _langs(s, d), _doc_scores(s, d), most=2, least=0.5).where("read")
+    return scopes.query_across(fx.questions(s, d), fx.facts_doc(s, d), read).select("query_id", "edge_id", "group_id", "fused", "rank")
 
 
-@query(with_(*BASE, _PER_SCOPE, _SHARE, _ACROSS, "spent AS (SELECT query_id, edge_id, rank, CAST(floor(sum(length(fact)) OVER (PARTITION BY query_id ORDER BY rank) / 4) AS BIGINT) AS spent FROM across_ranked JOIN facts_doc USING (edge_id) WHERE rank <= 10)") + "SELECT * FROM spent WHERE spent <= 2000")
+@query(with_(*_ACROSS, "spent AS (SELECT query_id, edge_id, rank, CAST(floor(sum(length(fact)) OVER (PARTITION BY query_id ORDER BY rank) / 4) AS BIGINT) AS spent FROM across_ranked JOIN facts_doc USING (edge_id) WHERE rank <= 10)") + "SELECT * FROM spent WHERE spent <= 2000")
 def token_budget(s, d):
-    top = _across(s, d).where("rank <= 10").join(fx.facts_doc(s, d).select("edge_id", "fact"), "edge_id")
-    return fusion.fit_to_budget(top, 2000).select("query_id", "edge_id", "rank", "spent")
+    found = scopes.assemble(fx.questions(s, d), fx.facts_doc(s, d), _langs(s, d), _doc_scores(s, d), budget=2000, most=2, least=0.5)
+    return found["facts"].select("query_id", "edge_id", "rank", "spent")
 
 
 # ---- causes
@@ -493,7 +534,10 @@ def trace_cause_down(s, d):
     return _trace(s, d, False)
 
 
-@query()
+_CHAINS = "found AS (SELECT * FROM hop1 UNION ALL SELECT * FROM hop2 UNION ALL SELECT * FROM hop3)"
+
+
+@query(_sql_trace("effect", "cause").rsplit("SELECT edge_id, hop, hint", 1)[0].rstrip() + ", " + _CHAINS + " SELECT edge_id, hop, ltrim(path, ',') AS path FROM found f WHERE NOT EXISTS (SELECT 1 FROM found x WHERE regexp_replace(x.path, ',[0-9]+$', '') = f.path)")
 def trace_cause_chains(s, d):
     return causal.maximal(causal.trace(_causal_seeds(s, d), fx.causal_edges(s, d))).select("edge_id", "hop", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
 

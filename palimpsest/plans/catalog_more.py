@@ -310,7 +310,7 @@ def eval_by_category(s, d):
     return evalkit.means(scored, "category")
 
 
-@query(with_(*HYBRID, _GOLD, "r1 AS (SELECT query_id, coalesce(1 / min(rank), 0) AS rr FROM gold LEFT JOIN near USING (query_id, edge_id) GROUP BY query_id), r2 AS (SELECT query_id, coalesce(1 / min(rank), 0) AS rr FROM gold LEFT JOIN fused USING (query_id, edge_id) GROUP BY query_id)", "paired AS (SELECT row_number() OVER (ORDER BY query_id) - 1 AS case_no, r2.rr - r1.rr AS diff FROM r1 JOIN r2 USING (query_id))", "n AS (SELECT count(*) AS n FROM paired)", "draws AS (SELECT r, avg(diff) AS m FROM (SELECT i // n AS r, CAST('0x' || substr(md5('7:' || (i // n) || ':' || (i % n)), 1, 8) AS BIGINT) % n AS case_no FROM n, range(0, 1000 * (SELECT n FROM n)) t(i)) JOIN paired USING (case_no) GROUP BY r)") + "SELECT (SELECT n FROM n) AS n, round((SELECT avg(diff) FROM paired), 6) AS mean_diff, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, quantile_cont(m, 0.025) > 0 OR quantile_cont(m, 0.975) < 0 AS significant FROM draws")
+@query(with_(*HYBRID, _GOLD, "r1 AS (SELECT query_id, coalesce(1 / min(rank), 0) AS rr FROM gold LEFT JOIN near USING (query_id, edge_id) GROUP BY query_id), r2 AS (SELECT query_id, coalesce(1 / min(rank), 0) AS rr FROM gold LEFT JOIN fused USING (query_id, edge_id) GROUP BY query_id)", "paired AS (SELECT row_number() OVER (ORDER BY query_id) - 1 AS case_no, r2.rr - r1.rr AS diff FROM r1 JOIN r2 USING (query_id))", "n AS (SELECT count(*) AS n FROM paired)", "draws AS (SELECT r, avg(diff) AS m FROM (SELECT i // n AS r, CAST('0x' || substr(md5('7:' || (i // n) || ':' || (i % n)), 1, 8) AS BIGINT) % n AS case_no FROM n, range(0, 5000 * (SELECT n FROM n)) t(i)) JOIN paired USING (case_no) GROUP BY r)") + "SELECT (SELECT n FROM n) AS n, round((SELECT avg(diff) FROM paired), 6) AS mean_diff, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, quantile_cont(m, 0.025) > 0 OR quantile_cont(m, 0.975) < 0 AS significant FROM draws")
 def bootstrap_ci(s, d):
     from pyspark.sql import Window
 
@@ -402,7 +402,11 @@ def episode_validation(s, d):
     return ingest.refusal(fx.turn_facts(s, d)).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query()
+_SLUG = "trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-')"
+_PAGES = f"named AS (SELECT node, name, CASE WHEN {_SLUG} <> '' THEN {_SLUG} ELSE 'node' END AS slug FROM nodes), filed AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY node) AS nth FROM named), ends AS (SELECT edge_id, start_id || ' ' || relation_type || ' ' || end_id AS fact, start_id AS node FROM kg_edges UNION ALL SELECT edge_id, start_id || ' ' || relation_type || ' ' || end_id, end_id FROM kg_edges WHERE end_id <> start_id), bullets AS (SELECT node, string_agg('- ' || fact, chr(10) ORDER BY edge_id DESC) AS rows FROM ends GROUP BY node)"
+
+
+@query(with_(fx.NODES, fx.KG_EDGES, _PAGES) + "SELECT slug || CASE WHEN nth = 1 THEN '' ELSE '-' || nth END || '.md' AS file, '# ' || name || chr(10) || chr(10) || coalesce(rows, '_No facts._') AS body FROM filed LEFT JOIN bullets USING (node)")
 def markdown_pages(s, d):
     facts = fx.kg_edges(s, d).withColumn("fact", F.concat_ws(" ", F.col("start_id").cast("string"), "relation_type", F.col("end_id").cast("string"))).withColumn("t_valid", F.col("edge_id"))
     return bundles.pages(fx.nodes(s, d), facts).select("file", "body")

@@ -28,9 +28,9 @@ def judge_listing(s, d):
     return records.judges(_judgements(s, d))
 
 
-@query("WITH k AS (SELECT lang AS group_id, trim(regexp_replace(left(text, 12), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS text, false AS created FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT lang, trim(regexp_replace(left(text, 12), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), true FROM documents WHERE doc_id % 2 = 1) SELECT group_id, text, bool_and(created) AS created FROM k GROUP BY group_id, text")
+@query("WITH k AS (SELECT lang AS group_id, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS text, false AS created FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT lang, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), true FROM documents WHERE doc_id % 2 = 1) SELECT group_id, text, bool_and(created) AS created FROM k GROUP BY group_id, text")
 def question_upsert(s, d):
-    t = fx.table(s, d, "documents").select("doc_id", F.col("lang").alias("group_id"), F.substring("text", 1, 12).alias("text"))
+    t = fx.table(s, d, "documents").select("doc_id", F.col("lang").alias("group_id"), "text")
     return records.upsert_questions(t.where("doc_id % 2 = 0"), t.where("doc_id % 2 = 1"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph, ops, temporal, upkeep, vector
 from . import fixtures as fx
-from .catalog import BASE, VECTOR, _vectors, query, with_
+from .catalog import BASE, SQL, VECTOR, _vectors, query, with_
 from .catalog_more import _BODY, _OWNED, _SESSIONS, _chain, _owned
 
 
@@ -91,7 +91,10 @@ def calibration_pairs(s, d):
     return upkeep.label_similarity(pairs, v)
 
 
-@query()
+_RULES = (("silent", "attention", "quiet_days > 7"), ("one_writer", "attention", "writers < 2"), ("unattributed", "recommendation", "unattributed > 0"), ("orphans", "recommendation", "orphans > 0"), ("healthy", "strong", "score >= 80"))
+
+
+@query(f"WITH h AS ({SQL['health']}) " + " UNION ALL ".join(f"SELECT '{n}' AS finding, '{k}' AS kind FROM h WHERE {c}" for n, k, c in _RULES))
 def health_findings(s, d):
     return upkeep.findings(ops.health(_owned(s, d), fx.nodes(s, d), fx.kg_edges(s, d), fx.NOW))
 

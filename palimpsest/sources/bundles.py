@@ -9,6 +9,8 @@ from ..functions.text import slug
 from ..operators.govern import MAX_BUNDLE_FACTS, bundle_digest, canonical, redact
 
 VERSION = 1
+MAX_MANIFEST = 64 * 1024
+MAX_BLOB = 16 * 1024 * 1024
 CLAIM = ["relation_type", "fact", "confidence", "t_valid", "source", "target"]
 
 
@@ -27,19 +29,24 @@ def write(facts: DataFrame, path: str, bundle_id: str, policy: str = "minimal")
 
 
 def read(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
-    """Facts of a bundle and what is wrong with it: version, size, count, digest."""
-    manifest = spark.read.schema("bundle_id string, version int, policy string, n_facts bigint, content_digest string").json(f"{path}/manifest").first()
+    """Facts of a bundle and what is wrong with it, cheapest checks first: size of its files, version, number of facts, count, digest."""
+    def size(part: str) -> int:
+        files = spark.read.format("binaryFile").load(f"{path}/{part}").select("path", "length")  # contents are not read
+        return files.agg(F.sum("length")).first()[0] or 0
+
+    faults = [name for name, part, most in (("manifest too large", "manifest", MAX_MANIFEST), ("facts too large", "facts", MAX_BLOB)) if size(part) > most]
     body = spark.read.text(f"{path}/facts").select(F.from_json("value", "edge_id bigint, line string").alias("r")).select("r.*")
-    found = bundle_digest(body).first()
-    faults = []
-    if manifest is None or manifest["version"] != VERSION:
-        faults.append("version")
-    if found["n_facts"] > MAX_BUNDLE_FACTS:
-        faults.append("too many facts")
-    if manifest is not None and found["n_facts"] != manifest["n_facts"]:
-        faults.append("count")
-    if manifest is not None and found["content_digest"] != manifest["content_digest"]:
-        faults.append("digest")
+    if not faults:
+        manifest = spark.read.schema("bundle_id string, version int, policy string, n_facts bigint, content_digest string").json(f"{path}/manifest").first()
+        found = bundle_digest(body).first()
+        if manifest is None or manifest["version"] != VERSION:
+            faults.append("version")
+        if found["n_facts"] > MAX_BUNDLE_FACTS:
+            faults.append("too many facts")
+        if manifest is not None and found["n_facts"] != manifest["n_facts"]:
+            faults.append("count")
+        if manifest is not None and found["content_digest"] != manifest["content_digest"]:
+            faults.append("digest")
     claim = F.from_json("line", "relation_type string, fact string, confidence string, t_valid bigint, source string, target string, causal_hint string")
     return body.select("edge_id", claim.alias("c")).select("edge_id", "c.*"), faults
 
