@@ -215,7 +215,7 @@ def _inbox(s, d):
     return e.withColumn("state", F.when(F.col("arrival") % 4 == 0, "applied").otherwise("pending")).withColumn("attempts", F.lit(0)).dropDuplicates(["group_id", "event_id"])
 
 
-_ONCE = "inbox AS (SELECT * EXCLUDE (reason), CASE WHEN arrival % 4 = 0 THEN 'applied' ELSE 'pending' END AS state FROM judged WHERE arrival < 100000000 AND event_id LIKE 'evt:%'), turn AS (SELECT event_id, group_id FROM (SELECT * FROM inbox WHERE state = 'pending' ORDER BY received_at, event_id, group_id LIMIT 400)), after AS (SELECT i.*, t.event_id IS NOT NULL AS was, CASE WHEN t.event_id IS NOT NULL THEN " + _WRONG + " END AS error FROM inbox i LEFT JOIN turn t ON t.event_id = i.event_id AND t.group_id = i.group_id AND i.state = 'pending')"
+_ONCE = "inbox AS (SELECT * EXCLUDE (reason), CASE WHEN arrival % 4 = 0 THEN 'applied' ELSE 'pending' END AS state FROM judged WHERE arrival < 100000000 AND event_id LIKE 'evt:%'), turn AS (SELECT event_id AS turn_event, group_id AS turn_group FROM (SELECT * FROM inbox WHERE state = 'pending' ORDER BY received_at, event_id, group_id LIMIT 400)), after AS (SELECT i.*, turn_event IS NOT NULL AS was, CASE WHEN turn_event IS NOT NULL THEN " + _WRONG + " END AS error FROM inbox i LEFT JOIN turn ON turn_event = i.event_id AND turn_group = i.group_id AND i.state = 'pending')"
 
 
 @query(with_(fx.ENVELOPES, _ONCE) + "SELECT CASE WHEN NOT was THEN state WHEN error IS NULL THEN 'applied' ELSE 'rejected' END AS state, error, CAST(was AS INTEGER) AS attempts, count(*) AS n FROM after GROUP BY ALL")
