@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import temporal, vector
+from .lineage import cut
 
 MAX_STRING = 4000
 CONFIDENCE = ["extracted", "inferred", "ambiguous"]
@@ -100,20 +101,21 @@ def write_episodes(current: DataFrame, entities: DataFrame, facts: DataFrame, no
     name, vector; facts: episode_id, edge_id, group_id, source, target (names), relation_type, fact, confidence, t_valid. A fact with an end that
     is ambiguous (or whose claim is refused) is deferred. 'outcomes' has stored, unchanged, deferred or refused for each fact;
     'episodes' what became of each episode: refused, no_facts, retryable (all deferred), partial, stored or unchanged. New names get
-    ids by hash, so that a rerun writes the same rows."""
-    bad = episode_refusal(entities, facts)
+    ids by hash, so that a rerun writes the same rows. Refusals, resolutions, the facts with their ends and the outcomes are each read several
+    times and are written once to the checkpoint folder."""
+    bad = cut(episode_refusal(entities, facts))
     good = entities.join(bad.select("episode_id"), "episode_id", "left_anti")
     mentions = good.select("mention_id", "group_id", "name", "vector").dropDuplicates(["mention_id"])
-    found = resolve(mentions, nodes) if claims is None else resolve_explicit(mentions, claims, nodes)
+    found = cut(resolve(mentions, nodes) if claims is None else resolve_explicit(mentions, claims, nodes))
     fresh = F.when(F.col("decision") == "new", F.xxhash64("group_id", F.lower("name"))).otherwise(F.col("node"))
     known = good.select("episode_id", "mention_id", "group_id", "name").join(found, "mention_id").select("episode_id", "name", "decision", fresh.alias("node"))
     end = lambda side, node: known.select("episode_id", F.col("name").alias(side), F.col("node").alias(node), F.col("decision").isin("ambiguous", "refused").alias(f"{node}_open"))
-    todo = facts.join(bad.select("episode_id"), "episode_id", "left_anti").join(end("source", "start_id"), ["episode_id", "source"]).join(end("target", "end_id"), ["episode_id", "target"])
+    todo = cut(facts.join(bad.select("episode_id"), "episode_id", "left_anti").join(end("source", "start_id"), ["episode_id", "source"]).join(end("target", "end_id"), ["episode_id", "target"]))
     waits = todo.where("start_id_open OR end_id_open")
     batch = todo.where("NOT (start_id_open OR end_id_open)")
     wrote = write_batch(current, batch)
     parts = [wrote["outcomes"], waits.select("edge_id", F.lit("deferred").alias("outcome")), facts.join(bad.select("episode_id"), "episode_id", "left_semi").select("edge_id", F.lit("refused").alias("outcome"))]
-    outcomes = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    outcomes = cut(parts[0].unionByName(parts[1]).unionByName(parts[2]))
     each = entities.select("episode_id").distinct().join(facts.select("episode_id", "edge_id").join(outcomes, "edge_id"), "episode_id", "left")
     n = lambda name: F.count_if(F.col("outcome") == name)
     counts = each.join(bad, "episode_id", "left").groupBy("episode_id").agg(F.count("edge_id").alias("n"), n("stored").alias("stored"), n("deferred").alias("deferred"), n("refused").alias("refused"), F.max("reason").alias("reason"))
