@@ -33,4 +33,27 @@ SELECT s.doc_id, CAST(s.n AS BIGINT) AS n_shingles, r.component_id, s.doc_id = r
 FROM sizes s JOIN (SELECT node, min(root) AS component_id FROM reach GROUP BY node) r ON r.node = s.doc_id
 """
 
-SQL = {"op5_suffix_dedup": REPEATS, "op9_bottom_k_near_dedup": NEAR_DUPLICATES}
+# Survivors by definition: documents that none of the filters applied so far fails, for each of the 120 orders.
+INTERACTIONS = """
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS part FROM documents),
+words AS (SELECT doc_id, t, part, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM d),
+fails AS (SELECT doc_id, part, CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+  || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+  || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS f FROM words),
+known AS (SELECT f.doc_id, part, f, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM fails f LEFT JOIN
+  (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id) USING (doc_id)),
+counts AS (SELECT part, f, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM known GROUP BY part, f),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+grow(o) AS (SELECT '' UNION ALL SELECT o || l FROM grow, letters WHERE length(o) < 5 AND NOT contains(o, l)),
+orders AS (SELECT o FROM grow WHERE length(o) = 5),
+steps AS (SELECT o, step, substr(o, step, 1) AS l, substr(o, 1, step - 1) AS before FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+seen AS (SELECT part, o, step, l, f, n, good, toxic, contains(f, l) AS hit, length(translate(f, before, '')) < length(f) AS gone FROM counts, steps),
+rows AS (SELECT part, o, step, l, sum(CASE WHEN NOT hit AND NOT gone THEN n ELSE 0 END) AS kept, sum(CASE WHEN hit AND NOT gone THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN hit AND gone THEN n ELSE 0 END) AS redundant, sum(CASE WHEN f = l THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN hit AND NOT gone THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN hit AND NOT gone THEN toxic ELSE 0 END) AS toxic_lost FROM seen GROUP BY part, o, step, l)
+SELECT part, o AS filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, l) AS BIGINT) AS shapley
+FROM rows
+"""
+
+SQL = {"op12_subset_zeta": INTERACTIONS, "op5_suffix_dedup": REPEATS, "op9_bottom_k_near_dedup": NEAR_DUPLICATES}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import additive, gam, minhash, mixing, ogg, oracles, packing, perplexity, suffixes, tagpaths, viterbi
+from . import additive, alignment, candidates, gam, interactions, minhash, mixing, ogg, oracles, packing, perplexity, suffixes, tagpaths, viterbi
 from .common import table
 
 
@@ -57,5 +57,17 @@ def op10_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame
     return perplexity.cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ogg_payload, op2_nnls_packing, op3_gam_quality, op4_viterbi_counts, op5_suffix_dedup, op6_tag_path_text, op7_additive_nearest, op8_pivotal_mixing, op9_bottom_k_near_dedup, op10_cross_entropy_difference)}
+def op11_boosted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates.digest(candidates.find(table(spark, sf_dir, "documents")))
+
+
+def op12_subset_zeta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.filter_interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_bitset_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.cross_tokenizer(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ogg_payload, op2_nnls_packing, op3_gam_quality, op4_viterbi_counts, op5_suffix_dedup, op6_tag_path_text, op7_additive_nearest, op8_pivotal_mixing, op9_bottom_k_near_dedup, op10_cross_entropy_difference, op11_boosted_candidates, op12_subset_zeta, op13_bitset_alignment)}
 ORACLE_SQL: dict[str, str] = oracles.SQL
