@@ -4,17 +4,18 @@ A page is read into text nodes with their root-to-leaf tag paths. For each path
 text length and the punctuation of its nodes are added up and divided by the number of nodes: paths
 that carry running text have high ratios, those of menus low ones. The ratios are laid out in page order and
 smoothed, and a path's own ratio is fused (geometric mean) with the mean smoothed ratio of its nodes. Paths over a
-threshold (a share of the deviation) select content nodes, wherever they are. The result is the
+threshold (a share of the deviation) select content nodes, wherever they are; no path is weighed by what the page says of it. The result is the
 text of the smallest element that holds nearly all selected text, with the selected blocks and the first-level headings outside
-it. In the element, blocks without a selected node are rejected
-if they are links only or stand in a mere container (div, section ...): lists of links, share boxes, notices. Headings and
-short paragraphs, list items and cells of the article stay.
+it. Where parts that the page marks as its article or main part hold half of the selected text at least, they are that element and
+nothing outside them stays; marks that the ratios don't bear out are not followed. In the element, blocks without a selected node are rejected
+if they are links only, or stand in a mere container (div, section ...) that has no selected text and no sentence: lists of links, share
+boxes, notices. Headings, short paragraphs, list items, cells and loose text of the article stay.
 
-Priors: elements that never hold an article (nav, footer, form, script ...) are left out; where the page marks its article or main part,
-the ratios of paths in it are multiplied by MARKED and the threshold comes from them. Elements with a whole class or id such
-as `ad`, `sidebar`, `comments` are rated like others, and go if no node in them is selected.
+Elements that never hold an article (nav, footer, form, script ...) are left out before anything is rated, and so are adverts and reader
+comments (elements with a whole class or id such as `ad`, `sponsored`, `comments`). Elements named `sidebar`, `menu`, `notice` and the like are
+rated like others, and go if they hold less than half of the selected text.
 
-A null or empty html gives an empty text, and so does a marked article without text. Broken markup is read as browsers do in the cases
+A null or empty html gives an empty text, and so do marked parts without any text. Broken markup is read as browsers do in the cases
 that occur: open paragraphs and list items end where the next begins, the end of the page ends all, elements nested deeper than
 DEPTH aren't nested further; where a quote is never closed, tags end at the next `>` from there on. The work is linear in the length
 of a page, however long and broken it is. Rows repeat as they come; a null page_id or url stays null; an empty table
@@ -42,18 +43,19 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s
 _NAMES = re.compile(r"\S+")
 _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
+_SENTENCE = re.compile(r"[.!?。…:;]")
 _MARKS = re.compile(r"[.,;:!?。、，]")
 # Fixed values of HTML: elements without an end tag, elements whose content is not markup, elements that start a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 NEVER = frozenset("aside button datalist dialog embed footer form head input label menu nav noscript object option script select style svg template textarea title iframe canvas audio video".split())
-SIGNS = frozenset("ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer masthead menu nav navbar navigation newsletter notice notices pagination popup promo promoted related replies reply share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+SIGNS = frozenset("banner breadcrumb breadcrumbs consent cookie cookies footer masthead menu nav navbar navigation newsletter notice notices pagination popup related share sharing sidebar signup social subscribe toolbar widget".split())
+FOREIGN = frozenset("ad ads advert advertisement adverts advertising comment comments disqus promo promoted replies reply sponsor sponsored".split())  # adverts and readers' comments
 KEEP = frozenset("html body article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PROSE = HEADINGS | frozenset("address blockquote caption dd dt figcaption li p pre summary td th".split())  # blocks of an article, where others are containers
 CLOSES_P = BLOCK - {"body", "html"}
-MARKED = 16.0  # weight of a marked article's paths
 DEPTH = 256
 
 
@@ -186,7 +188,8 @@ def text_nodes(page: str) -> tuple[list[Node], list[Element]]:
         attributes = {a[1].lower(): (a[2] or a[3] or a[4] or "").lower() for a in _ATTRIBUTE.finditer(rest)} if rest else {}
         named = attributes.get("class", "") + " " + attributes.get("id", "")
         role = attributes.get("role")
-        out = tag in NEVER or (tag == "header" and not paths[-1].marked) or (tag not in KEEP and role in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert"))
+        foreign = tag not in KEEP and not FOREIGN.isdisjoint(_NAMES.findall(named))
+        out = foreign or tag in NEVER or (tag == "header" and not paths[-1].marked) or (tag not in KEEP and role in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert"))
         sign = tag not in KEEP and not SIGNS.isdisjoint(_NAMES.findall(named))
         words = ".".join(sorted(set(_WORDS.findall(named)))) if tag in ("div", "section", "span") else ""
         elements.append(Element(numbers[-1], tag, sign, 0))
@@ -202,7 +205,7 @@ def text_nodes(page: str) -> tuple[list[Node], list[Element]]:
 
 
 def path_ratios(nodes: list[Node]) -> dict[Path, float]:
-    """Smoothed and fused ratio of text and punctuation for each tag path, weighed by the prior."""
+    """Smoothed and fused ratio of text and punctuation for each tag path."""
     length: dict[Path, int] = {}
     marks: dict[Path, int] = {}
     number: dict[Path, int] = {}
@@ -219,20 +222,21 @@ def path_ratios(nodes: list[Node]) -> dict[Path, float]:
     total: dict[Path, float] = {}
     for n, v in zip((n for n in nodes if n.text != " "), smooth):
         total[n.path] = total.get(n.path, 0.0) + float(v)
-    return {p: math.sqrt(own[p] * total[p] / number[p]) * (MARKED if p.marked else 1.0) for p in own}
+    return {p: math.sqrt(own[p] * total[p] / number[p]) for p in own}
 
 
-def _stays(block: list[Node], high: set[Path], inside: range, marked: bool) -> bool:
-    """Whether a block has a selected node; or is a heading or prose, not links only, in the article's element; or a first-level
-    heading beside it (in the marked part, where there is one)."""
+def _stays(block: list[Node], high: set[Path], inside: range, held: list[int]) -> bool:
+    """Whether a block has a selected node; or is a heading, prose or loose text, not links only, in the article's element; or a first-level
+    heading beside it. held: selected text by element."""
     rated = [n for n in block if n.text != " "]
     if not rated or any(n.path in high for n in rated):
         return bool(rated)
-    if marked and not any(n.path.marked for n in rated):
-        return False
     if not any(n.element in inside for n in rated):
         return any(n.path.first for n in rated)
-    return any(n.path.heading or (not n.path.link and n.path.block in PROSE) for n in rated)
+    if any(n.path.heading for n in rated):
+        return True
+    plain = [n for n in rated if not n.path.link]
+    return any(n.path.block in PROSE or held[n.element] > 0 for n in plain) or bool(_SENTENCE.search("".join(n.text for n in plain)))
 
 
 def main_text(page: str | None, share: float = 0.9, slack: float = 0.8) -> str:
@@ -243,28 +247,36 @@ def main_text(page: str | None, share: float = 0.9, slack: float = 0.8) -> str:
     if not any(n.text != " " and (n.path.marked or not marked) for n in nodes):
         return ""
     ratios = path_ratios(nodes)
-    values = np.array([ratios[n.path] for n in nodes if n.text != " " and (n.path.marked or not marked)])
-    limit = min(float(values.max()), float(values.mean()) + slack * float(values.std())) - 1e-9
-    limit = min(limit, float(values.max()) * 0.8)
+    values = np.array([ratios[n.path] for n in nodes if n.text != " "])
+    limit = min(float(values.max()) * 0.8, float(values.mean()) + slack * float(values.std())) - 1e-9
     high = {p for p, r in ratios.items() if r >= limit}
-    held = [0] * len(elements)
-    for n in nodes:
-        if n.text != " " and n.path in high:
-            held[n.element] += len(n.text)
-    for k in range(len(elements) - 1, 0, -1):
-        held[elements[k].parent] += held[k]
+
+    def selected(only: list[Node]) -> list[int]:
+        held = [0] * len(elements)
+        for n in only:
+            if n.text != " " and n.path in high:
+                held[n.element] += len(n.text)
+        for k in range(len(elements) - 1, 0, -1):
+            held[elements[k].parent] += held[k]
+        return held
+
+    held = selected(nodes)
     stays = [True] * len(elements)
     for k, e in enumerate(elements):
-        stays[k] = stays[e.parent] and (not e.sign or held[k] > 0)
+        stays[k] = stays[e.parent] and (not e.sign or 2 * held[k] > held[0])
     nodes = [n for n in nodes if stays[n.element]]
-    root = max((k for k, e in enumerate(elements) if k and held[k] >= share * held[0] and e.tag in KEEP | {"div", "section", "td", "center"}), default=0)
-    if marked:
-        root = 0  # its blocks are told by their paths
-    inside = range(root, elements[root].last + 1)
+    in_marked = [n for n in nodes if n.path.marked]
+    held, within = selected(nodes), selected(in_marked)
+    if 2 * within[0] >= held[0] > 0 and within[0]:
+        nodes, held = in_marked, within
+        inside = range(len(elements))  # all that is left
+    else:
+        root = max((k for k, e in enumerate(elements) if k and held[k] >= share * held[0] and e.tag in KEEP | {"div", "section", "td", "center"}), default=0)
+        inside = range(root, elements[root].last + 1)
     blocks: dict[int, list[Node]] = {}
     for n in nodes:
         blocks.setdefault(n.block, []).append(n)
-    parts = (_SPACE.sub(" ", "".join(n.text for n in b)).strip() for b in blocks.values() if _stays(b, high, inside, marked))
+    parts = (_SPACE.sub(" ", "".join(n.text for n in b)).strip() for b in blocks.values() if _stays(b, high, inside, held))
     return "\n\n".join(p for p in parts if p)
 
 
