@@ -26,7 +26,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -109,29 +108,31 @@ _LEVEL = "doc_id bigint, source string, size bigint, mark bigint, nth bigint, n
 
 
 def _round(seed: int, last: bool):
-    def run(g: pd.DataFrame) -> pd.DataFrame:
+    """Rounds the fractions of a group. Ids stay Arrow columns: a null beside them leaves large ones as they are."""
+
+    def run(g: pa.Table) -> pa.Table:
         n = g["n"].to_numpy()
-        g = g.iloc[np.repeat(np.arange(len(g)), n)].reset_index(drop=True)  # a row each
-        g["nth"] = g["nth"].to_numpy() + np.arange(len(g)) - np.repeat(np.cumsum(n) - n, n)
-        g["n"] = 1
-        ids = g["doc_id"].fillna(-1).to_numpy().astype(np.int64).astype(np.uint64)
+        row = np.repeat(np.arange(len(n)), n)  # a row each
+        nth = g["nth"].to_numpy()[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        ids = g["doc_id"].fill_null(-1).to_numpy()[row].astype(np.int64).astype(np.uint64)
+        mark, size, part = (g[c].to_numpy()[row] for c in ("mark", "size", "part"))
+        level = g["level"][0].as_py()
         with np.errstate(over="ignore"):
-            h = _mix64(ids * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed + 7919 * int(g["level"].iloc[0])))
-            h = _mix64(h + _mix64(g["mark"].to_numpy().astype(np.uint64) + g["nth"].to_numpy().astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
-        order = np.lexsort((g["part"].to_numpy(), h, -g["size"].to_numpy()))  # long documents first: what is left is short, as a rule
-        g = g.iloc[order].reset_index(drop=True)
+            h = _mix64(ids * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed + 7919 * level))
+            h = _mix64(h + _mix64(mark.astype(np.uint64) + nth.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
+        order = np.lexsort((part, h, -size))  # long documents first: what is left is short, as a rule
+        row, nth = row[order], nth[order]
         u = ((h[order] >> np.uint64(11)).astype(np.float64) / 2.0**53).tolist()
-        taken, left, f = pivot(g["part"].tolist(), g["size"].tolist(), u)
-        done = np.ones(len(g), bool)
-        part = np.zeros(len(g))
+        taken, left, f = pivot(part[order].tolist(), size[order].tolist(), u)
+        done, rest = np.ones(len(row), bool), np.zeros(len(row))
         if left is not None:
             if last:
                 taken[left] = int(f >= 0.5)
             else:
-                done[left], part[left] = False, f
-        g["whole"] = g["whole"] + np.array(taken, dtype=np.int64) * done
-        g["part"], g["done"], g["bucket"], g["level"] = part, done, g["bucket"] // FAN_IN, g["level"] + 1
-        return g
+                done[left], rest[left] = False, f
+        new = {"nth": nth, "n": np.ones(len(row), np.int64), "whole": g["whole"].to_numpy()[row] + np.array(taken, dtype=np.int64) * done, "part": rest}
+        new |= {"bucket": g["bucket"].to_numpy()[row] // FAN_IN, "level": np.full(len(row), level + 1, np.int32), "done": done}
+        return pa.table({c: pa.array(new[c]) if c in new else g[c].take(pa.array(row)) for c in g.column_names})
 
     return run
 
@@ -149,7 +150,7 @@ def copies(docs: DataFrame, seed: int = 1, max_copies: int = MAX_COPIES) -> Data
     finished, groups_left = [], max(1, math.ceil(most / GROUP))
     while True:
         last = groups_left == 1
-        stage = todo.groupBy("source", "bucket").applyInPandas(_round(seed, last), _LEVEL)
+        stage = todo.groupBy("source", "bucket").applyInArrow(_round(seed, last), _LEVEL)
         if last:
             finished.append(stage)
             break

@@ -308,6 +308,14 @@ def test_mix_query(spark, monkeypatch):
     assert set(mixing.mixed_documents(frame(spark)).columns) == set(frame(spark).columns)
 
 
+def test_mix_keeps_large_ids_beside_nulls(spark):
+    rows = [(2**53 + k, "one two three " * (k % 4), "a") for k in range(1, 40)] + [(None, "four five", "a"), (-(2**62) - 1, "six", "b"), (None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = mixing.mix(docs).collect()
+    assert sorted((r.doc_id for r in got if r.doc_id is not None)) == sorted(r[0] for r in rows if r[0] is not None) and len(got) == len(rows)
+    assert {r.doc_id for r in mixing.mixed_documents(docs).collect()} <= {r[0] for r in rows}
+
+
 def test_mix_repeated_rows_and_rows_without_an_id(spark, monkeypatch):
     """Two thirds of the rows are one row or have no id: no group of the first level holds more than a few times GROUP."""
     monkeypatch.setattr(mixing, "GROUP", 10)
@@ -319,7 +327,7 @@ def test_mix_repeated_rows_and_rows_without_an_id(spark, monkeypatch):
         run = plain(seed, last)
 
         def group(g):
-            assert int(g["n"].sum()) <= 80, "a hot group"
+            assert int(g["n"].to_numpy().sum()) <= 80, "a hot group"
             return run(g)
 
         return group
