@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .fusion import DEPTH, topk
@@ -36,14 +36,36 @@ def authored_hop(seeds: DataFrame, edges: DataFrame, k: int = DEPTH) -> DataFram
     return topk(best.join(seeds.select("query_id", "edge_id"), ["query_id", "edge_id"], "left_anti"), ["query_id"], [F.col("tier"), F.col("seed_rank"), F.col("edge_id")], k)
 
 
+GRAM = 3
+
+
+def grams(df: DataFrame, text: str, size: int = GRAM) -> DataFrame:
+    """text and gram: the distinct pieces of `size` characters of each text, in time linear in its length (its characters are parted once, in a
+    column of their own)."""
+    signs = df.select(text, F.split(text, "").alias("signs"))
+    piece = lambda i: F.concat(*(F.get("signs", i + k) for k in range(size)))
+    return signs.where(F.size("signs") >= size).select(text, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("signs") - size), piece))).alias("gram"))
+
+
 def names_holding(names: DataFrame, terms: DataFrame) -> DataFrame:
-    """name, token: which of the distinct names (column name, lower case) holds which of the distinct terms (token). Containment as an
-    equi-join: the parts of a name that are as long as some term meet the terms."""
-    tokens = terms.select("token").where("token != ''").distinct()
-    sizes = tokens.agg(F.collect_set(F.length("token")).alias("sizes"))  # one row: the lengths that occur
-    sized = names.select("name").distinct().join(F.broadcast(sizes)).select("name", F.explode("sizes").alias("size")).where(F.length("name") >= F.col("size"))
-    part = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name") - F.col("size") + 1), lambda i: F.substr("name", i, F.col("size")))))
-    return sized.select("name", part.alias("token")).join(tokens, "token").select("name", "token")
+    """name, token: which of the distinct names (column name, lower case) holds which of the distinct terms (token).
+
+    Postings of the names by pieces of three characters (by one or two for terms that are shorter) meet each term at its rarest piece
+    only; what meets there is compared as a whole. A name costs as many rows as it has distinct pieces, however many lengths
+    terms have."""
+    tokens = terms.select("token").where("token != ''").distinct().withColumn("size", F.least(F.length("token"), F.lit(GRAM)))
+    known = names.select("name").where("name != ''").distinct()
+    found = None
+    for size in range(1, GRAM + 1):  # columns of one size only meet terms of that size; a size that no term has costs one scan of the names
+        mine = tokens.where(F.col("size") == size).select("token")
+        asked = grams(mine, "token", size)
+        held = grams(known, "name", size).join(asked.select("gram").distinct(), "gram", "left_semi")
+        often = held.groupBy("gram").agg(F.count("*").alias("often"))
+        # a term with a piece that no name has is held by none: its rarest piece is missing from the counts
+        rarest = asked.join(often, "gram", "left").groupBy("token").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "gram")).alias("r")).where("r.often > 0").select("token", F.col("r.gram").alias("gram"))
+        hits = held.join(rarest, "gram").where(F.contains("name", F.col("token"))).select("name", "token")
+        found = hits if found is None else found.unionAll(hits)
+    return found
 
 
 def needs_expansion(terms: DataFrame, nodes: DataFrame, edges: DataFrame, most: int = 8) -> DataFrame:

@@ -11,7 +11,7 @@ from ..functions.text import prompt_terms
 from ..functions.validity import as_of as valid_at
 from ..functions.validity import live
 from ..functions.vectors import dot
-from . import advisory, expand, fusion, lexical, rerank, vector
+from . import advisory, expand, fusion, lexical, postings, rerank, vector
 
 
 @dataclass
@@ -74,10 +74,11 @@ def newest(queries: DataFrame, facts: DataFrame, k: int) -> DataFrame:
     return found.select("query_id", "rank", "edge_id", F.lit(None).cast("double").alias("score"), F.array().cast("array<string>").alias("matched"))
 
 
-def query_memory(queries: DataFrame, facts: DataFrame, options: Options | None = None, edges: DataFrame | None = None, reads: DataFrame | None = None, verifications: DataFrame | None = None, lessons: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
+def query_memory(queries: DataFrame, facts: DataFrame, options: Options | None = None, edges: DataFrame | None = None, reads: DataFrame | None = None, verifications: DataFrame | None = None, lessons: DataFrame | None = None, nodes: DataFrame | None = None, index: postings.Index | None = None) -> DataFrame:
     """query_id, rank, edge_id, score, matched. queries: query_id, text, vector (group_id: each asks its own scope); facts: edge_id,
     group_id, fact, vector (t_valid, t_invalid where validity matters); edges: edge_id, start_id, end_id, causal_hint for expansion
-    and `about`; nodes: node, name (group_id) for `about` and the router. Filters come before ranking, suppression before the cut."""
+    and `about`; nodes: node, name (group_id) for `about` and the router; index: kept postings of the facts, which are then ranked from it, by BM25
+    where its statistics are usable and by matched terms elsewhere, without a look at their text. Filters come before ranking, suppression before the cut."""
     o = options or Options()
     if o.expansion is not None and o.expansion not in EXPANSIONS:
         raise ValueError(f"expansion must be one of {sorted(EXPANSIONS)}")
@@ -101,7 +102,15 @@ def query_memory(queries: DataFrame, facts: DataFrame, options: Options | None =
         lists.append(fusion.as_list(near, "vector", 0))
     if not o.vector_only:
         words = queries.select("query_id", "text", *scope)
-        ranked = lexical.bm25(words, facts, by_scope=scoped, only=only) if o.lexical_bm25 and o.as_of is None else lexical.match_count(words, facts, by_scope=scoped, only=only)
+        if index is not None and o.lexical_bm25 and o.as_of is None:
+            filtered = o.group_id is not None or "t_valid" in facts.columns
+            allowed = facts.select("edge_id") if filtered else only
+            allowed = allowed.join(only, "edge_id", "left_semi") if filtered and only is not None else allowed
+            ranked = postings.lexical_channel(index, words, by_scope=scoped, only=allowed)
+        elif o.lexical_bm25 and o.as_of is None:
+            ranked = lexical.bm25(words, facts, by_scope=scoped, only=only)
+        else:
+            ranked = lexical.match_count(words, facts, by_scope=scoped, only=only)
         lists.append(fusion.as_list(ranked, "lexical", 1))
     if o.lexical_only:
         cut = ranked.where(F.col("rank") <= o.top_k)

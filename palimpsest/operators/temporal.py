@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.validity import as_of, live
@@ -32,14 +32,36 @@ def facts_as_of(facts: DataFrame, moment: int) -> DataFrame:
     return facts.where(as_of(moment))
 
 
-def as_of_many(facts: DataFrame, moments: DataFrame, bucket: int = 86400) -> DataFrame:
-    """Facts valid at each of many moments (query_id, moment): an equi-join on time buckets with the exact
-    condition behind it, instead of a nested loop."""
-    end = F.coalesce(F.col("t_invalid") - 1, F.lit(2**33))
-    last = moments.agg(F.max("moment").alias("last"))
-    spans = facts.join(F.broadcast(last)).withColumn("slot", F.explode(F.sequence(F.floor(F.col("t_valid") / bucket), F.greatest(F.floor(F.least(end, F.col("last")) / bucket), F.floor(F.col("t_valid") / bucket))))).drop("last")
-    at = moments.withColumn("slot", F.floor(F.col("moment") / bucket))
-    return spans.join(at, "slot").where(as_of(F.col("moment"))).drop("slot")
+def canonical(first: Column, past: Column, levels: int) -> Column:
+    """The interval [first, past) of whole numbers as canonical intervals (level, slot): slot covers slot * 2^level and the 2^level - 1 numbers
+    after it. They are disjoint, and there are at most two a level."""
+    parts = []
+    for k in range(levels + 1):
+        lo, hi = F.ceil(first / (1 << k)), F.floor(past / (1 << k))
+        after = lo + F.pmod(lo, F.lit(2))  # where the next level begins
+        low = (lo < hi) & (F.pmod(lo, F.lit(2)) == 1)
+        if k == levels:  # the coarsest level takes what is left, one by one
+            parts.append(F.when(lo < hi, F.transform(F.sequence(lo, hi - 1), lambda s: F.struct(F.lit(levels).alias("level"), s.alias("slot")))))
+        else:
+            parts.append(F.when(low, F.array(F.struct(F.lit(k).alias("level"), lo.alias("slot")))))
+            parts.append(F.when((after < hi) & (F.pmod(hi, F.lit(2)) == 1), F.array(F.struct(F.lit(k).alias("level"), (hi - 1).alias("slot")))))
+    return F.flatten(F.filter(F.array(*parts), lambda x: x.isNotNull()))
+
+
+LEVELS = 14  # the coarsest slot is 2^14 buckets: 44 years of days
+
+
+def as_of_many(facts: DataFrame, moments: DataFrame, bucket: int = 86400, levels: int = LEVELS) -> DataFrame:
+    """Facts valid at each of many moments (query_id, moment). The buckets a fact lives in become canonical intervals, two a level at most, and a
+    moment has one slot on each level: an equi-join on (level, slot) with the exact condition behind it. A fact that lives for n buckets is
+    2 log2 n rows, not n; one that never ends lives until the last moment."""
+    last = moments.agg(F.max("moment").alias("last"))  # one row
+    past = F.floor(F.least(F.coalesce(F.col("t_invalid") - 1, F.col("last")), F.col("last")) / bucket) + 1
+    spans = facts.join(F.broadcast(last)).where(F.col("t_valid") <= F.col("last")).withColumn("interval", F.explode(canonical(F.floor(F.col("t_valid") / bucket), past, levels)))
+    at = moments.select(*moments.columns, F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"))
+    at = at.withColumn("slot", F.floor(F.floor(F.col("moment") / bucket) / F.pow(F.lit(2.0), F.col("level"))))
+    parted = spans.select(*facts.columns, F.col("interval.level").alias("level"), F.col("interval.slot").alias("slot"))
+    return parted.join(at, ["level", "slot"]).where(as_of(F.col("moment"))).drop("level", "slot")
 
 
 def digest(facts: DataFrame, n: int) -> DataFrame:

@@ -23,7 +23,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     def keep(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql is not None:
-            SQL[f.__name__] = re.sub(r"\bat\b", '"at"', sql)  # a reserved word there
+            SQL[f.__name__] = re.sub(r"'(?:[^']|'')*'|\bat\b", lambda m: '"at"' if m.group() == "at" else m.group(), sql)  # a reserved word there; literals stay
         return f
 
     return keep
@@ -47,11 +47,13 @@ QUERY_TOKENS = f"query_tokens AS (SELECT DISTINCT query_id, unnest({sql_tokens('
 POSTINGS = f"""words AS (SELECT group_id, edge_id, {sql_tokens('fact')} AS w FROM facts_doc), scope_stats AS (SELECT group_id, count(*) AS n_docs, avg(len(w)) AS avg_len FROM words GROUP BY group_id),
 postings AS (SELECT group_id, edge_id, token, count(*) AS tf, any_value(dl) AS dl FROM (SELECT group_id, edge_id, len(w) AS dl, unnest(w) AS token FROM words) GROUP BY group_id, edge_id, token),
 term_df AS (SELECT group_id, token, count(*) AS df FROM postings GROUP BY group_id, token)"""
+ALL_POSTINGS = POSTINGS.replace("facts_doc", "facts_text")
 BM25 = """bm25_all AS (SELECT query_id, group_id, edge_id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / greatest(avg_len, 1.0)))), 6) AS score
 FROM postings JOIN term_df USING (group_id, token) JOIN scope_stats USING (group_id) JOIN query_tokens USING (token) GROUP BY query_id, group_id, edge_id),
 bm25 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, edge_id) AS rank FROM bm25_all) WHERE rank <= 50)"""
 VECTOR = """sims AS (SELECT query_id, edge_id, group_id, round(list_inner_product(q.vector, f.vector), 9) AS score FROM questions q, facts_doc f),
 near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CAST(edge_id AS VARCHAR)) AS rank FROM sims) WHERE rank <= 50 AND score >= 0.15)"""
+TEXT_BASE = (fx.FACTS_TEXT, fx.QUESTIONS, TERM_LISTS, QUERY_TOKENS, ALL_POSTINGS, BM25)
 BASE = (fx.FACTS_DOC, fx.QUESTIONS, TERM_LISTS, QUERY_TOKENS, POSTINGS, BM25, VECTOR)
 LISTS = "lists AS (SELECT query_id, 'vector' AS list_id, 0 AS list_no, edge_id, rank FROM near UNION ALL SELECT query_id, 'lexical', 1, edge_id, rank FROM bm25)"
 
@@ -135,29 +137,29 @@ def prompt_terms_docs(s, d):
     return fx.table(s, d, "documents").select(F.col("doc_id").alias("query_id"), F.array_join(tx.prompt_terms(F.col("text")), " ").alias("terms"))
 
 
-@query(with_(fx.FACTS_DOC, POSTINGS) + "SELECT * FROM term_df")
+@query(with_(fx.FACTS_TEXT, ALL_POSTINGS) + "SELECT * FROM term_df")
 def term_stats(s, d):
-    return lexical.term_stats(lexical.token_table(fx.facts_doc(s, d)))
+    return lexical.term_stats(lexical.token_table(fx.facts_text(s, d)))
 
 
-@query(with_(fx.FACTS_DOC, POSTINGS) + "SELECT group_id, n_docs, round(avg_len, 6) AS avg_len FROM scope_stats")
+@query(with_(fx.FACTS_TEXT, ALL_POSTINGS) + "SELECT group_id, n_docs, round(avg_len, 6) AS avg_len FROM scope_stats")
 def scope_stats(s, d):
-    return lexical.scope_stats(fx.facts_doc(s, d)).withColumn("avg_len", F.round("avg_len", 6))
+    return lexical.scope_stats(fx.facts_text(s, d)).withColumn("avg_len", F.round("avg_len", 6))
 
 
-@query(with_(*BASE) + "SELECT query_id, group_id, edge_id, score, rank FROM bm25")
+@query(with_(*TEXT_BASE) + "SELECT query_id, group_id, edge_id, score, rank FROM bm25")
 def bm25_topk(s, d):
-    return lexical.bm25(fx.questions(s, d).select("query_id", "text"), fx.facts_doc(s, d))
+    return lexical.bm25(fx.questions(s, d).select("query_id", "text"), fx.facts_text(s, d))
 
 
-@query(with_(*BASE, "m AS (SELECT query_id, edge_id, count(*) AS matched_terms, sum(tf)::BIGINT AS tf FROM postings JOIN query_tokens USING (token) GROUP BY query_id, edge_id)") + "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY matched_terms DESC, tf DESC, edge_id) AS rank FROM m) WHERE rank <= 50")
+@query(with_(*TEXT_BASE, "m AS (SELECT query_id, edge_id, count(*) AS matched_terms, sum(tf)::BIGINT AS tf FROM postings JOIN query_tokens USING (token) GROUP BY query_id, edge_id)") + "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY matched_terms DESC, tf DESC, edge_id) AS rank FROM m) WHERE rank <= 50")
 def match_count_topk(s, d):
-    return lexical.match_count(fx.questions(s, d).select("query_id", "text"), fx.facts_doc(s, d))
+    return lexical.match_count(fx.questions(s, d).select("query_id", "text"), fx.facts_text(s, d))
 
 
-@query(with_(fx.FACTS_DOC) + "SELECT group_id, count(*) AS refreshed_docs, sum(CAST(edge_id % 10 = 0 AS INTEGER))::BIGINT AS writes_since, count(*) >= 50 AND sum(CAST(edge_id % 10 = 0 AS INTEGER)) <= greatest(0.2 * count(*), 10) AS usable FROM facts_doc GROUP BY group_id")
+@query(with_(fx.FACTS_TEXT) + "SELECT group_id, count(*) AS refreshed_docs, sum(CAST(edge_id % 10 = 0 AS INTEGER))::BIGINT AS writes_since, count(*) >= 50 AND sum(CAST(edge_id % 10 = 0 AS INTEGER)) <= greatest(0.2 * count(*), 10) AS usable FROM facts_text GROUP BY group_id")
 def bm25_staleness(s, d):
-    return lexical.usable(fx.facts_doc(s, d).groupBy("group_id").agg(F.count("*").alias("refreshed_docs"), F.sum((F.col("edge_id") % 10 == 0).cast("int")).alias("writes_since")))
+    return lexical.usable(fx.facts_text(s, d).groupBy("group_id").agg(F.count("*").alias("refreshed_docs"), F.sum((F.col("edge_id") % 10 == 0).cast("int")).alias("writes_since")))
 
 
 # ---- the vector channel

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import advisory, evalkit, events, fusion, govern, graph, ingest, ops, retrieve
 from . import fixtures as fx
-from .catalog import _DOC_EDGES, _FLOOR, _SEED, _WEIGHTS, BASE, HYBRID, LISTS, _doc_edges, _lists, _observations, query, sql_rrf, with_
+from .catalog import _DOC_EDGES, _FLOOR, _SEED, _WEIGHTS, BASE, HYBRID, LISTS, TEXT_BASE, _doc_edges, _lists, _observations, query, sql_rrf, with_
 
 _SCORED = "SELECT query_id, rank, edge_id, round(list_inner_product(q.vector, f.vector), 4) AS score, array_to_string(matched, ',') AS matched FROM {} JOIN questions q USING (query_id) JOIN facts_doc f USING (edge_id) WHERE rank <= 10"
 _PLAIN = "SELECT query_id, rank, edge_id, NULL::DOUBLE AS score, 'lexical' AS matched FROM {} WHERE rank <= 10"
@@ -17,9 +17,9 @@ def _ask(s, d, options, queries=None, facts=None, **tables):
     return found.withColumn("matched", F.array_join("matched", ",")).select("query_id", "rank", "edge_id", "score", "matched")
 
 
-@query(with_(*BASE) + _PLAIN.format("bm25"))
+@query(with_(*TEXT_BASE) + _PLAIN.format("bm25"))
 def query_lexical_only(s, d):
-    return _ask(s, d, retrieve.Options(lexical_only=True))
+    return _ask(s, d, retrieve.Options(lexical_only=True), facts=fx.facts_text(s, d))
 
 
 @query(with_(*BASE, "only_near AS (SELECT query_id, edge_id, rank, ['vector'] AS matched FROM near)") + _SCORED.format("only_near"))
@@ -287,9 +287,9 @@ def referent_check(s, d):
 # ---- governance, trust, graph
 
 
-@query(with_(fx.FACTS_DOC) + "SELECT edge_id, fact FROM facts_doc WHERE group_id = 'en' AND contains(lower(fact), 'the ')")
+@query(with_(fx.FACTS_TEXT) + "SELECT edge_id, fact FROM facts_text WHERE group_id = 'en' AND contains(lower(fact), 'the ')")
 def substring_candidates(s, d):
-    return govern.substring_candidates(fx.facts_doc(s, d), "en", "The ")
+    return govern.substring_candidates(fx.facts_text(s, d), "en", "The ")
 
 
 @query("SELECT p_partkey AS node, CASE WHEN contains(CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN 'a:' || p_name ELSE '  ' END, ':') THEN 'separator' WHEN p_partkey % 3 = 2 THEN 'empty' END AS fault FROM part")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import temporal
+from ..operators import lineage, postings, temporal
 
 NOW = 1706659200  # 2024-01-31 00:00:00
 START = 1704067200
@@ -28,6 +30,27 @@ def facts_doc(spark: SparkSession, d: str) -> DataFrame:
 FACTS_DOC = "facts_doc AS (SELECT doc_id AS edge_id, lang AS group_id, text AS fact, source AS project, label, CAST(embedding AS DOUBLE[]) AS vector FROM documents JOIN embeddings ON doc_id = vec_id)"
 
 
+def facts_text(spark: SparkSession, d: str) -> DataFrame:
+    """All documents as facts, with a vector or not: what the lexical channel ranks."""
+    return table(spark, d, "documents").select(F.col("doc_id").alias("edge_id"), F.col("lang").alias("group_id"), F.col("text").alias("fact"), F.col("source").alias("project"))
+
+
+FACTS_TEXT = "facts_text AS (SELECT doc_id AS edge_id, lang AS group_id, text AS fact, source AS project FROM documents)"
+
+
+_INDEXES: dict[tuple[str, str, str], str] = {}
+
+
+def lexical_index(spark: SparkSession, d: str) -> postings.Index:
+    """The kept index of facts_text: made in the shared folder by the first query that asks for it, read by all others of the application."""
+    key = (spark.sparkContext.applicationId, d, lineage.shared_folder(spark))
+    if key not in _INDEXES:
+        path = f"{key[2]}/lexical-{uuid.uuid4().hex}"
+        postings.save(postings.build(facts_text(spark, d)), path)
+        _INDEXES[key] = path
+    return postings.load(spark, _INDEXES[key])
+
+
 def questions(spark: SparkSession, d: str) -> DataFrame:
     """Benchmark passages as queries, with the vector of the same number."""
     b, v = table(spark, d, "benchmark"), table(spark, d, "embeddings")

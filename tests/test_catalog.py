@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as engine
-from palimpsest.plans import catalog, catalog_more, catalog_options, catalog_records, catalog_upkeep  # noqa: F401
+from palimpsest.plans import catalog, catalog_index, catalog_more, catalog_options, catalog_records, catalog_upkeep  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
