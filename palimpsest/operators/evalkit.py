@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left, bisect_right
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,17 +25,37 @@ def cases(facts: DataFrame) -> DataFrame:
     return named.select("edge_id", F.explode(shapes).alias("c")).select("edge_id", "c.shape", "c.query").where("query != ''")
 
 
+def triangles(links: DataFrame) -> DataFrame:
+    """x, y, z: every three nodes that are all linked, once. links: a, b, each pair of nodes once, a != b. A link leads from the end with fewer
+    links to the other, so a node has about the square root of all links going out at most, and only these are paired."""
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("d"))
+    ranked = links.join(degree.select(F.col("node").alias("a"), F.col("d").alias("da")), "a").join(degree.select(F.col("node").alias("b"), F.col("d").alias("db")), "b")
+    first = F.struct("da", "a") < F.struct(F.col("db").alias("da"), F.col("b").alias("a"))
+    out = ranked.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("low"), F.when(first, F.struct(F.col("db").alias("d"), F.col("b").alias("n"))).otherwise(F.struct(F.col("da").alias("d"), F.col("a").alias("n"))).alias("high"))
+    wedges = out.select("low", F.col("high").alias("p")).join(out.select("low", F.col("high").alias("q")), "low").where(F.col("p") < F.col("q"))
+    return wedges.join(out.select(F.col("low").alias("pn"), F.col("high.n").alias("qn")), (F.col("p.n") == F.col("pn")) & (F.col("q.n") == F.col("qn"))).select(F.col("low").alias("x"), F.col("pn").alias("y"), F.col("qn").alias("z"))
+
+
 def multihop_cases(edges: DataFrame, most: int = 6) -> DataFrame:
-    """hub, a, b: pairs of edges that meet in a node while their far ends are no neighbours; at most `most` a hub, by edge ids.
-    A hub pairs each of its first edges with the next ones only, so no hub gives all pairs."""
-    ends = edges.where("start_id != end_id").select("edge_id", F.col("start_id").alias("hub"), F.col("end_id").alias("far")).unionAll(edges.where("start_id != end_id").select("edge_id", F.col("end_id").alias("hub"), F.col("start_id").alias("far")))
-    nth = F.row_number().over(Window.partitionBy("hub").orderBy("edge_id", "far"))
-    few = ends.withColumn("nth", nth).where(F.col("nth") <= 2 * most)
-    a, b = few.select("hub", F.col("edge_id").alias("a"), F.col("far").alias("fa"), F.col("nth").alias("na")), few.select("hub", F.col("edge_id").alias("b"), F.col("far").alias("fb"), F.col("nth").alias("nb"))
-    pairs = a.join(b, "hub").where("na < nb AND fa != fb")
-    near = edges.select(F.col("start_id").alias("fa"), F.col("end_id").alias("fb")).unionAll(edges.select(F.col("end_id").alias("fa"), F.col("start_id").alias("fb"))).distinct()
-    apart = pairs.join(near, ["fa", "fb"], "left_anti")
-    return apart.withColumn("nth", F.row_number().over(Window.partitionBy("hub").orderBy("a", "b"))).where(F.col("nth") <= most).select("hub", "a", "b")
+    """hub, a, b: pairs of edges that meet in a node while their far ends are no neighbours (nor the same); the first `most` of a hub, by edge ids.
+
+    A hub's edges are numbered. Which later edges an edge can't be paired with is known from the triangles at the hub and from parallel edges;
+    its first `most` partners are among as many more numbers behind its own, so no hub gives all its pairs, and none is left out."""
+    real = edges.where("start_id != end_id")
+    arms = real.select("edge_id", F.col("start_id").alias("hub"), F.col("end_id").alias("far")).unionAll(real.select("edge_id", F.col("end_id").alias("hub"), F.col("start_id").alias("far")))
+    hub = Window.partitionBy("hub")
+    arms = arms.withColumn("nth", F.row_number().over(hub.orderBy("edge_id", "far"))).withColumn("n", F.count("*").over(hub))
+    links = real.select(F.least("start_id", "end_id").alias("a"), F.greatest("start_id", "end_id").alias("b")).distinct()
+    corners = [("x", "y", "z"), ("y", "z", "x"), ("z", "x", "y")]
+    closed = triangles(links).select(F.explode(F.array(*(F.struct(F.col(h).alias("hub"), F.col(p).alias("far"), F.col(q).alias("other")) for h, a, b in corners for p, q in ((a, b), (b, a))))).alias("t")).select("t.*")
+    parallel = arms.groupBy("hub", "far").agg(F.count("*").alias("k")).where("k > 1").select("hub", "far", F.col("far").alias("other"))
+    later = arms.select("hub", F.col("far").alias("other"), F.col("nth").alias("later"))
+    barred = arms.join(closed.unionAll(parallel), ["hub", "far"]).join(later, ["hub", "other"]).where("later > nth").groupBy("hub", "nth").agg(F.collect_set("later").alias("barred"))
+    every = arms.join(barred, ["hub", "nth"], "left").withColumn("barred", F.coalesce("barred", F.array().cast("array<int>"))).where("nth < n")
+    reach = F.least(F.col("n"), F.col("nth") + F.size("barred") + most).cast("int")
+    partners = every.select("hub", F.col("edge_id").alias("a"), "nth", F.explode(F.slice(F.array_except(F.sequence(F.col("nth") + 1, reach), "barred"), 1, most)).alias("later"))
+    few = partners.withColumn("k", F.row_number().over(Window.partitionBy("hub").orderBy("nth", "later"))).where(F.col("k") <= most)
+    return few.join(arms.select("hub", F.col("nth").alias("later"), F.col("edge_id").alias("b")), ["hub", "later"]).select("hub", "a", "b")
 
 
 def metrics(ranked: DataFrame, gold: DataFrame, depths: tuple[int, ...] = DEPTHS) -> DataFrame:
@@ -128,19 +151,25 @@ def context_saving(answers: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def split_text(text: str, size: int = CHUNK) -> list[str]:
-    """Pieces of at most `size` characters. What is left is cut behind the last paragraph or sentence end of its first `size`
-    characters if that lies in their second half, else behind the last space there, else where they end; white space at a cut goes. A
-    text that fits is one piece as it is, an empty one too."""
-    out, rest = [], text
-    while len(rest) > size:
-        ends = [rest.rfind(mark, 0, size) + len(mark) for mark in ("\n\n", ". ") if rest.rfind(mark, 0, size) >= 0]
-        at = max(ends, default=0)
-        if at < size // 2:
-            space = rest.rfind(" ", 0, size)
-            at = space + 1 if space > size // 2 else size
-        out.append(rest[:at].strip())
-        rest = rest[at:].strip()
-    return [*out, rest] if rest or not out else out
+    """Pieces of at most `size` characters. A piece ends behind the last paragraph or sentence end that lies in the second half of what fits, else behind
+    the last space there, else where nothing more fits; white space at a cut goes. A text that fits is one piece as it is, an empty
+    one too. The ends and spaces of the text are listed once and looked up by position, so the time is linear."""
+    if len(text) <= size:
+        return [text]
+    stops, spaces = ([m.start() for m in re.finditer(p, text)] for p in (r"(?=\n\n|\. )", " "))
+    pieces, begin, end = [], 0, len(text)
+    while end - begin > size:
+        stop = stops[bisect_right(stops, begin + size - 2) - 1] + 2 if stops and stops[0] <= begin + size - 2 else 0
+        space = spaces[bisect_left(spaces, begin + size) - 1] + 1 if spaces and spaces[0] < begin + size else 0
+        half = begin + size // 2
+        cut = stop if stop >= max(half, begin + 1) else space if space - 1 > half else begin + size
+        pieces.append(text[begin:cut].strip())
+        begin = cut
+        while begin < end and text[begin].isspace():
+            begin += 1
+        while end > begin and text[end - 1].isspace():
+            end -= 1
+    return [*pieces, text[begin:end]] if begin < end else pieces
 
 
 def chunks(texts: DataFrame, size: int = CHUNK) -> DataFrame:

@@ -108,7 +108,8 @@ def write_episodes(current: DataFrame, entities: DataFrame, facts: DataFrame, no
     mentions = good.select("mention_id", "group_id", "name", "vector").dropDuplicates(["mention_id"])
     found = cut(resolve(mentions, nodes) if claims is None else resolve_explicit(mentions, claims, nodes))
     fresh = F.when(F.col("decision") == "new", F.xxhash64("group_id", F.lower("name"))).otherwise(F.col("node"))
-    known = good.select("episode_id", "mention_id", "group_id", "name").join(found, "mention_id").select("episode_id", "name", "decision", fresh.alias("node"))
+    named = good.select("episode_id", "mention_id", "group_id", "name").join(found, "mention_id").select("episode_id", "name", F.struct("mention_id", "decision", fresh.alias("node")).alias("m"))
+    known = named.groupBy("episode_id", "name").agg(F.min("m").alias("m")).select("episode_id", "name", "m.decision", "m.node")  # a name listed twice is the first mention's
     end = lambda side, node: known.select("episode_id", F.col("name").alias(side), F.col("node").alias(node), F.col("decision").isin("ambiguous", "refused").alias(f"{node}_open"))
     todo = cut(facts.join(bad.select("episode_id"), "episode_id", "left_anti").join(end("source", "start_id"), ["episode_id", "source"]).join(end("target", "end_id"), ["episode_id", "target"]))
     waits = todo.where("start_id_open OR end_id_open")

@@ -31,7 +31,8 @@ def export(nodes: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame, Da
 
 
 def reindex(facts: DataFrame, embedder=None) -> DataFrame:
-    """edge_id, vector of every live fact, computed anew."""
+    """edge_id, vector of every live fact (every fact, where nothing says when one ends), computed anew."""
+    facts = facts.where(F.col("t_invalid").isNull()) if "t_invalid" in facts.columns else facts
     return facts.select("edge_id", (embed(F.col("fact"), embedder) if embedder else embed(F.col("fact"))).alias("vector"))
 
 

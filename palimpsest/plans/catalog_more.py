@@ -270,10 +270,10 @@ def eval_cases(s, d):
     return evalkit.cases(fx.turn_facts(s, d))
 
 
-_HOPS = "geo AS (SELECT * FROM kg_edges WHERE start_id <> end_id), e AS (SELECT edge_id, start_id AS hub, end_id AS far FROM geo UNION ALL SELECT edge_id, end_id, start_id FROM geo), f AS (SELECT *, row_number() OVER (PARTITION BY hub ORDER BY edge_id, far) AS nth FROM e), p AS (SELECT a.hub, a.edge_id AS a, b.edge_id AS b FROM f a JOIN f b ON a.hub = b.hub AND a.nth < b.nth AND a.far <> b.far WHERE a.nth <= 12 AND b.nth <= 12 AND NOT EXISTS (SELECT 1 FROM geo g WHERE (g.start_id = a.far AND g.end_id = b.far) OR (g.start_id = b.far AND g.end_id = a.far)))"
+_HOPS = "geo AS (SELECT * FROM kg_edges WHERE start_id <> end_id), e AS (SELECT edge_id, start_id AS hub, end_id AS far FROM geo UNION ALL SELECT edge_id, end_id, start_id FROM geo), f AS (SELECT *, row_number() OVER (PARTITION BY hub ORDER BY edge_id, far) AS nth FROM e), p AS (SELECT a.hub, a.edge_id AS a, b.edge_id AS b, a.nth AS a_nth, b.nth AS b_nth FROM f a JOIN f b ON a.hub = b.hub AND a.nth < b.nth AND a.far <> b.far WHERE NOT EXISTS (SELECT 1 FROM geo g WHERE (g.start_id = a.far AND g.end_id = b.far) OR (g.start_id = b.far AND g.end_id = a.far)))"
 
 
-@query(with_(fx.KG_EDGES, _HOPS.replace("NOT EXISTS (SELECT 1 FROM geo g WHERE (g.start_id = a.far AND g.end_id = b.far) OR (g.start_id = b.far AND g.end_id = a.far))", "NOT EXISTS (SELECT 1 FROM geo g WHERE g.start_id = a.far AND g.end_id = b.far) AND NOT EXISTS (SELECT 1 FROM geo g WHERE g.start_id = b.far AND g.end_id = a.far)")) + "SELECT hub, a, b FROM (SELECT *, row_number() OVER (PARTITION BY hub ORDER BY a, b) AS nth FROM p) WHERE nth <= 6")
+@query(with_(fx.KG_EDGES, _HOPS.replace("NOT EXISTS (SELECT 1 FROM geo g WHERE (g.start_id = a.far AND g.end_id = b.far) OR (g.start_id = b.far AND g.end_id = a.far))", "NOT EXISTS (SELECT 1 FROM geo g WHERE g.start_id = a.far AND g.end_id = b.far) AND NOT EXISTS (SELECT 1 FROM geo g WHERE g.start_id = b.far AND g.end_id = a.far)")) + "SELECT hub, a, b FROM (SELECT *, row_number() OVER (PARTITION BY hub ORDER BY a_nth, b_nth) AS nth FROM p) WHERE nth <= 6")
 def multihop_cases(s, d):
     return evalkit.multihop_cases(fx.kg_edges(s, d))
 

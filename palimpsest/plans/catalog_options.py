@@ -211,22 +211,21 @@ _WRONG = "CASE WHEN schema_version <> 1 THEN 'schema_version' WHEN NOT regexp_ma
 
 
 def _inbox(s, d):
-    e = fx.envelopes(s, d).where("arrival < 100000000")
-    return e.withColumn("state", F.when(F.col("arrival") % 4 == 0, "applied").otherwise("pending")).withColumn("attempts", F.lit(0)).dropDuplicates(["group_id", "event_id"])
+    e = events.first_arrivals(fx.envelopes(s, d))
+    return e.withColumn("state", F.when(F.col("arrival") % 4 == 0, "applied").otherwise("pending")).withColumn("attempts", F.lit(0))
 
 
-_ONCE = "inbox AS (SELECT * EXCLUDE (reason), CASE WHEN arrival % 4 = 0 THEN 'applied' ELSE 'pending' END AS state FROM judged WHERE arrival < 100000000 AND event_id LIKE 'evt:%'), turn AS (SELECT event_id AS turn_event, group_id AS turn_group FROM (SELECT * FROM inbox WHERE state = 'pending' ORDER BY received_at, event_id, group_id LIMIT 400)), after AS (SELECT i.*, turn_event IS NOT NULL AS was, CASE WHEN turn_event IS NOT NULL THEN " + _WRONG + " END AS error FROM inbox i LEFT JOIN turn ON turn_event = i.event_id AND turn_group = i.group_id AND i.state = 'pending')"
+_ONCE = "inbox AS (SELECT * EXCLUDE (reason), CASE WHEN arrival % 4 = 0 THEN 'applied' ELSE 'pending' END AS state FROM (SELECT *, row_number() OVER (PARTITION BY group_id, event_id ORDER BY received_at, arrival) AS nth FROM judged) WHERE nth = 1), turn AS (SELECT event_id AS turn_event, group_id AS turn_group FROM (SELECT * FROM inbox WHERE state = 'pending' ORDER BY received_at, event_id, group_id LIMIT 400)), after AS (SELECT i.*, turn_event IS NOT NULL AS was, CASE WHEN turn_event IS NOT NULL THEN " + _WRONG + " END AS error FROM inbox i LEFT JOIN turn ON turn_event = i.event_id AND turn_group = i.group_id AND i.state = 'pending')"
 
 
 @query(with_(fx.ENVELOPES, _ONCE) + "SELECT CASE WHEN NOT was THEN state WHEN error IS NULL THEN 'applied' ELSE 'rejected' END AS state, error, CAST(was AS INTEGER) AS attempts, count(*) AS n FROM after GROUP BY ALL")
 def drain_states(s, d):
-    inbox = _inbox(s, d).where("event_id LIKE 'evt:%'")
-    return events.drain(inbox, 400)["inbox"].groupBy("state", "error", "attempts").agg(F.count("*").alias("n"))
+    return events.drain(_inbox(s, d), 400)["inbox"].groupBy("state", "error", "attempts").agg(F.count("*").alias("n"))
 
 
 @query(with_(fx.ENVELOPES, _ONCE) + "SELECT group_id, event_id, occurred_at AS t_valid, agent AS source FROM after WHERE was AND error IS NULL")
 def drain_facts(s, d):
-    return events.drain(_inbox(s, d).where("event_id LIKE 'evt:%'"), 400)["facts"].select("group_id", "event_id", "t_valid", "source")
+    return events.drain(_inbox(s, d), 400)["facts"].select("group_id", "event_id", "t_valid", "source")
 
 
 @query(with_(fx.ENVELOPES) + "SELECT DISTINCT group_id, CASE WHEN event_type IN ('decision.recorded', 'action.executed') THEN subject ELSE subject || ' :: ' || sign END AS name, CASE event_type WHEN 'decision.recorded' THEN 'decision' WHEN 'action.executed' THEN 'action' ELSE 'outcome' END AS type FROM accepted WHERE event_type NOT IN ('evidence.attached', 'claim.verified')")

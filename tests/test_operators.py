@@ -321,9 +321,21 @@ def test_chunks():
     t = "word " * 300
     parts = evalkit.split_text(t, 100)
     assert all(0 < len(p) <= 100 for p in parts) and " ".join(parts).split() == t.split()
-    assert evalkit.split_text("a" * 250, 100) == ["a" * 100, "a" * 100, "a" * 50] and evalkit.split_text("", 10) == []
+    assert evalkit.split_text("a" * 250, 100) == ["a" * 100, "a" * 100, "a" * 50] and evalkit.split_text("", 10) == [""]
     assert evalkit.split_text("First sentence is here. Second one follows on", 30)[0] == "First sentence is here."
     assert evalkit.prefix_sizes(100) == [100, 50, 25]
+    # the rule, cut by cut
+    rng = random.Random(1)
+    for _ in range(400):
+        t, size = "".join(rng.choices(["ab", "c. ", " ", "\n\n", ". ", "dddd"], k=rng.randrange(60))), rng.randrange(4, 40)
+        want, rest = [], t
+        while len(rest) > size:
+            head = rest[:size]
+            stop = max(head.rfind("\n\n"), head.rfind(". ")) + 2
+            gap = head.rfind(" ")
+            at = stop if stop > 1 and stop >= size // 2 else gap + 1 if gap > size // 2 else size
+            want, rest = [*want, rest[:at].strip()], rest[at:].strip()
+        assert evalkit.split_text(t, size) == (want + [rest] if rest or not want else want)
 
 
 def test_auc_and_kappa_by_hand(spark):
