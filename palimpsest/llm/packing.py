@@ -37,8 +37,8 @@ CLASS = 64
 DEPTH = 3
 BLOCK = 4_000_000
 END = 2
-CACHE = 800_000  # chunks in a worker's table
-WORDS = 400_000  # and words
+CACHE = 500_000  # chunks in a worker's table
+WORDS = 250_000  # and words
 
 
 def combinations(classes: int, depth: int) -> np.ndarray:
