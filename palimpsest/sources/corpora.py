@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import arrays
+
 # Names of the numbered question categories.
 CATEGORIES = {1: "multi hop", 2: "temporal", 3: "open domain", 4: "single hop", 5: "adversarial"}
 NOISE = r"^\s*(<|\[|Caveat:)"
@@ -17,10 +19,12 @@ def fingerprint(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
-def json_array(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """The objects of JSON arrays, one row each."""
-    reader = spark.read.option("multiLine", True)
-    return (reader.schema(schema) if schema else reader).json(path)
+def json_array(spark: SparkSession, path: str, schema=None, limit: int | None = None) -> DataFrame:
+    """The objects of JSON arrays, one row each. With a schema, files are read in parts; finding one needs them whole."""
+    if schema is not None:
+        return arrays.json_array(spark, path, schema, limit)
+    found = spark.read.option("multiLine", True).json(path)
+    return found if limit is None else found.limit(limit)
 
 
 def dialogues(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -41,11 +45,12 @@ def haystacks(spark: SparkSession, path: str, per_type: int | None = None) -> tu
     """One instance a question: turns (question_id, session_id, turn, key, role, content, has_answer) and questions with gold turn keys.
     per_type: the first questions of each type, in file order."""
     schema = "question_id string, question_type string, question string, answer string, question_date string, haystack_dates array<string>, haystack_session_ids array<string>, answer_session_ids array<string>, haystack_sessions array<array<struct<role:string,content:string,has_answer:boolean>>>"
-    raw = spark.read.option("multiLine", True).schema(schema).json(path)
+    found = arrays.json_objects(spark, path)
+    raw = found.select("file", "block", "nth", F.from_json("json", schema).alias("o")).select("file", "block", F.col("nth").alias("place"), "o.*")
     if per_type is not None:
         from pyspark.sql import Window
 
-        nth = F.row_number().over(Window.partitionBy("question_type").orderBy(F.monotonically_increasing_id()))
+        nth = F.row_number().over(Window.partitionBy("question_type").orderBy("file", "block", "place"))
         raw = raw.withColumn("nth", nth).where(F.col("nth") <= per_type).drop("nth")
     s = raw.select("question_id", F.posexplode(F.arrays_zip("haystack_session_ids", "haystack_sessions")).alias("i", "s"))
     turns = s.select("question_id", F.col("s.haystack_session_ids").alias("session_id"), F.posexplode("s.haystack_sessions").alias("turn", "t")).select("question_id", "session_id", "turn", F.concat("session_id", F.lit("#"), F.col("turn").cast("string")).alias("key"), "t.role", "t.content", F.coalesce("t.has_answer", F.lit(False)).alias("has_answer"))
@@ -85,7 +90,7 @@ def _probes(texts: pd.Series) -> pd.Series:
 
 def long_chats(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Chats in either shape (plans of batches of turns, or lists of messages): messages and probing questions."""
-    raw = spark.read.option("multiLine", True).schema("conversation_id string, chat string, probing_questions string").json(path)
+    raw = json_array(spark, path, "conversation_id string, chat string, probing_questions string")
     batch = "array<map<string,array<struct<batch_number:int,turns:array<array<struct<content:string,id:int,role:string>>>>>>>"
     plans = raw.select("conversation_id", F.explode(F.from_json("chat", batch)).alias("p")).select("conversation_id", F.explode("p").alias("plan", "batches")).where(F.col("batches").isNotNull())
     deep = plans.select("conversation_id", F.regexp_extract("plan", r"(\d+)", 1).cast("int").alias("plan"), F.explode("batches").alias("b")).select("conversation_id", "plan", "b.batch_number", F.explode(F.flatten("b.turns")).alias("m"))
