@@ -3,7 +3,8 @@
 Each micro-batch first takes in what has come, in order of arrival: an event that was seen within the replay window is a duplicate, one that
 breaks a rule is refused with the reason, one that comes while MAX_PENDING wait is refused (and may come again). Then the oldest `limit`
 waiting events of the scope are taken in their order; one that can't be applied is rejected and stops none of the others. A scope
-without new events goes on draining by a timer, and forgets the ids that have left the replay window.
+without new events goes on draining by a timer whenever the watermark moves, so a stream of other scopes' events is enough, and a run that reads
+what there is comes to an end. Ids that have left the replay window are forgotten.
 """
 
 from __future__ import annotations
@@ -51,7 +52,7 @@ class Door(StatefulProcessor):
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
         if waiting:
-            self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + 1)
+            self.handle.registerTimer(timers.getCurrentWatermarkInMs() + 1)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         group = key[0]
@@ -101,7 +102,8 @@ def door(stream: DataFrame, limit: int = 100, most: int = events.MAX_PENDING, wi
     place among all that its scope has drained) and received_at. Needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass)."""
     lost = F.when(F.coalesce(F.trim("subject"), F.lit("")) == "", "subject")
     judged = stream.withColumn("reason", events.reason(F.col("received_at"))).withColumn("inapplicable", lost)
-    return judged.groupBy("group_id").transformWithStateInPandas(Door(limit, most, window), OUTCOMES, outputMode="Append", timeMode="ProcessingTime")
+    timed = judged.withColumn("event_time", F.timestamp_seconds("received_at")).withWatermark("event_time", f"{window} seconds")
+    return timed.groupBy("group_id").transformWithStateInPandas(Door(limit, most, window), OUTCOMES, outputMode="Append", timeMode="EventTime")
 
 
 def sessions(stream: DataFrame, gap: str = "30 minutes") -> DataFrame:
