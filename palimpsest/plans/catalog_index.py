@@ -1,11 +1,16 @@
-"""Queries of kept indexes: postings with pruning and statistics as of their refresh."""
+"""Queries of kept indexes (postings with pruning, vectors), of names and intervals, of keyed chains and of arrays read in parts."""
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import expand, postings, retrieve, temporal
+from ..operators import expand, keychain, lineage, neargraph, postings, retrieve, temporal
+from ..sources import arrays
 from . import fixtures as fx
 from .catalog import ALL_POSTINGS, BM25, QUERY_TOKENS, TERM_LISTS, TEXT_BASE, query, with_
 
@@ -116,3 +121,68 @@ def hours_lived(s, d):
     parts = facts.select("group_id", "edge_id", F.explode(temporal.canonical(F.floor(F.col("t_valid") / 3600), past, 12)).alias("i"))
     size = F.pow(F.lit(2.0), F.col("i.level")).cast("bigint")
     return parts.groupBy("group_id").agg(F.countDistinct("edge_id").alias("n_facts"), F.sum(size).alias("hours"))
+
+
+# ---- a chain under keys that change
+
+_RING = {"k1": "first key", "k2": "another key that is longer than a block of the hash, so that it is hashed itself before it is used", "k3": "third"}
+_KEY_OF = "CASE WHEN id < 10000000 THEN CASE WHEN edge_id % 5 = 0 THEN 'unkeyed' ELSE 'k1' END WHEN edge_id % 3 = 0 THEN 'k3' ELSE 'k2' END"
+
+
+def _claims(s, d):
+    """Verifications as claims; the later ones are signed by other keys."""
+    v = fx.verifications(s, d).withColumn("group_id", F.concat(F.lit("g"), F.col("edge_id") % 8))
+    seq = F.row_number().over(Window.partitionBy("group_id").orderBy("id")).cast("bigint")
+    return v.select("group_id", seq.alias("seq"), F.col("id").alias("verification_id"), F.expr(_KEY_OF).alias("key_id"), F.concat_ws("|", "edge_id", "state", "expires_at").alias("body"), "id")
+
+
+def _hmac_sql(key: str, message: str) -> str:
+    raw = key.encode()
+    block = (hashlib.sha256(raw).digest() if len(raw) > 64 else raw).ljust(64, b"\0")
+    inner, outer = (bytes(b ^ pad for b in block).hex() for pad in (0x36, 0x5C))
+    return f"'hmac-sha256:' || sha256(unhex('{outer}' || sha256(unhex('{inner}' || hex({message})))))"
+
+
+def _digest_sql(message: str, keys) -> str:
+    return f"CASE key_id WHEN 'unkeyed' THEN 'sha256:' || sha256({message}) " + " ".join(f"WHEN '{k}' THEN {_hmac_sql(_RING[k], message)}" for k in keys) + " END"
+
+
+_CHAIN_SQL = (
+    f"claims AS (SELECT 'g' || (edge_id % 8) AS group_id, row_number() OVER (PARTITION BY edge_id % 8 ORDER BY id) AS seq, id, {_KEY_OF} AS key_id, edge_id || '|' || state || CASE WHEN expires_at IS NULL THEN '' ELSE '|' || expires_at END AS body FROM verifications)",
+    f"chain(group_id, seq, digest) AS (SELECT DISTINCT group_id, 0::BIGINT, '{keychain.GENESIS}' FROM claims UNION ALL SELECT c.group_id, c.seq, {_digest_sql('p.digest || chr(10) || body', _RING)} FROM chain p JOIN claims c ON c.group_id = p.group_id AND c.seq = p.seq + 1)",
+    "stored AS (SELECT c.*, p.digest AS prev_digest, n.digest FROM claims c JOIN chain p ON p.group_id = c.group_id AND p.seq = c.seq - 1 JOIN chain n ON n.group_id = c.group_id AND n.seq = c.seq)",
+    "kept AS (SELECT *, lag(digest) OVER (PARTITION BY group_id ORDER BY seq) AS before FROM stored WHERE id % 29 <> 3)",  # links that somebody took out
+    "now AS (SELECT * REPLACE (CASE WHEN id % 37 = 0 THEN body || '!' ELSE body END AS body) FROM kept)",
+)
+
+
+@query(with_(fx.VERIFICATIONS, *_CHAIN_SQL, f"found AS (SELECT *, coalesce(before, '{keychain.GENESIS}') <> prev_digest AS broken, CASE WHEN id % 41 = 0 THEN 'vanished' WHEN key_id = 'k3' THEN 'unverifiable' WHEN {_digest_sql('prev_digest || chr(10) || body', ('k1', 'k2'))} <> digest THEN 'altered' END AS finding FROM now)", recursive=True)
+       + "SELECT group_id, count(*) AS n_attested, count_if(finding = 'altered')::BIGINT AS altered, count_if(finding = 'vanished')::BIGINT AS vanished, count_if(finding = 'unverifiable')::BIGINT AS unverifiable, count_if(broken)::BIGINT AS broken, min(key_id <> 'unkeyed') AS keyed, min(key_id <> 'unkeyed') <> max(key_id <> 'unkeyed') AS mixed_keying, array_to_string(list_sort(list(DISTINCT key_id)), ',') AS key_ids FROM found GROUP BY group_id")
+def keyed_chain_report(s, d):
+    """Made in two turns under three keys; checked without one of them, after links, claims and texts were changed."""
+    claims = _claims(s, d)
+    first = keychain.attest(claims.where("id < 10000000"), _RING)
+    links = first.unionByName(keychain.attest(claims.where("id >= 10000000"), _RING, first)).where("verification_id % 29 != 3")
+    body = F.when(F.col("id") % 37 == 0, F.concat("body", F.lit("!"))).otherwise(F.col("body"))
+    now = claims.where("id % 41 != 0").select("verification_id", body.alias("body"))
+    found = keychain.report(keychain.verify(links, now, {k: v for k, v in _RING.items() if k != "k3"}))
+    return found.withColumn("key_ids", F.array_join("key_ids", ","))
+
+
+# ---- arrays of JSON, vectors
+
+
+@query("SELECT role, count(*) AS n, sum(length(text))::BIGINT AS chars, count(DISTINCT conv_id) AS conversations FROM conversations GROUP BY role")
+def json_turns(s, d):
+    """Conversations written as arrays of JSON and read back in parts."""
+    turns = fx.table(s, d, "conversations")
+    path = f"{lineage.shared_folder(s)}/turns-{uuid.uuid4().hex}"
+    turns.groupBy("conv_id").agg(F.to_json(F.collect_list(F.struct("conv_id", "role", "text"))).alias("value")).select("value").write.text(path)
+    read = arrays.json_array(s, path, "conv_id long, role string, text string")
+    return read.groupBy("role").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.countDistinct("conv_id").alias("conversations"))
+
+
+@query()
+def vector_graph_topk(s, d):
+    vectors = fx.table(s, d, "embeddings").select(F.col("vec_id").alias("edge_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    return neargraph.search(neargraph.build(vectors), fx.questions(s, d).select("query_id", "vector"), 10).select("query_id", "edge_id", "score", "rank")
