@@ -9,10 +9,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import expand, keychain, lineage, neargraph, postings, retrieve, temporal
+from ..operators import expand, keychain, lineage, neargraph, nested, postings, retrieve, temporal
 from ..sources import arrays
 from . import fixtures as fx
-from .catalog import ALL_POSTINGS, BM25, QUERY_TOKENS, TERM_LISTS, TEXT_BASE, query, with_
+from .catalog import ALL_POSTINGS, BM25, QUERY_TOKENS, TERM_LISTS, TEXT_BASE, query, sql_tokens, with_
 
 # ---- postings
 
@@ -186,3 +186,26 @@ def json_turns(s, d):
 def vector_graph_topk(s, d):
     vectors = fx.table(s, d, "embeddings").select(F.col("vec_id").alias("edge_id"), F.col("embedding").cast("array<double>").alias("vector"))
     return neargraph.search(neargraph.build(vectors), fx.questions(s, d).select("query_id", "vector"), 10).select("query_id", "edge_id", "score", "rank")
+
+
+# ---- nested corpora
+
+_SWEEP = f"""sizes(size) AS (SELECT count(*) FROM facts_text UNION ALL SELECT size // 2 FROM sizes WHERE size // 2 >= 24),
+placed AS (SELECT edge_id, row_number() OVER (ORDER BY edge_id) AS place FROM facts_text),
+words AS (SELECT size, edge_id, {sql_tokens('fact')} AS w FROM facts_text JOIN placed USING (edge_id) JOIN sizes ON place <= size),
+scope_stats AS (SELECT size, count(*) AS n_docs, avg(len(w)) AS avg_len FROM words GROUP BY size),
+postings AS (SELECT size, edge_id, token, count(*) AS tf, any_value(dl) AS dl FROM (SELECT size, edge_id, len(w) AS dl, unnest(w) AS token FROM words) GROUP BY size, edge_id, token),
+term_df AS (SELECT size, token, count(*) AS df FROM postings GROUP BY size, token),
+scored AS (SELECT query_id, size, edge_id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / greatest(avg_len, 1.0)))), 6) AS score
+FROM postings JOIN term_df USING (size, token) JOIN scope_stats USING (size) JOIN query_tokens USING (token) GROUP BY query_id, size, edge_id)"""
+
+
+@query(with_(fx.FACTS_TEXT, fx.QUESTIONS, TERM_LISTS, QUERY_TOKENS, _SWEEP, recursive=True) + "SELECT query_id, size, edge_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, size ORDER BY score DESC, edge_id) AS rank FROM scored) WHERE rank <= 10")
+def corpus_sweep(s, d):
+    return nested.sweep(fx.questions(s, d), fx.facts_text(s, d), ["edge_id"], 10)
+
+
+@query(with_(*TEXT_BASE, "upto AS (SELECT query_id, rank, CAST(floor(sum(length(fact)) OVER (PARTITION BY query_id ORDER BY rank) / 4) AS BIGINT) AS spent FROM bm25 JOIN facts_text USING (edge_id))") + "SELECT query_id, arm, count_if(spent <= 1000 * arm)::BIGINT AS n_facts, coalesce(max(spent) FILTER (WHERE spent <= 1000 * arm), 0) AS spent FROM upto, (SELECT unnest([1, 2, 4, 8, 16]) AS arm) GROUP BY query_id, arm")
+def scratchpad_arms(s, d):
+    ranked = postings.search(fx.lexical_index(s, d), fx.questions(s, d).select("query_id", "text"))
+    return nested.arms(ranked, fx.facts_text(s, d), 1000)

@@ -1,5 +1,7 @@
 """Kept postings, pieces of names, canonical intervals and triangles against brute force."""
 
+import hashlib
+import hmac
 import itertools
 import math
 import random
@@ -7,7 +9,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators import evalkit, expand, lexical, postings, retrieve, temporal
+from palimpsest.operators import evalkit, expand, keychain, lexical, nested, postings, retrieve, temporal
 
 WORDS = [f"w{k}" for k in range(60)]
 
@@ -135,3 +137,45 @@ def test_multihop_cases_by_brute_force(spark, seed, nodes, n):
         want += found[:6]
     got = evalkit.multihop_cases(spark.createDataFrame(edges, "edge_id long, start_id long, end_id long"))
     assert sorted((r.hub, r.a, r.b) for r in got.collect()) == sorted(want)
+
+
+def test_sweep_equals_separate_runs(spark):
+    rows = some_facts(230, seed=9, scopes="a")
+    facts, queries = table_of(spark, rows), some_queries(spark, 5).drop("group_id")
+    got = sorted((r.query_id, r["size"], r.edge_id, r.score, r["rank"]) for r in nested.sweep(queries, facts, ["edge_id"], 4).collect())
+    want = []
+    for size in (230, 115, 57, 28):
+        part = table_of(spark, sorted(rows, key=lambda r: r[1])[:size])
+        want += [(r.query_id, size, r.edge_id, r.score, r["rank"]) for r in lexical.bm25(queries, part, 4).collect()]
+    assert got == sorted(want)
+    assert nested.sweep(queries, facts.limit(10), ["edge_id"]).collect() == []
+
+
+def test_arms_by_hand(spark):
+    facts = spark.createDataFrame([(1, "a" * 40), (2, "b" * 80), (3, "c" * 4), (4, None)], "edge_id long, fact string")
+    ranked = spark.createDataFrame([(7, 1, 1), (7, 2, 2), (7, 3, 3), (7, 4, 4)], "query_id long, edge_id long, rank int")
+    assert sorted(map(tuple, nested.arms(ranked, facts, 15, (1, 2, 4)).collect())) == [(7, 1, 1, 10), (7, 2, 2, 30), (7, 4, 4, 31)]
+
+
+def test_keys_of_a_chain_change(spark):
+    ring = keychain.parse_ring("a:first, b:second")
+    body = lambda k: f"claim {k}"
+    claims = lambda lo, hi, key: spark.createDataFrame([("g", k, k, key, body(k)) for k in range(lo, hi)], "group_id string, seq long, verification_id long, key_id string, body string")
+    first = keychain.attest(claims(1, 4, keychain.UNKEYED), ring)
+    chain = first.unionByName(keychain.attest(claims(4, 7, "a"), ring, first))
+    chain = chain.unionByName(keychain.attest(claims(7, 9, "b"), ring, chain)).cache()
+    prev = keychain.GENESIS
+    for r in chain.orderBy("seq").collect():
+        message = f"{prev}\n{body(r.seq)}".encode()
+        key = ring.get(r.key_id)
+        made = "hmac-sha256:" + hmac.new(key.encode(), message, hashlib.sha256).hexdigest() if key else "sha256:" + hashlib.sha256(message).hexdigest()
+        assert (r.prev_digest, r.digest) == (prev, made)
+        prev = made
+    now = spark.createDataFrame([(k, body(k) + ("!" if k == 5 else "")) for k in range(1, 9) if k != 2], "verification_id long, body string")
+    findings = lambda links, keys: {r.seq: (r.finding, r.broken) for r in keychain.verify(links, now, keys).collect() if r.finding or r.broken}
+    assert findings(chain, ring) == {2: ("vanished", False), 5: ("altered", False)}
+    assert findings(chain.where("seq != 6"), {"a": "first"}) == {2: ("vanished", False), 5: ("altered", False), 7: ("unverifiable", True), 8: ("unverifiable", False)}
+    r = keychain.report(keychain.verify(chain, now, ring)).first()
+    assert (r.n_attested, r.altered, r.vanished, r.unverifiable, r.broken, r.keyed, r.mixed_keying, r.key_ids) == (8, 1, 1, 0, 0, False, True, ["a", "b", "unkeyed"])
+    with pytest.raises(ValueError):
+        keychain.parse_ring("a:first, typo")
