@@ -154,7 +154,7 @@ def _rewritten(kind: int, span: str, salt: int) -> tuple[list[str], list[str]]:
         v6 = hashlib.sha256(f"{span}{salt}".encode()).hexdigest()
         good = ["[.]".join(parts), "(.)".join(parts), " . ".join(parts), ":".join(v6[k : k + 4] for k in range(0, 32, 4)), f"2001:db8::{v6[:4]}:{v6[4:8]}"]
         wrong = ".".join([str(256 + int(v6[:3], 16) % 700), *parts[1:]])
-        return good, [wrong, wrong.replace(".", "[.]"), f"{salt % 24:02}:{salt % 60:02}:{salt % 59:02}", ":".join(v6[k : k + 2] for k in range(0, 12, 2))]
+        return good, [wrong, wrong.replace(".", "[.]"), ".".join(str(1000 + int(v6[k : k + 3], 16)) for k in range(0, 12, 3)), f"{salt % 24:02}:{salt % 60:02}:{salt % 59:02}", ":".join(v6[k : k + 2] for k in range(0, 12, 2))]
     if kind == 2:
         four = [d[k : k + 4] for k in range(0, len(d), 4)]
         at = salt % len(d)
@@ -274,7 +274,7 @@ def fit(x: np.ndarray, y: np.ndarray, held: np.ndarray, precision: float = 0.97,
         for cut in np.unique(pk)[::-1]:
             got = yk[pk >= cut]
             if len(got) >= 5 and got.mean() >= precision:
-                model.thresholds[kind] = max(cut, 0.5)
+                model.thresholds[kind] = max(cut, 0.8)
     return model
 
 
