@@ -68,9 +68,11 @@ def route(queries: DataFrame, scopes: DataFrame, scores: DataFrame, default: str
     """query_id, group_id, position, score, reason, read, weight: each query against each scope it may read. scopes: group_id,
     position (MAX_SCOPES at most). Where no scope scores above `least` (and there is no default), the first `most` scopes are read as
     a fallback: the vector channel may answer what names no entity."""
-    if scopes.limit(MAX_SCOPES + 1).count() > MAX_SCOPES:
+    few = scopes.select("group_id", "position").limit(MAX_SCOPES + 1).collect()
+    if len(few) > MAX_SCOPES:
         raise ValueError(f"at most {MAX_SCOPES} scopes")
-    every = queries.select("query_id").join(F.broadcast(scopes.select("group_id", "position")))  # MAX_SCOPES rows
+    named = F.array(*(F.struct(F.lit(r.group_id).alias("group_id"), F.lit(r.position).alias("position")) for r in sorted(few, key=lambda r: r.position)))
+    every = queries.select("query_id", F.explode(named).alias("s")).select("query_id", "s.group_id", "s.position") if few else queries.select("query_id").join(scopes.select("group_id", "position"), F.lit(False))
     scored = every.join(scores.select("query_id", "group_id", "score"), ["query_id", "group_id"], "left").na.fill(0.0, ["score"])
     mine = F.col("group_id").eqNullSafe(F.lit(default))
     each = Window.partitionBy("query_id")
