@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .expand import names_holding
 from .fusion import RRF_K, fit_to_budget
+from .lineage import written
 from .retrieve import Options, query_memory
 
 MATCHED_NODES = 32
@@ -22,7 +23,7 @@ def score_scopes(terms: DataFrame, nodes: DataFrame, edges: DataFrame, cap: int
     terms: query_id, token; nodes: group_id, node, name; edges: group_id, edge_id, start_id, end_id (live). A term names a node when
     the node's name holds it; the few distinct terms meet the distinct names first, so no name is compared twice."""
     known = nodes.select("group_id", "node", F.lower("name").alias("name"))
-    named = known.join(names_holding(known, terms), "name").select("group_id", "node", "token").distinct()
+    named = known.join(written(names_holding(known, terms), "held"), "name").select("group_id", "node", "token").distinct()
     hits = named.join(terms, "token")
     covered = hits.groupBy("query_id", "group_id").agg(F.countDistinct("token").alias("matched_terms"))
     first = Window.partitionBy("query_id", "group_id").orderBy("node")
