@@ -523,3 +523,24 @@ def test_nearest_edges(spark, monkeypatch):
         got[x.query_id].append((x.rank, x.vec_id, x.score))
     assert {q: [v for _, v, _ in sorted(g)] for q, g in got.items()} == {q: [v for v, _ in b] for q, b in want.items()}
     assert additive.nearest(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("rows", ["tight", "offset", "scales", "corner"])
+def test_nearest_of_other_rows(spark, rows):
+    """Clusters tighter than any code, far from the origin, norms of many scales, queries where no other rows are: all ten are found."""
+    r, n = np.random.default_rng(6), 6000
+    x = r.normal(size=(n, 16))
+    if rows in ("tight", "offset"):
+        x = r.normal(size=(6, 16))[r.integers(6, size=n)] + 1e-4 * x + (1000 if rows == "offset" else 0)
+    if rows == "scales":
+        x *= np.exp(6 * r.normal(size=(n, 1)))
+    if rows == "corner":
+        x[::100] = 9 + 1e-3 * x[::100]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = defaultdict(list)
+    for row in additive.nearest(df).orderBy("query_id", "rank").collect():
+        got[row.query_id].append(row.vec_id)
+    for q in range(0, n, 100):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        assert got[q] == np.argsort(d, kind="stable")[:10].tolist()
