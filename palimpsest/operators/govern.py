@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,14 +132,22 @@ def verify_chain(chain: DataFrame) -> DataFrame:
     return chain.withColumn("broken", before != F.col("prev_digest")).withColumn("altered", F.when(~keyed, made != F.col("digest")))
 
 
+def _content_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    made, n = hashlib.sha256(), 0
+    for b in batches:
+        for h in b.column("h").to_pylist():
+            made.update(("\n" if n else "").encode() + h.hex().encode())
+            n += 1
+    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([made.hexdigest()])], names=["n_facts", "content_digest"])
+
+
 def bundle_digest(facts: DataFrame) -> DataFrame:
-    """One row: number of facts and sha256 over their digests in order of id. Lines are hashed where they are; a bundle holds at most
-    MAX_BUNDLE_FACTS facts, so the ordered list of digests is small: of more, only the number is given and the digest is null."""
-    lines = facts.select("edge_id", F.sha2(F.col("line").cast("binary"), 256).alias("h"))
-    count = facts.agg(F.count("*").alias("n_facts"))
-    rows = lines.orderBy("edge_id", "h").limit(MAX_BUNDLE_FACTS + 1).agg(F.array_sort(F.collect_list(F.struct("edge_id", "h"))).alias("all"))
-    digest = F.sha2(F.array_join(F.transform("all", lambda x: x["h"]), "\n").cast("binary"), 256)
-    return count.join(F.broadcast(rows)).select("n_facts", F.when(F.col("n_facts") <= MAX_BUNDLE_FACTS, digest).alias("content_digest"))  # one row each
+    """One row: number of facts and sha256 over their digests in order of id. Lines are hashed where they are; one hash over all of them is
+    sequential by nature, so one task reads the digests (32 bytes a fact) in order, and holds a batch of them."""
+    lines = facts.select("edge_id", F.unhex(F.sha2(F.col("line").cast("binary"), 256)).alias("h"))
+    made = lines.repartition(1).sortWithinPartitions("edge_id", "h").mapInArrow(_content_digest, "n_facts bigint, content_digest string")
+    nothing = F.lit(hashlib.sha256().hexdigest())  # of an empty table no task may run
+    return made.agg(F.coalesce(F.sum("n_facts"), F.lit(0)).alias("n_facts"), F.coalesce(F.max("content_digest"), nothing).alias("content_digest"))
 
 
 def importable(facts: DataFrame) -> DataFrame:

@@ -286,6 +286,17 @@ def test_bundle_round_trip(spark, tmp_path):
     assert bundles.read(spark, str(tmp_path / "b"))[1] == ["digest"]
 
 
+def test_bundle_digest_covers_any_number_of_facts(spark):
+    import hashlib
+
+    n = 25_000
+    facts = spark.range(n).select((n - F.col("id")).alias("edge_id"), F.concat(F.lit("line "), F.col("id").cast("string")).alias("line"))
+    want = hashlib.sha256("\n".join(hashlib.sha256(f"line {n - e}".encode()).hexdigest() for e in range(1, n + 1)).encode()).hexdigest()
+    assert [tuple(r) for r in govern.bundle_digest(facts).collect()] == [(n, want)]
+    empty = govern.bundle_digest(facts.limit(0)).first()
+    assert (empty.n_facts, empty.content_digest) == (0, hashlib.sha256(b"").hexdigest())
+
+
 def test_markdown_slugs(spark):
     n = spark.createDataFrame([(1, "A B"), (2, "a-b"), (3, "!!")], "node bigint, name string")
     f = spark.createDataFrame([(1, 5, "x", 1, 2), (2, 6, "y", 1, 1)], "edge_id bigint, t_valid bigint, fact string, start_id bigint, end_id bigint")
