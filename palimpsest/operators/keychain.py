@@ -85,7 +85,9 @@ def attest(claims: DataFrame, ring: Ring, chain: DataFrame | None = None) -> Dat
         heads = chain.where(F.col("chain_version") == CHAIN_VERSION).groupBy("group_id").agg(F.max(F.struct("seq", "digest")).alias("h"))
         none = F.lit(None).cast("string")
         rows = rows.unionByName(heads.select("group_id", "h.seq", F.lit(None).cast("long").alias("verification_id"), none.alias("key_id"), none.alias("body"), F.col("h.digest").alias("head")))
-    dealt = rows.repartition("group_id").sortWithinPartitions("group_id", "seq", F.col("head").isNull())
+    # by a hash, not by the column: where both parts of the union are dealt by group_id already, Spark leaves such a shuffle out, and merges
+    # partitions of each part on its own, so that a head can miss its claims
+    dealt = rows.repartition(F.xxhash64("group_id")).sortWithinPartitions("group_id", "seq", F.col("head").isNull())
     return dealt.mapInArrow(_sign(ring), _LINKS)
 
 

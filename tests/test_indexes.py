@@ -179,3 +179,22 @@ def test_keys_of_a_chain_change(spark):
     assert (r.n_attested, r.altered, r.vanished, r.unverifiable, r.broken, r.keyed, r.mixed_keying, r.key_ids) == (8, 1, 1, 0, 0, False, True, ["a", "b", "unkeyed"])
     with pytest.raises(ValueError):
         keychain.parse_ring("a:first, typo")
+
+
+def test_heads_meet_their_claims_wherever_they_are_dealt(spark):
+    """Claims numbered by a window and a chain with heads are both dealt by scope before the second turn; their partitions are merged differently."""
+    from pyspark.sql import Window
+
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.parallelismFirst")}
+    for k, v in zip(keep, ("64", "100k", "false")):
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(40_000).select(F.concat(F.lit("g"), F.col("id") % 8).alias("group_id"), F.col("id").alias("verification_id"), F.lit(keychain.UNKEYED).alias("key_id"), F.sha2(F.col("id").cast("string"), 256).alias("body"))
+        claims = rows.withColumn("seq", F.row_number().over(Window.partitionBy("group_id").orderBy("verification_id")).cast("bigint"))
+        first = keychain.attest(claims.where("verification_id < 20000"), {})
+        chain = first.unionByName(keychain.attest(claims.where("verification_id >= 20000"), {}, first))
+        found = keychain.verify(chain, claims, {})
+        assert found.where("broken OR finding IS NOT NULL").count() == 0 and found.count() == 40_000
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
