@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .fusion import DEPTH, topk
+from .lineage import written
 
 SEEDS = 5
 
@@ -39,33 +40,56 @@ def authored_hop(seeds: DataFrame, edges: DataFrame, k: int = DEPTH) -> DataFram
 GRAM = 3
 
 
-def grams(df: DataFrame, text: str, size: int = GRAM) -> DataFrame:
-    """text and gram: the distinct pieces of `size` characters of each text, in time linear in its length (its characters are parted once, in a
+def grams(df: DataFrame, text: str, size: int = GRAM, key: str | None = None) -> DataFrame:
+    """text (or key in its stead) and gram: the distinct pieces of `size` characters of each text, in time linear in its length (its characters are parted once, in a
     column of their own)."""
-    signs = df.select(text, F.split(text, "").alias("signs"))
+    key = key or text
+    signs = df.select(key, F.split(text, "").alias("signs"))
     piece = lambda i: F.concat(*(F.get("signs", i + k) for k in range(size)))
-    return signs.where(F.size("signs") >= size).select(text, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("signs") - size), piece))).alias("gram"))
+    return signs.where(F.size("signs") >= size).select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("signs") - size), piece))).alias("gram"))
 
 
-def names_holding(names: DataFrame, terms: DataFrame) -> DataFrame:
-    """name, token: which of the distinct names (column name, lower case) holds which of the distinct terms (token).
-
-    Postings of the names by pieces of three characters (by one or two for terms that are shorter) meet each term at its rarest piece
-    only; what meets there is compared as a whole. A name costs as many rows as it has distinct pieces, however many lengths
-    terms have."""
-    tokens = terms.select("token").where("token != ''").distinct().withColumn("size", F.least(F.length("token"), F.lit(GRAM)))
-    known = names.select("name").where("name != ''").distinct()
+def _holding(texts: DataFrame, tokens: DataFrame) -> DataFrame:
+    """text, token: which distinct texts hold which tokens (both not empty). Postings carry a text's digest; its characters travel once, to the tokens
+    that may be in it."""
+    sized = tokens.withColumn("size", F.least(F.length("token"), F.lit(GRAM)))
+    known = texts.withColumn("id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
     found = None
-    for size in range(1, GRAM + 1):  # columns of one size only meet terms of that size; a size that no term has costs one scan of the names
-        mine = tokens.where(F.col("size") == size).select("token")
-        asked = grams(mine, "token", size)
-        held = grams(known, "name", size).join(asked.select("gram").distinct(), "gram", "left_semi")
+    for size in range(1, GRAM + 1):  # columns of one size only meet terms of that size; a size that no term has costs one scan of the texts
+        asked = grams(sized.where(F.col("size") == size).select("token"), "token", size)
+        held = grams(known, "text", size, "id").join(asked.select("gram").distinct(), "gram", "left_semi")
         often = held.groupBy("gram").agg(F.count("*").alias("often"))
-        # a term with a piece that no name has is held by none: its rarest piece is missing from the counts
+        # a term with a piece that no text has is held by none: its rarest piece is missing from the counts
         rarest = asked.join(often, "gram", "left").groupBy("token").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "gram")).alias("r")).where("r.often > 0").select("token", F.col("r.gram").alias("gram"))
-        hits = held.join(rarest, "gram").where(F.contains("name", F.col("token"))).select("name", "token")
+        hits = held.join(rarest, "gram").select("id", "token")
         found = hits if found is None else found.unionAll(hits)
-    return found
+    return known.join(found, "id").where(F.contains("text", F.col("token"))).select("text", "token")
+
+
+def held_by(names: DataFrame, terms: DataFrame) -> DataFrame:
+    """id, token: as names_holding, with the SHA-256 digest of a name instead of the name.
+
+    A term without white space lies within one word of a name that holds it: so the names' distinct words are searched, each once however many names
+    have it, and a name costs as many rows as it has distinct words with terms in them. Other terms are searched in whole names. Both by postings of
+    pieces of three characters (of one or two for terms that are shorter), each term at its rarest piece only; what meets there is compared as a whole."""
+    tokens = terms.select("token").where("token != ''").distinct()
+    id_of = F.unhex(F.sha2(F.col("name").cast("binary"), 256))
+    words = names.where("name != ''").select(id_of.alias("id"), F.split("name", r"\s+").alias("words"))  # digests before words, once a name
+    words = words.select("id", F.explode(F.array_distinct("words")).alias("text"))
+    plain, spaced = (tokens.where(F.col("token").rlike(r"\s") == with_space) for with_space in (False, True))
+    within = _holding(written(words.select("text").where("text != ''").distinct(), "words"), plain)
+    within = written(within, "within")  # so its size is known, and the words of all names stay where they are if it is small
+    found = words.join(within, "text").select("id", "token").distinct()
+    if spaced.isEmpty():
+        return found
+    whole = _holding(names.where("name != ''").select(F.col("name").alias("text")).distinct(), spaced)
+    return found.unionAll(whole.select(F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("id"), "token"))
+
+
+def names_holding(names: DataFrame, terms: DataFrame) -> DataFrame:
+    """name, token: which of the distinct names (column name, lower case) holds which of the distinct terms (token)."""
+    known = names.select("name").where("name != ''").distinct().withColumn("id", F.unhex(F.sha2(F.col("name").cast("binary"), 256)))
+    return known.join(held_by(names, terms), "id").select("name", "token")
 
 
 def needs_expansion(terms: DataFrame, nodes: DataFrame, edges: DataFrame, most: int = 8) -> DataFrame:

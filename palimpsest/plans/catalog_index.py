@@ -107,7 +107,7 @@ def names_holding(s, d):
     """Whole documents as names, the terms of all questions."""
     asked = fx.questions(s, d).select(F.explode(tx.prompt_terms(F.col("text"))).alias("token"))
     names = fx.table(s, d, "documents").select(F.lower("text").alias("name"))
-    return expand.names_holding(names, asked).groupBy("token").agg(F.count("*").alias("n_names"))
+    return expand.held_by(names, asked).groupBy("token").agg(F.count("*").alias("n_names"))
 
 
 # ---- validity

@@ -103,6 +103,18 @@ def test_names_holding_by_brute_force(spark):
     assert sorted((r.name, r.token) for r in got) == sorted({(n, t) for n in names for t in terms if t and t in n})
 
 
+def test_names_are_not_carried_by_their_pieces(spark):
+    """Names are told by digests; terms within a word and terms with a space."""
+    words = ["alpha", "beta", "gamma", "delta", "alphabet"]
+    names = [" ".join(words[k % 5 :] + [f"w{k}"] * 3) for k in range(300)]
+    terms = ["alpha", "bet", "w1", "a b", "a", "nothing"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    held = expand.held_by(df, spark.createDataFrame([(t,) for t in terms], "token string"))
+    assert held.columns == ["id", "token"]
+    got = sorted((r.token, bytes(r.id)) for r in held.collect())
+    assert got == sorted((t, hashlib.sha256(n.encode()).digest()) for n in set(names) for t in terms if t in n)
+
+
 def test_canonical_intervals(spark):
     rng = random.Random(4)
     spans = [(lo, lo + size) for lo, size in ((rng.randrange(-100, 3000), rng.randrange(0, 3000)) for _ in range(300))] + [(5, 5), (0, 1), (0, 4096)]
