@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import temporal, vector
-from .lineage import cut
+from .lineage import cut, written
 
 MAX_STRING = 4000
 CONFIDENCE = ["extracted", "inferred", "ambiguous"]
@@ -54,13 +54,16 @@ def resolve(mentions: DataFrame, nodes: DataFrame) -> DataFrame:
     group_id, name, aliases, vector. Exact names first, then aliases, then the five nearest: one at SAME or more (or a blocked
     name) makes the mention ambiguous. Nothing is merged silently."""
     key = mentions.withColumn("key", F.lower("name"))
-    exact = key.join(nodes.select("group_id", F.lower("name").alias("key"), "node"), ["group_id", "key"]).groupBy("mention_id").agg(F.min("node").alias("node")).withColumn("decision", F.lit("exact"))
+    least_node = lambda known: known.groupBy("group_id", "key").agg(F.min("node").alias("node"))  # noqa: E731  a name has one answer however many nodes share it
+    exact = key.join(least_node(nodes.select("group_id", F.lower("name").alias("key"), "node")), ["group_id", "key"]).groupBy("mention_id").agg(F.min("node").alias("node")).withColumn("decision", F.lit("exact"))
     rest = key.join(exact.select("mention_id"), "mention_id", "left_anti")
-    alias = nodes.select("group_id", F.explode("aliases").alias("alias"), "node").select("group_id", F.lower("alias").alias("key"), "node")
+    alias = least_node(nodes.select("group_id", F.explode("aliases").alias("alias"), "node").select("group_id", F.lower("alias").alias("key"), "node"))
     by_alias = rest.join(alias, ["group_id", "key"]).groupBy("mention_id").agg(F.min("node").alias("node")).withColumn("decision", F.lit("alias"))
-    rest = rest.join(by_alias.select("mention_id"), "mention_id", "left_anti")
-    near = vector.nearest(rest.select(F.col("mention_id").alias("query_id"), "vector", "group_id"), nodes.select(F.col("node").alias("edge_id"), "vector", "group_id"), 5, scope=True)
-    near = near.join(rest.select(F.col("mention_id").alias("query_id"), F.col("name").alias("mention")), "query_id").join(nodes.select(F.col("node").alias("edge_id"), F.col("name").alias("known")), "edge_id")
+    rest = written(rest.join(by_alias.select("mention_id"), "mention_id", "left_anti").select("mention_id", "group_id", "name", "vector"), "unknown")
+    shared, of = vector.nearest_shared(rest.select(F.col("mention_id").alias("query_id"), "vector", "group_id"), nodes.select(F.col("node").alias("edge_id"), "vector", "group_id"), 5, scope=True)
+    # the names of the nearest travel with the vector that they are near to, once however many mentions have it
+    near = shared.join(nodes.select(F.col("node").alias("edge_id"), F.col("name").alias("known")), "edge_id").groupBy("rep").agg(F.collect_list(F.struct("rank", "edge_id", "score", "known")).alias("near"))
+    near = rest.select(F.col("mention_id").alias("query_id"), F.col("name").alias("mention")).join(of, "query_id").join(near, "rep").repartition("query_id").select("query_id", "mention", F.explode("near").alias("n")).select("query_id", "mention", "n.*")
     like = near.where((F.col("score") >= SAME) | blocked(F.col("mention"), F.col("known"))).groupBy(F.col("query_id").alias("mention_id")).agg(F.min_by("edge_id", "rank").alias("node"))
     fuzzy = rest.select("mention_id").join(like, "mention_id", "left").withColumn("decision", F.when(F.col("node").isNull(), "new").otherwise("ambiguous"))
     cols = ["mention_id", "decision", "node"]
