@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import prompt_terms, tokens
@@ -11,6 +13,7 @@ from .fusion import DEPTH, topk
 K1 = 1.2
 B = 0.75
 MIN_DOCS = 50
+SMALL = 1_000_000  # rows of a few numbers
 
 
 def token_table(facts: DataFrame) -> DataFrame:
@@ -38,21 +41,40 @@ def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
+def small(terms: DataFrame, facts: DataFrame, by_scope: bool = False) -> Callable[[DataFrame], DataFrame]:
+    """A hint to send a table to all tasks, for tables with a row for each asked token, or for each in each scope, if there are SMALL at most; else none."""
+    n = terms.select("token").distinct().count()
+    n_scopes = 1 if n > SMALL or "group_id" not in facts.columns else facts.select("group_id").distinct().count()
+    return F.broadcast if max(n * n_scopes, terms.count() if by_scope else 0) <= SMALL else lambda df: df
+
+
+def asked_words(facts: DataFrame, terms: DataFrame, hint: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The columns of facts but the text, dl and token: a row for each word that is asked for, with repeats, and one without a word ('') for the fact itself.
+    Other words leave no task, and rows are dealt by edge_id, so what is counted by fact later needs no shuffle."""
+    keep = [c for c in facts.columns if c != "fact"]
+    words = facts.select(*keep, tokens(F.col("fact")).alias("words")).withColumn("dl", F.size("words"))
+    each = words.select(*keep, "dl", F.explode(F.concat(F.coalesce("words", F.array().cast("array<string>")), F.array(F.lit("")))).alias("token"))
+    asked = terms.select("token").unionAll(terms.sparkSession.range(1).select(F.lit("").alias("token"))).distinct()
+    return each.join((hint or F.broadcast)(asked), "token", "left_semi").repartition("edge_id")
+
+
 def bm25_scores(queries: DataFrame, facts: DataFrame, by_scope: bool = False) -> DataFrame:
     """query_id, edge_id, score of all facts with one term of the query at least. queries: query_id, text (group_id if by_scope:
-    the query asks that scope only). Postings are joined by token; document frequency comes from the same postings by a window-free aggregate."""
-    table = token_table(facts)
+    the query asks that scope only). Texts are parted once; postings of asked tokens only go on. Where few tokens are asked, their frequencies and the
+    queries go to the postings, which stay where they are."""
     terms = query_terms(queries)
-    stats = scope_stats(facts)
-    wanted = table.join(terms.select("token").distinct(), "token", "left_semi")  # postings of asked tokens only go on
-    df = wanted.groupBy("group_id", "token").agg(F.count("*").alias("df"))
-    postings = wanted.join(df, ["group_id", "token"]).join(stats, "group_id")
+    hint = small(terms, facts, by_scope)
+    rows = asked_words(facts.select("group_id", "edge_id", "fact"), terms, hint)
+    postings = rows.groupBy("group_id", "edge_id", "token").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.sum("dl").alias("length"), F.count("dl").alias("n"))
+    counts = postings.groupBy("group_id", "token").agg(F.count("*").alias("df"), F.sum("tf").alias("rows"), F.sum("length").alias("length"), F.sum("n").alias("n"))
+    of_scope = lambda c: F.max(F.when(F.col("token") == "", c)).over(Window.partitionBy("group_id"))  # noqa: E731  the rows without a word are the facts
+    known = counts.select("group_id", "token", "df", of_scope(F.col("rows")).alias("n_docs"), of_scope(F.col("length") / F.col("n")).alias("avg_len"))
     tf, dl, avg = F.col("tf"), F.col("dl"), F.greatest(F.col("avg_len"), F.lit(1.0))
     part = idf(F.col("n_docs"), F.col("df")) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avg))
-    weighed = postings.select("group_id", "edge_id", "token", part.alias("part"))
+    weighed = postings.select("group_id", "edge_id", "token", "tf", "dl").join(hint(known), ["group_id", "token"]).select("group_id", "edge_id", "token", part.alias("part"))
     on = ["group_id", "token"] if by_scope else ["token"]
     keys = ["query_id", "group_id", "edge_id"]
-    return weighed.join(terms, on).groupBy(*keys).agg(F.sum("part").alias("score"))
+    return weighed.join(hint(terms), on).groupBy(*keys).agg(F.sum("part").alias("score"))
 
 
 def bm25(queries: DataFrame, facts: DataFrame, k: int = DEPTH, by_scope: bool = False, only: DataFrame | None = None) -> DataFrame:
@@ -66,9 +88,12 @@ def bm25(queries: DataFrame, facts: DataFrame, k: int = DEPTH, by_scope: bool =
 
 def match_count(queries: DataFrame, facts: DataFrame, k: int = DEPTH, by_scope: bool = False, only: DataFrame | None = None) -> DataFrame:
     """Ranking without statistics (as-of reads): distinct matched terms, then their frequency, then id."""
-    table = token_table(facts if only is None else facts.join(only, "edge_id", "left_semi"))
+    terms = query_terms(queries)
+    hint = small(terms, facts, by_scope)
+    rows = asked_words((facts if only is None else facts.join(only, "edge_id", "left_semi")).select("group_id", "edge_id", "fact"), terms, hint)
+    table = rows.groupBy("group_id", "edge_id", "token").agg(F.count("*").alias("tf"))
     on = ["group_id", "token"] if by_scope else ["token"]
-    hits = table.join(query_terms(queries), on).groupBy("query_id", "edge_id").agg(F.count("*").alias("matched_terms"), F.sum("tf").alias("tf"))
+    hits = table.join(hint(terms), on).groupBy("query_id", "edge_id").agg(F.count("*").alias("matched_terms"), F.sum("tf").alias("tf"))
     return topk(hits, ["query_id"], [F.desc("matched_terms"), F.desc("tf"), F.col("edge_id")], k)
 
 

@@ -87,7 +87,8 @@ def recall_for_prompt(prompts: DataFrame, facts: DataFrame, first: str, second:
     asked = prompts.where(F.length("text") >= least)
     each = facts.where(F.col("group_id").isin(first, second))
     best = fusion.topk(lexical.bm25_scores(asked, each).withColumn("score", F.round("score", 6)), ["query_id", "group_id"], [F.desc("score"), F.col("edge_id")], k)
-    joined = best.join(each.select("edge_id", "fact"), "edge_id").withColumn("scope_no", (F.col("group_id") != first).cast("int"))
+    few = F.broadcast(best) if asked.count() * 2 * k <= lexical.SMALL else best  # so that the other texts stay where they are
+    joined = each.select("edge_id", "fact").join(few, "edge_id").withColumn("scope_no", (F.col("group_id") != first).cast("int"))
     once = fusion.keep_first(joined, ["query_id", "fact"], [F.col("scope_no"), F.col("rank")])
     return fusion.topk(once.drop("rank"), ["query_id"], [F.col("scope_no"), F.desc("score"), F.col("edge_id")], k).select("query_id", "rank", "edge_id", "group_id")
 

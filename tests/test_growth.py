@@ -1,10 +1,12 @@
 """Steps whose work must not grow with copies: equal vectors, shared names, words that nobody asks for."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators import ingest, vector
+from palimpsest.operators import ingest, lexical, postings, vector
 
 
 def brute(queries, facts, k, other_only=False, text=False, least=None):
@@ -47,3 +49,15 @@ def test_resolve_with_names_that_many_nodes_share(spark):
     mentions = spark.createDataFrame([(i, "g", n, v) for i, n, v in said], "mention_id long, group_id string, name string, vector array<double>")
     got = {r.mention_id: (r.decision, r.node) for r in ingest.resolve(mentions, nodes).collect()}
     assert got == {1: ("exact", 1), 2: ("alias", 0), 3: ("new", None), 4: ("ambiguous", 0), 5: ("ambiguous", 0), 6: ("new", None)}
+
+
+def test_words_that_nobody_asks_for_stay_in_their_task(spark):
+    facts = spark.createDataFrame([("g", 1, "red fox fox and a hill"), ("g", 2, "blue hill"), ("g", 3, None), ("h", 4, "fox")], "group_id string, edge_id long, fact string")
+    asked = spark.createDataFrame([(1, "fox hill")], "query_id long, text string")
+    rows = lexical.asked_words(facts, lexical.query_terms(asked)).collect()
+    assert sorted((r.edge_id, r.token) for r in rows) == [(1, ""), (1, "fox"), (1, "fox"), (1, "hill"), (2, ""), (2, "hill"), (3, ""), (4, ""), (4, "fox")]
+    stats = {"g": (3, 3.0), "h": (1, 1.0)}
+    tf = {1: {"fox": 2, "hill": 1}, 2: {"hill": 1}, 4: {"fox": 1}}
+    df, dl, of = {("g", "fox"): 1, ("g", "hill"): 2, ("h", "fox"): 1}, {1: 4, 2: 2, 4: 1}, {1: "g", 2: "g", 4: "h"}
+    want = {e: round(sum(math.log(1 + (stats[of[e]][0] - df[of[e], t] + 0.5) / (df[of[e], t] + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * dl[e] / stats[of[e]][1])) for t, n in w.items()), 6) for e, w in tf.items()}
+    assert {r.edge_id: round(r.score, 6) for r in lexical.bm25_scores(asked, facts).collect()} == want
