@@ -17,6 +17,8 @@ An edge id is written once (a changed fact is a new edge). Facts without a token
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -24,7 +26,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from .fusion import DEPTH, topk
-from .lexical import K1, B, idf, query_terms, usable
+from .lexical import K1, B, idf, query_terms, small, usable
+from .lineage import shared_folder, written
 
 WIDTH = 64
 BUCKETS = 32
@@ -71,17 +74,18 @@ def build(facts: DataFrame, width: int = WIDTH, buckets: int = BUCKETS) -> Index
 
 def append(index: Index, facts: DataFrame, width: int = WIDTH, buckets: int = BUCKETS) -> Index:
     """The index with more facts; statistics stay."""
-    postings, docs = blocks(facts, width, buckets)
-    return Index(index.postings.unionByName(postings), index.docs.unionByName(docs), index.terms, index.scopes)
+    more = keep(facts, width, buckets)
+    return Index(index.postings.unionByName(more.postings), index.docs.unionByName(more.docs), index.terms, index.scopes)
 
 
 def refresh(index: Index, only: DataFrame | None = None) -> Index:
     """Statistics anew, of all scopes or of those in only (group_id)."""
     postings, docs = index.postings, index.docs
     if only is None:
-        return Index(postings, docs, *statistics(postings, docs))
+        return Index(postings, docs, *_told(*statistics(postings, docs)))
+    only = written(only, "due")
     terms, scopes = statistics(*(t.join(only, "group_id", "left_semi") for t in (postings, docs)))
-    return Index(postings, docs, index.terms.join(only, "group_id", "left_anti").unionByName(terms), index.scopes.join(only, "group_id", "left_anti").unionByName(scopes))
+    return Index(postings, docs, *_told(index.terms.join(only, "group_id", "left_anti").unionByName(terms), index.scopes.join(only, "group_id", "left_anti").unionByName(scopes)))
 
 
 def staleness(index: Index) -> DataFrame:
@@ -98,11 +102,30 @@ def refresh_if_due(index: Index) -> Index:
 
 
 def save(index: Index, path: str, mode: str = "errorifexists") -> None:
-    index.postings.repartition("bucket").sortWithinPartitions("bucket", "token", "group_id", "slot").write.mode(mode).partitionBy("bucket").parquet(f"{path}/postings")
+    save_lists(index.postings, f"{path}/postings", mode)
     for name in TABLES[1:]:
         getattr(index, name).write.mode(mode).parquet(f"{path}/{name}")
 
 
+def save_lists(postings: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Within a bucket lists are dealt by slot too, so that a bucket may be larger than a task's share."""
+    postings.repartition("bucket", "slot").sortWithinPartitions("bucket", "token", "group_id", "slot").write.mode(mode).partitionBy("bucket").parquet(path)
+
+
+def keep(facts: DataFrame, width: int = WIDTH, buckets: int = BUCKETS) -> Index:
+    """build, written to the shared folder: texts are read for the lists once and for the lengths once, statistics are read off these."""
+    spark, path = facts.sparkSession, f"{shared_folder(facts.sparkSession)}/index-{uuid.uuid4().hex}"
+    postings, docs = blocks(facts, width, buckets)
+    save_lists(postings, f"{path}/postings")
+    docs.write.parquet(f"{path}/docs")
+    postings, docs = (spark.read.schema(t.schema).parquet(f"{path}/{name}") for name, t in (("postings", postings), ("docs", docs)))
+    return Index(postings, docs, *_told(*statistics(postings, docs)))
+
+
+def _told(terms: DataFrame, scopes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return written(terms, "terms"), written(scopes, "scopes")
+
+
 def load(spark: SparkSession, path: str) -> Index:
     return Index(*(spark.read.parquet(f"{path}/{name}") for name in TABLES))
 
@@ -115,31 +138,39 @@ def _part(tf: Column, dl: Column) -> Column:
 def heads(index: Index, queries: DataFrame, by_scope: bool = False) -> DataFrame:
     """query_id, group_id, token, slot, idf, avg_len, bound: the blocks that queries ask for, by their heads; lists are not read."""
     terms = query_terms(queries).select("query_id", "token", *(["group_id"] if by_scope else []))
-    tops = index.postings.join(terms.select("token").distinct(), "token", "left_semi").groupBy("group_id", "token", "slot").agg(F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl"))
-    known = tops.join(index.scopes.select("group_id", "n_docs", "avg_len"), "group_id").join(index.terms, ["group_id", "token"], "left").withColumn("idf", idf(F.col("n_docs"), F.coalesce("df", F.lit(0))))
+    hint = small(terms, index.scopes, by_scope)
+    asked = hint(terms.select("token").distinct())
+    blocks_of = index.postings.select("group_id", "token", "slot", "max_tf", "min_dl").join(asked, "token", "left_semi").repartition("group_id", "slot")
+    tops = blocks_of.groupBy("group_id", "token", "slot").agg(F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl"))
+    known = tops.join(hint(index.scopes.select("group_id", "n_docs", "avg_len")), "group_id").join(hint(index.terms.join(asked, "token", "left_semi")), ["group_id", "token"], "left").withColumn("idf", idf(F.col("n_docs"), F.coalesce("df", F.lit(0))))
     weighed = known.select("group_id", "token", "slot", "idf", "avg_len", _part(F.col("max_tf"), F.col("min_dl")).alias("bound"))
-    return weighed.join(terms, ["token", "group_id"] if by_scope else ["token"])
+    return weighed.join(hint(terms), ["token", "group_id"] if by_scope else ["token"])
 
 
-def _scored(index: Index, wanted: DataFrame, only: DataFrame | None) -> DataFrame:
+def _scored(index: Index, wanted: DataFrame, only: DataFrame | None, hint: Callable[[DataFrame], DataFrame] = lambda df: df, asked: DataFrame | None = None) -> DataFrame:
     """query_id, group_id, edge_id, score of the facts in the wanted blocks (rows of heads)."""
     lists = index.postings.select("group_id", "token", "slot", F.arrays_zip("edges", "tfs", "dls").alias("p"))
-    each = wanted.join(lists, ["group_id", "token", "slot"]).select("query_id", "group_id", "idf", "avg_len", F.explode("p").alias("p"))
+    lists = lists if asked is None else lists.join(asked, "token", "left_semi")
+    each = lists.join(hint(wanted), ["group_id", "token", "slot"]).select("query_id", "group_id", "idf", "avg_len", F.explode("p").alias("p"))
     parts = each.select("query_id", "group_id", F.col("p.edges").alias("edge_id"), _part(F.col("p.tfs"), F.col("p.dls")).alias("part"))
     found = parts.groupBy("query_id", "group_id", "edge_id").agg(F.round(F.sum("part"), 6).alias("score"))
     return found if only is None else found.join(only, "edge_id", "left_semi")
 
 
 def prune(index: Index, queries: DataFrame, k: int = DEPTH, by_scope: bool = False, only: DataFrame | None = None, probe: int = PROBE) -> tuple[DataFrame, DataFrame]:
-    """(heads with their slot's bound, the heads whose slot can hold one of the k best facts)."""
+    """(heads with their slot's bound, the heads whose slot can hold one of the k best facts). Heads are dealt by slot, where they stay; the slots of the first
+    look and the k-th scores go to them."""
     by = ["query_id", "group_id"] if by_scope else ["query_id"]
-    top = heads(index, queries, by_scope)
     slot = ["query_id", "group_id", "slot"]
-    bounds = top.groupBy(*slot).agg(F.sum("bound").alias("most"))
-    first = topk(bounds, by, [F.desc("most"), F.col("group_id"), F.col("slot")], probe).select(*slot)
-    kth = topk(_scored(index, top.join(first, slot, "left_semi"), only), by, [F.desc("score"), F.col("edge_id")], k).where(F.col("rank") == k).select(*by, F.col("score").alias("kth"))
-    alive = bounds.join(kth, by, "left").where(F.col("kth").isNull() | (F.col("most") >= F.col("kth") - 2e-6))  # scores are rounded to six digits
-    return top, top.join(alive.select(*slot), slot, "left_semi")
+    terms = query_terms(queries)
+    hint = small(terms, index.scopes, by_scope)
+    asked = hint(terms.select("token").distinct())
+    top = heads(index, queries, by_scope).withColumn("most", F.sum("bound").over(Window.partitionBy(*slot)))
+    first = topk(top.select(*slot, "most").distinct(), by, [F.desc("most"), F.col("group_id"), F.col("slot")], probe).select(*slot)
+    looked = _scored(index, top.join(hint(first), slot, "left_semi"), only, hint, asked)
+    kth = topk(looked, by, [F.desc("score"), F.col("edge_id")], k).where(F.col("rank") == k).select(*by, F.col("score").alias("kth"))
+    alive = top.join(hint(kth), by, "left").where(F.col("kth").isNull() | (F.col("most") >= F.col("kth") - 2e-6))  # scores are rounded to six digits
+    return top, alive.drop("kth")
 
 
 def search(index: Index, queries: DataFrame, k: int = DEPTH, by_scope: bool = False, only: DataFrame | None = None, probe: int = PROBE) -> DataFrame:
@@ -147,14 +178,16 @@ def search(index: Index, queries: DataFrame, k: int = DEPTH, by_scope: bool = Fa
     query_id, text (group_id if by_scope); only: edge_id of the facts that may be ranked."""
     by = ["query_id", "group_id"] if by_scope else ["query_id"]
     _, alive = prune(index, queries, k, by_scope, only, probe)
-    return topk(_scored(index, alive, only), by, [F.desc("score"), F.col("edge_id")], k)
+    terms = query_terms(queries)
+    asked = small(terms, index.scopes, by_scope)(terms.select("token").distinct())
+    return topk(_scored(index, alive, only, asked=asked), by, [F.desc("score"), F.col("edge_id")], k)
 
 
 def matches(index: Index, queries: DataFrame, k: int = DEPTH, by_scope: bool = False, only: DataFrame | None = None) -> DataFrame:
     """The ranking without statistics, from the postings: matched terms, their frequency, id."""
     terms = query_terms(queries).select("query_id", "token", *(["group_id"] if by_scope else []))
     lists = index.postings.select("group_id", "token", F.arrays_zip("edges", "tfs").alias("p"))
-    each = lists.join(terms, ["token", "group_id"] if by_scope else ["token"]).select("query_id", "group_id", F.explode("p").alias("p"))
+    each = lists.join(small(terms, index.scopes, by_scope)(terms), ["token", "group_id"] if by_scope else ["token"]).select("query_id", "group_id", F.explode("p").alias("p"))
     hits = each.groupBy("query_id", "group_id", F.col("p.edges").alias("edge_id")).agg(F.count("*").alias("matched_terms"), F.sum("p.tfs").alias("tf"))
     hits = hits if only is None else hits.join(only, "edge_id", "left_semi")
     return topk(hits, ["query_id", "group_id"] if by_scope else ["query_id"], [F.desc("matched_terms"), F.desc("tf"), F.col("edge_id")], k)

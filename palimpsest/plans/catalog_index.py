@@ -59,7 +59,7 @@ postings AS{lists}, term_df AS (SELECT p.group_id, token, count(c.edge_id) AS df
 
 def _two_turns(s, d):
     facts = fx.facts_text(s, d)
-    return postings.append(postings.build(facts.where("project < 'src5'")), facts.where("project >= 'src5'"))
+    return postings.append(postings.keep(facts.where("project < 'src5'")), facts.where("project >= 'src5'"))
 
 
 _TURN_BASE = (fx.FACTS_TEXT, fx.QUESTIONS, TERM_LISTS, QUERY_TOKENS)
@@ -90,7 +90,7 @@ def lexical_fallback(s, d):
     """German has been written to since the refresh (half of its facts are new), the other scopes have not."""
     facts = fx.facts_text(s, d)
     late = (F.col("group_id") == "de") & (F.col("project") >= "src5")
-    index = postings.append(postings.build(facts.where(~late)), facts.where(late))
+    index = postings.append(postings.keep(facts.where(~late)), facts.where(late))
     return postings.lexical_channel(index, _every_scope(s, d), by_scope=True)
 
 

@@ -61,3 +61,13 @@ def test_words_that_nobody_asks_for_stay_in_their_task(spark):
     df, dl, of = {("g", "fox"): 1, ("g", "hill"): 2, ("h", "fox"): 1}, {1: 4, 2: 2, 4: 1}, {1: "g", 2: "g", 4: "h"}
     want = {e: round(sum(math.log(1 + (stats[of[e]][0] - df[of[e], t] + 0.5) / (df[of[e], t] + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * dl[e] / stats[of[e]][1])) for t, n in w.items()), 6) for e, w in tf.items()}
     assert {r.edge_id: round(r.score, 6) for r in lexical.bm25_scores(asked, facts).collect()} == want
+
+
+def test_an_index_parts_its_texts_twice(spark):
+    """Once for the lists, once for the lengths; statistics and searches read what was written."""
+    facts = spark.createDataFrame([("g", i, f"word{i % 5} other") for i in range(200)], "group_id string, edge_id long, fact string")
+    index = postings.append(postings.keep(facts.where("edge_id < 150")), facts.where("edge_id >= 150"))
+    for table in (index.postings, index.docs, index.terms, index.scopes, postings.refresh(index).terms):
+        assert "Scan ExistingRDD" not in table._jdf.queryExecution().executedPlan().toString()
+    asked = spark.createDataFrame([(1, "word3")], "query_id long, text string")
+    assert [r.edge_id for r in postings.search(index, asked, 3).orderBy("rank").collect()] == [3, 8, 13]
