@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators import ingest, lexical, postings, vector
+from palimpsest.operators import ingest, lexical, nested, postings, vector
 
 
 def brute(queries, facts, k, other_only=False, text=False, least=None):
@@ -71,3 +71,15 @@ def test_an_index_parts_its_texts_twice(spark):
         assert "Scan ExistingRDD" not in table._jdf.queryExecution().executedPlan().toString()
     asked = spark.createDataFrame([(1, "word3")], "query_id long, text string")
     assert [r.edge_id for r in postings.search(index, asked, 3).orderBy("rank").collect()] == [3, 8, 13]
+
+
+def test_facts_of_prefixes_stay_in_their_tasks(spark):
+    """Every third key is shared by two facts; a prefix may end between them."""
+    facts = spark.range(400).select(F.col("id").alias("edge_id"), (F.col("id") * 7 % 300).alias("at"), F.lit("word").alias("fact")).repartition(4, "edge_id")
+    found, sizes = nested.placed(facts, ["at"])
+    assert sizes == [400, 200, 100, 50, 25] and set(found.columns) == {"edge_id", "at", "fact", "levels"}
+    order = sorted(range(400), key=lambda i: (i * 7 % 300, i))
+    assert {r.edge_id: r.levels for r in found.collect()} == {i: sum(place < n for n in sizes) for place, i in enumerate(order)}
+    assert max(r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()) < 200
+    few, none = nested.placed(facts.limit(10), ["at"])
+    assert few.collect() == [] and none == []
