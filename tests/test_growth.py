@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators import ingest, lexical, nested, postings, vector
+from palimpsest.operators import graph, ingest, lexical, nested, postings, vector
 
 
 def brute(queries, facts, k, other_only=False, text=False, least=None):
@@ -83,3 +83,21 @@ def test_facts_of_prefixes_stay_in_their_tasks(spark):
     assert max(r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()) < 200
     few, none = nested.placed(facts.limit(10), ["at"])
     assert few.collect() == [] and none == []
+
+
+def test_labels_that_swap_for_ever_are_not_spread_to_the_end(spark, monkeypatch):
+    """Two nodes swap their labels, a path settles: rounds end when all is as two rounds before; the labels of the last one are known then."""
+    made = []
+    for name in ("cut", "written"):
+        f = getattr(graph, name)
+        monkeypatch.setattr(graph, name, lambda *args, f=f: made.append(args) or f(*args))
+    nodes = spark.createDataFrame([(i, "") for i in (1, 2, 5, 6, 7, 9)], "node bigint, name string")
+    edges = spark.createDataFrame([(1, 2), (5, 6), (6, 7), (7, 7)], "start_id bigint, end_id bigint")
+    for rounds, swapped in ((40, False), (41, True), (2, False), (1, True)):
+        made.clear()
+        got = {r.node: r.label for r in graph.spread_labels(nodes, edges, rounds).collect()}
+        label = {n: n for n in (1, 2, 5, 6, 7, 9)}
+        for _ in range(rounds):
+            label = {1: label[2], 2: label[1], 5: label[6], 6: min(label[5], label[7]), 7: label[6], 9: 9}
+        assert got == label and (got[1] == 2) == swapped
+        assert len(made) < 10
