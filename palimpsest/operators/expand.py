@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .fusion import DEPTH, topk
@@ -16,22 +16,38 @@ def endpoints(edges: DataFrame) -> DataFrame:
     return edges.select("edge_id", F.explode(F.array_distinct(F.array("start_id", "end_id"))).alias("node"))
 
 
+def _first_ends(edges: DataFrame, n: int) -> DataFrame:
+    """endpoints of the first n edges of each node by id."""
+    nth = F.dense_rank().over(Window.partitionBy("node").orderBy("edge_id"))
+    return endpoints(edges).withColumn("nth", nth).where(F.col("nth") <= n).select("edge_id", "node").distinct()
+
+
+def _touched(seeds: DataFrame, edges: DataFrame, k: int) -> tuple[DataFrame, DataFrame, int]:
+    """seeds (written, so that ranking happens once); query_id, node, seed_rank of their ends; and how many edges of a node can matter: of those that a node
+    gives to a query one precedes another by its id, so behind k and the query's seeds none is among the first k."""
+    seeds = written(seeds.select("query_id", "edge_id", "rank"), "seeds")
+    most = seeds.groupBy("query_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    return seeds, seeds.join(endpoints(edges), "edge_id").groupBy("query_id", "node").agg(F.min("rank").alias("seed_rank")), k + most
+
+
 def structural_hop(seeds: DataFrame, edges: DataFrame, k: int = DEPTH) -> DataFrame:
     """Facts that share a node with a seed fact (query_id, edge_id, rank), seeds left out, by best seed rank, then id."""
-    ends = endpoints(edges)
-    touched = seeds.join(ends, "edge_id").groupBy("query_id", "node").agg(F.min("rank").alias("seed_rank"))
-    near = touched.join(ends, "node").groupBy("query_id", "edge_id").agg(F.min("seed_rank").alias("seed_rank"))
+    seeds, touched, few = _touched(seeds, edges, k)
+    near = touched.join(_first_ends(edges, few), "node").groupBy("query_id", "edge_id").agg(F.min("seed_rank").alias("seed_rank"))
     return topk(near.join(seeds.select("query_id", "edge_id"), ["query_id", "edge_id"], "left_anti"), ["query_id"], [F.col("seed_rank"), F.col("edge_id")], k)
 
 
 def authored_hop(seeds: DataFrame, edges: DataFrame, k: int = DEPTH) -> DataFrame:
-    """Tier 1: edges with a causal hint at a seed's end; tier 2: edges at the far end of those. By tier, seed rank, id."""
-    ends = endpoints(edges)
-    touched = seeds.join(ends, "edge_id").groupBy("query_id", "node").agg(F.min("rank").alias("seed_rank"))
+    """Tier 1: edges with a causal hint at a seed's end; tier 2: edges at the far end of those. By tier, seed rank, id. Far ends are found among the
+    distinct pairs of nodes that hinted edges join, so neither tier has a row for each edge of a node that many share."""
+    seeds, touched, few = _touched(seeds, edges, k)
     hinted = edges.where(F.col("causal_hint").isNotNull())
-    one = touched.join(endpoints(hinted), "node").groupBy("query_id", "edge_id").agg(F.min("seed_rank").alias("seed_rank"))
-    far = one.join(endpoints(hinted), "edge_id").join(touched.select("query_id", "node"), ["query_id", "node"], "left_anti").groupBy("query_id", "node").agg(F.min("seed_rank").alias("seed_rank"))
-    two = far.join(ends, "node").groupBy("query_id", "edge_id").agg(F.min("seed_rank").alias("seed_rank"))
+    one = touched.join(_first_ends(hinted, few), "node").groupBy("query_id", "edge_id").agg(F.min("seed_rank").alias("seed_rank"))
+    ends = endpoints(hinted).groupBy("edge_id").agg(F.collect_set("node").alias("ends"))
+    joined = ends.select(F.explode("ends").alias("node"), "ends").select("node", F.explode("ends").alias("other")).where("node != other").distinct()
+    other = touched.join(joined, "node").groupBy("query_id", F.col("other").alias("node")).agg(F.min("seed_rank").alias("seed_rank"))
+    far = other.join(touched.select("query_id", "node"), ["query_id", "node"], "left_anti")
+    two = far.join(_first_ends(edges, few), "node").groupBy("query_id", "edge_id").agg(F.min("seed_rank").alias("seed_rank"))
     both = one.withColumn("tier", F.lit(1)).unionByName(two.withColumn("tier", F.lit(2)))
     best = both.groupBy("query_id", "edge_id").agg(F.min(F.struct("tier", "seed_rank")).alias("s")).select("query_id", "edge_id", "s.tier", "s.seed_rank")
     return topk(best.join(seeds.select("query_id", "edge_id"), ["query_id", "edge_id"], "left_anti"), ["query_id"], [F.col("tier"), F.col("seed_rank"), F.col("edge_id")], k)

@@ -1,12 +1,13 @@
 """Steps whose work must not grow with copies: equal vectors, shared names, words that nobody asks for."""
 
 import math
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators import graph, ingest, lexical, nested, postings, vector
+from palimpsest.operators import expand, graph, ingest, lexical, nested, postings, vector
 
 
 def brute(queries, facts, k, other_only=False, text=False, least=None):
@@ -101,3 +102,30 @@ def test_labels_that_swap_for_ever_are_not_spread_to_the_end(spark, monkeypatch)
             label = {1: label[2], 2: label[1], 5: label[6], 6: min(label[5], label[7]), 7: label[6], 9: 9}
         assert got == label and (got[1] == 2) == swapped
         assert len(made) < 10
+
+
+@pytest.mark.parametrize("k", [2, 5, 500])
+def test_hops_from_nodes_that_many_edges_share(spark, k):
+    """Few nodes, hundreds of edges, some ids twice, an end missing, loops; seeds are among the first edges of their nodes."""
+    r = random.Random(k)
+    edges = [(i % 280, r.choice([1, 2, 3, None]), r.choice([3, 11, 12, 13, 14]), "led_to" if i % 9 == 0 else None) for i in range(300)] + [(900, 20, 20, "led_to"), (901, 1, 20, None), (902, 20, 21, "led_to"), (903, 21, 22, None)]
+    seeds = [(7, e, n + 1) for n, e in enumerate((0, 1, 4, 5))] + [(8, 901, 1), (9, 902, 1), (10, 12345, 1)]
+    of = lambda rows: [(e, n) for e, a, b, _ in rows for n in {a, b} - {None}]
+    ends, hinted = of(edges), of([e for e in edges if e[3]])
+    structural, authored = set(), set()
+    for q in (7, 8, 9, 10):
+        own = {e: n for s, e, n in seeds if s == q}
+        least = lambda pairs: {x: min(n for y, n in pairs if y == x) for x, _ in pairs}
+        touched = least([(v, own[e]) for e, v in ends if e in own])
+        near = least([(e, touched[v]) for e, v in ends if v in touched])
+        one = least([(e, touched[v]) for e, v in hinted if v in touched])
+        far = least([(v, one[e]) for e, v in hinted if e in one and v not in touched])
+        two = least([(e, far[v]) for e, v in ends if v in far])
+        best = {e: (2, n) for e, n in two.items()} | {e: (1, n) for e, n in one.items()}
+        structural |= {(q, e, n, i + 1) for i, (n, e) in enumerate(sorted((n, e) for e, n in near.items() if e not in own)[:k])}
+        authored |= {(q, e, *n, i + 1) for i, (n, e) in enumerate(sorted((n, e) for e, n in best.items() if e not in own)[:k])}
+    asked, df = spark.createDataFrame(seeds, "query_id long, edge_id long, rank int"), spark.createDataFrame(edges, "edge_id long, start_id long, end_id long, causal_hint string")
+    assert {(x.query_id, x.edge_id, x.seed_rank, x["rank"]) for x in expand.structural_hop(asked, df, k).collect()} == structural
+    assert {(x.query_id, x.edge_id, x.tier, x.seed_rank, x["rank"]) for x in expand.authored_hop(asked, df, k).collect()} == authored
+    given = expand._first_ends(df, k + 4).groupBy("node").count().collect()
+    assert max(x["count"] for x in given) <= k + 4 and {x.node for x in given if x.node is not None} == {n for _, n in ends}
