@@ -1,5 +1,6 @@
 """Steps whose work must not grow with copies: equal vectors, shared names, words that nobody asks for."""
 
+import itertools
 import math
 import random
 
@@ -7,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators import expand, graph, ingest, lexical, nested, postings, vector
+from palimpsest.operators import evalkit, expand, graph, ingest, lexical, nested, postings, vector
 
 
 def brute(queries, facts, k, other_only=False, text=False, least=None):
@@ -129,3 +130,22 @@ def test_hops_from_nodes_that_many_edges_share(spark, k):
     assert {(x.query_id, x.edge_id, x.tier, x.seed_rank, x["rank"]) for x in expand.authored_hop(asked, df, k).collect()} == authored
     given = expand._first_ends(df, k + 4).groupBy("node").count().collect()
     assert max(x["count"] for x in given) <= k + 4 and {x.node for x in given if x.node is not None} == {n for _, n in ends}
+
+
+def test_triangles_are_sought_only_where_first_pairs_leave_cases_open(spark, monkeypatch):
+    """Parts and suppliers have no triangle; then a clique, with a node that has only one open pair far behind its first ones."""
+    linked = []
+    triangles = evalkit.triangles
+    monkeypatch.setattr(evalkit, "triangles", lambda links: linked.append(links.count()) or triangles(links))
+    r = random.Random(3)
+    parts = [(n, a, 100 + b) for n, (a, b) in enumerate(sorted({(r.randrange(40), r.randrange(9)) for _ in range(200)}))]
+    clique = [(1000 + n, a, b) for n, (a, b) in enumerate(itertools.combinations(range(500, 516), 2))] + [(5000, 500, 600), (5001, 600, 101)]
+    for edges in (parts, parts + clique):
+        linked.clear()
+        near, want = {frozenset(e[1:]) for e in edges}, []
+        for hub in {n for e in edges for n in e[1:]}:
+            arms = sorted((e, b if a == hub else a) for e, a, b in edges if hub in (a, b))
+            want += [(hub, x[0], y[0]) for x, y in itertools.combinations(arms, 2) if x[1] != y[1] and frozenset((x[1], y[1])) not in near][:6]
+        got = evalkit.multihop_cases(spark.createDataFrame(edges, "edge_id long, start_id long, end_id long")).collect()
+        assert sorted((x.hub, x.a, x.b) for x in got) == sorted(want)
+        assert len(linked) == (edges is not parts) and sum(linked) <= len(clique)
