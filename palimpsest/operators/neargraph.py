@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fusion import DEPTH, topk
+from .lineage import cut
 
 SHARD = 20_000
 SAMPLE = 8_192
@@ -32,11 +33,14 @@ ENTRIES = 64  # at least; three times the root of a shard's size
 STARTS = 5
 MEMBERS = 96  # of an entry, the nearest; others have links
 QUERIES = 1_000
+CELLS = 2**20  # products that a worker holds at once
+WALKS = 50  # queries that walk together
 
 
 @dataclass
 class Index:
-    """shards: pivot, sub, n, ids, vectors, links, members (arrays as bytes), a row a shard; pivots: (number, dimension), MAX_PIVOTS at most."""
+    """shards: pivot, sub, n, ids, vectors, links, members (arrays as bytes), a row a shard, in the shared folder; pivots: (number, dimension), MAX_PIVOTS
+    at most."""
 
     shards: DataFrame
     pivots: np.ndarray
@@ -67,8 +71,10 @@ def _entries(n: int) -> np.ndarray:
 def members(x: np.ndarray) -> np.ndarray:
     """A row for each entry: the vectors that it is the best entry of, nearest first; -1 where there are fewer."""
     entries = _entries(len(x))
-    s = np.concatenate([x[at : at + 4096] @ x[entries].T for at in range(0, len(x), 4096)]) if len(x) else np.zeros((0, 0))
-    best, score = s.argmax(1), s.max(1)
+    best, score = np.zeros(len(x), np.int64), np.zeros(len(x))
+    for at in range(0, len(x), 2048):
+        s = x[at : at + 2048] @ x[entries].T
+        best[at : at + len(s)], score[at : at + len(s)] = s.argmax(1), s.max(1)
     order = np.lexsort((-score, best))
     nth = np.arange(len(x)) - np.searchsorted(best[order], best[order])
     out = np.full((len(entries), min(MEMBERS, int(nth.max(initial=0)) + 1)), -1, np.int32)
@@ -81,12 +87,14 @@ def graph(x: np.ndarray, links: int = LINKS, seed: int = 1) -> np.ndarray:
     """(n, 2 * links + 4): the links of each vector; itself where there are fewer."""
     n = len(x)
     near = np.tile(np.arange(n)[:, None], (1, min(3 * links, max(n - 1, 1))))
-    for at in range(0, n, 1024):
-        s = x[at : at + 1024] @ x.T
-        s[np.arange(len(s)), np.arange(at, at + len(s))] = -np.inf
+    block = max(1, min(1024, CELLS // max(n, 1)))
+    for at in range(0, n, block):
+        s = x[at : at + block] @ x.T
+        np.negative(s, out=s)
+        s[np.arange(len(s)), np.arange(at, at + len(s))] = np.inf
         if n > 1:
-            best = np.argpartition(-s, near.shape[1] - 1, axis=1)[:, : near.shape[1]]
-            near[at : at + len(s)] = np.take_along_axis(best, np.argsort(-np.take_along_axis(s, best, 1), axis=1, kind="stable"), 1)
+            best = np.argpartition(s, near.shape[1] - 1, axis=1)[:, : near.shape[1]]
+            near[at : at + len(s)] = np.take_along_axis(best, np.argsort(np.take_along_axis(s, best, 1), axis=1, kind="stable"), 1)
     out = np.tile(np.arange(n)[:, None], (1, 2 * links + 4))
     filled = np.zeros(n, np.int64)
     for at in range(0, n, 1024):  # nearest first; one that is nearer to a linked one than to the vector itself is left out
@@ -163,10 +171,14 @@ def _shard(table: pa.Table) -> pa.Table:
 
 
 def _best_pivots(pivots: np.ndarray, probe: int):
+    block = max(1, CELLS // max(len(pivots), 1))
+
     def run(batches):
         for b in batches:
             x = _matrix(b.column(b.schema.get_field_index("vector")))
-            order = np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :probe].astype(np.int32) if len(x) and len(pivots) else np.zeros((len(x), 0), np.int32)
+            order = np.zeros((len(x), min(probe, len(pivots))), np.int32)
+            for at in range(0, len(x) if len(pivots) else 0, block):
+                order[at : at + block] = np.argsort(-(x[at : at + block] @ pivots.T), axis=1, kind="stable")[:, :probe]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(order), pa.list_(pa.int32()))], names=[*b.schema.names, "pivots"])
 
     return run
@@ -183,7 +195,7 @@ def build(vectors: DataFrame, shard: int = SHARD, sample: int = SAMPLE) -> Index
     sizes = {r.pivot: -(-r.n // shard) for r in placed.groupBy("pivot").agg(F.count("*").alias("n")).collect()}  # MAX_PIVOTS rows
     parts = F.create_map(*(F.lit(v) for kv in sizes.items() for v in kv)) if sizes else F.create_map(F.lit(0), F.lit(1))
     dealt = placed.withColumn("sub", F.pmod(F.xxhash64("edge_id"), parts[F.col("pivot")]).cast("int"))
-    return Index(dealt.groupBy("pivot", "sub").applyInArrow(_shard, "pivot int, sub int, n long, ids binary, vectors binary, links binary, members binary"), pivots)
+    return Index(cut(dealt.groupBy("pivot", "sub").applyInArrow(_shard, "pivot int, sub int, n long, ids binary, vectors binary, links binary, members binary")), pivots)
 
 
 def _search(k: int, beam: int, other_only: bool):
@@ -196,8 +208,8 @@ def _search(k: int, beam: int, other_only: bool):
             near = np.frombuffer(shard["members"][0].as_py(), "<i4").reshape(len(_entries(len(ids))), -1)
             names = queries["query_id"].to_numpy()
             q = _matrix(queries["vector"])
-            for at in range(0, len(q), 250):
-                places, scores, products = walk(q[at : at + 250], x, links, near, max(beam, k + 1))
+            for at in range(0, len(q), WALKS):
+                places, scores, products = walk(q[at : at + WALKS], x, links, near, max(beam, k + 1))
                 for i, (p, s) in enumerate(zip(places, np.round(scores, 9))):
                     good = np.isfinite(s) & ((ids[p] != names[at + i]) | (not other_only))
                     best = np.flatnonzero(good)

@@ -3,12 +3,14 @@
 import itertools
 import math
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators import evalkit, expand, graph, ingest, lexical, nested, postings, vector
+from palimpsest.operators import evalkit, expand, graph, ingest, lexical, neargraph, nested, postings, vector
 
 
 def brute(queries, facts, k, other_only=False, text=False, least=None):
@@ -149,3 +151,32 @@ def test_triangles_are_sought_only_where_first_pairs_leave_cases_open(spark, mon
         got = evalkit.multihop_cases(spark.createDataFrame(edges, "edge_id long, start_id long, end_id long")).collect()
         assert sorted((x.hub, x.a, x.b) for x in got) == sorted(want)
         assert len(linked) == (edges is not parts) and sum(linked) <= len(clique)
+
+
+def test_a_shard_is_made_and_walked_in_bounded_blocks():
+    """A full shard of 20,000 vectors, a batch of 10,000 rows and 1,024 pivots; the links are those of whole blocks."""
+    r = np.random.default_rng(1)
+    x = r.normal(size=(neargraph.SHARD, 8))
+    tracemalloc.start()
+    try:
+        links, near = neargraph.graph(x), neargraph.members(x)
+        assert tracemalloc.get_traced_memory()[1] < 60e6
+        tracemalloc.reset_peak()
+        batch = pa.record_batch({"query_id": pa.array(range(10_000)), "vector": pa.array(x[:10_000].tolist())})
+        (out,) = neargraph._best_pivots(x[:1_024], 1)([batch])
+        assert tracemalloc.get_traced_memory()[1] < 60e6
+    finally:
+        tracemalloc.stop()
+    assert [v[0] for v in out.column("pivots").to_pylist()] == (x[:10_000] @ x[:1_024].T).argmax(1).tolist()
+    for i in (0, 7_777, 19_999):
+        order = [j for j in np.argsort(-(x @ x[i]), kind="stable")[:60] if j != i]
+        assert links[i, 0] == order[0]
+    assert sorted(near[near >= 0].tolist()) == sorted(set(near[near >= 0].tolist()))
+
+
+def test_a_kept_index_is_made_once(spark):
+    vectors = spark.range(50).select(F.col("id").alias("edge_id"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("vector"))
+    index = neargraph.build(vectors, shard=20)
+    assert "FlatMapGroupsInArrow" not in index.shards._jdf.queryExecution().executedPlan().toString()
+    got = neargraph.search(index, vectors.where("edge_id = 3").withColumnRenamed("edge_id", "query_id"), 2).orderBy("rank").collect()
+    assert [x.edge_id for x in got] == [49, 48]
