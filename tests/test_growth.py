@@ -180,3 +180,26 @@ def test_a_kept_index_is_made_once(spark):
     assert "FlatMapGroupsInArrow" not in index.shards._jdf.queryExecution().executedPlan().toString()
     got = neargraph.search(index, vectors.where("edge_id = 3").withColumnRenamed("edge_id", "query_id"), 2).orderBy("rank").collect()
     assert [x.edge_id for x in got] == [49, 48]
+
+
+def test_names_that_many_nodes_share_are_dealt(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(graph, "PAIRED", 100, raising=False)  # there was no such constant before
+    n = F.col("id")
+    nodes = spark.range(1000).select(n.alias("node"), F.lit("g").alias("group_id"), F.lit("Red Bolt").alias("name"), F.array(F.lit("red bolt")).alias("aliases"))
+    got = graph.foreign_aliases(nodes).select("*", F.spark_partition_id().alias("task"))
+    by_task = {r.task: r["count"] for r in got.groupBy("task").count().collect()}
+    assert sum(by_task.values()) == 1000 * 999 and len(by_task) > 1
+    assert got.groupBy("node").agg(F.count_distinct("other").alias("others")).where("others = 999").count() == 1000
+    got.drop("task").write.parquet(str(tmp_path / "out"))
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 1000 * 999 / 2
+
+
+@pytest.mark.parametrize("paired,run", [(2, 2), (3, 1), (4096, 256)])
+def test_foreign_aliases_by_brute_force(spark, monkeypatch, paired, run):
+    monkeypatch.setattr(graph, "PAIRED", paired, raising=False)
+    monkeypatch.setattr(graph, "RUN", run, raising=False)
+    rows = [(i, "gh"[i % 5 == 0], ["Ox", "oX", "Elk", None, "eel"][i % 7 % 5], [["OX", "ox", "ox", "elk"], ["none", None], [], None, ["Eel"]][i % 11 % 5]) for i in range(40)]
+    rows += [(None, "g", "ox", ["ox"]), (50, None, "ox", ["ox"]), (51, "g", "Sole", ["ox", "lone"]), (52, "g", "LONE", [])]
+    nodes = spark.createDataFrame(rows, "node long, group_id string, name string, aliases array<string>").repartition(3)
+    want = [(g, n, a, o) for n, g, _, aliases in rows for a in aliases or [] for o, h, name, _ in rows if None not in (n, g, a, o, h, name) and g == h and name.lower() == a.lower() and n != o]
+    assert sorted(map(tuple, graph.foreign_aliases(nodes).collect())) == sorted(want)
