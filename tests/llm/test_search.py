@@ -6,6 +6,7 @@ import random
 import re
 import time
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -150,6 +151,35 @@ def test_near_duplicates_edges(spark):
     assert {r.component_id for r in minhash.near_duplicates(odd).collect()} == {0}
 
 
+def shuffles(spark):
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {f.name.split("_")[1] for d in dirs for f in Path(str(d)).glob("*/shuffle_*.data")}
+
+
+@pytest.mark.parametrize("query", [minhash.near_duplicates, minhash.deduplicated])
+def test_near_duplicates_leave_no_shuffle_files(spark, query):
+    """Of some hundred shuffles; one that a query begins and turns out not to need may end after it."""
+    before = shuffles(spark)
+    out = query(frame(spark))
+    assert out.count()
+    until = time.time() + 10
+    while len(left := shuffles(spark) - before) and time.time() < until:
+        time.sleep(0.2)
+    assert len(left) <= 3
+
+
+def test_pairs_of_unlike_sizes_take_no_values_along(spark, monkeypatch):
+    met, cut = [], minhash.cut
+    monkeypatch.setattr(minhash, "cut", lambda df: met.append(out := cut(df)) or out)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words[:n]) for n in (12, 13, 14, 40, 42, 60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, 85).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 5}
+    pairs = [r for df in met if df.columns == ["a", "b", "na", "nb"] for r in df.collect()]
+    assert pairs and all(100 * min(r.na, r.nb) >= 85 * max(r.na, r.nb) for r in pairs)
+
+
 def test_sketch_keeps_a_common_value():
     r = np.random.default_rng(2)
     for _ in range(300):
